@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints
+from . import fingerprints, token_files
 
 
 def queries() -> dict:
     return {
         "op1_fingerprints": fingerprints.op1_fingerprints,
+        "op5_token_files": token_files.op5_token_files,
     }
 
 
