@@ -46,6 +46,8 @@ _MOST_LEVELS = 40
 #: Texts of these characters alone can be cut into pieces here; others go through the library whole.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+")
+#: The same pieces of a lower-cased text without an apostrophe, found faster.
+_BARE_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[^\sa-z0-9ß-öø-ÿ]+|\d")
 _KEPT_PIECES = 300_000
 
 
@@ -78,8 +80,8 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         found, size = {}, self.kind.itemsize
-        for i in range(0, len(new), 512):
-            some = new[i : i + 512]
+        for i in range(0, len(new), 64):
+            some = new[i : i + 64]
             ids = np.array(self.part.encode_batch_fast([" \x01 ".join(some)], add_special_tokens=False)[0].ids, self.kind)
             cuts = np.flatnonzero(ids == self.gap)
             raw = ids.tobytes()
@@ -91,14 +93,14 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         if self.pieces is not None:
-            cut = {i: _PIECE.findall(t.lower()) for i, t in enumerate(texts) if _PLAIN.fullmatch(t) and "<|" not in t}
-            new = list({w for x in cut.values() for w in x if w not in self.pieces})
+            cut = {i: (_PIECE if "'" in t else _BARE_PIECE).findall(t.lower()) for i, t in enumerate(texts) if _PLAIN.fullmatch(t) and "<|" not in t}
+            new = list(set().union(*cut.values()) - self.pieces.keys())
             known = self.pieces
             if len(known) + len(new) > _KEPT_PIECES:
                 known = self.pieces = {w: known[w] for x in cut.values() for w in x if w in known}
             known |= self._learn(new)
             for i, x in cut.items():
-                out[i] = b"".join([known[w] for w in x])
+                out[i] = b"".join(map(known.__getitem__, x))
         rest = [i for i, x in enumerate(out) if x is None]
         for i in range(0, len(rest), 64):
             some = rest[i : i + 64]
