@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import fingerprints, token_files
+from . import fingerprints, ledger, mixture, quality, token_files, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_fingerprints": fingerprints.op1_fingerprints,
+        "op3_mixture": mixture.op3_mixture,
         "op5_token_files": token_files.op5_token_files,
+        "op6_toxicity": toxicity.op6_toxicity,
+        "op8_quality": quality.op8_quality,
+        "op9_ledger": ledger.op9_ledger,
     }
 
 
