@@ -26,9 +26,21 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, path: str) -> DataFrame:
-    """Write df as Parquet and read it back: cuts the lineage and outlives lost executors."""
-    df.write.mode("overwrite").parquet(path)
+    """Write df as Parquet and read it back: cuts the lineage and outlives lost executors.
+
+    What was shuffled for the table isn't needed once it is written, so Spark may remove those files then.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -122,6 +134,7 @@ class Words:
         """(row, hash) of all k-word shingles, in text order; shorter documents have their whole sequence as one."""
         h, doc = self.hash, self.doc
         if len(h) == 0:
+            self.shingle_at = doc
             return doc, h
         first = self.first_of_doc()
         count = np.diff(first)
@@ -135,6 +148,7 @@ class Words:
             out = np.where(use, mix(out * U64(_BASE) + part + U64(i + 1)), out)
         at = np.arange(n) - first[:-1][doc]
         keep = (left >= k) | ((count[doc] < k) & (at == 0))
+        self.shingle_at = np.flatnonzero(keep)  # the word that each begins with
         return doc[keep], out[keep]
 
 
