@@ -13,7 +13,7 @@ and are linked without comparison; everything below is on classes, keyed by a 64
    other groups together bounds its overlap with each: classes that share less than ceil(0.8 n) of their shingles with other groups are done.
    For the others, only groups that have a token of the class's rarest-first prefix are candidates, the
    overlap with each candidate's union is counted in the matrix, and only groups that reach ceil(0.8 n) are opened: their
-   members with a common prefix token and a fitting size are compared exactly.
+   members of fitting size with a common prefix token, early enough for the overlap asked, are compared exactly.
 
 Links found in 2 and 3 contain a spanning forest of all links, which gives the components; no link between groups is lost.
 Shingles are compared as 64-bit hashes: with 10^10 distinct ones, about 3 pairs of them collide.
@@ -33,7 +33,7 @@ from .shared import U64, Words, components, distinct_sets, documents, mix, save,
 
 #: Share of all shingles, by hash, that pruning counts; over a fifth, which is what a class may have for itself.
 SAMPLED = 0.32
-ROUNDS = 4
+ROUNDS = 6
 
 
 def least_common(n):
@@ -154,14 +154,19 @@ def _grouped(classes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
     return save(classes.select("key").join(labels, "key", "left").select("key", F.coalesce("root", "key").alias("grp")), f"{path}/groups")
 
 
-def _links_within(sets: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Links and groups from ROUNDS rounds of min-hash buckets."""
+def links_within(sets: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Links and groups from ROUNDS rounds of min-hash buckets.
+
+    A bucket's head is, in even rounds, the class with the fewest shingles of its own, which is the original
+    rather than a copy with edits; in odd rounds it is one by hash.
+    """
     edges = sets.sparkSession.createDataFrame([], "a long, b long")
     groups = sets.select("key", F.col("key").alias("grp"))
-    lows = sets.select("key", "n", *[f"low{r}" for r in range(ROUNDS)])
+    lows = sets.select("key", "n", "alone", *[f"low{r}" for r in range(ROUNDS)])
     for r in range(ROUNDS):
-        low = lows.join(groups, "key").select("key", "grp", F.col(f"low{r}").alias("low"))
-        heads = low.groupBy("low").agg(F.min(F.struct("key", "grp")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("low", F.col("h.key").alias("b"), F.col("h.grp").alias("head_grp"))
+        low = lows.join(groups, "key").select("key", "grp", "alone", F.col(f"low{r}").alias("low"))
+        rank = F.col("alone") if r % 2 == 0 else F.xxhash64("key", F.lit(r))
+        heads = low.groupBy("low").agg(F.min(F.struct(rank.alias("rank"), "key", "grp")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("low", F.col("h.key").alias("b"), F.col("h.grp").alias("head_grp"))
         pairs = low.join(heads, "low").where("grp <> head_grp").select(F.col("key").alias("a"), "b").distinct()
         found = save(verify(pairs, sets), f"{path}/links{r}")
         edges = edges.union(found)
@@ -170,37 +175,83 @@ def _links_within(sets: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     return edges, groups
 
 
-def _links_between(sets: DataFrame, groups: DataFrame, path: str) -> DataFrame:
-    """All links between groups that the components need, by way of the token-group matrix."""
-    rows = sets.join(groups, "key").select("key", "n", "grp", F.explode("tokens").alias("token"))
+def _open(rows: DataFrame) -> DataFrame:
+    """Keys of rows (key, n, grp, token) that share least_common(n) tokens with other groups."""
     token = Window.partitionBy("token")
-    outside = rows.select("token", "key", "grp", F.min("grp").over(token).alias("low"), F.max("grp").over(token).alias("high"))
-    outside = outside.where("low <> high").groupBy("key").agg(F.count(F.lit(1)).alias("shared"))
-    open_ = sets.select("key", "n").join(outside, "key").where(F.col("shared") >= least_common(F.col("n"))).select("key")
-    open_ = save(open_, f"{path}/open")
-    if open_.isEmpty():
-        return sets.sparkSession.createDataFrame([], "a long, b long")
-    mine = save(sets.join(open_, "key").join(groups, "key").select("key", "n", "grp", F.explode("tokens").alias("token")), f"{path}/open_tokens")
-    matrix = mine.select("token", "grp").distinct()
-    rare = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups"))
+    outside = rows.select("token", "key", "n", "grp", F.min("grp").over(token).alias("low"), F.max("grp").over(token).alias("high")).where("low <> high")
+    return outside.groupBy("key").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= least_common(F.col("n"))).select("key")
+
+
+def links_between(sets: DataFrame, groups: DataFrame, path: str) -> DataFrame:
+    """All links between groups that the components need, by way of the token-group matrix.
+
+    First HEADS passes compare few classes of each prefix token and join what links, so that few groups that share
+    tokens are left when the last pass compares what is left in full.
+    """
+    edges = sets.sparkSession.createDataFrame([], "a long, b long")
+    rows = sets.join(groups, "key").select("key", "n", "grp", F.explode("tokens").alias("token"))
+    open_ = save(_open(rows), f"{path}/open")
+    mine = save(sets.join(open_, "key").select("key", "n", F.explode("tokens").alias("token")), f"{path}/open_tokens")
+    groups = save(groups.join(open_, "key"), f"{path}/open_groups")
+    for i in range(HEADS + 1):
+        at = f"{path}/pass{i}"
+        rows = mine.join(groups, "key")
+        if i:
+            mine = save(rows.join(_open(rows), "key").select("key", "n", "token"), f"{at}/open_tokens")
+            rows = mine.join(groups, "key")
+        if mine.isEmpty():
+            break
+        rows = save(rows, f"{at}/rows")
+        prefix = _prefix(rows, at)
+        found = save(_with_heads(prefix, sets, i) if i < HEADS else _in_full(prefix, rows, sets, at), f"{at}/found")
+        edges = edges.union(found)
+        if i == HEADS or found.isEmpty():
+            continue
+        of = lambda c, g: groups.select(F.col("key").alias(c), F.col("grp").alias(g))
+        joined = components(found.join(of("a", "ga"), "a").join(of("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")), at).withColumnRenamed("id", "grp")
+        groups = save(groups.join(joined, "grp", "left").select("key", F.coalesce("root", "grp").alias("grp")), f"{at}/groups")
+    return edges
+
+
+HEADS = 5
+#: Of two that link, the smaller has the first common token among its first n/9 + 1, and as many tokens follow it in both as are common.
+_FITS = "na * 100 >= nb * 80 and nb * 100 >= na * 80 and (1 + least(na - pa, nb - pb)) * 9 >= 4 * (na + nb)"
+
+
+def _prefix(rows: DataFrame, path: str) -> DataFrame:
+    """(token, key, n, grp, place): tokens of several groups among each class's first n - least_common(n) + 1, rarest first."""
+    rare = rows.select("token", "grp").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("groups"))
     # Tokens of one group only can't be common with another; they come first and fill up the prefix.
     order = Window.partitionBy("key").orderBy("groups", "token")
-    prefix = mine.join(rare, "token").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - least_common(F.col("n")) + 1)
-    prefix = save(prefix.where("groups > 1").select("token", "key", "n", "grp"), f"{path}/prefix")
-    near = prefix.select("token", F.col("grp").alias("other")).distinct()
-    candidates = prefix.join(near, "token").where("grp <> other").select("key", "n", "other").distinct()
-    overlap = candidates.join(mine.select("key", "token"), "key").join(matrix.select("token", F.col("grp").alias("other")), ["token", "other"]).groupBy("key", "n", "other").agg(F.count(F.lit(1)).alias("common"))
-    opened = save(overlap.where(F.col("common") >= least_common(F.col("n"))).select("key", "other"), f"{path}/opened")
-    right = prefix.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("other"))
-    pairs = prefix.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("grp")).join(right, "token")
-    pairs = pairs.where("grp <> other and na * 100 >= nb * 80 and nb * 100 >= na * 80").select("a", "b", "grp", "other").distinct()
-    pairs = pairs.join(opened.withColumnRenamed("key", "a"), ["a", "other"])
+    prefix = rows.join(rare, "token").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - least_common(F.col("n")) + 1)
+    return save(prefix.where("groups > 1").select("token", "key", "n", "grp", "place"), f"{path}/prefix")
+
+
+def _with_heads(prefix: DataFrame, sets: DataFrame, i: int) -> DataFrame:
+    """Links of classes with one class of each prefix token: the one with the fewest rarer tokens at first, then others by hash among those that fit."""
+    rank = F.col("place") if i == 0 else F.struct(F.col("place") * 9 > F.col("n") + 9, F.xxhash64("key", "token", F.lit(i)))
+    head = prefix.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "key", "n", "grp", "place")).alias("h"))
+    head = head.select("token", F.col("h.key").alias("b"), F.col("h.n").alias("nb"), F.col("h.grp").alias("other"), F.col("h.place").alias("pb"))
+    pairs = prefix.select("token", F.col("key").alias("a"), F.col("n").alias("na"), "grp", F.col("place").alias("pa")).join(head, "token").where(f"grp <> other and {_FITS}")
+    return verify(pairs.select("a", "b").distinct(), sets)
+
+
+def _in_full(prefix: DataFrame, rows: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+    left = prefix.where("place * 9 <= n + 9").select("token", F.col("key").alias("a"), F.col("n").alias("na"), "grp", F.col("place").alias("pa"))
+    right = prefix.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("other"), F.col("place").alias("pb"))
+    pairs = save(left.join(right, "token").where(f"grp <> other and (na < nb or na = nb and a < b) and {_FITS}").select("a", "b", "other").distinct(), f"{path}/pairs")
+    # The overlap of a class with the union of a group bounds that with each member.
+    candidates = pairs.select(F.col("a").alias("key"), "other").distinct()
+    matrix = rows.select("token", F.col("grp").alias("other")).distinct()
+    overlap = candidates.join(rows.select("key", "n", "token"), "key").join(matrix, ["token", "other"]).groupBy("key", "n", "other").agg(F.count(F.lit(1)).alias("common"))
+    opened = overlap.where(F.col("common") >= least_common(F.col("n"))).select(F.col("key").alias("a"), "other")
+    pairs = save(pairs.join(opened, ["a", "other"]), f"{path}/opened")
     # One comparison of each class with each group first; what these join needs no further one.
-    first = save(verify(pairs.groupBy("a", "other").agg(F.min("b").alias("b")).select("a", "b"), sets), f"{path}/between0")
+    first = save(verify(pairs.groupBy("a", "other").agg(F.min("b").alias("b")).select("a", "b"), sets), f"{path}/first")
     merged = components(first, f"{path}/merge")
     tag = lambda c: merged.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
-    rest = pairs.where("a < b").join(tag("a"), "a", "left").join(tag("b"), "b", "left").where("not (ra <=> rb) or ra is null").select("a", "b")
-    return first.union(save(verify(rest, sets), f"{path}/between1"))
+    rest = pairs.join(tag("a"), "a", "left").join(tag("b"), "b", "left").where("not (ra <=> rb) or ra is null").select("a", "b")
+    return first.union(save(verify(rest, sets), f"{path}/rest"))
 
 
 def labelled(docs: DataFrame) -> DataFrame:
@@ -215,14 +266,14 @@ def labelled(docs: DataFrame) -> DataFrame:
     tokens = docs.mapInArrow(_sampled_tokens, "token long, key long").repartition("token").sortWithinPartitions("token", "key")
     shared = tokens.mapInArrow(_shared_counts, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
     alone = F.col("sampled") - F.coalesce("shared", F.lit(0))
-    left = save(classes.join(shared, "key", "left").where(alone <= F.col("n") - least_common(F.col("n"))).select("key", "pick"), f"{path}/left")
+    left = save(classes.join(shared, "key", "left").where(alone <= F.col("n") - least_common(F.col("n"))).select("key", "pick", alone.alias("alone")), f"{path}/left")
     # One document of each class that is left gives its set.
     sets = docs.where("text is not null").withColumn("pick", named).join(left.select("pick").distinct(), "pick", "left_semi").select("text")
     sets = sets.mapInArrow(_full_sets, "key long, n long, tokens array<long>, " + ", ".join(f"low{r} long" for r in range(ROUNDS)))
-    sets = save(sets.join(left.select("key"), "key", "left_semi").dropDuplicates(["key"]), f"{path}/sets")
+    sets = save(sets.dropDuplicates(["key"]).join(left.select("key", "alone"), "key"), f"{path}/sets")
 
-    edges, groups = _links_within(sets, path)
-    edges = edges.union(_links_between(sets, groups, path))
+    edges, groups = links_within(sets, path)
+    edges = edges.union(links_between(sets, groups, path))
     labels = components(edges, f"{path}/all").select(F.col("id").alias("key"), "root")
     rooted = classes.select("key", "least").join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
