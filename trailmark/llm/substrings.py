@@ -38,14 +38,17 @@ _TAG = 16
 
 
 def _rolled(data: np.ndarray) -> np.ndarray:
-    """Hash of the TRIGGER bytes from each place on, by doubling."""
+    """Hash of the TRIGGER bytes from each place on: by doubling, pieces put together as TRIGGER's bits say."""
     power = lambda k: U64(pow(_BASE, k, 1 << 64))
-    one = mix(np.arange(256))[data]
-    two = one[:-1] * power(1) + one[1:]
-    four = two[:-2] * power(2) + two[2:]
-    eight = four[:-4] * power(4) + four[4:]
-    sixteen = eight[:-8] * power(8) + eight[8:]
-    return mix(sixteen[:-4] * power(4) + four[16:])
+    piece, width, out, have = mix(np.arange(256))[data], 1, None, 0
+    while True:
+        if TRIGGER & width:
+            out = piece if out is None else piece[: len(piece) - have] * power(have) + out[width:]
+            have += width
+        if 2 * width > TRIGGER:
+            return mix(out)
+        piece = piece[:-width] * power(width) + piece[width:]
+        width *= 2
 
 
 def _least(v: np.ndarray, width: int) -> np.ndarray:
@@ -151,8 +154,8 @@ def _parse(batches):
 def _resolve(batches):
     """From rows in order of (t, p, doc): (doc, tag, start, strings, len): covered ranges have len > 0, phrases to cut up len 0.
 
-    Held over from batch to batch: the last trigger, phrase and first document, and the first document's places of a trigger's first phrase while it has no
-    second one; these are places in one document.
+    A phrase is cut up where its trigger has another phrase and another document. Held over from batch to batch: what is known of the last
+    trigger, and, while it has one phrase or one document only, the places of its phrases' first document; these are places in one document.
     """
     names = ["doc", "tag", "start", "strings", "len"]
     mask = np.int64((1 << _TAG) - 1)
@@ -175,37 +178,34 @@ def _resolve(batches):
         new_t = np.concatenate(([True], t[1:] != t[:-1]))
         new_p = new_t.copy()
         new_p[1:] |= p[1:] != p[:-1]
-        going_on = held is not None and held[0] == t[0]
-        same_p = going_on and held[1] == p[0]
-        head = np.maximum.accumulate(np.where(new_p, np.arange(n), 0))
-        least = doc[head]
-        if same_p:
-            least = np.where(head == 0, held[2], least)
-        late = doc > least
         starts = np.flatnonzero(new_t)
         ends = np.append(starts[1:], n)
-        several = p[starts] != p[ends - 1]
-        if going_on:
-            second = several[0] or not same_p
-            if second and waiting:
-                w = np.array(waiting)
-                yield out(w[:, 0], w[:, 1], np.zeros(len(w)), np.zeros(len(w), bool))
-                waiting = []
-            several[0] |= held[3] or not same_p
+        phrases_, low, high = p[starts] != p[ends - 1], np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
+        head = np.maximum.accumulate(np.where(new_p, np.arange(n), 0))
+        least = doc[head]
+        if held is not None and held["t"] == t[0]:
+            phrases_[0] |= held["phrases"] or held["p"] != p[0]
+            low[0], high[0] = min(low[0], held["low"]), max(high[0], held["high"])
+            if held["p"] == p[0]:
+                least = np.where(head == 0, held["least"], least)
         else:
             waiting = []
+        several = phrases_ & (low < high)
+        late = doc > least
+        if several[0] and waiting:
+            w = np.array(waiting)
+            yield out(w[:, 0], w[:, 1], np.zeros(len(w)), np.zeros(len(w), bool))
+            waiting = []
         check = ~late & np.repeat(several, ends - starts)
         strings = (at >> 21 & 31) + 1
         some = late | check
         yield out(doc[some], at[some], np.where(late, strings + LENGTH - 1, 0)[some], np.zeros(int(some.sum()), bool))
-        tail = slice(starts[-1], n)
-        if not several[-1]:
-            if len(starts) > 1:
-                waiting = []
-            waiting += list(zip(doc[tail][~late[tail]].tolist(), at[tail][~late[tail]].tolist(), strict=True))
-        else:
+        if len(starts) > 1 or several[-1]:
             waiting = []
-        held = (t[-1], p[-1], least[-1], bool(several[-1]))
+        if not several[-1]:
+            tail = np.flatnonzero(~late[starts[-1] :]) + starts[-1]
+            waiting += list(zip(doc[tail].tolist(), at[tail].tolist(), strict=True))
+        held = {"t": t[-1], "p": p[-1], "least": least[-1], "phrases": bool(phrases_[-1]), "low": low[-1], "high": high[-1]}
 
 
 _FOUND_DDL = "doc long, tag long, start long, strings long, len long"
