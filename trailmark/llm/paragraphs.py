@@ -3,9 +3,9 @@
 A paragraph is a line of at least LEAST_WORDS words; its set holds the hashes of its 5-word shingles. Paragraphs of
 equal sets form a class at once. Bands of min-hashes, tuned for a recall of at least RECALL at a Jaccard similarity of
 THRESHOLD, bring together candidates; a band's bucket of up to ALL_PAIRS classes is compared all with all. In a larger
-one each class is compared with the bucket's first, and those that don't link with it are then compared with
-every class of the bucket that another component holds, so no link within a bucket is passed over and thousands of near copies need one comparison
-each. Every candidate is verified by exact Jaccard similarity. Components of the links are clusters; in each, the
+one each class is compared with the bucket's first; links among its classes that this leaves out are found by the
+token-group matrix of the n-gram join, over the components so far. So no link within a bucket is passed over, and thousands of near copies need
+one comparison for each band. Every candidate is verified by exact Jaccard similarity. Components of the links are clusters; in each, the
 paragraph of least (doc_id, place) stays and all others are removals.
 
 Defined cases: null and empty texts have no paragraph; equal paragraphs within one document are duplicates as well; a null doc_id
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jaccard import verify
+from .jaccard import links_between, verify
 from .shared import U64, Words, components, distinct_sets, documents, mix, save, slices, text_buffer, work_dir
 
 LEAST_WORDS, THRESHOLD, RECALL, MOST_BANDS, ALL_PAIRS = 10, 0.8, 0.999, 10, 24
@@ -172,12 +172,9 @@ def paragraph_clusters(docs: DataFrame) -> DataFrame:
     wide = found.where("band is not null")
     if not wide.isEmpty():
         labels = components(edges, f"{path}/wide").select(F.col("id").alias("key"), "root")
-        member = wide.select("band", F.col("b").alias("key")).union(wide.select("band", F.col("a").alias("key")).distinct())
-        member = save(member.join(labels, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root")), f"{path}/members")
-        heads = wide.groupBy("band").agg(F.first("a").alias("key")).join(member, ["band", "key"]).select("band", F.col("root").alias("head"))
-        apart = member.join(heads, "band").where("root <> head").select("band", F.col("key").alias("a"), F.col("root").alias("ra"))
-        more = apart.join(member.select("band", F.col("key").alias("b"), F.col("root").alias("rb")), "band").where("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = edges.union(save(verify(more, sets), f"{path}/more"))
+        members = wide.select(F.col("a").alias("key")).union(wide.select(F.col("b").alias("key"))).distinct()
+        groups = save(members.join(labels, "key", "left").select("key", F.coalesce("root", "key").alias("grp")), f"{path}/groups")
+        edges = edges.union(links_between(sets.join(groups.select("key"), "key"), groups, path))
 
     labels = components(edges, f"{path}/all").select(F.col("id").alias("key"), "root")
     clusters = classes.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
