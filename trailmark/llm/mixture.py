@@ -22,7 +22,7 @@ from .shared import documents, save, work_dir
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Documents of one source and size that one task ranks at most; larger cells are split by hash.
-CELL = 4096
+CELL = 512
 
 
 def word_count(text: Column) -> Column:
@@ -86,15 +86,15 @@ def solve_rates(cells: DataFrame, targets: DataFrame, path: str, rounds: int = 4
 
 
 def _allocate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Copies of each cell of one source: from large sizes to small, carrying the words that rounding leaves."""
-    pdf = pdf.sort_values(["size", "sub"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    """Copies of each size of one source: from large sizes to small, carrying the words that rounding leaves. A row for each size that occurs."""
+    pdf = pdf.sort_values("size", ascending=False, kind="stable").reset_index(drop=True)
     copies, carry = [], 0.0
     for size, n, rate in zip(pdf["size"].to_numpy(), pdf["n"].to_numpy(), pdf["rate"].to_numpy(), strict=True):
         wish = n * size * rate + carry
         m = int(min(MOST * n, max(0, round(wish / size))))
         carry = wish - m * size
         copies.append(m)
-    return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "sub": pdf["sub"], "n": pdf["n"], "copies": copies})
+    return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "n": pdf["n"], "copies": copies})
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
@@ -107,22 +107,24 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     targets = save(source_targets(sizes), f"{path}/targets")
     rates = solve_rates(cells, targets, path)
 
-    # Large cells are split by hash, so that no task ranks more than about CELL documents of one source and size.
-    parts = cells.select("source", "size", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
-    many = parts.where("parts > 1")
-    split = rows.join(many.select(F.col("source").alias("ms"), F.col("size").alias("mz"), "parts"), F.col("source").eqNullSafe(F.col("ms")) & (F.col("size") == F.col("mz")), "left")
-    split = split.select("doc_id", "source", "size", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts")), F.lit(0)).cast("int").alias("sub"))
-    split = save(split, f"{path}/split")
-    subs = split.where("size > 0").groupBy("source", "size", "sub").agg(F.count(F.lit(1)).alias("n"))
-    rated = subs.alias("c").join(rates.alias("r"), F.col("c.source").eqNullSafe(F.col("r.source"))).select("c.*", F.least(F.lit(float(MOST)), F.exp(F.least(F.col("r.l") * F.col("c.size") / F.col("r.scale"), F.lit(1.0)))).alias("rate"))
-    given = save(rated.groupBy("source").applyInPandas(_allocate, "source string, size long, sub int, n long, copies long"), f"{path}/copies")
-
+    c, r = cells.where("size > 0").alias("c"), rates.alias("r")
+    rate = F.least(F.lit(float(MOST)), F.exp(F.least(F.col("r.l") * F.col("c.size") / F.col("r.scale"), F.lit(1.0))))
+    given = save(c.join(r, F.col("c.source").eqNullSafe(F.col("r.source"))).select("c.*", rate.alias("rate")).groupBy("source").applyInPandas(_allocate, "source string, size long, n long, copies long"), f"{path}/copies")
+
+    # Large cells are split by hash, so that no task ranks more than about CELL documents of one source and size; each part has its
+    # share of the copies beyond the whole ones.
+    g = given.select(F.col("source").alias("gs"), F.col("size").alias("gz"), F.col("n").alias("cell_n"), "copies")
+    met = rows.where("size > 0").join(g, F.col("source").eqNullSafe(F.col("gs")) & (F.col("size") == F.col("gz"))).drop("gs", "gz")
+    met = save(met.withColumn("sub", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.ceil(F.col("cell_n") / CELL))), f"{path}/met")
+    parts = met.where(F.col("cell_n") > CELL).groupBy("source", "size", "sub").agg(F.count(F.lit(1)).alias("m"), F.first("cell_n").alias("cell_n"), F.first("copies").alias("copies"))
+    upto = F.sum("m").over(Window.partitionBy("source", "size").orderBy("sub"))
+    left = F.col("copies") % F.col("cell_n")
+    share = F.floor(left * F.col("upto") / F.col("cell_n")) - F.floor(left * (F.col("upto") - F.col("m")) / F.col("cell_n"))
+    parts = parts.withColumn("upto", upto).select(F.col("source").alias("ps"), F.col("size").alias("pz"), F.col("sub").alias("pu"), share.alias("extra"))
     rank = F.row_number().over(Window.partitionBy("source", "size", "sub").orderBy(spread, "doc_id"))
-    ranked = split.where("size > 0").withColumn("rank", rank)
-    g = given.select(F.col("source").alias("gs"), F.col("size").alias("gz"), F.col("sub").alias("gu"), "n", "copies")
-    taken = ranked.join(g, F.col("source").eqNullSafe(F.col("gs")) & (F.col("size") == F.col("gz")) & (F.col("sub") == F.col("gu")))
-    each = F.floor(F.col("copies") / F.col("n")) + (F.col("rank") <= F.col("copies") % F.col("n")).cast("long")
-    out = taken.select("doc_id", "source", "size", each.alias("copies")).unionByName(split.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("copies")))
+    ranked = met.withColumn("rank", rank).join(parts, F.col("source").eqNullSafe(F.col("ps")) & (F.col("size") == F.col("pz")) & (F.col("sub") == F.col("pu")), "left")
+    each = F.floor(F.col("copies") / F.col("cell_n")) + (F.col("rank") <= F.coalesce("extra", left)).cast("long")
+    out = ranked.select("doc_id", "source", "size", each.alias("copies")).unionByName(rows.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("copies")))
     t = targets.select(F.col("source").alias("ts"), "source_size", "target")
     return out.join(t, F.col("source").eqNullSafe(F.col("ts"))).select("doc_id", "source", "size", "source_size", "target", "copies")
 
