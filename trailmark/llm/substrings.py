@@ -1,6 +1,6 @@
 """Removal of byte strings of 50 or more that an earlier document has, by prefix-free parsing.
 
-A rolling hash of 20 bytes picks triggers: in every 50-byte string the 20-byte window of least hash. Consecutive
+A rolling hash of 16 bytes picks triggers: in every 50-byte string the 16-byte window of least hash. Consecutive
 50-byte strings with one trigger form a phrase, so equal strings have equal triggers at equal places, and a text is parsed
 into phrases that overlap as in prefix-free parsing. The dictionary holds the distinct phrases, the parse their occurrences
 (document, place). In corpus order, sorted by trigger, phrase and document, each phrase's first document comes first:
@@ -11,7 +11,7 @@ into phrases that overlap as in prefix-free parsing. The dictionary holds the di
 
 Suffixes are compared up to 50 bytes only, which the parse's windows hold whole, so the suffix array of the parse isn't needed beyond that.
 Within a slice of documents, occurrences that are already known to be covered are told apart before the shuffle; copies therefore travel
-as one range each. Phrases are compared by 64 + 64 bits of hash.
+as one range each. Phrases are compared by 48 + 56 bits of hash, 50-byte strings by 64 + 64.
 
 Defined cases: a null text is an empty one; documents of under 50 bytes lose nothing and cover nothing; rows that repeat a doc_id
 don't cover one another and each keep a row; a null doc_id counts as greater than all others; other columns are ignored.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .shared import _BASE, _INVERSE, U64, _powers, documents, mix, save, slices, text_buffer, work_dir
 
-LENGTH, TRIGGER = 50, 20
+LENGTH, TRIGGER = 50, 16
 _MOST = (1 << 63) - 1
 #: Low bits of the values whose minimum is taken hold the place in a slice of at most so many bytes.
 _PLACE = 27
@@ -86,7 +86,8 @@ def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     strings = np.diff(np.append(begin, len(place)))
     start, at = place[begin], trigger[begin]
     phrase = mix(_content(data)(start, start + strings + LENGTH - 1) ^ mix(strings * 64 + (at - start)))
-    return row[begin], start, strings, rolled[at], phrase
+    # A trigger's hash needs few bits, as a collision costs one more comparison; what isn't sent needn't be shuffled.
+    return row[begin], start, strings, rolled[at] >> U64(16), phrase >> U64(8)
 
 
 def _merged(row, start, end):
@@ -137,7 +138,7 @@ def _ids(column):
 
 
 def _parse(batches):
-    """Rows (t, p, doc, at, len). at: place << 26 | (strings - 1) << 21 | tag where len is 0, else place << 16 | tag."""
+    """Rows (t, p, doc, at, len). at: place << 27 | (strings - 1) << 21 | tag where len is 0, else place << 16 | tag."""
     for b in batches:
         data, offsets = text_buffer(b.column("text"))
         ids = _ids(b.column("doc_id"))
@@ -147,7 +148,7 @@ def _parse(batches):
                 raise ValueError("a text of 128 MB or more")
             row, start, strings, t, p = phrases(part, o)
             tag, s = _tags(part, o)[row], start - o[row]
-            at = s << 26 | (strings - 1) << 21 | tag
+            at = s << 27 | (strings - 1) << 21 | tag
             yield from _told_apart(t, p, ids[i:j][row], row, s, s + strings + LENGTH - 1, tag, at)
 
 
@@ -161,8 +162,8 @@ def _resolve(batches):
     mask = np.int64((1 << _TAG) - 1)
 
     def out(doc, at, length, ranges):
-        start = np.where(ranges, at >> _TAG, at >> 26)
-        strings = np.where(ranges, 0, (at >> 21 & 31) + 1)
+        start = np.where(ranges, at >> _TAG, at >> 27)
+        strings = np.where(ranges, 0, (at >> 21 & 63) + 1)
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at & mask), pa.array(start), pa.array(strings), pa.array(length.astype(np.int64))], names=names)
 
     held, waiting = None, []
@@ -197,7 +198,7 @@ def _resolve(batches):
             yield out(w[:, 0], w[:, 1], np.zeros(len(w)), np.zeros(len(w), bool))
             waiting = []
         check = ~late & np.repeat(several, ends - starts)
-        strings = (at >> 21 & 31) + 1
+        strings = (at >> 21 & 63) + 1
         some = late | check
         yield out(doc[some], at[some], np.where(late, strings + LENGTH - 1, 0)[some], np.zeros(int(some.sum()), bool))
         if len(starts) > 1 or several[-1]:
@@ -232,7 +233,7 @@ def _cut_up(batches):
             at = s + o[row]
             h = _content(part)(at, at + LENGTH)
             again = _content(part[::-1])(len(part) - at - LENGTH, len(part) - at)  # the same string backwards
-            yield from _told_apart(mix(h), mix(again ^ U64(0x7375)), ids[i:j][row], row, s, s + LENGTH, tags[row], s << 26 | tags[row])
+            yield from _told_apart(mix(h), mix(again ^ U64(0x7375)), ids[i:j][row], row, s, s + LENGTH, tags[row], s << 27 | tags[row])
 
 
 def _assemble(batches):
