@@ -33,7 +33,7 @@ from .shared import U64, Words, components, distinct_sets, documents, mix, save,
 
 #: Share of all shingles, by hash, that pruning counts; over a fifth, which is what a class may have for itself.
 SAMPLED = 0.32
-ROUNDS = 6
+ROUNDS = 4
 
 
 def least_common(n):
@@ -182,18 +182,20 @@ def _open(rows: DataFrame) -> DataFrame:
     return outside.groupBy("key").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= least_common(F.col("n"))).select("key")
 
 
-def links_between(sets: DataFrame, groups: DataFrame, path: str) -> DataFrame:
+def links_between(sets: DataFrame, groups: DataFrame, path: str, bound: bool = True) -> DataFrame:
     """All links between groups that the components need, by way of the token-group matrix.
 
     First HEADS passes compare few classes of each prefix token and join what links, so that few groups that share
-    tokens are left when the last pass compares what is left in full.
+    tokens are left when the last pass compares what is left in full, behind the bound on group overlap unless that is waived (for
+    sets so small that comparing is as cheap).
     """
     edges = sets.sparkSession.createDataFrame([], "a long, b long")
     rows = sets.join(groups, "key").select("key", "n", "grp", F.explode("tokens").alias("token"))
     open_ = save(_open(rows), f"{path}/open")
     mine = save(sets.join(open_, "key").select("key", "n", F.explode("tokens").alias("token")), f"{path}/open_tokens")
     groups = save(groups.join(open_, "key"), f"{path}/open_groups")
-    for i in range(HEADS + 1):
+    heads, i = HEADS, 0
+    while i <= heads:
         at = f"{path}/pass{i}"
         rows = mine.join(groups, "key")
         if i:
@@ -203,9 +205,13 @@ def links_between(sets: DataFrame, groups: DataFrame, path: str) -> DataFrame:
             break
         rows = save(rows, f"{at}/rows")
         prefix = _prefix(rows, at)
-        found = save(_with_heads(prefix, sets, i) if i < HEADS else _in_full(prefix, rows, sets, at), f"{at}/found")
+        found = save(_with_heads(prefix, sets, i) if i < heads else _in_full(prefix, rows, sets, at, bound), f"{at}/found")
         edges = edges.union(found)
-        if i == HEADS or found.isEmpty():
+        i += 1
+        if i > heads:
+            break
+        if found.isEmpty():
+            heads = i  # more passes of this kind won't find much either
             continue
         of = lambda c, g: groups.select(F.col("key").alias(c), F.col("grp").alias(g))
         joined = components(found.join(of("a", "ga"), "a").join(of("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")), at).withColumnRenamed("id", "grp")
@@ -236,16 +242,17 @@ def _with_heads(prefix: DataFrame, sets: DataFrame, i: int) -> DataFrame:
     return verify(pairs.select("a", "b").distinct(), sets)
 
 
-def _in_full(prefix: DataFrame, rows: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+def _in_full(prefix: DataFrame, rows: DataFrame, sets: DataFrame, path: str, bound: bool) -> DataFrame:
     left = prefix.where("place * 9 <= n + 9").select("token", F.col("key").alias("a"), F.col("n").alias("na"), "grp", F.col("place").alias("pa"))
     right = prefix.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("other"), F.col("place").alias("pb"))
     pairs = save(left.join(right, "token").where(f"grp <> other and (na < nb or na = nb and a < b) and {_FITS}").select("a", "b", "other").distinct(), f"{path}/pairs")
-    # The overlap of a class with the union of a group bounds that with each member.
-    candidates = pairs.select(F.col("a").alias("key"), "other").distinct()
-    matrix = rows.select("token", F.col("grp").alias("other")).distinct()
-    overlap = candidates.join(rows.select("key", "n", "token"), "key").join(matrix, ["token", "other"]).groupBy("key", "n", "other").agg(F.count(F.lit(1)).alias("common"))
-    opened = overlap.where(F.col("common") >= least_common(F.col("n"))).select(F.col("key").alias("a"), "other")
-    pairs = save(pairs.join(opened, ["a", "other"]), f"{path}/opened")
+    if bound:
+        # The overlap of a class with the union of a group bounds that with each member.
+        candidates = pairs.select(F.col("a").alias("key"), "other").distinct()
+        matrix = rows.select("token", F.col("grp").alias("other")).distinct()
+        overlap = candidates.join(rows.select("key", "n", "token"), "key").join(matrix, ["token", "other"]).groupBy("key", "n", "other").agg(F.count(F.lit(1)).alias("common"))
+        opened = overlap.where(F.col("common") >= least_common(F.col("n"))).select(F.col("key").alias("a"), "other")
+        pairs = save(pairs.join(opened, ["a", "other"]), f"{path}/opened")
     # One comparison of each class with each group first; what these join needs no further one.
     first = save(verify(pairs.groupBy("a", "other").agg(F.min("b").alias("b")).select("a", "b"), sets), f"{path}/first")
     merged = components(first, f"{path}/merge")

@@ -64,7 +64,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 4_000_000):
+def slices(offsets: np.ndarray, most: int = 1_000_000):
     """Row ranges [i, j) of at most `most` bytes each (or one row)."""
     i, n = 0, len(offsets) - 1
     while i < n:
