@@ -174,7 +174,7 @@ def paragraph_clusters(docs: DataFrame) -> DataFrame:
         labels = components(edges, f"{path}/wide").select(F.col("id").alias("key"), "root")
         members = wide.select(F.col("a").alias("key")).union(wide.select(F.col("b").alias("key"))).distinct()
         groups = save(members.join(labels, "key", "left").select("key", F.coalesce("root", "key").alias("grp")), f"{path}/groups")
-        edges = edges.union(links_between(sets.join(groups.select("key"), "key"), groups, path))
+        edges = edges.union(links_between(sets.join(groups.select("key"), "key"), groups, path, bound=False))
 
     labels = components(edges, f"{path}/all").select(F.col("id").alias("key"), "root")
     clusters = classes.join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
