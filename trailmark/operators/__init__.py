@@ -1 +1 @@
-
+"""Table operators: DataFrames in, DataFrames out."""

@@ -1 +1 @@
-
+"""Queries over the tables, and named actions."""

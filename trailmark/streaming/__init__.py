@@ -1 +1 @@
-
+"""Structured Streaming versions of the time-series operators."""
