@@ -19,28 +19,30 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
     Only where that setting is absent, as in tests on one machine, a temporary folder serves.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="trailmark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="trailmark-"))
+        root = sc.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written. Shuffle files go once the table is there; Arrow batches of fewer rows keep rows with long
+#: texts or sets from filling a worker's memory.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def save(df: DataFrame, path: str) -> DataFrame:
-    """Write df as Parquet and read it back: cuts the lineage and outlives lost executors.
-
-    What was shuffled for the table isn't needed once it is written, so Spark may remove those files then.
-    """
+    """Write df as Parquet and read it back: cuts the lineage and outlives lost executors."""
     conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
+    before = {k: conf.get(k) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        conf.set(k, v)
     try:
         df.write.mode("overwrite").parquet(path)
     finally:
-        conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            conf.set(k, v)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -141,7 +143,7 @@ class Words:
         n = len(h)
         out = np.zeros(n, U64)
         left = first[1:][doc] - np.arange(n)
-        for i in range(k):
+        for i in range(min(k, n)):
             use = left > i
             part = np.zeros(n, U64)
             part[: n - i] = h[i:]
