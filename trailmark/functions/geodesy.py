@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vectors import dot, let, norm, scale, subtract, times_vector, transposed, vector
+from .vectors import dot, let, norm, once, scale, subtract, times_vector, transposed, vector
 
 # Fixed values of the ellipsoid, its normal gravity and the Earth's rotation.
 SEMI_MAJOR = 6378137.0
@@ -22,6 +22,7 @@ _A2, _B2 = SEMI_MAJOR**2, SEMI_MINOR**2
 _E2, _EP2 = (_A2 - _B2) / _A2, (_A2 - _B2) / _B2
 
 
+@once
 def geographic(p: Column) -> Column:
     """Earth-centred position (3) to latitude, longitude and height."""
 
@@ -40,6 +41,7 @@ def earth_centred(lat: Column, lon: Column, height: Column) -> Column:
     return F.array((n + height) * c * F.cos(F.radians(lon)), (n + height) * c * F.sin(F.radians(lon)), (_B2 / _A2 * n + height) * s)
 
 
+@once
 def gravity(p: Column) -> Column:
     """Normal gravity at an Earth-centred position, as a vector that points outward.
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vectors import add, let, norm, scale, times_vector, transposed, vector
+from .vectors import add, let, norm, once, scale, times_vector, transposed, vector
 
 
+@once
 def quaternion_of_vector(r: Column) -> Column:
     def made(a: Column) -> Column:
         half = F.when(a < 1e-8, 0.5 - a * a / 48).otherwise(F.sin(a / 2) / a)
@@ -20,6 +21,7 @@ def quaternion_of_vector(r: Column) -> Column:
     return let(norm(r), made)
 
 
+@once
 def vector_of_quaternion(q: Column) -> Column:
     """The rotation vector, of at most half a turn."""
 
@@ -31,6 +33,7 @@ def vector_of_quaternion(q: Column) -> Column:
     return let(F.sqrt(q[1] * q[1] + q[2] * q[2] + q[3] * q[3]), made)
 
 
+@once
 def times_quaternion(a: Column, b: Column) -> Column:
     return F.array(
         a[0] * b[0] - a[1] * b[1] - a[2] * b[2] - a[3] * b[3],
@@ -40,6 +43,7 @@ def times_quaternion(a: Column, b: Column) -> Column:
     )
 
 
+@once
 def matrix_of_quaternion(q: Column) -> Column:
     w, x, y, z = (q[i] for i in range(4))
     return F.array(
@@ -49,6 +53,7 @@ def matrix_of_quaternion(q: Column) -> Column:
     )
 
 
+@once
 def quaternion_of_matrix(m: Column) -> Column:
     """By the largest of the four squares, which keeps the division safe."""
     trace = m[0] + m[4] + m[8]

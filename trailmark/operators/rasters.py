@@ -74,10 +74,10 @@ def ray_hits(raster: DataFrame, rays: DataFrame, reach: float, block: int = 64)
     cells = at(0, 0, "v00").join(at(0, 1, "v01"), ["i", "j"]).join(at(1, 0, "v10"), ["i", "j"]).join(at(1, 1, "v11"), ["i", "j"])
     cells = cells.withColumn("bi", F.floor(F.col("i") / block)).withColumn("bj", F.floor(F.col("j") / block))
     steps = int(reach / (block / 2)) + 1
-    along = F.explode(F.sequence(F.lit(0), F.lit(steps)))
+    along = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: k * (block / 2)))
     o, d = F.col("origin"), F.col("direction")
     k = F.greatest(F.abs(d[0]), F.abs(d[1]), F.lit(1e-12))
-    walk = rays.withColumn("_s", along * (block / 2)).withColumn("_x", o[0] + d[0] / k * F.col("_s")).withColumn("_y", o[1] + d[1] / k * F.col("_s"))
+    walk = rays.withColumn("_s", along).withColumn("_x", o[0] + d[0] / k * F.col("_s")).withColumn("_y", o[1] + d[1] / k * F.col("_s"))
     # Points half a block apart, each with the blocks around it, leave no block of the shadow out.
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     dealt = walk.withColumn("_n", F.explode(around)).select("ray_id", "origin", "direction", (F.floor(F.col("_y") / block) + F.col("_n.a")).alias("bi"), (F.floor(F.col("_x") / block) + F.col("_n.b")).alias("bj")).distinct()

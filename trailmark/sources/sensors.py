@@ -31,7 +31,7 @@ class Layout:
 
 def _words(line: Column, layout: Layout) -> Column:
     escaped = "|".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in layout.separators)
-    return F.filter(F.transform(F.split(line, escaped), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(line, escaped), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def numbers(lines: DataFrame, layout: Layout, line: str = "value") -> DataFrame:
