@@ -43,23 +43,23 @@ def stepped_grid(spans: DataFrame, by: list[str], step: float) -> DataFrame:
 def neighbours(samples: DataFrame, probes: DataFrame, by: list[str], bucket: float | None = None, strict: bool = False) -> DataFrame:
     """probes with structs (t, value): lower, the last sample at or before t (before it if strict), and upper, the first at or after it; null where there is none."""
     keep = [c for c in probes.columns if c not in (*by, "t")]
-    s = samples.select(*by, "t", F.struct("t", "value").alias("s"), F.lit(None).cast(probes.select(F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(1).alias("_"))).schema[0].dataType).alias("p"), F.lit(0).alias("is_probe"))
-    p = probes.select(*by, "t", F.lit(None).cast(s.schema["s"].dataType).alias("s"), (F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(1).alias("_"))).alias("p"), F.lit(1).alias("is_probe"))
+    s = samples.select(*by, "t", F.struct("t", "value").alias("_s"), F.lit(None).cast(probes.select(F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(1).alias("_"))).schema[0].dataType).alias("_p"), F.lit(0).alias("_is_probe"))
+    p = probes.select(*by, "t", F.lit(None).cast(s.schema["_s"].dataType).alias("_s"), (F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(1).alias("_"))).alias("_p"), F.lit(1).alias("_is_probe"))
     both, part = s.unionByName(p), list(by)
     if bucket:
         at = F.floor(F.col("t") / bucket)
         both, part = both.withColumn("_b", at), [*by, "_b"]
         # The buckets' own first and last samples: one row for a bucket.
-        b = both.groupBy(*part).agg(F.max(F.when(F.col("is_probe") == 0, F.col("s"))).alias("last"), F.min(F.when(F.col("is_probe") == 0, F.col("s"))).alias("first"))
+        b = both.groupBy(*part).agg(F.max(F.when(F.col("_is_probe") == 0, F.col("_s"))).alias("_last"), F.min(F.when(F.col("_is_probe") == 0, F.col("_s"))).alias("_first"))
         w = Window.partitionBy(*by).orderBy("_b")
-        carried = b.select(*part, F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-        extra = carried.select(*by, "_b", F.explode(F.array("before", "after")).alias("s")).where("s is not null")
-        none = F.lit(None).cast(both.schema["p"].dataType)
-        both = both.unionByName(extra.select(*by, F.col("s.t").alias("t"), "s", none.alias("p"), F.lit(0).alias("is_probe"), "_b"))
-    up = Window.partitionBy(*part).orderBy("t", F.desc("is_probe") if strict else F.col("is_probe")).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*part).orderBy(F.desc("t"), "is_probe", F.desc("s.value")).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("lower", F.last("s", True).over(up)).withColumn("upper", F.last("s", True).over(down)).where("is_probe = 1")
-    return found.select(*by, "t", *[F.col("p")[c].alias(c) for c in keep], "lower", "upper")
+        carried = b.select(*part, F.last("_last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+        extra = carried.select(*by, "_b", F.explode(F.array("_before", "_after")).alias("_s")).where("_s is not null")
+        none = F.lit(None).cast(both.schema["_p"].dataType)
+        both = both.unionByName(extra.select(*by, F.col("_s.t").alias("t"), "_s", none.alias("_p"), F.lit(0).alias("_is_probe"), "_b"))
+    up = Window.partitionBy(*part).orderBy("t", F.desc("_is_probe") if strict else F.col("_is_probe")).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*part).orderBy(F.desc("t"), "_is_probe", F.desc("_s.value")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("lower", F.last("_s", True).over(up)).withColumn("upper", F.last("_s", True).over(down)).where("_is_probe = 1")
+    return found.select(*by, "t", *[F.col("_p")[c].alias(c) for c in keep], "lower", "upper")
 
 
 def value_at(samples: DataFrame, probes: DataFrame, by: list[str], bucket: float | None = None) -> DataFrame:

@@ -200,7 +200,7 @@ def graph_bipartite(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit(True).alias("enabled"), F.lit(0).alias("prior"))
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     obs = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(F.col("o_custkey").alias("image"), F.col("l_partkey").alias("point"))
-    return gr.bipartite(i, p, obs, 30, 20)
+    return gr.bipartite(i, p, obs, 6, 5)
 
 
 QUERIES, ORACLES = _R.queries, _R.oracles
