@@ -1,6 +1,6 @@
 """Removal of byte strings of 50 or more that an earlier document has, by prefix-free parsing.
 
-A rolling hash of 16 bytes picks triggers: in every 50-byte string the 16-byte window of least hash. Consecutive
+A rolling hash of 24 bytes picks triggers: in every 50-byte string the 24-byte window of least hash. Consecutive
 50-byte strings with one trigger form a phrase, so equal strings have equal triggers at equal places, and a text is parsed
 into phrases that overlap as in prefix-free parsing. The dictionary holds the distinct phrases, the parse their occurrences
 (document, place). In corpus order, sorted by trigger, phrase and document, each phrase's first document comes first:
@@ -11,7 +11,7 @@ into phrases that overlap as in prefix-free parsing. The dictionary holds the di
 
 Suffixes are compared up to 50 bytes only, which the parse's windows hold whole, so the suffix array of the parse isn't needed beyond that.
 Within a slice of documents, occurrences that are already known to be covered are told apart before the shuffle; copies therefore travel
-as one range each. Phrases are compared by 48 + 56 bits of hash, 50-byte strings by 64 + 64.
+as one range each. Phrases and 50-byte strings are compared by 48 + 56 bits of hash.
 
 Defined cases: a null text is an empty one; documents of under 50 bytes lose nothing and cover nothing; rows that repeat a doc_id
 don't cover one another and each keep a row; a null doc_id counts as greater than all others; other columns are ignored.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .shared import _BASE, _INVERSE, U64, _powers, documents, mix, save, slices, text_buffer, work_dir
 
-LENGTH, TRIGGER = 50, 16
+LENGTH, TRIGGER = 50, 24
 _MOST = (1 << 63) - 1
 #: Low bits of the values whose minimum is taken hold the place in a slice of at most so many bytes.
 _PLACE = 27
@@ -233,7 +233,7 @@ def _cut_up(batches):
             at = s + o[row]
             h = _content(part)(at, at + LENGTH)
             again = _content(part[::-1])(len(part) - at - LENGTH, len(part) - at)  # the same string backwards
-            yield from _told_apart(mix(h), mix(again ^ U64(0x7375)), ids[i:j][row], row, s, s + LENGTH, tags[row], s << 27 | tags[row])
+            yield from _told_apart(mix(h) >> U64(16), mix(again ^ U64(0x7375)) >> U64(8), ids[i:j][row], row, s, s + LENGTH, tags[row], s << 27 | tags[row])
 
 
 def _assemble(batches):
