@@ -296,6 +296,26 @@ def test_paragraphs(spark, docs, none, rows):
     assert clean.columns == docs.columns and clean.count() == docs.where("doc_id <> 3").count()
 
 
+def test_paragraphs_of_few_words(spark):
+    w = [f"w{i}" for i in range(80)]
+    verse = [" ".join(w[i : i + 6]) for i in range(0, 60, 6)]
+    texts = ["\n".join(verse), "intro\n" + "\n".join(verse) + "\nlast", " ".join(w[:8]), " ".join(w[:9]), "Yes.\n\n  \nyes.\nno", "no", "w1 w2 w3\nw1 w2 w4", None, "\n", "a a a a a a a\na a a a a", " ".join(w[60:67]), " ".join(w[60:68])]
+    places, sets = [], []
+    for i, t in enumerate(texts):
+        for k, line in enumerate((t or "").split("\n")):
+            if lower(line):
+                places.append((i, k))
+                sets.append(shingles(line))
+    groups = defaultdict(list)
+    for p, x in zip(places, roots(sets, alike), strict=True):
+        groups[x].append(p)
+    want = sorted((*p, min(g)[0], p != min(g)) for g in groups.values() if len(g) > 1 for p in g)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in paragraphs.paragraph_clusters(d).select("doc_id", "place", "component_id", "removed").collect()) == want and len(want) > 25
+    cleaned = {r["doc_id"]: r["text"] for r in paragraphs.remove_paragraphs(d).collect()}
+    assert (cleaned[1], cleaned[3], cleaned[4], cleaned[5], cleaned[6]) == ("intro\nlast", "", "Yes.\n\n  \nno", "", texts[6])
+
+
 def test_banding_reaches_its_recall():
     b, r = paragraphs.tune_bands()
     assert 1 - (1 - 0.8**r) ** b >= 0.999

@@ -1,14 +1,15 @@
 """Near-duplicate paragraphs by MinHash banding.
 
-A paragraph is a line of at least LEAST_WORDS words; its set holds the hashes of its 5-word shingles. Paragraphs of
-equal sets form a class at once. Bands of min-hashes, tuned for a recall of at least RECALL at a Jaccard similarity of
+A paragraph is a line of at least LEAST_WORDS words, that is, any line that isn't blank; its set holds the hashes of its 5-word
+shingles, or of its whole sequence where it has fewer words. Paragraphs of equal sets form a class at once. A set of fewer than
+LEAST_LINKED shingles reaches the similarity with an equal one only, so its class needs no bands. For all others, bands of min-hashes, tuned for a recall of at least RECALL at a Jaccard similarity of
 THRESHOLD, bring together candidates; a band's bucket of up to ALL_PAIRS classes is compared all with all. In a larger
 one each class is compared with the bucket's first; links among its classes that this leaves out are found by the
 token-group matrix of the n-gram join, over the components so far. So no link within a bucket is passed over, and thousands of near copies need
 one comparison for each band. Every candidate is verified by exact Jaccard similarity. Components of the links are clusters; in each, the
 paragraph of least (doc_id, place) stays and all others are removals.
 
-Defined cases: null and empty texts have no paragraph; equal paragraphs within one document are duplicates as well; a null doc_id
+Defined cases: null, empty and white-space texts have no paragraph; equal paragraphs within one document are duplicates as well; a null doc_id
 sorts last and so never is the one that stays unless alone; repeated rows give duplicates of each other; other columns are ignored.
 """
 
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from .jaccard import links_between, verify
 from .shared import U64, Words, components, distinct_sets, documents, mix, save, slices, text_buffer, work_dir
 
-LEAST_WORDS, THRESHOLD, RECALL, MOST_BANDS, ALL_PAIRS = 10, 0.8, 0.999, 10, 24
+LEAST_WORDS, THRESHOLD, RECALL, MOST_BANDS, ALL_PAIRS = 1, 0.8, 0.999, 10, 24
+#: n of n + 1 shingles in common are a similarity of 0.8 from n = 4 on.
+LEAST_LINKED = 4
 
 
 def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_BANDS) -> tuple[int, int]:
@@ -89,12 +92,12 @@ def _occurrences(batches):
 
 
 def _bands(batches):
-    """(band, key) of each class, once a task."""
+    """(band, key) of each class that another can link with, once a task."""
     seen: set[int] = set()
     for b in batches:
         for _, _, x in _lines(b):
-            new = []
-            for line, key in zip(x.use.tolist(), x.key[x.use].tolist(), strict=True):
+            new, use = [], x.use[x.n[x.use] >= LEAST_LINKED]
+            for line, key in zip(use.tolist(), x.key[use].tolist(), strict=True):
                 if key not in seen:
                     seen.add(key)
                     new.append(line)
