@@ -15,6 +15,7 @@ several commits gives what one scan of everything gives.
 from __future__ import annotations
 
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,13 +61,24 @@ _LEDGER = "blob string, rules int, kinds array<string>, starts array<bigint>, en
 
 
 class BlobLedger:
-    """Findings by (blob, rule version), in Parquet below a folder that driver and executors share; one part for each commit."""
+    """Findings by (blob, rule version), in Parquet below a folder that driver and executors share; one part for each commit.
+
+    The folder itself says which commits there are, so a ledger can be opened again, by another job too.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.commits = spark, folder, 0
+        self.spark, self.folder = spark, folder
+
+    def commits(self) -> list[str]:
+        """Folders of the commits so far."""
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        names = [x.getPath().getName() for x in fs.listStatus(path) if x.isDirectory()] if fs.exists(path) else []
+        return [f"{self.folder}/{n}" for n in sorted(names) if n.startswith("commit=")]
 
     def entries(self) -> DataFrame:
-        parts = [f"{self.folder}/commit={i}" for i in range(self.commits)]
+        parts = self.commits()
         return self.spark.read.schema(_LEDGER).parquet(*parts) if parts else self.spark.createDataFrame([], _LEDGER)
 
     def commit(self, versions: DataFrame, rules: int = RULES_VERSION) -> DataFrame:
@@ -76,20 +88,20 @@ class BlobLedger:
         ledger are left out before it as well where the ledger's part is small, else by a join.
         """
         named = versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-        known = self.entries().where(F.col("rules") == rules).select("blob")
-        fresh = (named.join(known, "blob", "left_anti") if self.commits else named).groupBy("blob").agg(F.first("text").alias("text"))
+        known = self.entries().where(F.col("rules") == rules).select("blob") if self.commits() else None
+        fresh = (named.join(known, "blob", "left_anti") if known is not None else named).groupBy("blob").agg(F.first("text").alias("text"))
         scanned = fresh.select("blob", "text").mapInArrow(_scan, "blob string, kinds array<string>, starts array<bigint>, ends array<bigint>")
-        scanned.select("blob", F.lit(rules).alias("rules"), "kinds", "starts", "ends").write.mode("overwrite").parquet(f"{self.folder}/commit={self.commits}")
-        self.commits += 1
+        scanned.select("blob", F.lit(rules).alias("rules"), "kinds", "starts", "ends").write.mode("errorifexists").parquet(f"{self.folder}/commit={uuid.uuid4().hex}")
         return named.select("path", "blob")
 
     def findings(self, paths: DataFrame, rules: int = RULES_VERSION) -> DataFrame:
         """paths with kinds, starts and ends of their blobs; nulls where nothing was found.
 
         Few blobs have findings, so the join is on those alone; a blob with many paths is a skewed key of a
-        plain sort-merge join, which adaptive execution splits.
+        plain sort-merge join, which adaptive execution splits. Two jobs that commit at the same time may both
+        have scanned a blob; one of their equal entries counts.
         """
-        hits = self.entries().where((F.col("rules") == rules) & (F.size("kinds") > 0)).select("blob", "kinds", "starts", "ends")
+        hits = self.entries().where((F.col("rules") == rules) & (F.size("kinds") > 0)).select("blob", "kinds", "starts", "ends").dropDuplicates(["blob"])
         return paths.join(hits, "blob", "left")
 
 
