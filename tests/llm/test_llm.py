@@ -119,6 +119,19 @@ def test_contamination_both_ways(spark, docs, none):
     assert contamination.clean(docs, b).columns == docs.columns
 
 
+def test_contamination_both_ways_with_null_and_repeated_ids(spark):
+    w = ("the quick brown fox jumps over the lazy dog while seven green birds sing loudly near old river banks today").split()
+    v = [f"v{i}" for i in range(20)]
+    rows = [(1, " ".join(w)), (6, " ".join(w[:8])), (6, " ".join(w)), (6, " ".join(w)), (None, " ".join(w)), (None, "other words of a clean row here"), (None, " ".join(v)), (None, None), (7, None), (8, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(9, " ".join(w)), (9, " ".join(w)), (9, " ".join(v)), (None, " ".join(v)), (None, " ".join(w[:12])), (None, None)], "item_id long, text string")
+    for items in (b, b.where("item_id is not null"), b.where("item_id is null")):
+        small, large = (sorted(map(tuple, contamination.contaminated(d, items, n).collect()), key=str) for n in (1000, 0))
+        assert small and large == small
+        small, large = (sorted(map(tuple, contamination.clean(d, items, n).collect()), key=str) for n in (1000, 0))
+        assert (None, "other words of a clean row here") in small and (1, rows[0][1]) not in small and large == small
+
+
 def test_mixture(docs, none, rows):
     found = mixture.mix_sources(docs).collect()
     assert len(found) == len(rows) and mixture.mix_sources(none).count() == 0

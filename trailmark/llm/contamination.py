@@ -7,7 +7,8 @@ places that start with a seed are looked at. A document is contaminated by an it
 its tiles cover to COVERAGE or more, in whatever order the passages come.
 
 Where the benchmark has at most MOST_SEEDS shingles (about 100 MB), it is broadcast and documents are read once, without a
-shuffle. A larger one is joined on the seeds instead, and only the candidates' texts are shuffled.
+shuffle. A larger one is joined on the seeds instead, and only the candidates' texts are shuffled. Its rows go by hashes of id and
+text, so that null and repeated ids are told apart; as each candidate's own text is tiled, two rows of one hash cost time only.
 
 Defined cases: null and empty texts are clean; an item without words contaminates nothing, one of fewer than five words only a
 document of just these words; repeated items and rows give a row each; other columns are ignored.
@@ -87,7 +88,7 @@ def _seeds(batches):
     for b in batches:
         data, offsets = text_buffer(b.column("text"))
         row, seed = Words(data, offsets).shingles(LEAST)
-        yield pa.RecordBatch.from_arrays([b.column("item_id").take(pa.array(row)), pa.array(seed.view(np.int64))], names=["item_id", "seed"])
+        yield pa.RecordBatch.from_arrays([b.column("i").take(pa.array(row)), pa.array(seed.view(np.int64))], names=["i", "seed"])
 
 
 class Items:
@@ -164,13 +165,13 @@ def _drop(items_of):
 
 
 def _pairs(batches):
-    """Rows (doc_id, text, item_id, item_text), each tiled by itself."""
+    """Rows (doc_id, text, item_id, item_text), each tiled by itself. Gives the SHA-256 of the text as well."""
     for b in batches:
         out = []
         for i, (item_id, text) in enumerate(zip(b.column("item_id").to_pylist(), b.column("item_text").to_pylist(), strict=True)):
             items = Items([item_id], [text or ""])
             out += [(i, item_id, len(items.words[0]), c, t) for _, _, c, t in _matches(b.slice(i, 1), items)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array([x[0] for x in out], pa.int64())), *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2, 3, 4)), pa.array([x[3] / x[2] for x in out], pa.float64())], names=_NAMES)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array([x[0] for x in out], pa.int64())), *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2, 3, 4)), pa.array([x[3] / x[2] for x in out], pa.float64()), b.column("sha").take(pa.array([x[0] for x in out], pa.int64()))], names=[*_NAMES, "sha"])
 
 
 def _doc_seeds(batches):
@@ -178,7 +179,7 @@ def _doc_seeds(batches):
         data, offsets = text_buffer(b.column("text"))
         for i, j in slices(offsets):
             doc, seed = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).shingles(LEAST)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i).take(pa.array(doc)), pa.array(seed.view(np.int64))], names=["doc_id", "seed"])
+            yield pa.RecordBatch.from_arrays([b.column("d").slice(i, j - i).take(pa.array(doc)), pa.array(seed.view(np.int64))], names=["d", "seed"])
 
 
 def _small(benchmark: DataFrame, most_seeds: int):
@@ -192,6 +193,19 @@ def _small(benchmark: DataFrame, most_seeds: int):
     return lambda: Items(*sent.value)
 
 
+def _joined(docs: DataFrame, benchmark: DataFrame, once: bool = False) -> DataFrame:
+    """The report on docs (d, doc_id, text), and sha, where d is a hash of the row; once: one row stands for all of equal d and text."""
+    benchmark = benchmark.withColumn("i", F.xxhash64("item_id", "text"))
+    seeds = benchmark.select("i", "text").mapInArrow(_seeds, "i long, seed long").distinct()
+    pairs = docs.select("d", "text").mapInArrow(_doc_seeds, "d long, seed long").distinct().join(seeds, "seed").select("d", "i").distinct()
+    pairs = save(pairs, work_dir(docs.sparkSession, "contamination"))
+    texts = docs.join(pairs.select("d").distinct(), "d", "left_semi").withColumn("sha", F.sha2("text", 256))
+    if once:
+        texts = texts.groupBy("d", "sha").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    rows = pairs.join(texts, "d").join(benchmark.withColumnRenamed("text", "item_text"), "i")
+    return rows.select("doc_id", "text", "item_id", "item_text", "sha").mapInArrow(_pairs, f"{_OUT}, sha string")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, most_seeds: int = MOST_SEEDS) -> DataFrame:
     """One row for each document and item that contaminates it: doc_id, item_id, item_words, covered_words, n_tiles, coverage."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -199,23 +213,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, most_seeds: int = MOST_S
     items_of = _small(benchmark, most_seeds)
     if items_of:
         return docs.mapInArrow(_report(items_of), _OUT)
-    seeds = benchmark.mapInArrow(_seeds, "item_id long, seed long").distinct()
-    pairs = docs.mapInArrow(_doc_seeds, "doc_id long, seed long").distinct().join(seeds, "seed").select("doc_id", "item_id").distinct()
-    pairs = save(pairs, work_dir(docs.sparkSession, "contamination"))
-    texts = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = pairs.join(texts, "doc_id").join(benchmark.withColumnRenamed("text", "item_text"), "item_id")
-    return rows.select("doc_id", "text", "item_id", "item_text").mapInArrow(_pairs, _OUT)
+    return _joined(docs.withColumn("d", F.xxhash64("doc_id", "text")), benchmark).select(*_NAMES)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, most_seeds: int = MOST_SEEDS) -> DataFrame:
-    """The rows of docs that no item contaminates, with all their columns.
-
-    Beyond most_seeds all rows of a contaminated doc_id go.
-    """
+    """The rows of docs that no item contaminates, with all their columns."""
     items_of = _small(benchmark, most_seeds)
     if items_of:
         return docs.mapInArrow(_drop(items_of), docs.schema)
-    return docs.join(contaminated(docs, benchmark, most_seeds).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # A text decides by itself whether its row goes.
+    texts = docs.select(F.xxhash64("text").alias("d"), F.lit(None).cast("long").alias("doc_id"), "text")
+    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    bad = _joined(texts, benchmark, once=True).select(F.col("sha").alias("_sha")).distinct()
+    return docs.join(bad, F.sha2("text", 256) == F.col("_sha"), "left_anti").select(*docs.columns)
 
 
 def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
