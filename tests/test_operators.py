@@ -143,3 +143,23 @@ def test_running_integral_streams(spark, tmp_path):
     q = running_integral(s).writeStream.format("memory").queryName("integral").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("integral").orderBy(F.desc("n")).first()["integral"] == 8.0
+
+
+def test_running_integral_of_late_samples(spark, tmp_path):
+    import os
+
+    from trailmark.streaming.integrals import running_integral
+
+    ddl, d = "series long, t double, value double", tmp_path / "in"
+    d.mkdir()
+    # 2 comes a batch late, 0.5 later than the watermark that 40 sets.
+    for k, rows in enumerate([[(1, 0.0, 2.0), (1, 3.0, 5.0)], [(1, 2.0, 1.0), (1, 40.0, 4.0)], [(1, 41.0, 0.0)], [(1, 0.5, 9.0), (1, 43.0, 0.0)]]):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / f"b{k}"))
+        f = next((tmp_path / f"b{k}").glob("part-*.parquet"))
+        f.rename(d / f"{k}.parquet")
+        os.utime(d / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    s = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(d))
+    q = running_integral(s, "10 seconds").writeStream.format("memory").queryName("late").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    out = [tuple(r) for r in spark.table("late").orderBy("t_last", "n").collect()]
+    assert out == [(1, 2, 3.0, 6.0, 0), (1, 4, 40.0, 190.0, 0), (1, 5, 41.0, 194.0, 0), (1, 6, 43.0, 194.0, 1)]
