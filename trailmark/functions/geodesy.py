@@ -16,7 +16,6 @@ EQUATOR_GRAVITY = 9.7803253359
 POLE_GRAVITY = 9.8321849378
 GRAVITATIONAL_CONSTANT = 3.986004418e14
 EARTH_ROTATION = 2 * math.pi / 86400 * (1 + 1 / 365.2425)
-SOLAR_DAY_ROTATION = 2 * math.pi / 86400
 
 _A2, _B2 = SEMI_MAJOR**2, SEMI_MINOR**2
 _E2, _EP2 = (_A2 - _B2) / _A2, (_A2 - _B2) / _B2
@@ -45,11 +44,11 @@ def earth_centred(lat: Column, lon: Column, height: Column) -> Column:
 def gravity(p: Column) -> Column:
     """Normal gravity at an Earth-centred position, as a vector that points outward.
 
-    Somigliana's formula with the series in height to second order; its Earth rate is that of the solar day.
+    Somigliana's formula with the series in height to second order; its Earth rate is that of the stars.
     """
     f = (SEMI_MAJOR - SEMI_MINOR) / SEMI_MAJOR
     k = SEMI_MINOR * POLE_GRAVITY / (SEMI_MAJOR * EQUATOR_GRAVITY) - 1
-    m = SOLAR_DAY_ROTATION**2 * _A2 * SEMI_MINOR / GRAVITATIONAL_CONSTANT
+    m = EARTH_ROTATION**2 * _A2 * SEMI_MINOR / GRAVITATIONAL_CONSTANT
 
     def at(g: Column) -> Column:
         lat, lon, h = F.radians(g[0]), F.radians(g[1]), g[2]
@@ -79,26 +78,16 @@ def local_axes_at(p: Column, convention: Column | str = "NED") -> Column:
 def frame_on_sphere(mean: Column, radius: Column) -> Column:
     """STRUCT<R, t> that takes Earth-centred points to a frame (east, north, up) on the sphere below `mean`.
 
-    On the equator north is the z axis, at a pole the axes stay.
+    With longitude l and latitude b of `mean` on the sphere, R is the product of two turns: by l about z and by b in the meridian. At a pole,
+    where l is free, it is taken as -90 degrees, so that east is x there.
     """
 
     def of(d: Column) -> Column:
-        sign = F.when(d[2] < 0, -1.0).otherwise(1.0)
-        rise = F.abs(d[2])
-
-        def framed(east: Column, north: Column, up: Column) -> Column:
-            rows = F.array(*[v[i] for v in (east, north, up) for i in range(3)])
-            return F.struct(rows.alias("R"), scale(times_vector(rows, scale(d, radius)), -1.0).alias("t"))
-
         flat = F.sqrt(d[0] * d[0] + d[1] * d[1])
-        up0 = F.array(d[0] / flat, d[1] / flat, F.lit(0.0))
-        at_equator = framed(F.array(-up0[1], up0[0], F.lit(0.0)), vector(0, 0, 1), up0)
-        raw = scale(subtract(F.array(F.lit(0.0), F.lit(0.0), sign / rise), d), sign)
-        north = let(raw, lambda v: scale(v, 1 / norm(v)))
-        east = lambda n: F.array(n[1] * d[2] - n[2] * d[1], n[2] * d[0] - n[0] * d[2], n[0] * d[1] - n[1] * d[0])
-        elsewhere = let(north, lambda n: framed(east(n), n, d))
-        at_pole = F.struct(vector(1, 0, 0, 0, 1, 0, 0, 0, 1).alias("R"), F.array(F.lit(0.0), F.lit(0.0), -radius).alias("t"))
-        return F.when(rise < 1e-3, at_equator).when(norm(raw) * radius < 1, at_pole).otherwise(elsewhere)
+        around = F.when(flat * radius < 1, F.array(F.lit(0.0), F.lit(-1.0))).otherwise(F.array(d[0] / flat, d[1] / flat))
+        turned = lambda c: F.array(-c[1], c[0], F.lit(0.0), -d[2] * c[0], -d[2] * c[1], flat, flat * c[0], flat * c[1], d[2])
+        # The point itself lies on the third axis, at the radius.
+        return F.struct(let(around, turned).alias("R"), F.array(F.lit(0.0), F.lit(0.0), -radius).alias("t"))
 
     return let(scale(mean, 1 / norm(mean)), of)
 

@@ -48,7 +48,7 @@ def geodesy_geographic(spark, d):
 
 
 _K = geo.SEMI_MINOR * geo.POLE_GRAVITY / (geo.SEMI_MAJOR * geo.EQUATOR_GRAVITY) - 1
-_M = geo.SOLAR_DAY_ROTATION**2 * geo.SEMI_MAJOR**2 * geo.SEMI_MINOR / geo.GRAVITATIONAL_CONSTANT
+_M = geo.EARTH_ROTATION**2 * geo.SEMI_MAJOR**2 * geo.SEMI_MINOR / geo.GRAVITATIONAL_CONSTANT
 _FL = (geo.SEMI_MAJOR - geo.SEMI_MINOR) / geo.SEMI_MAJOR
 
 
@@ -72,7 +72,7 @@ def geodesy_local_axes(spark, d):
     return p.select("id", "frame", *[r(F.col("m")[i]).alias(n) for i, n in ((0, "m00"), (1, "m01"), (2, "m02"), (8, "m22"))])
 
 
-@_R.add("geodesy_frame_on_sphere", f"WITH {PLACE}, {ECEF}, n AS (SELECT id, z, sqrt(x * x + y * y + z * z) AS n FROM ec) SELECT id, 0.0::DOUBLE AS east, CASE WHEN abs(z / n) < 1e-3 THEN {sr('(n - 6371000.0) * z / n', 2)} ELSE 0.0 END::DOUBLE AS north, {sr('n - 6371000.0', 2)} AS up, 1.0::DOUBLE AS det FROM n")
+@_R.add("geodesy_frame_on_sphere", f"WITH {PLACE}, {ECEF}, n AS (SELECT id, z, sqrt(x * x + y * y + z * z) AS n FROM ec) SELECT id, 0.0::DOUBLE AS east, 0.0::DOUBLE AS north, {sr('n - 6371000.0', 2)} AS up, 1.0::DOUBLE AS det FROM n")
 def geodesy_frame_on_sphere(spark, d):
     p = _places(spark, d).withColumn("f", geo.frame_on_sphere(F.col("p"), F.lit(6371000.0))).withColumn("q", geo.to_frame(F.col("f.R"), F.col("f.t"), F.col("p")))
     m = F.col("f.R")
