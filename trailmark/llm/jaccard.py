@@ -6,9 +6,8 @@ and are linked without comparison; everything below is on classes, keyed by a 64
 1. Pruning. A class of n shingles shares at least ceil(0.8 n) of them with any partner, so one with more than
    n - ceil(0.8 n) shingles that no other class has is alone. A fixed share of all shingles (by hash) is counted for that, in
    one shuffle; most documents end here.
-2. Groups. The classes left are put into groups of similar ones: each round takes one min-hash, compares
-   each class of a bucket with the bucket's first one, and joins what links. Groups are connected as they arise, so
-   thousands of near copies cost one comparison each and no pairs among them are needed.
+2. Groups. The classes left are put into groups of similar ones: each class is compared with the first one of its bucket under
+   each of a few min-hashes, and what links is joined. So thousands of near copies cost a few comparisons each and no pairs among them.
 3. Token-group matrix. It has a row (token, group) for each shingle of a group's union. The overlap of a class with all
    other groups together bounds its overlap with each: classes that share less than ceil(0.8 n) of their shingles with other groups are done.
    For the others, only groups that have a token of the class's rarest-first prefix are candidates, the
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import U64, Words, components, distinct_sets, documents, mix, save, slices, text_buffer, work_dir
+from .shared import U64, Words, components, distinct_sets, documents, fresh, mix, save, slices, text_buffer, work_dir
 
 #: Share of all shingles, by hash, that pruning counts; over a fifth, which is what a class may have for itself.
 SAMPLED = 0.32
@@ -148,31 +147,22 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sized.select("a", "b", "ta", "tb").mapInArrow(_linked, "a long, b long")
 
 
-def _grouped(classes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
-    """(key, grp): the component of each class by the edges so far, itself where it has none."""
-    labels = components(edges, path).select(F.col("id").alias("key"), "root")
-    return save(classes.select("key").join(labels, "key", "left").select("key", F.coalesce("root", "key").alias("grp")), f"{path}/groups")
-
-
 def links_within(sets: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Links and groups from ROUNDS rounds of min-hash buckets.
+    """Links and groups (key, grp) from buckets of ROUNDS min-hashes.
 
-    A bucket's head is, in even rounds, the class with the fewest shingles of its own, which is the original
-    rather than a copy with edits; in odd rounds it is one by hash.
+    Each class is compared with one head of each of its buckets: under even min-hashes the class with the fewest shingles of its own, which is the
+    original rather than a copy with edits; under odd ones one by hash. A group is a component of what links.
     """
-    edges = sets.sparkSession.createDataFrame([], "a long, b long")
-    groups = sets.select("key", F.col("key").alias("grp"))
-    lows = sets.select("key", "n", "alone", *[f"low{r}" for r in range(ROUNDS)])
+    pairs = None
     for r in range(ROUNDS):
-        low = lows.join(groups, "key").select("key", "grp", "alone", F.col(f"low{r}").alias("low"))
         rank = F.col("alone") if r % 2 == 0 else F.xxhash64("key", F.lit(r))
-        heads = low.groupBy("low").agg(F.min(F.struct(rank.alias("rank"), "key", "grp")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("low", F.col("h.key").alias("b"), F.col("h.grp").alias("head_grp"))
-        pairs = low.join(heads, "low").where("grp <> head_grp").select(F.col("key").alias("a"), "b").distinct()
-        found = save(verify(pairs, sets), f"{path}/links{r}")
-        edges = edges.union(found)
-        if not found.isEmpty():
-            groups = _grouped(sets, edges, f"{path}/round{r}")
-    return edges, groups
+        low = sets.select("key", "alone", F.col(f"low{r}").alias("low"))
+        heads = low.groupBy("low").agg(F.min(F.struct(rank.alias("rank"), "key")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("low", F.col("h.key").alias("b"))
+        found = low.join(heads, "low").where("key <> b").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
+        pairs = found if pairs is None else pairs.union(found)
+    edges = save(verify(pairs.distinct(), sets), f"{path}/links")
+    labels = components(edges, f"{path}/within").select(F.col("id").alias("key"), "root")
+    return edges, save(sets.select("key").join(labels, "key", "left").select("key", F.coalesce("root", "key").alias("grp")), f"{path}/groups")
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -185,41 +175,39 @@ def _open(rows: DataFrame) -> DataFrame:
 def links_between(sets: DataFrame, groups: DataFrame, path: str, bound: bool = True) -> DataFrame:
     """All links between groups that the components need, by way of the token-group matrix.
 
-    First HEADS passes compare few classes of each prefix token and join what links, so that few groups that share
-    tokens are left when the last pass compares what is left in full, behind the bound on group overlap unless that is waived (for
-    sets so small that comparing is as cheap).
+    The prefixes are made once, as any fixed order of tokens serves for all passes. First up to HEADS passes compare few classes of each prefix
+    token and join what links, so that few groups that share tokens are left when the last pass compares what is left in full, behind the bound on
+    group overlap unless that is waived (for sets so small that comparing is as cheap). A pass that joins less than a share of WORTH of the open classes
+    is the last one of its kind.
     """
     edges = sets.sparkSession.createDataFrame([], "a long, b long")
     rows = sets.join(groups, "key").select("key", "n", "grp", F.explode("tokens").alias("token"))
     open_ = save(_open(rows), f"{path}/open")
-    mine = save(sets.join(open_, "key").select("key", "n", F.explode("tokens").alias("token")), f"{path}/open_tokens")
+    n_open = open_.count()
+    if not n_open:
+        return edges
+    rows = save(sets.join(open_, "key").join(groups, "key").select("key", "n", "grp", F.explode("tokens").alias("token")), f"{path}/open_rows")
     groups = save(groups.join(open_, "key"), f"{path}/open_groups")
-    heads, i = HEADS, 0
-    while i <= heads:
+    prefix = _prefix(rows, path)
+    for i in range(HEADS):
         at = f"{path}/pass{i}"
-        rows = mine.join(groups, "key")
-        if i:
-            mine = save(rows.join(_open(rows), "key").select("key", "n", "token"), f"{at}/open_tokens")
-            rows = mine.join(groups, "key")
-        if mine.isEmpty():
+        found = save(_with_heads(prefix, sets, i), f"{at}/found")
+        n_found = found.count()
+        if n_found:
+            edges = edges.union(found)
+            of = lambda c, g: groups.select(F.col("key").alias(c), F.col("grp").alias(g))
+            joined = components(found.join(of("a", "ga"), "a").join(of("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")), at).withColumnRenamed("id", "grp")
+            groups = save(groups.join(joined, "grp", "left").select("key", F.coalesce("root", "grp").alias("grp")), f"{at}/groups")
+            # A token whose classes are all in one group by now has no more to tell.
+            token = Window.partitionBy("token")
+            now = prefix.drop("grp").join(groups, "key").select("*", F.min("grp").over(token).alias("low"), F.max("grp").over(token).alias("high"))
+            prefix = save(now.where("low <> high").drop("low", "high"), f"{at}/prefix")
+        if n_found < WORTH * n_open:
             break
-        rows = save(rows, f"{at}/rows")
-        prefix = _prefix(rows, at)
-        found = save(_with_heads(prefix, sets, i) if i < heads else _in_full(prefix, rows, sets, at, bound), f"{at}/found")
-        edges = edges.union(found)
-        i += 1
-        if i > heads:
-            break
-        if found.isEmpty():
-            heads = i  # more passes of this kind won't find much either
-            continue
-        of = lambda c, g: groups.select(F.col("key").alias(c), F.col("grp").alias(g))
-        joined = components(found.join(of("a", "ga"), "a").join(of("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b")), at).withColumnRenamed("id", "grp")
-        groups = save(groups.join(joined, "grp", "left").select("key", F.coalesce("root", "grp").alias("grp")), f"{at}/groups")
-    return edges
+    return edges.union(_in_full(prefix, rows.drop("grp").join(groups, "key"), sets, path, bound))
 
 
-HEADS = 5
+HEADS, WORTH = 5, 0.05
 #: Of two that link, the smaller has the first common token among its first n/9 + 1, and as many tokens follow it in both as are common.
 _FITS = "na * 100 >= nb * 80 and nb * 100 >= na * 80 and (1 + least(na - pa, nb - pb)) * 9 >= 4 * (na + nb)"
 
@@ -246,6 +234,8 @@ def _in_full(prefix: DataFrame, rows: DataFrame, sets: DataFrame, path: str, bou
     left = prefix.where("place * 9 <= n + 9").select("token", F.col("key").alias("a"), F.col("n").alias("na"), "grp", F.col("place").alias("pa"))
     right = prefix.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("other"), F.col("place").alias("pb"))
     pairs = save(left.join(right, "token").where(f"grp <> other and (na < nb or na = nb and a < b) and {_FITS}").select("a", "b", "other").distinct(), f"{path}/pairs")
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     if bound:
         # The overlap of a class with the union of a group bounds that with each member.
         candidates = pairs.select(F.col("a").alias("key"), "other").distinct()
@@ -301,13 +291,14 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     stay, as they are linked with nothing.
     """
     last = F.lit((1 << 63) - 1)
+    d, h, k = fresh(docs, "d", "h", "k")
     row = F.struct(F.coalesce(F.col("doc_id").cast("long"), last).alias("d"), "h")
     stay = labelled(docs).where("n > 0").groupBy("root").agg(F.min(row).alias("r"))
-    stay = stay.select(F.col("r.d").alias("_d"), F.col("r.h").alias("_h")).distinct()
+    stay = stay.select(F.col("r.d").alias(d), F.col("r.h").alias(h)).distinct()
     bare = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    full = docs.where(~bare).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), last)).withColumn("_h", F.xxhash64("text"))
-    met = full.join(stay, ["_d", "_h"]).withColumn("_k", F.row_number().over(Window.partitionBy("_d", "_h").orderBy("_h")))
-    return met.where("_k = 1").select(*docs.columns).unionByName(docs.where(bare))
+    full = docs.where(~bare).withColumn(d, F.coalesce(F.col("doc_id").cast("long"), last)).withColumn(h, F.xxhash64("text"))
+    met = full.join(stay, [d, h]).withColumn(k, F.row_number().over(Window.partitionBy(d, h).orderBy(h)))
+    return met.where(F.col(k) == 1).select(*docs.columns).unionByName(docs.where(bare))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,23 +163,43 @@ def distinct_sets(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.nd
     return doc[keep], value[keep]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each lengthened until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def components(edges: DataFrame, path: str, rounds: int = 60) -> DataFrame:
     """(id, root) for each vertex of edges (a, b) between longs: equal roots, same component.
 
     Each round lets every vertex join its neighbour (or itself) of least hash and carries the
     edges over to what was joined; hash order makes long chains shrink by a share every round.
-    The minimum is pre-aggregated before the shuffle, so a hub is no hot key there.
+    The minimum is pre-aggregated before the shuffle, so a hub is no hot key there. What was joined is followed up at the end,
+    in one job for every eight rounds.
     """
     spark = edges.sparkSession
     edges = save(edges.where("a <> b").select("a", "b").distinct(), f"{path}/edges0")
-    labels = None
+    labels, parents = None, []
+
+    def followed(at: str) -> DataFrame:
+        out = labels
+        for parent in parents:
+            up = parent.select(F.col("id").alias("root"), F.col("root").alias("up"))
+            out = parent if out is None else out.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"))
+        return out if labels is None and len(parents) < 2 else save(out, at)
+
     for i in range(rounds):
         if edges.isEmpty():
             break
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
         parent = both.groupBy("a").agg(F.min(F.least(rank("a"), rank("b"))).alias("m")).select(F.col("a").alias("id"), F.col("m.v").alias("root"))
-        parent = save(parent, f"{path}/parent{i}")
+        parents.append(parent := save(parent, f"{path}/parent{i}"))
         nxt = (
             edges.join(parent.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a")
             .join(parent.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
@@ -188,11 +208,10 @@ def components(edges: DataFrame, path: str, rounds: int = 60) -> DataFrame:
             .distinct()
         )
         edges = save(nxt, f"{path}/edges{i + 1}")
-        if labels is None:
-            labels = parent
-        else:
-            up = parent.select(F.col("id").alias("root"), F.col("root").alias("up"))
-            labels = save(labels.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root")), f"{path}/labels{i}")
+        if len(parents) == 8:
+            labels, parents = followed(f"{path}/labels{i}"), []
     else:
         raise RuntimeError("components: not finished")
+    if parents:
+        labels = followed(f"{path}/labels")
     return labels if labels is not None else spark.createDataFrame([], "id long, root long")
