@@ -318,7 +318,7 @@ def test_paragraphs(spark, docs, none, rows):
     want = sorted((p, min(g)) for g in groups.values() if len(g) > 1 for p in g)
     got = sorted(((1 << 62 if r["doc_id"] is None else r["doc_id"], r["place"]), r["component_id"]) for r in paragraphs.paragraph_clusters(docs).collect())
     assert [(p, m[0]) for p, m in want] == got and paragraphs.paragraph_clusters(none).count() == 0
-    clean = paragraphs.remove_paragraphs(docs.where("doc_id <> 3"))
+    clean = paragraphs.remove_paragraphs(docs.where("doc_id <> 3"), least_words=1)
     assert clean.columns == docs.columns and clean.count() == docs.where("doc_id <> 3").count()
 
 
@@ -338,10 +338,36 @@ def test_paragraphs_of_few_words(spark):
     want = sorted((*p, min(g)[0], p != min(g)) for g in groups.values() if len(g) > 1 for p in g)
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(tuple(r) for r in paragraphs.paragraph_clusters(d).select("doc_id", "place", "component_id", "removed").collect()) == want and len(want) > 25
-    cleaned = {r["doc_id"]: r["text"] for r in paragraphs.remove_paragraphs(d).collect()}
+    cleaned = {r["doc_id"]: r["text"] for r in paragraphs.remove_paragraphs(d, least_words=1).collect()}
     assert (cleaned[1], cleaned[3], cleaned[4], cleaned[5], cleaned[6]) == ("intro\nlast", "", "Yes.\n\n  \nno", "", texts[6])
 
 
+def test_paragraphs_within_longer_lines(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(51))
+    around = lambda n: " ".join(word() for _ in range(n))
+    texts = [f"{around(30)} {passage} {around(40)}\n{around(9)}" for _ in range(6)] + [around(90), "Yes.\n" + around(60), "Yes.\n" + around(60), f"{around(5)}\n" + passage.replace(" ", "\n"), None, "", passage]
+    d = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, h int, spans int")
+    found = {r["doc_id"]: r for r in paragraphs.removals(d).collect()}
+    seen: dict = {}
+    for i, t in enumerate(texts):
+        w = [(m.start(), m.end()) for m in WORD.finditer(t or "")]
+        strings = [tuple(t[a:b] for a, b in w[k : k + paragraphs.WINDOW]) for k in range(len(w) - paragraphs.WINDOW + 1)]
+        covered = {c for k, x in enumerate(strings) if seen.get(x, i) < i for c in range(w[k][0], w[k + paragraphs.WINDOW - 1][1])}
+        gone = {c for a, b in zip(found[i]["starts"], found[i]["ends"], strict=True) for c in range(a, b)} if i in found else set()
+        assert gone <= covered and (not covered or len(gone) > 0.4 * len(covered)), i
+        for x in strings:
+            seen.setdefault(x, i)
+    assert sorted(i for i in found if found[i]["starts"]) == [1, 2, 3, 4, 5, 9, 12] and found[8]["n_repeats"] == 1
+    left = {r["doc_id"]: r for r in paragraphs.remove_paragraphs(d).collect()}
+    assert left[8]["text"] == texts[8] and left[10]["text"] is None and len(left[5]["text"]) < len(texts[5]) and tuple(left[0])[2:] == (1, 2)
+    # A document of 40 words that repeats has a window, wherever its place.
+    many = [around(rng.randint(0, 30)) + " " + " ".join(passage.split()[k : k + 40]) + " " + around(rng.randint(0, 30)) for k in range(12)]
+    many = spark.createDataFrame([(2 * k + j, t) for k, x in enumerate(many) for j, t in enumerate((x, f"{around(3)} {x.strip()}"))], "doc_id long, text string")
+    assert {r["doc_id"] for r in paragraphs.removals(many).where("size(starts) > 0").collect()} >= {2 * k + 1 for k in range(12)}
+
+
 def test_banding_reaches_its_recall():
     b, r = paragraphs.tune_bands()
     assert 1 - (1 - 0.8**r) ** b >= 0.999

@@ -7,14 +7,23 @@ THRESHOLD, bring together candidates; a band's bucket of up to ALL_PAIRS classes
 one each class is compared with the bucket's first; links among its classes that this leaves out are found by the
 token-group matrix of the n-gram join, over the components so far. So no link within a bucket is passed over, and thousands of near copies need
 one comparison for each band. Every candidate is verified by exact Jaccard similarity. Components of the links are clusters; in each, the
-paragraph of least (doc_id, place) stays and all others are removals.
+paragraph of least (doc_id, place) stays and all others are repeats.
 
-Defined cases: null, empty and white-space texts have no paragraph; equal paragraphs within one document are duplicates as well; a null doc_id
-sorts last and so never is the one that stays unless alone; repeated rows give duplicates of each other; other columns are ignored.
+Passages within longer lines, or over several, are found by windows of WINDOW words that begin at content-defined places: a word whose hash is the least of
+some run of REACH words. A passage of REACH + WINDOW - 1 = 40 words holds one at least, wherever it stands. Windows are compared by equality of their words (one
+edit takes a window of this length below the threshold); of equal ones that of least (doc_id, start) stays.
+
+Removals are the code points that repeats cover. One of fewer words than asked for (LEAST_REMOVED in the query) stays: a short line that
+many documents have is reported as a repeat, but taking it out would harm more than help.
+
+Defined cases: null, empty and white-space texts have no paragraph; equal paragraphs within one document are repeats as well; a null doc_id
+sorts last and so is never the one that stays unless alone; repeated rows give repeats of each other, but rows that agree in doc_id and text
+are one place and keep or lose the same; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 
 import numpy as np
@@ -23,11 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jaccard import links_between, verify
-from .shared import U64, Words, components, distinct_sets, documents, mix, save, slices, text_buffer, work_dir
+from .shared import U64, Words, components, distinct_sets, documents, fresh, mix, save, slices, text_buffer, work_dir
+from .substrings import least_of_runs
 
 LEAST_WORDS, THRESHOLD, RECALL, MOST_BANDS, ALL_PAIRS = 1, 0.8, 0.999, 10, 24
 #: n of n + 1 shingles in common are a similarity of 0.8 from n = 4 on.
 LEAST_LINKED = 4
+REACH, WINDOW, LEAST_REMOVED = 16, 25, 20
+_LAST = (1 << 63) - 1
 
 
 def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_BANDS) -> tuple[int, int]:
@@ -48,7 +60,9 @@ class Lines:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         breaks = np.flatnonzero(data == 0x0A) + 1
         cuts = np.unique(np.concatenate((offsets, breaks)))
-        w = Words(data, cuts)
+        self.whole = Words(data, offsets)
+        w = copy.copy(self.whole)  # the same words, by line
+        w.doc, w.n_docs = np.searchsorted(cuts, w.start, "right") - 1, len(cuts) - 1
         words = np.diff(w.first_of_doc())
         self.doc = np.searchsorted(offsets, cuts[:-1], "right") - 1
         self.place = np.arange(len(self.doc)) - np.searchsorted(self.doc, self.doc)
@@ -61,9 +75,31 @@ class Lines:
         self.start = chars[cuts[:-1]] - chars[offsets[self.doc]]
         last = cuts[1:] - (data[np.maximum(cuts[1:] - 1, 0)] == 0x0A if len(data) else 0)
         self.end = chars[last] - chars[offsets[self.doc]]
+        self.chars, self.offsets = chars, offsets
         self.use = np.flatnonzero(words >= LEAST_WORDS)
         self.words, self.n, self.ends, self.key, self.token = words, n, ends, key.view(np.int64), token
 
+    def windows(self) -> tuple[np.ndarray, ...]:
+        """(row, key, start, end) of the windows; a row's windows run over line breaks."""
+        w, n = self.whole, len(self.whole.hash)
+        none = np.zeros(0, np.int64)
+        if n < max(REACH, WINDOW):
+            return none, none, none, none
+        # Low bits hold the word's place, so that the least value tells it; the first of equal hashes counts.
+        low = least_of_runs((mix(w.hash) & ~U64((1 << 27) - 1)) | np.arange(n, dtype=U64), REACH)
+        stop = w.first_of_doc()[1:]
+        whole = np.arange(len(low)) + REACH <= stop[w.doc[: len(low)]]
+        at = np.unique((low[whole] & U64((1 << 27) - 1)).astype(np.int64))
+        at = at[at + WINDOW <= stop[w.doc[at]]]
+        row, shingle = w.shingles(5)
+        each = np.zeros(n, U64)
+        each[w.shingle_at] = shingle
+        key = np.zeros(len(at), U64)
+        for k in range(0, WINDOW, 5):
+            key = mix(key + each[at + k])
+        base = self.chars[self.offsets[w.doc[at]]]
+        return w.doc[at], key.view(np.int64), self.chars[w.start[at]] - base, self.chars[w.end[at + WINDOW - 1]] - base
+
     def minhashes(self, lines: np.ndarray) -> np.ndarray:
         """BANDS * ROWS min-hashes of each of these lines."""
         if not len(lines):
@@ -80,15 +116,27 @@ def _lines(batch):
         yield i, j, Lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-_PLACES = "doc_id long, place long, start long, end long, n_words long, key long"
+_PLACES = "doc_id long, h long, place long, start long, end long, n_words long, key long"
+_WINDOWS = "doc_id long, h long, start long, end long, key long"
+
+
+def _batch(b, i, row, ddl, *values):
+    at = pa.array(row + i)
+    return pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("h").take(at), *(pa.array(v.astype(np.int64)) for v in values)], names=[c.split()[0] for c in ddl.split(", ")])
 
 
 def _occurrences(batches):
     for b in batches:
-        for i, j, x in _lines(b):
+        for i, _, x in _lines(b):
             u = x.use
-            ids = b.column("doc_id").slice(i, j - i).take(pa.array(x.doc[u]))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(v[u].astype(np.int64)) for v in (x.place, x.start, x.end, x.words, x.key))], names=[c.split()[0] for c in _PLACES.split(", ")])
+            yield _batch(b, i, x.doc[u], _PLACES, x.place[u], x.start[u], x.end[u], x.words[u], x.key[u])
+
+
+def _window_rows(batches):
+    for b in batches:
+        for i, _, x in _lines(b):
+            row, key, start, end = x.windows()
+            yield _batch(b, i, row, _WINDOWS, start, end, key)
 
 
 def _bands(batches):
@@ -155,15 +203,22 @@ def _full_sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x.key[lines]), pa.array(size.astype(np.int64)), tokens], names=["key", "n", "tokens"])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+
+
 def paragraph_clusters(docs: DataFrame) -> DataFrame:
-    """Every paragraph that has a near duplicate: doc_id, place, start, end (code points), n_words, component_id, removed."""
+    """Every paragraph that has a near duplicate: doc_id, h (hash of the text), place, start, end (code points), n_words, component_id, removed.
+
+    `removed` is false for the one that stays.
+    """
     path = work_dir(docs.sparkSession, "paragraphs")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _keyed(docs)
     rows = save(docs.mapInArrow(_occurrences, _PLACES), f"{path}/rows")
-    last = F.lit((1 << 63) - 1)
+    last = F.lit(_LAST)
     classes = save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(F.coalesce("doc_id", last).alias("d"), "place")).alias("first")), f"{path}/classes")
 
-    bands = docs.mapInArrow(_bands, "band long, key long").repartition("band").sortWithinPartitions("band", "key")
+    bands = docs.select("text").mapInArrow(_bands, "band long, key long").repartition("band").sortWithinPartitions("band", "key")
     found = save(bands.mapInArrow(_candidates, "a long, b long, band long"), f"{path}/candidates")
     # One paragraph of each class that has candidates gives its set.
     named = found.select(F.col("a").alias("key")).union(found.select(F.col("b").alias("key"))).distinct()
@@ -185,18 +240,91 @@ def paragraph_clusters(docs: DataFrame) -> DataFrame:
     named = save(clusters.join(kept, "root").select("key", "kept"), f"{path}/named")
     component = F.when(F.col("kept.d") < last, F.col("kept.d"))
     removed = ~((F.coalesce("doc_id", last) == F.col("kept.d")) & (F.col("place") == F.col("kept.place")))
-    return rows.join(named, "key").select("doc_id", "place", "start", "end", "n_words", component.alias("component_id"), removed.alias("removed"))
+    return rows.join(named, "key").select("doc_id", "h", "place", "start", "end", "n_words", component.alias("component_id"), removed.alias("removed"))
+
 
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """Every window of which there is an equal one of lesser (doc_id, start): doc_id, h, start, end, n_words.
 
-def remove_paragraphs(docs: DataFrame) -> DataFrame:
-    """docs with their text less the removals; the lines that stay keep their order. Columns stay as they are."""
-    gone = paragraph_clusters(docs).where("removed").groupBy("doc_id").agg(F.collect_set("place").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    lines = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(line.alias("line"), i.cast("long").alias("i")))
-    kept = F.filter(lines, lambda x: ~F.array_contains("_gone", x["i"]))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn("text", text).select(*docs.columns)
+    The first of each key is found by an aggregate that is combined before its shuffle; the join with it is a plain one, whose skewed keys are split.
+    """
+    windows = save(_keyed(docs).mapInArrow(_window_rows, _WINDOWS), f"{work_dir(docs.sparkSession, 'windows')}/rows")
+    place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "start")
+    first = windows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(place).alias("first")).where("rows > 1").select("key", "first")
+    return windows.join(first, "key").where(place != F.col("first")).select("doc_id", "h", "start", "end", F.lit(WINDOW).cast("long").alias("n_words"))
+
+
+def _merged(spans: list, least_words: int) -> list[tuple[int, int]]:
+    """Unions of spans (start, end, n_words) of one document that adjoin or overlap, of as many words at least."""
+    out: list[list[int]] = []
+    for s, e, n in sorted((x["start"], x["end"], x["n_words"]) for x in spans):
+        if out and s <= out[-1][1] + 1:
+            # The words of what overlaps aren't counted twice: a window never has fewer than a removal needs.
+            out[-1][1:] = [max(out[-1][1], e), out[-1][2] + n if s >= out[-1][1] else max(out[-1][2], n)]
+        else:
+            out.append([s, e, n])
+    return [(s, e) for s, e, n in out if n >= least_words]
+
+
+def _merge(least_words: int):
+    def run(batches):
+        for b in batches:
+            got = [_merged(x or [], least_words) for x in b.column("spans").to_pylist()]
+            ends = [pa.array([[x[k] for x in r] for r in got], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), b.column("n_repeats"), b.column("component_ids"), *ends], names=["doc_id", "h", "n_repeats", "component_ids", "starts", "ends"])
+
+    return run
+
+
+def removals(docs: DataFrame, least_words: int = LEAST_REMOVED) -> DataFrame:
+    """What each document that has a repeat loses: doc_id, h, n_repeats (paragraphs with a near duplicate), component_ids (theirs), starts, ends (of removals, in code points).
+
+    Rows that agree in doc_id and text have one row here. A document's spans are as many as it has lines and windows.
+    """
+    found = save(paragraph_clusters(docs), f"{work_dir(docs.sparkSession, 'removals')}/lines")
+    none = F.lit(None).cast("long")
+    lines = found.select("doc_id", "h", "start", "end", "n_words", "component_id", "place", "removed")
+    windows = repeated_windows(docs).select("doc_id", "h", "start", "end", "n_words", none.alias("component_id"), none.alias("place"), F.lit(True).alias("removed"))
+    span = F.when(F.col("removed"), F.struct("start", "end", "n_words"))
+    each = lines.union(windows).groupBy("doc_id", "h").agg(F.collect_set(span).alias("spans"), F.count_distinct("place").alias("n_repeats"), F.array_sort(F.collect_set("component_id")).alias("component_ids"))
+    return each.mapInArrow(_merge(least_words), "doc_id long, h long, n_repeats long, component_ids array<long>, starts array<long>, ends array<long>")
+
+
+def _cut(batches):
+    for b in batches:
+        out = []
+        for text, starts, ends in zip(*(b.column(c).to_pylist() for c in ("text", "starts", "ends")), strict=True):
+            for s, e in zip(reversed(starts or []), reversed(ends or []), strict=True):
+                # A line that goes as a whole takes its line break along.
+                whole = (s == 0 or text[s - 1] == "\n") and text[e : e + 1] == "\n"
+                text = text[:s] + text[e + whole :]
+            out.append(text)
+        names = [c for c in b.schema.names if c not in ("starts", "ends")]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
+
+
+def remove_paragraphs(docs: DataFrame, least_words: int = LEAST_REMOVED) -> DataFrame:
+    """docs with their text less the removals; what stays keeps its order. Columns stay as they are."""
+    id_, h, row = fresh(docs, "id", "h", "row")
+    gone = removals(docs, least_words).where(F.size("starts") > 0).select(F.col("doc_id").alias(id_), F.col("h").alias(h), "starts", "ends")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(h))
+    rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest]).alias(row) if rest else F.lit(0).alias(row))
+    joined = packed.join(gone, same, "left").select("doc_id", "text", row, "starts", "ends")
+    kinds = {f.name: f.dataType.simpleString() for f in packed.schema}
+    out = joined.mapInArrow(_cut, ", ".join(f"`{c}` {kinds[c]}" for c in ("doc_id", "text", row)))
+    return out.select(*[F.col(c) if c.lower() in ("doc_id", "text") else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])
 
 
 def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraph_clusters(documents(spark, sf_dir))
+    """A row for each document: doc_id, n_chars, n_repeats, n_removed (code points), n_spans, component_ids."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    met = removals(docs).withColumnRenamed("doc_id", "id").withColumnRenamed("h", "h_")
+    each = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    lengths = F.zip_with("starts", "ends", lambda s, e: e - s)
+    joined = each.join(met, F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("h") == F.col("h_")), "left")
+    zero = F.lit(0).cast("long")
+    return joined.select(
+        "doc_id", "n_chars", F.coalesce("n_repeats", zero).alias("n_repeats"), F.coalesce(F.aggregate(lengths, zero, lambda a, x: a + x), zero).alias("n_removed"),
+        F.coalesce(F.size("starts").cast("long"), zero).alias("n_spans"), F.coalesce("component_ids", F.array().cast("array<long>")).alias("component_ids"),
+    )

@@ -51,7 +51,7 @@ def _rolled(data: np.ndarray) -> np.ndarray:
         width *= 2
 
 
-def _least(v: np.ndarray, width: int) -> np.ndarray:
+def least_of_runs(v: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of `width` values."""
     have = 1
     while 2 * have <= width:
@@ -75,7 +75,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         return none, none, none, none.view(U64), none.view(U64)
     rolled = _rolled(data)
     width = LENGTH - TRIGGER + 1
-    low = _least((rolled & ~U64((1 << _PLACE) - 1)) | np.arange(len(rolled), dtype=U64), width)
+    low = least_of_runs((rolled & ~U64((1 << _PLACE) - 1)) | np.arange(len(rolled), dtype=U64), width)
     row = np.repeat(np.arange(len(offsets) - 1), np.maximum(0, np.diff(offsets) - LENGTH + 1))
     first = np.concatenate(([0], np.cumsum(np.maximum(0, np.diff(offsets) - LENGTH + 1))))[:-1]
     place = np.arange(len(row)) - first[row] + offsets[:-1][row]  # every 50-byte string within one document
