@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, save, work_dir
+from .shared import documents, fresh, save, work_dir
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Documents of one source and size that one task ranks at most; larger cells are split by hash.
@@ -139,10 +139,11 @@ def mix_stage(docs: DataFrame) -> DataFrame:
     Texts are shuffled once, to meet their numbers of copies. Rows that repeat a doc_id meet a list and
     take its entries in order of size; a list is as long as that doc_id has rows.
     """
-    plan = mix_sources(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("size", "copies"))).alias("_list")).where(F.exists("_list", lambda x: x["copies"] > 0))
-    met = docs.join(plan.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    one = met.where(F.size("_list") == 1).withColumn("_n", F.col("_list")[0]["copies"])
+    one_list, id_, n, k = fresh(docs, "list", "id", "n", "k")
+    plan = mix_sources(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("size", "copies"))).alias(one_list)).where(F.exists(one_list, lambda x: x["copies"] > 0))
+    met = docs.join(plan.withColumnRenamed("doc_id", id_), F.col("doc_id").eqNullSafe(F.col(id_))).drop(id_)
+    one = met.where(F.size(one_list) == 1).withColumn(n, F.col(one_list)[0]["copies"])
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(word_count(F.col("text")), F.xxhash64("text")))
-    more = met.where(F.size("_list") > 1).withColumn("_k", place).withColumn("_n", F.col("_list")[F.col("_k") - 1]["copies"]).drop("_k")
-    every = one.unionByName(more).where("_n > 0")
-    return every.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    more = met.where(F.size(one_list) > 1).withColumn(k, place).withColumn(n, F.col(one_list)[F.col(k) - 1]["copies"]).drop(k)
+    every = one.unionByName(more).where(F.col(n) > 0)
+    return every.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)

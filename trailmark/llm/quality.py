@@ -137,19 +137,20 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> dict:
     return fit_nnpu(x[kind == 1], x[kind == 0], prior)
 
 
-def _scorer(model: dict):
+def _scorer(model: dict, name: str):
     def score(batches):
         for b, x in _over(batches, features):
             s = np.full(len(x), model["constant"]) if "constant" in model else _sigmoid(_expand(x, model["mean"], model["sd"]) @ model["w"])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, name])
 
     return score
 
 
-def score_documents(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with a column score (0 to 1); docs keep their columns, of which text is read."""
+def score_documents(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """docs with a column of that name (0 to 1), which takes the place of one they have; docs keep their other columns, of which text is read."""
+    docs = docs.drop(name)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_scorer(model), f"{schema}, score double")
+    return docs.mapInArrow(_scorer(model, name), f"{schema}, `{name}` double")
 
 
 def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
