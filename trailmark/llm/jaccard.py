@@ -165,29 +165,30 @@ def links_within(sets: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     return edges, save(sets.select("key").join(labels, "key", "left").select("key", F.coalesce("root", "key").alias("grp")), f"{path}/groups")
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """Keys of rows (key, n, grp, token) that share least_common(n) tokens with other groups."""
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Rows (key, n, grp, token) of the tokens that several groups have, with `classes`, how many have it."""
     token = Window.partitionBy("token")
-    outside = rows.select("token", "key", "n", "grp", F.min("grp").over(token).alias("low"), F.max("grp").over(token).alias("high")).where("low <> high")
-    return outside.groupBy("key").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= least_common(F.col("n"))).select("key")
+    spread = rows.select("token", "key", "n", "grp", F.min("grp").over(token).alias("low"), F.max("grp").over(token).alias("high"), F.count(F.lit(1)).over(token).alias("classes"))
+    return spread.where("low <> high").drop("low", "high")
 
 
 def links_between(sets: DataFrame, groups: DataFrame, path: str, bound: bool = True) -> DataFrame:
     """All links between groups that the components need, by way of the token-group matrix.
 
-    The prefixes are made once, as any fixed order of tokens serves for all passes. First up to HEADS passes compare few classes of each prefix
-    token and join what links, so that few groups that share tokens are left when the last pass compares what is left in full, behind the bound on
-    group overlap unless that is waived (for sets so small that comparing is as cheap). A pass that joins less than a share of WORTH of the open classes
-    is the last one of its kind.
+    A class is open if it shares least_common(n) tokens with other groups. The prefixes are made once, as any fixed order of tokens serves for
+    all passes. First up to HEADS passes compare few classes of each prefix token and join what links, so that few groups that share tokens are left
+    when the last pass compares what is left in full, behind the bound on group overlap unless that is waived (for sets so small that comparing is as
+    cheap). A pass that joins less than a share of WORTH of the open classes is the last one of its kind.
     """
     edges = sets.sparkSession.createDataFrame([], "a long, b long")
-    rows = sets.join(groups, "key").select("key", "n", "grp", F.explode("tokens").alias("token"))
-    open_ = save(_open(rows), f"{path}/open")
+    rows = save(_told_apart(sets.join(groups, "key").select("key", "n", "grp", F.explode("tokens").alias("token"))), f"{path}/matrix")
+    open_ = rows.groupBy("key").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= least_common(F.col("n"))).select("key", "shared")
+    open_ = save(open_, f"{path}/open")
     n_open = open_.count()
     if not n_open:
         return edges
-    rows = save(sets.join(open_, "key").join(groups, "key").select("key", "n", "grp", F.explode("tokens").alias("token")), f"{path}/open_rows")
-    groups = save(groups.join(open_, "key"), f"{path}/open_groups")
+    rows = save(rows.join(open_, "key"), f"{path}/open_rows")
+    groups = save(groups.join(open_.select("key"), "key"), f"{path}/open_groups")
     prefix = _prefix(rows, path)
     for i in range(HEADS):
         at = f"{path}/pass{i}"
@@ -213,12 +214,13 @@ _FITS = "na * 100 >= nb * 80 and nb * 100 >= na * 80 and (1 + least(na - pa, nb
 
 
 def _prefix(rows: DataFrame, path: str) -> DataFrame:
-    """(token, key, n, grp, place): tokens of several groups among each class's first n - least_common(n) + 1, rarest first."""
-    rare = rows.select("token", "grp").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("groups"))
-    # Tokens of one group only can't be common with another; they come first and fill up the prefix.
-    order = Window.partitionBy("key").orderBy("groups", "token")
-    prefix = rows.join(rare, "token").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - least_common(F.col("n")) + 1)
-    return save(prefix.where("groups > 1").select("token", "key", "n", "grp", "place"), f"{path}/prefix")
+    """(token, key, n, grp, place): tokens of several groups among each class's first n - least_common(n) + 1, rarest first.
+
+    Tokens of one group only can't be common with another; they come first and fill up the prefix.
+    """
+    order = F.row_number().over(Window.partitionBy("key").orderBy("classes", "token"))
+    prefix = rows.withColumn("place", F.col("n") - F.col("shared") + order).where(F.col("place") <= F.col("n") - least_common(F.col("n")) + 1)
+    return save(prefix.select("token", "key", "n", "grp", "place"), f"{path}/prefix")
 
 
 def _with_heads(prefix: DataFrame, sets: DataFrame, i: int) -> DataFrame:
