@@ -4,9 +4,9 @@ A paragraph is a line of at least LEAST_WORDS words, that is, any line that isn'
 shingles, or of its whole sequence where it has fewer words. Paragraphs of equal sets form a class at once. A set of fewer than
 LEAST_LINKED shingles reaches the similarity with an equal one only, so its class needs no bands. For all others, bands of min-hashes, tuned for a recall of at least RECALL at a Jaccard similarity of
 THRESHOLD, bring together candidates; a band's bucket of up to ALL_PAIRS classes is compared all with all. In a larger
-one each class is compared with the bucket's first; links among its classes that this leaves out are found by the
+one each class is compared with the bucket's first, and then with the one that has most links; links among its classes that this leaves out are found by the
 token-group matrix of the n-gram join, over the components so far. So no link within a bucket is passed over, and thousands of near copies need
-one comparison for each band. Every candidate is verified by exact Jaccard similarity. Components of the links are clusters; in each, the
+two comparisons for each band. Every candidate is verified by exact Jaccard similarity. Components of the links are clusters; in each, the
 paragraph of least (doc_id, place) stays and all others are repeats.
 
 Passages within longer lines, or over several, are found by windows of WINDOW words that begin at content-defined places: a word whose hash is the least of
@@ -23,7 +23,6 @@ are one place and keep or lose the same; other columns are ignored.
 
 from __future__ import annotations
 
-import copy
 import math
 
 import numpy as np
@@ -38,6 +37,8 @@ from .substrings import least_of_runs
 LEAST_WORDS, THRESHOLD, RECALL, MOST_BANDS, ALL_PAIRS = 1, 0.8, 0.999, 10, 24
 #: n of n + 1 shingles in common are a similarity of 0.8 from n = 4 on.
 LEAST_LINKED = 4
+#: Rounds in which the classes of a wide bucket are compared with the one that links most.
+HUBS = 1
 REACH, WINDOW, LEAST_REMOVED = 16, 25, 20
 _LAST = (1 << 63) - 1
 
@@ -60,9 +61,7 @@ class Lines:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         breaks = np.flatnonzero(data == 0x0A) + 1
         cuts = np.unique(np.concatenate((offsets, breaks)))
-        self.whole = Words(data, offsets)
-        w = copy.copy(self.whole)  # the same words, by line
-        w.doc, w.n_docs = np.searchsorted(cuts, w.start, "right") - 1, len(cuts) - 1
+        w = Words(data, cuts)
         words = np.diff(w.first_of_doc())
         self.doc = np.searchsorted(offsets, cuts[:-1], "right") - 1
         self.place = np.arange(len(self.doc)) - np.searchsorted(self.doc, self.doc)
@@ -75,31 +74,9 @@ class Lines:
         self.start = chars[cuts[:-1]] - chars[offsets[self.doc]]
         last = cuts[1:] - (data[np.maximum(cuts[1:] - 1, 0)] == 0x0A if len(data) else 0)
         self.end = chars[last] - chars[offsets[self.doc]]
-        self.chars, self.offsets = chars, offsets
         self.use = np.flatnonzero(words >= LEAST_WORDS)
         self.words, self.n, self.ends, self.key, self.token = words, n, ends, key.view(np.int64), token
 
-    def windows(self) -> tuple[np.ndarray, ...]:
-        """(row, key, start, end) of the windows; a row's windows run over line breaks."""
-        w, n = self.whole, len(self.whole.hash)
-        none = np.zeros(0, np.int64)
-        if n < max(REACH, WINDOW):
-            return none, none, none, none
-        # Low bits hold the word's place, so that the least value tells it; the first of equal hashes counts.
-        low = least_of_runs((mix(w.hash) & ~U64((1 << 27) - 1)) | np.arange(n, dtype=U64), REACH)
-        stop = w.first_of_doc()[1:]
-        whole = np.arange(len(low)) + REACH <= stop[w.doc[: len(low)]]
-        at = np.unique((low[whole] & U64((1 << 27) - 1)).astype(np.int64))
-        at = at[at + WINDOW <= stop[w.doc[at]]]
-        row, shingle = w.shingles(5)
-        each = np.zeros(n, U64)
-        each[w.shingle_at] = shingle
-        key = np.zeros(len(at), U64)
-        for k in range(0, WINDOW, 5):
-            key = mix(key + each[at + k])
-        base = self.chars[self.offsets[w.doc[at]]]
-        return w.doc[at], key.view(np.int64), self.chars[w.start[at]] - base, self.chars[w.end[at + WINDOW - 1]] - base
-
     def minhashes(self, lines: np.ndarray) -> np.ndarray:
         """BANDS * ROWS min-hashes of each of these lines."""
         if not len(lines):
@@ -110,6 +87,27 @@ class Lines:
         return np.stack([np.minimum.reduceat(mix(token ^ U64(0x9FB21C651E98DF25 * (i + 1) & (1 << 64) - 1)), starts) for i in range(BANDS * ROWS)], axis=1)
 
 
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, key, start, end) of the windows of a slice of documents; they run over line breaks."""
+    w = Words(data, offsets)
+    n = len(w.hash)
+    none = np.zeros(0, np.int64)
+    if n < max(REACH, WINDOW):
+        return none, none, none, none
+    # Low bits hold the word's place, so that the least value tells it; the first of equal hashes counts.
+    low = least_of_runs((mix(w.hash) & ~U64((1 << 27) - 1)) | np.arange(n, dtype=U64), REACH)
+    stop = w.first_of_doc()[1:]
+    whole = np.arange(len(low)) + REACH <= stop[w.doc[: len(low)]]
+    at = np.unique((low[whole] & U64((1 << 27) - 1)).astype(np.int64))
+    at = at[at + WINDOW <= stop[w.doc[at]]]
+    key = np.zeros(len(at), U64)
+    for k in range(WINDOW):
+        key = mix(key + w.hash[at + k])
+    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    base = chars[offsets[w.doc[at]]]
+    return w.doc[at], key.view(np.int64), chars[w.start[at]] - base, chars[w.end[at + WINDOW - 1]] - base
+
+
 def _lines(batch):
     data, offsets = text_buffer(batch.column("text"))
     for i, j in slices(offsets):
@@ -134,8 +132,9 @@ def _occurrences(batches):
 
 def _window_rows(batches):
     for b in batches:
-        for i, _, x in _lines(b):
-            row, key, start, end = x.windows()
+        data, offsets = text_buffer(b.column("text"))
+        for i, j in slices(offsets):
+            row, key, start, end = windows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield _batch(b, i, row, _WINDOWS, start, end, key)
 
 
@@ -207,6 +206,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
 
 
+def _links_with_hubs(members: DataFrame, groups: DataFrame, edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the classes of each wide bucket (band, key) with its hub, the class that has most links so far: of near copies, the original."""
+    degree = edges.select(F.col("a").alias("key")).union(edges.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
+    known = members.join(groups, "key").join(degree, "key", "left").select("band", "key", "grp", F.coalesce("links", F.lit(0)).alias("links"))
+    hubs = known.groupBy("band").agg(F.max(F.struct("links", "key", "grp")).alias("h")).where("h.links > 1").select("band", F.col("h.key").alias("b"), F.col("h.grp").alias("hub_grp"))
+    return verify(known.join(hubs, "band").where("grp <> hub_grp").select(F.col("key").alias("a"), "b").distinct(), sets)
+
+
 def paragraph_clusters(docs: DataFrame) -> DataFrame:
     """Every paragraph that has a near duplicate: doc_id, h (hash of the text), place, start, end (code points), n_words, component_id, removed.
 
@@ -229,9 +236,12 @@ def paragraph_clusters(docs: DataFrame) -> DataFrame:
 
     wide = found.where("band is not null")
     if not wide.isEmpty():
-        labels = components(edges, f"{path}/wide").select(F.col("id").alias("key"), "root")
-        members = wide.select(F.col("a").alias("key")).union(wide.select(F.col("b").alias("key"))).distinct()
-        groups = save(members.join(labels, "key", "left").select("key", F.coalesce("root", "key").alias("grp")), f"{path}/groups")
+        members = save(wide.select("band", F.col("a").alias("key")).union(wide.select("band", F.col("b").alias("key"))).distinct(), f"{path}/members")
+        for i in range(HUBS + 1):
+            labels = components(edges, f"{path}/wide{i}").select(F.col("id").alias("key"), "root")
+            groups = save(members.select("key").distinct().join(labels, "key", "left").select("key", F.coalesce("root", "key").alias("grp")), f"{path}/groups{i}")
+            if i < HUBS:
+                edges = edges.union(save(_links_with_hubs(members, groups, edges, sets), f"{path}/hubs{i}"))
         edges = edges.union(links_between(sets.join(groups.select("key"), "key"), groups, path, bound=False))
 
     labels = components(edges, f"{path}/all").select(F.col("id").alias("key"), "root")
@@ -248,10 +258,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
     The first of each key is found by an aggregate that is combined before its shuffle; the join with it is a plain one, whose skewed keys are split.
     """
-    windows = save(_keyed(docs).mapInArrow(_window_rows, _WINDOWS), f"{work_dir(docs.sparkSession, 'windows')}/rows")
+    path = work_dir(docs.sparkSession, "windows")
+    rows = save(_keyed(docs).mapInArrow(_window_rows, _WINDOWS), f"{path}/rows")
     place = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "start")
-    first = windows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(place).alias("first")).where("rows > 1").select("key", "first")
-    return windows.join(first, "key").where(place != F.col("first")).select("doc_id", "h", "start", "end", F.lit(WINDOW).cast("long").alias("n_words"))
+    first = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(place).alias("first")).where("rows > 1").select("key", "first")
+    return rows.join(save(first, f"{path}/first"), "key").where(place != F.col("first")).select("doc_id", "h", "start", "end", F.lit(WINDOW).cast("long").alias("n_words"))
 
 
 def _merged(spans: list, least_words: int) -> list[tuple[int, int]]:
