@@ -148,21 +148,27 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def links_within(sets: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Links and groups (key, grp) from buckets of ROUNDS min-hashes.
+    """Links and groups (key, grp) from buckets of ROUNDS min-hashes, the first alone and then the others.
 
-    Each class is compared with one head of each of its buckets: under even min-hashes the class with the fewest shingles of its own, which is the
-    original rather than a copy with edits; under odd ones one by hash. A group is a component of what links.
+    Each class is compared with the heads of its buckets that aren't in its group yet: under even min-hashes the class with the fewest shingles of
+    its own, which is the original rather than a copy with edits; under odd ones one by hash. A group is a component of what links.
     """
-    pairs = None
-    for r in range(ROUNDS):
-        rank = F.col("alone") if r % 2 == 0 else F.xxhash64("key", F.lit(r))
-        low = sets.select("key", "alone", F.col(f"low{r}").alias("low"))
-        heads = low.groupBy("low").agg(F.min(F.struct(rank.alias("rank"), "key")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("low", F.col("h.key").alias("b"))
-        found = low.join(heads, "low").where("key <> b").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
-        pairs = found if pairs is None else pairs.union(found)
-    edges = save(verify(pairs.distinct(), sets), f"{path}/links")
-    labels = components(edges, f"{path}/within").select(F.col("id").alias("key"), "root")
-    return edges, save(sets.select("key").join(labels, "key", "left").select("key", F.coalesce("root", "key").alias("grp")), f"{path}/groups")
+    edges = sets.sparkSession.createDataFrame([], "a long, b long")
+    groups = sets.select("key", F.col("key").alias("grp"))
+    for phase in (range(1), range(1, ROUNDS)):
+        pairs = None
+        lows = sets.select("key", "alone", *[f"low{r}" for r in phase]).join(groups, "key")
+        for r in phase:
+            rank = F.col("alone") if r % 2 == 0 else F.xxhash64("key", F.lit(r))
+            low = lows.select("key", "grp", "alone", F.col(f"low{r}").alias("low"))
+            heads = low.groupBy("low").agg(F.min(F.struct(rank.alias("rank"), "key", "grp")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("low", F.col("h.key").alias("b"), F.col("h.grp").alias("head_grp"))
+            found = low.join(heads, "low").where("grp <> head_grp").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
+            pairs = found if pairs is None else pairs.union(found)
+        at = f"{path}/within{phase[0]}"
+        edges = edges.union(save(verify(pairs.distinct(), sets), f"{at}/links"))
+        labels = components(edges, at).select(F.col("id").alias("key"), "root")
+        groups = save(sets.select("key").join(labels, "key", "left").select("key", F.coalesce("root", "key").alias("grp")), f"{at}/groups")
+    return edges, groups
 
 
 def _told_apart(rows: DataFrame) -> DataFrame:
