@@ -14,27 +14,29 @@ Within a slice of documents, occurrences that are already known to be covered ar
 as one range each. Phrases and 50-byte strings are compared by 48 + 56 bits of hash.
 
 Defined cases: a null text is an empty one; documents of under 50 bytes lose nothing and cover nothing; rows that repeat a doc_id
-don't cover one another and each keep a row; a null doc_id counts as greater than all others; other columns are ignored.
+don't cover one another and each keep a row; a null doc_id counts as greater than all others; other columns are ignored. A text of over 64 MB is
+parsed in pieces that overlap by 49 bytes. Rows of one doc_id are told apart by the place of their text's SHA-256 among that id's (up to 2^26 different ones).
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import _BASE, _INVERSE, U64, _powers, documents, mix, save, slices, text_buffer, work_dir
 
 LENGTH, TRIGGER = 50, 24
 _MOST = (1 << 63) - 1
-#: Low bits of the values whose minimum is taken hold the place in a slice of at most so many bytes.
+#: Low bits of the values whose minimum is taken hold the place in a piece of a text, of at most half as many bytes.
 _PLACE = 27
-_SLICE = 1 << 20
-_TAG = 16
+_SLICE, _PIECE = 1 << 20, 1 << 26
+#: Bits of the number that tells rows of one doc_id apart; a place in a text has 31 above them.
+_TAG = 26
+_AT = _TAG + 6
 
 
 def _rolled(data: np.ndarray) -> np.ndarray:
@@ -127,10 +129,16 @@ def _told_apart(t, p, doc, row, start, end, tag, at):
         yield _out(mix(d.view(U64) + s.astype(U64)), np.zeros(len(r), np.int64), d, s << _TAG | g, e - s)
 
 
-def _tags(data, offsets):
-    """A few bits of each text, which tell rows of the same doc_id apart."""
-    raw = data.tobytes()
-    return np.array([zlib.crc32(raw[a:b]) & ((1 << _TAG) - 1) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
+def _pieces(data: np.ndarray, offsets: np.ndarray):
+    """(i, j, bytes of rows i to j, their offsets, place of the first byte in its row): slices of rows, or pieces of one long row that have 49 bytes in common."""
+    for i, j in slices(offsets, _SLICE):
+        size = offsets[j] - offsets[i]
+        if j > i + 1 or size <= _PIECE:
+            yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], 0
+            continue
+        for at in range(0, int(size) - LENGTH + 1, _PIECE):
+            part = data[offsets[i] + at : min(offsets[j], offsets[i] + at + _PIECE + LENGTH - 1)]
+            yield i, j, part, np.array([0, len(part)]), at
 
 
 def _ids(column):
@@ -138,17 +146,14 @@ def _ids(column):
 
 
 def _parse(batches):
-    """Rows (t, p, doc, at, len). at: place << 27 | (strings - 1) << 21 | tag where len is 0, else place << 16 | tag."""
+    """Rows (t, p, doc, at, len). at: place, (strings - 1) in 6 bits and tag where len is 0, else place and tag."""
     for b in batches:
         data, offsets = text_buffer(b.column("text"))
-        ids = _ids(b.column("doc_id"))
-        for i, j in slices(offsets, _SLICE):
-            part, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            if len(part) >= 1 << _PLACE:
-                raise ValueError("a text of 128 MB or more")
+        ids, tags = _ids(b.column("doc_id")), b.column("tag").to_numpy()
+        for i, j, part, o, shift in _pieces(data, offsets):
             row, start, strings, t, p = phrases(part, o)
-            tag, s = _tags(part, o)[row], start - o[row]
-            at = s << 27 | (strings - 1) << 21 | tag
+            tag, s = tags[i:j][row], start - o[row] + shift
+            at = s << _AT | (strings - 1) << _TAG | tag
             yield from _told_apart(t, p, ids[i:j][row], row, s, s + strings + LENGTH - 1, tag, at)
 
 
@@ -162,8 +167,8 @@ def _resolve(batches):
     mask = np.int64((1 << _TAG) - 1)
 
     def out(doc, at, length, ranges):
-        start = np.where(ranges, at >> _TAG, at >> 27)
-        strings = np.where(ranges, 0, (at >> 21 & 63) + 1)
+        start = np.where(ranges, at >> _TAG, at >> _AT)
+        strings = np.where(ranges, 0, (at >> _TAG & 63) + 1)
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at & mask), pa.array(start), pa.array(strings), pa.array(length.astype(np.int64))], names=names)
 
     held, waiting = None, []
@@ -198,7 +203,7 @@ def _resolve(batches):
             yield out(w[:, 0], w[:, 1], np.zeros(len(w)), np.zeros(len(w), bool))
             waiting = []
         check = ~late & np.repeat(several, ends - starts)
-        strings = (at >> 21 & 63) + 1
+        strings = (at >> _TAG & 63) + 1
         some = late | check
         yield out(doc[some], at[some], np.where(late, strings + LENGTH - 1, 0)[some], np.zeros(int(some.sum()), bool))
         if len(starts) > 1 or several[-1]:
@@ -216,15 +221,14 @@ def _cut_up(batches):
     """The 50-byte strings of phrases to compare, as rows for _resolve: t and p are two hashes of the string."""
     for b in batches:
         data, offsets = text_buffer(b.column("text"))
-        ids, places = _ids(b.column("doc_id")), b.column("places")
-        for i, j in slices(offsets, _SLICE):
-            part, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            tags = _tags(part, o)
+        ids, tags, places = _ids(b.column("doc_id")), b.column("tag").to_numpy(), b.column("places")
+        for i, j, part, o, shift in _pieces(data, offsets):
             lists = places.slice(i, j - i)
             row = np.repeat(np.arange(j - i), np.diff(lists.offsets.to_numpy()))
             flat = lists.flatten()
-            tag, start, strings = (flat.field(x).to_numpy() for x in ("tag", "start", "strings"))
-            mine = tags[row] == tag
+            start, strings = (flat.field(x).to_numpy() for x in ("start", "strings"))
+            start = start - shift
+            mine = (start >= 0) & (start < _PIECE) if len(o) == 2 else np.ones(len(row), bool)
             order = np.lexsort((start[mine], row[mine]))
             row, start, strings = (x[mine][order] for x in (row, start, strings))
             each = np.repeat(np.arange(len(row)), strings)
@@ -233,7 +237,8 @@ def _cut_up(batches):
             at = s + o[row]
             h = _content(part)(at, at + LENGTH)
             again = _content(part[::-1])(len(part) - at - LENGTH, len(part) - at)  # the same string backwards
-            yield from _told_apart(mix(h) >> U64(16), mix(again ^ U64(0x7375)) >> U64(8), ids[i:j][row], row, s, s + LENGTH, tags[row], s << 27 | tags[row])
+            tag, s = tags[i:j][row], s + shift
+            yield from _told_apart(mix(h) >> U64(16), mix(again ^ U64(0x7375)) >> U64(8), ids[i:j][row], row, s, s + LENGTH, tag, s << _AT | tag)
 
 
 def _assemble(batches):
@@ -242,9 +247,8 @@ def _assemble(batches):
         n_bytes, removed, spans, digest = [], [], [], []
         for text, found in zip(texts.to_pylist(), ranges, strict=True):
             raw = (text or "").encode()
-            mine = zlib.crc32(raw) & ((1 << _TAG) - 1)
             kept, at, gone, count, last = hashlib.sha256(), 0, 0, 0, -1
-            for s, e in sorted((x["start"], x["start"] + x["len"]) for x in found or () if x["tag"] == mine):
+            for s, e in sorted((x["start"], x["start"] + x["len"]) for x in found or ()):
                 if s > last:
                     kept.update(raw[at:s])
                     count += 1
@@ -261,24 +265,44 @@ def _assemble(batches):
         yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (n_bytes, removed, spans)), pa.array(digest)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _numbered(docs: DataFrame, path: str) -> DataFrame:
+    """docs (doc_id, text) with doc, what stands for the id, and tag, which differs for different texts of one id.
+
+    Only ids that repeat are looked at; their texts are ranked by hash within parts, so an id that very many rows have is no single task's work.
+    """
+    named = docs.withColumn("doc", F.coalesce("doc_id", F.lit(_MOST)))
+    often = save(named.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc"), f"{path}/repeated")
+    zero = F.lit(0).cast("long")
+    if often.isEmpty():
+        return named.withColumn("tag", zero)
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    texts = named.join(often, "doc", "left_semi").select("doc", sha.alias("sha")).distinct().withColumn("part", F.substring("sha", 1, 3))
+    texts = save(texts.withColumn("at", F.row_number().over(Window.partitionBy("doc", "part").orderBy("sha"))), f"{path}/texts")
+    parts = texts.groupBy("doc", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("doc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("doc", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    tags = save(texts.join(parts, ["doc", "part"]).select("doc", "sha", (F.col("at") + F.col("before") - 1).cast("long").alias("tag")), f"{path}/tags")
+    # An id without a tag doesn't repeat.
+    return named.withColumn("sha", sha).join(tags, ["doc", "sha"], "left").select("doc_id", "text", "doc", F.coalesce("tag", zero).alias("tag"))
+
+
 def covered_ranges(docs: DataFrame, path: str) -> DataFrame:
-    """(doc, tag, start, len): byte ranges of docs (doc_id, text) that earlier documents cover; they may overlap."""
+    """(doc, tag, start, len): byte ranges of docs (doc_id, text, doc, tag) that earlier documents cover; they may overlap."""
     order = lambda df: df.repartition("t").sortWithinPartitions("t", "p", "doc").mapInArrow(_resolve, _FOUND_DDL)
-    found = save(order(docs.mapInArrow(_parse, _KNOWN_DDL)), f"{path}/phrases")
-    # Places of one document at most in each list.
-    places = found.where("len = 0").groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "strings")).alias("places"))
-    named = docs.withColumn("doc", F.coalesce("doc_id", F.lit(_MOST)))
-    strings = named.join(places, "doc").select("doc_id", "text", "places").mapInArrow(_cut_up, _KNOWN_DDL)
+    found = save(order(docs.select("doc_id", "text", "tag").mapInArrow(_parse, _KNOWN_DDL)), f"{path}/phrases")
+    # Places of one text in each list.
+    places = found.where("len = 0").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "strings")).alias("places"))
+    strings = docs.join(places, ["doc", "tag"]).select("doc_id", "text", "tag", "places").mapInArrow(_cut_up, _KNOWN_DDL)
     more = save(order(strings), f"{path}/strings")
     return found.where("len > 0").select("doc", "tag", "start", "len").union(more.where("len > 0").select("doc", "tag", "start", "len"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = covered_ranges(docs, work_dir(docs.sparkSession, "substrings")).groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "len")).alias("ranges"))
-    named = docs.withColumn("doc", F.coalesce("doc_id", F.lit(_MOST)))
-    return named.join(ranges, "doc", "left").select("doc_id", "text", "ranges").mapInArrow(_assemble, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    path = work_dir(docs.sparkSession, "substrings")
+    docs = _numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path)
+    ranges = covered_ranges(docs, path).groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "len")).alias("ranges"))
+    return docs.join(ranges, ["doc", "tag"], "left").select("doc_id", "text", "ranges").mapInArrow(_assemble, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
