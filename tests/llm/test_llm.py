@@ -174,6 +174,32 @@ def test_substrings(docs, none, rows):
         assert want in found[i], (i, want)
 
 
+def test_substrings_of_rows_that_share_an_id(spark, monkeypatch):
+    """Hundreds of null ids, texts of one id that differ, and texts longer than a piece."""
+    rng = random.Random(11)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = prose(90)
+    texts = [(1, passage), *[(None, prose(30) + (passage if k % 3 == 0 else prose(60)) + str(k)) for k in range(300)], *[(5, prose(20) + (passage if k == 1 else "")) for k in range(5)]]
+    texts += [(7, "".join((prose(700), passage, prose(700), passage[:70], prose(300)))), (8, prose(1000) + passage + prose(900))]
+    found = substrings.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    by = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in found.collect())
+    first, want = {}, []
+    for i, t in sorted(texts, key=lambda x: (x[0] is None, x[0] or 0)):
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], 1 << 62 if i is None else i)
+    for i, t in texts:
+        gone = {c for k in range(len(t) - 49) if first[t[k : k + 50]] < (1 << 62 if i is None else i) for c in range(k, k + 50)}
+        want.append((str(i), len(t), len(gone), hashlib.sha256("".join(c for k, c in enumerate(t) if k not in gone).encode()).hexdigest()))
+    assert by == sorted(want) and sum(x[2] for x in want) > 5000
+    # The same bytes in pieces: what the slices give together is what the whole text gives.
+    data = np.frombuffer("".join(t for _, t in texts[-2:]).encode(), np.uint8)
+    offsets = np.array([0, len(texts[-2][1]), len(data)])
+    monkeypatch.setattr(substrings, "_SLICE", 1000)
+    monkeypatch.setattr(substrings, "_PIECE", 512)
+    starts = [(i, s + at + k) for i, j, part, o, at in substrings._pieces(data, offsets) for _, s, n, *_ in zip(*substrings.phrases(part, o), strict=True) for k in range(n)]
+    assert sorted(starts) == [(i, k) for i in (0, 1) for k in range(int(offsets[i + 1] - offsets[i]) - 49)]
+
+
 def test_token_files(docs, none, rows, spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -252,6 +278,23 @@ def test_ledger_opened_again(spark, tmp_path):
     assert out == {1: "assign:0:26", 2: "", 3: "assign:0:26", 4: "access:0:20"}
 
 
+def test_ledger_by_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    bits = ["password", "Token", "API_KEY", "apikey", "secret", '"', "'", " ", ":", "=", " = ", "AKIA", "ABCDEFGH12345678", "0a1b2c3d" * 5, "é", "x\n", "passwd:=", "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9, "-----BEGIN RSA PRIVATE KEY-----"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(200)] + [None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "path long, text string")
+    patterns = [("assign", r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)]
+    want = {}
+    for i, t in enumerate(texts):
+        spans = [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for k, (name, p, g, least) in enumerate(patterns) for m in re.finditer(p, t or "", re.ASCII) if len(m[g]) >= least]
+        want[i] = ",".join(x for *_, x in sorted(spans))
+    book = ledger.BlobLedger(spark, str(tmp_path / "book"))
+    assert {r["doc_id"]: r["spans"] for r in ledger.digest(book.findings(book.commit(d, 0), 0)).collect()} == want
+    more = {r["doc_id"]: r for r in ledger.digest(book.findings(book.commit(d))).collect()}
+    assert all(r["base_sha256"] == hashlib.sha256(want[i].encode()).hexdigest() and set(filter(None, want[i].split(","))) <= set(r["spans"].split(",")) for i, r in more.items())
+    assert any("pem" in r["spans"] for r in more.values()) and book.entries().count() == 2 * len({t or "" for t in texts})
+
+
 def test_jaccard(docs, none, rows):
     sets = [shingles(t) for _, t, *_ in rows]
     root = roots(sets, alike)

@@ -1,8 +1,8 @@
-"""The queries of this subpackage. None has SQL: each is held against a brute-force version, a round trip or held-out labels in tests/llm."""
+"""The queries of this subpackage. Those without SQL are held against a brute-force version, a round trip or held-out labels in tests/llm."""
 
 from __future__ import annotations
 
-from . import contamination, fingerprints, jaccard, ledger, mixture, paragraphs, quality, substrings, token_files, toxicity
+from . import contamination, fingerprints, jaccard, ledger, mixture, oracles, paragraphs, quality, substrings, token_files, toxicity
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
