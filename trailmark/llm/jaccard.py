@@ -182,7 +182,7 @@ def links_between(sets: DataFrame, groups: DataFrame, path: str, bound: bool = T
     """All links between groups that the components need, by way of the token-group matrix.
 
     A class is open if it shares least_common(n) tokens with other groups. The prefixes are made once, as any fixed order of tokens serves for
-    all passes. First up to HEADS passes compare few classes of each prefix token and join what links, so that few groups that share tokens are left
+    all passes. First up to HEADS passes compare with few classes of each prefix token, twice as many each time, and join what links, so that few groups that share tokens are left
     when the last pass compares what is left in full, behind the bound on group overlap unless that is waived (for sets so small that comparing is as
     cheap). A pass that joins less than a share of WORTH of the open classes is the last one of its kind.
     """
@@ -214,7 +214,7 @@ def links_between(sets: DataFrame, groups: DataFrame, path: str, bound: bool = T
     return edges.union(_in_full(prefix, rows.drop("grp").join(groups, "key"), sets, path, bound))
 
 
-HEADS, WORTH = 5, 0.05
+HEADS, WORTH = 5, 0.01
 #: Of two that link, the smaller has the first common token among its first n/9 + 1, and as many tokens follow it in both as are common.
 _FITS = "na * 100 >= nb * 80 and nb * 100 >= na * 80 and (1 + least(na - pa, nb - pb)) * 9 >= 4 * (na + nb)"
 
@@ -230,12 +230,13 @@ def _prefix(rows: DataFrame, path: str) -> DataFrame:
 
 
 def _with_heads(prefix: DataFrame, sets: DataFrame, i: int) -> DataFrame:
-    """Links of classes with one class of each prefix token: the one with the fewest rarer tokens at first, then others by hash among those that fit."""
-    rank = F.col("place") if i == 0 else F.struct(F.col("place") * 9 > F.col("n") + 9, F.xxhash64("key", "token", F.lit(i)))
-    head = prefix.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "key", "n", "grp", "place")).alias("h"))
-    head = head.select("token", F.col("h.key").alias("b"), F.col("h.n").alias("nb"), F.col("h.grp").alias("other"), F.col("h.place").alias("pb"))
+    """Links of classes with 2^i classes of each prefix token: the one with the fewest rarer tokens at first, then others by hash among those that fit."""
+    rank = F.col("place") if i == 0 else F.struct(F.col("place") * 9 > F.col("n") + 9, F.xxhash64("key", "token", "draw"))
+    drawn = prefix.withColumn("draw", F.explode(F.sequence(F.lit(1 << i), F.lit((2 << i) - 1))))
+    head = drawn.groupBy("token", "draw").agg(F.min(F.struct(rank.alias("rank"), "key", "n", "grp", "place")).alias("h"))
+    head = head.select("token", F.col("h.key").alias("b"), F.col("h.n").alias("nb"), F.col("h.grp").alias("other"), F.col("h.place").alias("pb")).distinct()
     pairs = prefix.select("token", F.col("key").alias("a"), F.col("n").alias("na"), "grp", F.col("place").alias("pa")).join(head, "token").where(f"grp <> other and {_FITS}")
-    return verify(pairs.select("a", "b").distinct(), sets)
+    return verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
 
 
 def _in_full(prefix: DataFrame, rows: DataFrame, sets: DataFrame, path: str, bound: bool) -> DataFrame:
