@@ -34,30 +34,32 @@ def number(text: Column) -> Column:
 
 
 def parse_side(text: Column) -> Column:
-    """STRUCT<kind, id, crs, vals, sigmas>; kind is INVALID where the text isn't one. Kinds are read in any case."""
-    invalid = F.struct(F.lit("INVALID").alias("kind"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("string").alias("crs"), F.lit(None).cast("array<double>").alias("vals"), F.lit(None).cast("array<double>").alias("sigmas"))
-
-    def of(words: Column) -> Column:
-        kind, second = F.upper(words[0]), F.get(words, F.lit(1))
-        out = None
-        for name, (n, m, what) in KINDS.items():
-            skip = 2 if what else 1
-            given = F.transform(F.slice(words, skip + 1, n + m + 1), number)
-            size = F.size(words) - skip
-            fits = ((size == n) | (size == n + m)) & ~F.exists(given, lambda x: x.isNull())
-            if what == "id":
-                fits &= second.rlike(r"^-?[0-9]+$")
-            made = F.struct(
-                F.lit(name).alias("kind"),
-                (second.try_cast("bigint") if what == "id" else F.lit(None).cast("bigint")).alias("id"),
-                (second if what == "crs" else F.lit(None).cast("string")).alias("crs"),
-                F.slice(given, 1, n).alias("vals"),
-                F.when((size == n + m) & F.lit(m > 0), F.slice(given, n + 1, m)).alias("sigmas"),
-            )
-            out = (F if out is None else out).when((kind == name) & fits, made)
-        return out.otherwise(invalid)
-
-    return let(F.split(F.trim(text), r"\s+"), of)
+    """STRUCT<kind, id, crs, vals, sigmas>; kind is INVALID where the text isn't one. Kinds are read in any case.
+
+    What a kind asks for is looked up in one map, so the text is split and its numbers are read once, whatever the kind.
+    """
+    rules = F.create_map(*[x for k, (n, m, what) in KINDS.items() for x in (F.lit(k), F.struct(F.lit(n).alias("n"), F.lit(m).alias("m"), F.lit(what).cast("string").alias("what")))])
+    none = lambda kind: F.lit(None).cast(kind)
+    invalid = F.struct(F.lit("INVALID").alias("kind"), none("bigint").alias("id"), none("string").alias("crs"), none("array<double>").alias("vals"), none("array<double>").alias("sigmas"))
+
+    def of(x: Column) -> Column:
+        words, rule, given = x["words"], x["rule"], x["given"]
+        n, m, what, size = rule["n"], rule["m"], rule["what"], F.size(given)
+        second = F.get(words, F.lit(1))
+        is_id = F.coalesce(what == "id", F.lit(False))
+        fits = rule.isNotNull() & ((size == n) | (size == n + m)) & ~F.exists(given, lambda v: v.isNull()) & (what.isNull() | second.isNotNull()) & (~is_id | second.rlike(r"^-?[0-9]+$"))
+        sigmas = F.when((size == n + m) & (m > 0), F.slice(given, n + 1, m))
+        made = F.struct(F.upper(words[0]).alias("kind"), F.when(is_id, second.try_cast("bigint")).alias("id"), F.when(what == "crs", second).alias("crs"), F.slice(given, F.lit(1), n).alias("vals"), sigmas.alias("sigmas"))
+        return F.when(fits, made).otherwise(invalid)
+
+    def read(words: Column) -> Column:
+        rule = F.try_element_at(rules, F.upper(words[0]))
+        skip = F.when(rule["what"].isNull(), 2).otherwise(3)
+        # Two more than any kind has tell that there are too many.
+        given = F.transform(F.slice(words, skip, F.lit(14)), number)
+        return let(F.struct(words.alias("words"), rule.alias("rule"), given.alias("given")), of)
+
+    return let(F.split(F.trim(text), r"\s+"), read)
 
 
 def parse_pair(text: Column) -> Column:

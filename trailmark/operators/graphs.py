@@ -49,7 +49,11 @@ def build_edges(observations: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set, and no folder of one machine would do")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/peel-{uuid.uuid4().hex}"
 
 

@@ -156,7 +156,7 @@ def catalog_pair_partners(spark, d):
 # ---- constraint graph --------------------------------------------------------------------------
 
 _EDGES = "e0 AS (SELECT o_custkey AS id1, l_partkey + 10000000 AS id2, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"
-_NODES = "n0 AS (SELECT c_custkey AS id, 45 AS dof FROM customer UNION ALL SELECT p_partkey + 10000000, 33 FROM part)"
+_NODES = "n0 AS (SELECT c_custkey AS id, 30 AS dof FROM customer UNION ALL SELECT p_partkey + 10000000, 22 FROM part)"
 
 
 def _peel_sql(rounds: int = 25) -> str:
@@ -172,7 +172,7 @@ def _peel_sql(rounds: int = 25) -> str:
 def graph_constrained(spark, d):
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     obs = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(F.col("o_custkey").alias("id1"), (F.col("l_partkey") + 10000000).alias("id2"), F.lit(1).alias("n"))
-    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(45).alias("dof")).unionByName(table(spark, d, "part").select((F.col("p_partkey") + 10000000).alias("id"), F.lit(33).alias("dof")))
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(30).alias("dof")).unionByName(table(spark, d, "part").select((F.col("p_partkey") + 10000000).alias("id"), F.lit(22).alias("dof")))
     return gr.constrained(nodes, gr.build_edges(obs, nodes)).select("id", F.col("n_obs").cast("long").alias("n_obs"))
 
 
@@ -194,7 +194,20 @@ def graph_weights(spark, d):
     return w.groupBy((F.coalesce("id2", "id1") % 10).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
 
 
-@_R.add("graph_bipartite")
+def _bipartite_sql(rounds: int = 25) -> str:
+    parts = [
+        "e0 AS (SELECT DISTINCT o_custkey AS i, l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 11 <> 0)",
+        "i0 AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 3 ELSE 0 END AS prior FROM customer WHERE c_custkey % 11 <> 0)",
+        "p0 AS (SELECT p_partkey AS id FROM part)",
+    ]
+    for k in range(rounds):
+        parts.append(f"i{k + 1} AS MATERIALIZED (SELECT id, any_value(prior) AS prior FROM i{k} LEFT JOIN e{k} ON i = id GROUP BY id HAVING count(i) + any_value(prior) >= 6)")
+        parts.append(f"p{k + 1} AS MATERIALIZED (SELECT id FROM p{k} LEFT JOIN e{k} ON p = id GROUP BY id HAVING count(p) >= 5)")
+        parts.append(f"e{k + 1} AS MATERIALIZED (SELECT i, p FROM e{k} WHERE i IN (SELECT id FROM i{k + 1}) AND p IN (SELECT id FROM p{k + 1}))")
+    return f"WITH {', '.join(parts)} SELECT 'i' AS kind, id FROM i{rounds} UNION ALL SELECT 'p', id FROM p{rounds}"
+
+
+@_R.add("graph_bipartite", _bipartite_sql())
 def graph_bipartite(spark, d):
     i = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 11 != 0).alias("enabled"), F.when(F.col("c_custkey") % 7 == 0, 3).otherwise(0).alias("prior"))
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit(True).alias("enabled"), F.lit(0).alias("prior"))

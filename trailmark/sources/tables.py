@@ -13,18 +13,29 @@ def cells_of_lines(lines: DataFrame, header: list[str], line: str = "value") ->
     return lines.select(*rest, *[F.get(parts, F.lit(i)).alias(name) for i, name in enumerate(header)])
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, _row) of the lines of a text file, numbered from 0 in the file's order.
+
+    Lines of each split are counted first (one row for a split), so that each split knows how many come before it; no task sees more than its split.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("_first"))
+    before = F.sum("n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("_f", "_b", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return lines.join(starts, ["_f", "_b"]).select("value", (F.col("_id") - F.col("_first") + F.col("_before")).alias("_row"))
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table of strings from a text file whose first line names the columns (trimmed).
+    """A table of strings from a text file whose first line names the columns (trimmed), with its row numbers.
 
     Only the first line comes to the driver. A line that follows the last line break is no row.
     """
-    lines = spark.read.text(path)
-    head = lines.first()
+    head = spark.read.text(path).first()
     if head is None:
         return spark.createDataFrame([], "value string").drop("value")
     header = [h.strip() for h in head[0].split(",")]
-    numbered = lines.select("value", F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_row"))
-    return cells_of_lines(numbered.where("not (_row = 0 and _b = 0)").drop("_b"), header).withColumn("_row", F.col("_row") - 1)
+    lines = numbered_lines(spark, path).where("_row > 0").withColumn("_row", F.col("_row") - 1)
+    return cells_of_lines(lines, header)
 
 
 def columns(table: DataFrame) -> list[str]:
