@@ -157,12 +157,13 @@ def links_within(sets: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     groups = sets.select("key", F.col("key").alias("grp"))
     for phase in (range(1), range(1, ROUNDS)):
         pairs = None
-        lows = sets.select("key", "alone", *[f"low{r}" for r in phase]).join(groups, "key")
+        lows = sets.select("key", "n", "alone", *[f"low{r}" for r in phase]).join(groups, "key")
         for r in phase:
             rank = F.col("alone") if r % 2 == 0 else F.xxhash64("key", F.lit(r))
-            low = lows.select("key", "grp", "alone", F.col(f"low{r}").alias("low"))
-            heads = low.groupBy("low").agg(F.min(F.struct(rank.alias("rank"), "key", "grp")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("low", F.col("h.key").alias("b"), F.col("h.grp").alias("head_grp"))
-            found = low.join(heads, "low").where("grp <> head_grp").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
+            low = lows.select("key", "n", "grp", "alone", F.col(f"low{r}").alias("low"))
+            heads = low.groupBy("low").agg(F.min(F.struct(rank.alias("rank"), "key", "n", "grp")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("low", F.col("h.key").alias("b"), F.col("h.n").alias("nb"), F.col("h.grp").alias("head_grp"))
+            # Sets whose sizes are too far apart can't link, so their tokens needn't travel.
+            found = low.join(heads, "low").where("grp <> head_grp and n * 100 >= nb * 80 and nb * 100 >= n * 80").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
             pairs = found if pairs is None else pairs.union(found)
         at = f"{path}/within{phase[0]}"
         edges = edges.union(save(verify(pairs.distinct(), sets), f"{at}/links"))
