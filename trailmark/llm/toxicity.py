@@ -200,7 +200,8 @@ def _scorer(model: dict):
 
 
 def score_documents(docs: DataFrame, model: dict) -> DataFrame:
-    """docs without text, with a column score (0 to 1)."""
+    """docs without text, with a column score (0 to 1), which takes the place of one they have."""
+    docs = docs.drop("score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return docs.mapInArrow(_scorer(model), f"{schema}, score double")
 
