@@ -10,26 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm import contamination, jaccard, mixture, quality, token_files
-from trailmark.llm.shared import documents, save, work_dir
+from trailmark.llm.shared import documents, fresh, save, work_dir
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is 0.5 or more."""
+    """Documents whose score is 0.5 or more. Null and empty texts have a score as well; repeated rows all go or all stay; an empty table stays empty."""
     model = quality.train(docs, quality.training_labels(spark, sf_dir))
-    return quality.score_documents(docs, model).where("score >= 0.5").select(*docs.columns)
+    (score,) = fresh(docs, "score")
+    return quality.score_documents(docs, model, score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of the Jaccard join: that of least doc_id, and of rows that repeat this id, that of least text hash."""
+    """One row of each component of the Jaccard join: that of least doc_id, and of rows that repeat this id, that of least text hash.
+
+    Rows without a word (null, empty or blank texts) all stay, as they are linked with nothing.
+    """
     return jaccard.keep_representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that no benchmark item contaminates; each row is judged by its own text, so null and empty texts stay."""
     return contamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; those without a word have size 0 and are never taken."""
     return mixture.mix_stage(docs)
 
 
