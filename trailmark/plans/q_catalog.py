@@ -156,7 +156,7 @@ def catalog_pair_partners(spark, d):
 # ---- constraint graph --------------------------------------------------------------------------
 
 _EDGES = "e0 AS (SELECT o_custkey AS id1, l_partkey + 10000000 AS id2, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"
-_NODES = "n0 AS (SELECT c_custkey AS id, 30 AS dof FROM customer UNION ALL SELECT p_partkey + 10000000, 22 FROM part)"
+_NODES = "n0 AS (SELECT c_custkey AS id, 24 AS dof FROM customer UNION ALL SELECT p_partkey + 10000000, 20 FROM part)"
 
 
 def _peel_sql(rounds: int = 25) -> str:
@@ -172,7 +172,7 @@ def _peel_sql(rounds: int = 25) -> str:
 def graph_constrained(spark, d):
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     obs = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(F.col("o_custkey").alias("id1"), (F.col("l_partkey") + 10000000).alias("id2"), F.lit(1).alias("n"))
-    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(30).alias("dof")).unionByName(table(spark, d, "part").select((F.col("p_partkey") + 10000000).alias("id"), F.lit(22).alias("dof")))
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(24).alias("dof")).unionByName(table(spark, d, "part").select((F.col("p_partkey") + 10000000).alias("id"), F.lit(20).alias("dof")))
     return gr.constrained(nodes, gr.build_edges(obs, nodes)).select("id", F.col("n_obs").cast("long").alias("n_obs"))
 
 
