@@ -188,15 +188,16 @@ def links_between(sets: DataFrame, groups: DataFrame, path: str, bound: bool = T
     cheap). A pass that joins less than a share of WORTH of the open classes is the last one of its kind.
     """
     edges = sets.sparkSession.createDataFrame([], "a long, b long")
-    rows = save(_told_apart(sets.join(groups, "key").select("key", "n", "grp", F.explode("tokens").alias("token"))), f"{path}/matrix")
-    open_ = rows.groupBy("key").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= least_common(F.col("n"))).select("key", "shared")
-    open_ = save(open_, f"{path}/open")
+    told = _told_apart(sets.join(groups, "key").select("key", "n", "grp", F.explode("tokens").alias("token")))
+    rows = save(_placed(told), f"{path}/open_rows")
+    open_ = save(rows.select("key").distinct(), f"{path}/open")
     n_open = open_.count()
     if not n_open:
         return edges
-    rows = save(rows.join(open_, "key"), f"{path}/open_rows")
-    groups = save(groups.join(open_.select("key"), "key"), f"{path}/open_groups")
-    prefix = _prefix(rows, path)
+    # Only open classes are compared from here on, so only their tokens need travel, in whichever pass.
+    sets = save(sets.select("key", "n", "tokens").join(open_, "key", "left_semi"), f"{path}/open_sets")
+    groups = save(groups.join(open_, "key"), f"{path}/open_groups")
+    prefix = save(rows.where(F.col("place") <= F.col("n") - least_common(F.col("n")) + 1), f"{path}/prefix")
     for i in range(HEADS):
         at = f"{path}/pass{i}"
         found = save(_with_heads(prefix, sets, i), f"{at}/found")
@@ -220,14 +221,15 @@ HEADS, WORTH = 5, 0.01
 _FITS = "na * 100 >= nb * 80 and nb * 100 >= na * 80 and (1 + least(na - pa, nb - pb)) * 9 >= 4 * (na + nb)"
 
 
-def _prefix(rows: DataFrame, path: str) -> DataFrame:
-    """(token, key, n, grp, place): tokens of several groups among each class's first n - least_common(n) + 1, rarest first.
+def _placed(told: DataFrame) -> DataFrame:
+    """(token, key, n, grp, place) of open classes: their tokens that several groups have, with the place of each, rarest first.
 
-    Tokens of one group only can't be common with another; they come first and fill up the prefix.
+    Tokens of one group only can't be common with another; they come first and fill up the prefix, which is a class's first n - least_common(n) + 1.
     """
-    order = F.row_number().over(Window.partitionBy("key").orderBy("classes", "token"))
-    prefix = rows.withColumn("place", F.col("n") - F.col("shared") + order).where(F.col("place") <= F.col("n") - least_common(F.col("n")) + 1)
-    return save(prefix.select("token", "key", "n", "grp", "place"), f"{path}/prefix")
+    mine = Window.partitionBy("key").orderBy("classes", "token")
+    whole = mine.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    open_ = told.withColumn("shared", F.count(F.lit(1)).over(whole)).where(F.col("shared") >= least_common(F.col("n")))
+    return open_.select("token", "key", "n", "grp", (F.col("n") - F.col("shared") + F.row_number().over(mine)).alias("place"))
 
 
 def _with_heads(prefix: DataFrame, sets: DataFrame, i: int) -> DataFrame:
