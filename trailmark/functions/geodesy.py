@@ -113,6 +113,11 @@ def to_earth_centred(x: Column, y: Column, z: Column, crs: Column) -> Column:
     return F.when(crs == "EPSG:4978", F.array(x, y, z)).when(crs == "EPSG:4979", earth_centred(x, y, z))
 
 
+def position_constraint(x: Column, y: Column, z: Column, crs: Column, rotation: Column, translation: Column) -> Column:
+    """Where a point must be in the local frame: itself if its system is "local" (in any case), else by way of Earth-centred axes; null for unknown systems."""
+    return F.when(F.lower(crs) == "local", F.array(x, y, z)).otherwise(to_frame(rotation, translation, to_earth_centred(x, y, z, crs)))
+
+
 def horizontal_constraint(lat: Column, lon: Column, low: Column, high: Column) -> Column:
     """STRUCT<P, d>: a point that lies on the vertical through (lat, lon) has P p = d.
 

@@ -117,3 +117,8 @@ def pair_partners(pairs: DataFrame, images: DataFrame) -> DataFrame:
     """Rows of pairs (pair_id, a, b) for each image (id) that is either side, with the other one."""
     sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("s"))
     return images.join(sides.select("pair_id", "s.id", "s.other"), "id").select("id", "pair_id", "other")
+
+
+def observation_times(observations: DataFrame, observers: DataFrame, by: list[str]) -> DataFrame:
+    """by, observer_id and t of the observations that have a time, by observers of that list: when a trajectory is seen, a row for each time."""
+    return observations.where("t is not null").join(observers.select("observer_id").distinct(), "observer_id", "left_semi").select(*by, "observer_id", "t")

@@ -109,3 +109,9 @@ def validity(raster: DataFrame, shown: int = 15) -> DataFrame:
 
 def bounding_box(points: DataFrame, by: list[str]) -> DataFrame:
     return points.groupBy(*by).agg(*[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))])
+
+
+def max_normalised(pixels: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """pixels with value divided by the largest one of its raster, or by 1 where that is below 1; values that aren't numbers count for nothing."""
+    top = pixels.where(~F.isnan(value)).groupBy(*by).agg(F.greatest(F.max(value), F.lit(1.0)).alias("top"))
+    return pixels.join(top, by, "left").withColumn(value, F.col(value) / F.coalesce("top", F.lit(1.0))).drop("top")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rotations as R
-from ..functions.vectors import add, scale, subtract, vector
+from ..functions.vectors import add, scale, subtract, times_vector, vector
 from .timeseq import integrals, neighbours, regular_grid
 
 
@@ -25,6 +25,12 @@ def gyro_rotation(gyro: DataFrame, intervals: DataFrame, by: list[str], width: f
     return ordered.withColumn("q", q).select(*by, "k", "t0", "tf", R.vector_of_quaternion(F.col("q")).alias("r"))
 
 
+def mounted(samples: DataFrame, mountings: DataFrame, by: list[str]) -> DataFrame:
+    """samples with their vectors v turned by the mounting (a matrix, row by row) of their sensor; those without one stay as they are."""
+    turned = F.when(F.col("mounting").isNull(), F.col("v")).otherwise(times_vector(F.col("mounting"), F.col("v")))
+    return samples.join(mountings.select(*by, "mounting"), by, "left").withColumn("v", turned).drop("mounting")
+
+
 def pose_at(poses: DataFrame, probes: DataFrame, by: list[str], bucket: float | None = None) -> DataFrame:
     """probes with the interpolated pose: the relative rotation's vector and the translation scaled by the time's share."""
     n = neighbours(poses.withColumnRenamed("pose", "value"), probes, by, bucket)

@@ -216,4 +216,11 @@ def graph_bipartite(spark, d):
     return gr.bipartite(i, p, obs, 6, 5)
 
 
+@_R.add("catalog_observation_times", "SELECT l_orderkey AS trajectory_id, l_suppkey AS observer_id, l_quantity::DOUBLE AS t FROM lineitem WHERE l_linenumber < 5 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def catalog_observation_times(spark, d):
+    o = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("trajectory_id"), F.col("l_suppkey").alias("observer_id"), F.when(F.col("l_linenumber") < 5, F.col("l_quantity").cast("double")).alias("t"))
+    observers = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("observer_id"))
+    return cat.observation_times(o, observers, ["trajectory_id"])
+
+
 QUERIES, ORACLES = _R.queries, _R.oracles

@@ -13,6 +13,7 @@ from ..functions.vectors import dot, rotated_covariance, vector
 from ..operators import estimation as est
 from ..operators import matching as mt
 from ..operators import rasters as ra
+from ..operators.cameras import view_table
 from .common import Registry, rounded, sql_rounded, table
 
 _R = Registry()
@@ -369,4 +370,39 @@ def estimation_landmark_report(spark, d):
     return rep.select("landmark_id", "n_images", r(F.col("mean_error")).alias("mean_error"), r(F.col("max_error")).alias("max_error"))
 
 
+@_R.add("raster_max_normalised", f"WITH p AS (SELECT p_partkey AS id, p_partkey % 9 AS g, p_size / CASE WHEN p_partkey % 9 = 0 THEN 100.0::DOUBLE ELSE 20 END AS v FROM part) SELECT id, g, {sr('v / greatest(max(v) OVER (PARTITION BY g), 1)')} AS value FROM p")
+def raster_max_normalised(spark, d):
+    g = F.col("p_partkey") % 9
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), g.alias("g"), (F.col("p_size") / F.when(g == 0, 100.0).otherwise(20.0)).alias("value"))
+    return ra.max_normalised(p, ["g"]).withColumn("value", r(F.col("value")))
+
+
+@_R.add(
+    "geodesy_position_constraint",
+    f"""WITH {PLACE}, {ECEF}, q AS (SELECT id, id % 4 AS k, CASE id % 4 WHEN 0 THEN lat WHEN 1 THEN 1 - lon WHEN 2 THEN 1 - y END AS a, CASE id % 4 WHEN 0 THEN lon WHEN 1 THEN lat + 2 WHEN 2 THEN x + 2 END AS b, CASE id % 4 WHEN 0 THEN h WHEN 1 THEN h + 3 WHEN 2 THEN z + 3 END AS c FROM ec)
+    SELECT id, {sr('a', 3)} AS x, {sr('b', 3)} AS y, {sr('c', 3)} AS z FROM q""",
+)
+def geodesy_position_constraint(spark, d):
+    crs = F.array(*[F.lit(c) for c in ("Local", "EPSG:4978", "EPSG:4979", "EPSG:1")])[(F.col("id") % 4).cast("int")]
+    c = geo.position_constraint(F.col("lat"), F.col("lon"), F.col("h").cast("double"), crs, vector(0, -1, 0, 1, 0, 0, 0, 0, 1), vector(1, 2, 3))
+    return _places(spark, d).withColumn("c", c).select("id", *_components("c", "xyz", 3))
+
+
+@_R.add(
+    "camera_view_table",
+    f"""WITH c AS (SELECT s_suppkey AS id, s_suppkey % 20 + 1 AS n, s_suppkey AS k FROM supplier), p AS (SELECT *, unnest(range(n)) AS u FROM c), s AS (SELECT *, (u - n / 2.0::DOUBLE) / n AS s FROM p)
+    SELECT id, u, {sr('u - CASE WHEN k % 4 = 0 THEN n / 2.0::DOUBLE ELSE 7 END + CASE WHEN k % 2 = 0 THEN 0 ELSE 0.1 + 0.2 * s - 0.3 * s * s END')} AS dx, {sr('0.5 * s * s * s * s * s')} AS dy,
+    CASE WHEN k % 5 = 0 THEN 120.0::DOUBLE WHEN k % 3 = 0 THEN n::DOUBLE ELSE 100.0::DOUBLE END AS dz FROM s""",
+)
+def camera_view_table(spark, d):
+    k, none = F.col("s_suppkey"), F.lit(None)
+    c = table(spark, d, "supplier").select(
+        k.alias("id"), (k % 20 + 0.5).cast("double").alias("width"), F.when(k % 3 != 0, 100.0).alias("f"), F.when(k % 4 != 0, 7.0).alias("pp"),
+        F.when(k % 2 != 0, F.array(F.lit(0.1), F.lit(0.2), F.lit(-0.3), none.cast("double"), F.lit(0.0), F.lit(0.0))).alias("a"), vector(0, 0, 0, 0, 0, 0.5).alias("b"),
+        F.when(k % 5 == 0, 120.0).alias("opt_f"), none.cast("double").alias("opt_pp"), none.cast("array<double>").alias("opt_a"), none.cast("array<double>").alias("opt_b"),
+    )
+    t = view_table(c, ["id"], optimized=True)
+    return t.select("id", F.col("u").cast("long").alias("u"), *_components("direction", ("dx", "dy", "dz")))
+
+
 QUERIES, ORACLES = _R.queries, _R.oracles

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.rotations import rotation_matrix
 from ..functions.vectors import vector
 from ..operators import timeseq as ts
 from ..operators import trajectories as tr
@@ -271,4 +272,15 @@ def trajectory_centred(spark, d):
     return c.select("user_id", r(F.col("t"), 3).alias("t"), r(F.col("pose.t")[0] + 1.3e-7, 4).alias("x"))
 
 
+@_R.add(
+    "trajectory_mounted",
+    f"WITH {EV}, a AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id * 0.1::DOUBLE END AS z FROM ev) SELECT event_id, {sr('cos(z) * value - sin(z)')} AS x, {sr('sin(z) * value + cos(z)')} AS y, 2.0::DOUBLE AS z FROM a",
+)
+def trajectory_mounted(spark, d):
+    e = events(spark, d).select("user_id", "event_id", vector(F.col("value"), F.lit(1.0), F.lit(2.0)).alias("v"))
+    m = e.select("user_id").distinct().where("user_id % 3 <> 0")
+    m = m.withColumn("mounting", rotation_matrix(vector(F.lit(0.0), F.lit(0.0), F.col("user_id") * 0.1)))
+    return tr.mounted(e, m, ["user_id"]).select("event_id", *[r(F.col("v")[i]).alias(n) for i, n in enumerate("xyz")])
+
+
 QUERIES, ORACLES = _R.queries, _R.oracles
