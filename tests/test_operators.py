@@ -53,6 +53,45 @@ def test_gyro_of_constant_rate(spark):
     assert np.allclose(v["dv"], [1, 0, 9.81], atol=1e-6)
 
 
+def _turning(spark, w=0.8, force=(0.5, -0.25, 1.0), n=240, step=0.01):
+    """Poses, gyro and accelerometer of a body that turns about z and is pushed by a constant force."""
+    turn = lambda x: np.array([[np.cos(x), -np.sin(x), 0], [np.sin(x), np.cos(x), 0], [0, 0, 1.0]])
+    at = [i * step for i in range(n)]
+    poses = [(1, t, ([0.0, 0.0, w * t], (0.5 * np.array(force) * t * t).tolist())) for t in at]
+    acc = [(1, t, (turn(w * (t + step / 2)).T @ (np.array(force) + [0, 0, 9.81])).tolist()) for t in at]
+    series = lambda rows: spark.createDataFrame(rows, "s int, t double, value array<double>")
+    return spark.createDataFrame(poses, "s int, t double, pose struct<r:array<double>,t:array<double>>"), series([(1, t, [0.0, 0.0, w]) for t in at]), series(acc)
+
+
+def test_alignment_of_a_turning_body(spark):
+    poses, gyro, acc = _turning(spark)
+    rows = trajectories.alignment(poses, gyro, acc, ["s"], 0.5).orderBy("k").collect()
+    assert len(rows) > 70 and all(a["tf"] == b["t0"] for a, b in zip(rows[:-1], rows[1:], strict=True))
+    for row in rows:
+        assert np.allclose(row["rot_gyro"], row["rot_poses"], atol=1e-6) and np.isclose(row["rot_poses"][2], 0.8 * (row["tf"] - row["t0"]))
+    full = [r for r in rows if r["m0"] is not None]
+    assert 0 < len(rows) - len(full) <= 2
+    for row in full:
+        x = 0.8 * row["m0"]
+        want = [0.5 * np.cos(x) - 0.25 * np.sin(x), -0.5 * np.sin(x) - 0.25 * np.cos(x), 1.0]
+        assert np.allclose(row["acc_poses"], want, atol=1e-6) and np.allclose(row["acc_sensor"], want, atol=0.02)
+
+
+def test_segments_by_a_slow_scan(spark):
+    rng = np.random.default_rng(5)
+    times = {s: np.sort(np.round(rng.uniform(0, 20, 300), 1)) for s in range(4)} | {9: np.zeros(5)}
+    rows = [(s, float(t), ([0.0, 0.0, 0.0], [float(t), 0.0, 0.0])) for s, ts in times.items() for t in ts] + [(1, None, None), (1, float("nan"), None)]
+    got = trajectories.segments(spark.createDataFrame(rows, "s int, t double, pose struct<r:array<double>,t:array<double>>"), ["s"], F.lit(0.75)).collect()
+    want = []
+    for s, ts in times.items():
+        at = ts[0]
+        for t in ts:
+            if t >= at + 0.75:
+                want.append((s, at, t))
+                at = t
+    assert sorted((r["s"], r["t0"], r["tf"]) for r in got) == want and all(r["b"]["t"][0] == r["tf"] for r in got)
+
+
 def test_rotation_of_half_a_turn(spark):
     df = spark.range(1).select(rotations.rotation_vector(rotations.rotation_matrix(vector(0, np.pi, 0))).alias("r"), rotations.vector_of_components(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(2.0)).alias("q"))
     r = df.first()

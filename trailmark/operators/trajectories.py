@@ -1,14 +1,15 @@
 """Trajectories: poses over time, inertial pre-integration, comparison and consistency.
 
 A product of rotations has an order, so it isn't a mergeable aggregate; each interval's pieces are bounded by its length, and are
-put in order and multiplied within the row by array functions. What runs greedily along a trajectory runs in one Arrow group for each trajectory.
+put in order and multiplied within the row by array functions. What runs greedily along a trajectory reads it as a stream, in order of time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rotations as R
@@ -125,38 +126,72 @@ def accelerometer_velocity(gyro: DataFrame, acc: DataFrame, intervals: DataFrame
     return ddl.groupBy(*by, "k").applyInPandas(one, schema)
 
 
-def consistency(poses: DataFrame, gyro: DataFrame, by: list[str], least: float = 0.5) -> DataFrame:
-    """Greedy segments of at least `least` seconds of each trajectory with the gyro's rotation error (err, 3) against the poses'.
+def _segment_starts(batches):
+    """Rows come series by series in order of t, _i counting from 1: those that begin a segment. From batch to batch only a time is held over."""
+    until = 0.0
+    for b in batches:
+        t, least, place = (b.column(c).to_numpy() for c in ("t", "_least", "_i"))
+        mark = np.zeros(len(t), bool)
+        cuts = np.unique(np.concatenate(([0], np.flatnonzero(place == 1), [len(t)])))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            k = lo if place[lo] == 1 else lo + int(np.searchsorted(t[lo:hi], until))
+            while k < hi:
+                mark[k] = True
+                until = t[k] + least[k]
+                k += 1 + int(np.searchsorted(t[k + 1 : hi], until))
+        yield b.filter(pa.array(mark))
+
+
+def _in_order(poses: DataFrame, by: list[str], *more) -> DataFrame:
+    timed = poses.where("t is not null and not isnan(t)")
+    return timed.select(*by, "t", "pose", *more).withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("t")).cast("long"))
 
-    A trajectory's samples meet in one group: a segment begins where the last one ended, which only an order can tell.
+
+def segments(poses: DataFrame, by: list[str], least: Column) -> DataFrame:
+    """Greedy segments: each begins where the last one ended and ends at the first pose that is `least` seconds later at least.
+
+    by, k (place of its first pose), steps (poses that it spans), t0, tf and the poses a and b. The scan reads a series as a stream and holds one time.
     """
-    p = poses.select(*by, "t", F.col("pose.r").alias("v"), F.lit("p").alias("kind"))
-    g = gyro.select(*by, "t", F.col("value").alias("v"), F.lit("g").alias("kind"))
+    ranked = _in_order(poses, by, least.cast("double").alias("_least"))
+    starts = ranked.mapInArrow(_segment_starts, ranked.schema)
+    after = lambda c: F.lead(c).over(Window.partitionBy(*by).orderBy("_i"))
+    both = starts.select(*by, F.col("_i").alias("k"), (after("_i") - F.col("_i")).alias("steps"), F.col("t").alias("t0"), after("t").alias("tf"), F.col("pose").alias("a"), after("pose").alias("b"))
+    return both.where("tf > t0")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ps, gs = (pdf[pdf["kind"] == x].sort_values("t") for x in "pg")
-        t, out = ps["t"].to_numpy(), []
-        tg, wg = gs["t"].to_numpy(), np.array(gs["v"].tolist()).reshape(-1, 3)
-        i = 0
-        while i < len(t) - 1 and len(tg):
-            j = int(np.searchsorted(t, t[i] + least))
-            if j >= len(t):
-                break
-            cuts = np.concatenate(([t[i]], tg[(tg > t[i]) & (tg < t[j])], [t[j]]))
-            turn = np.eye(3)
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                turn = turn @ _exp(wg[max(0, int(np.searchsorted(tg, lo, "right")) - 1)] * (hi - lo))
-            real = _exp(np.array(ps["v"].iloc[i])).T @ _exp(np.array(ps["v"].iloc[j]))
-            out.append((t[i], t[j], _log(real.T @ turn).tolist()))
-            i = j
-        made = pd.DataFrame(out, columns=["t0", "tf", "err"])
-        for c in by:
-            made[c] = pdf[c].iloc[0]
-        return made[[*by, "t0", "tf", "err"]]
-
-    both = p.unionByName(g)
-    schema = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in by) + ", t0 double, tf double, err array<double>"
-    return both.groupBy(*by).applyInPandas(one, schema)
+
+def consistency(poses: DataFrame, gyro: DataFrame, by: list[str], least: float = 0.5) -> DataFrame:
+    """Greedy segments of at least `least` seconds of each trajectory with the gyro's rotation error (err, 3) against the poses'."""
+    s = segments(poses, by, F.lit(least))
+    turned = gyro_rotation(gyro, s.select(*by, "k", "t0", "tf"), by, least).select(*by, "k", "r")
+    q = lambda r: R.quaternion_of_vector(r)
+    error = R.times_quaternion(R.times_quaternion(q(scale(F.col("b.r"), -1.0)), q(F.col("a.r"))), q(F.col("r")))
+    return s.join(turned, [*by, "k"]).withColumn("_q", error).select(*by, "t0", "tf", R.vector_of_quaternion(F.col("_q")).alias("err"))
+
+
+def alignment(poses: DataFrame, gyro: DataFrame, acc: DataFrame, by: list[str], width: float = 1.0) -> DataFrame:
+    """What sensors and poses say of each greedy segment of 0.1 s, or a hundredth of the trajectory if that is shorter.
+
+    by, k, t0, tf; rot_gyro and rot_poses, rotation vectors of the segment; m0 and m1, the middles of the segment and of as many poses after it, and
+    acc_sensor and acc_poses between these, in the axes at m0, without gravity (9.81 along z). These four are null where the trajectory ends before.
+    """
+    spans = poses.groupBy(*by).agg(F.least(F.lit(0.1), (F.max("t") - F.min("t")) / 100).alias("_span"))
+    s = segments(poses.join(spans, by), by, F.col("_span"))
+    third = _in_order(poses, by).select(*by, (F.col("_i")).alias("_j"), F.col("t").alias("t3"), F.col("pose").alias("c"))
+    s = s.withColumn("_j", F.col("k") + 2 * F.col("steps")).join(third, [*by, "_j"], "left").drop("_j")
+    relative = lambda p: R.compose(F.col("_back.r"), F.col("_back.t"), F.col(f"{p}.r"), F.col(f"{p}.t"))
+    s = s.withColumn("_back", R.inverse(F.col("a.r"), F.col("a.t"))).withColumn("_b", relative("b")).withColumn("_c", relative("c"))
+    s = s.withColumn("m0", F.when(F.col("t3") > F.col("tf"), (F.col("t0") + F.col("tf")) / 2)).withColumn("m1", F.when(F.col("t3") > F.col("tf"), (F.col("tf") + F.col("t3")) / 2))
+    half = scale(F.col("_b.r"), -0.5)
+    gravity = R.rotate(half, R.rotate(F.col("_back.r"), vector(0, 0, 9.81)))
+    per_second = lambda v, d: scale(v, 1 / F.nullif(d, F.lit(0.0)))
+    gain = subtract(per_second(subtract(F.col("_c.t"), F.col("_b.t")), F.col("t3") - F.col("tf")), per_second(F.col("_b.t"), F.col("tf") - F.col("t0")))
+    s = s.withColumn("_g", gravity).withColumn("_v", R.rotate(half, gain)).withColumn("acc_poses", F.when(F.col("m0").isNotNull(), per_second(F.col("_v"), F.col("m1") - F.col("m0"))))
+    turned = gyro_rotation(gyro, s.select(*by, "k", "t0", "tf"), by, width).select(*by, "k", F.col("r").alias("rot_gyro"))
+    middles = s.where("m0 is not null").select(*by, "k", F.col("m0").alias("t0"), F.col("m1").alias("tf"))
+    pushed = accelerometer_velocity(gyro, acc, middles, by, width).select(*by, "k", "dv")
+    both = s.join(turned, [*by, "k"], "left").join(pushed, [*by, "k"], "left")
+    sensed = subtract(per_second(F.col("dv"), F.col("m1") - F.col("m0")), F.col("_g"))
+    return both.select(*by, "k", "t0", "tf", "rot_gyro", F.col("_b.r").alias("rot_poses"), "m0", "m1", sensed.alias("acc_sensor"), "acc_poses")
 
 
 def error_statistics(errors: DataFrame, by: list[str]) -> DataFrame:
