@@ -48,4 +48,52 @@ r AS (SELECT rid, rid AS reached FROM s UNION SELECT r.rid, ways.y FROM r JOIN w
 SELECT any_value(s.doc_id) AS doc_id, any_value(len(s.sh))::BIGINT AS n_shingles, min(o.doc_id) AS component_id FROM r JOIN s ON r.rid = s.rid JOIN s o ON r.reached = o.rid GROUP BY r.rid
 """
 
-ORACLES = {"op4_substrings": SUBSTRINGS, "op9_ledger": LEDGER, "op10_jaccard": JACCARD}
+#: The same with two words, and which documents stay.
+MINHASH = (
+    JACCARD.replace("len(ws) < 5 ", "len(ws) < 2 ").replace("len(ws) - 3)", "len(ws))").replace("ws[i : i + 4]", "ws[i : i + 1]").replace("SELECT any_value(s.doc_id) AS doc_id", "SELECT *, doc_id IS NOT DISTINCT FROM component_id AS kept FROM (SELECT any_value(s.doc_id) AS doc_id").rstrip() + ")"
+)
+
+_FLOORED = lambda s, n: f"(({s} - ((({s} % {n}) + {n}) % {n})) // {n})::BIGINT"
+#: Each round compares every part with every entry.
+VECTOR_CODES = (
+    """
+WITH kept AS (SELECT vec_id, label, row_number() OVER () AS rid, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS o, list_transform(embedding, lambda x: floor(x::DOUBLE * 4096)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (SELECT rid, o, part, list_slice(v, part * (len(v) // 8) + 1, (part + 1) * (len(v) // 8)) AS v FROM kept, unnest(range(8)) AS u(part)),
+c0 AS MATERIALIZED (SELECT part, o - 1 AS entry, v FROM p WHERE o <= 16)"""
+    + "".join(
+        f""",
+a{i} AS MATERIALIZED (SELECT p.rid, p.part, min(struct_pack(d := list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), entry := c.entry)) AS m FROM p JOIN c{i} c USING (part) GROUP BY ALL)"""
+        + (
+            f""",
+s{i} AS (SELECT part, entry, place, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT a.part, a.m.entry AS entry, unnest(range(len(v))) AS place, unnest(v) AS x FROM a{i} a JOIN p ON a.rid = p.rid AND a.part = p.part) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT part, entry, list({_FLOORED("s", "n")} ORDER BY place) AS v FROM s{i} GROUP BY ALL) m USING (part, entry))"""
+            if i < 6
+            else ""
+        )
+        for i in range(7)
+    )
+    + """,
+e AS (SELECT rid, string_agg(printf('%02x', m.entry), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a6 GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+    (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM c6) AS codebooks_sha256 FROM kept JOIN e USING (rid)
+"""
+)
+
+#: CRC-32 bit by bit: a byte goes in, then eight steps (-1) follow.
+RESAMPLING = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+u AS MATERIALIZED (SELECT rid, unnest(ws) AS w FROM d),
+k AS MATERIALIZED (SELECT w, xor(list_reduce(flatten(list_transform(range(length(hex(encode(w))) // 2), lambda i: [('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc % 2 = 1 THEN xor(acc // 2, 3988292384) ELSE acc // 2 END, 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket
+    FROM (SELECT w FROM u UNION SELECT w FROM b)),
+s AS (SELECT bucket, count(*) AS s FROM u JOIN k USING (w) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (w) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM u) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+m AS (SELECT rid, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM u JOIN k USING (w) JOIN g USING (bucket) GROUP BY rid),
+x AS (SELECT rid, doc_id, len(ws) AS n, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN m USING (rid)),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n, weight) AS rank FROM x WHERE n >= 20)
+SELECT doc_id, n::BIGINT AS n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (rid)
+"""
+
+ORACLES = {"op4_substrings": SUBSTRINGS, "op9_ledger": LEDGER, "op10_jaccard": JACCARD, "op11_vector_codes": VECTOR_CODES, "op12_resampling": RESAMPLING, "op13_minhash": MINHASH}

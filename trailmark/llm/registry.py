@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, fingerprints, jaccard, ledger, mixture, oracles, paragraphs, quality, substrings, token_files, toxicity
+from . import contamination, fingerprints, jaccard, ledger, minhash, mixture, oracles, paragraphs, quality, resampling, substrings, token_files, toxicity, vector_codes
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_ledger": ledger.op9_ledger,
         "op10_jaccard": jaccard.op10_jaccard,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_resampling": resampling.op12_resampling,
+        "op13_minhash": minhash.op13_minhash,
     }
 
 

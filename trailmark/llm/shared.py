@@ -106,14 +106,15 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Words:
     """The words `[^ \\t-\\r]+` of a slice of documents, A-Z lower-cased.
 
-    start, end: byte positions in data; doc: row of each word, ascending; hash: 64 bits of the word.
+    start, end: byte positions in data; doc: row of each word, ascending; hash: 64 bits of the word. Other bytes than those of
+    `word_byte` (of lower-cased texts) part words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray = WORD_BYTE):
         data = LOWER[data]
         n = len(data)
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = WORD_BYTE[data]
+        inside[1:-1] = word_byte[data]
         begins = inside[1:-1] & ~inside[:-2]
         cuts = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < n)]
         begins[cuts] = inside[1:-1][cuts]
