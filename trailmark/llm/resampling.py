@@ -3,10 +3,10 @@
 Features are runs of 1 to `most` consecutive words, counted into hashed buckets of the documents and of the target texts. A document's weight is the mean
 log ratio of its features' buckets; with Gumbel noise of its id added, the highest weights are a draw without replacement.
 
-1. Texts are read once, in blocks of some MB. A block keeps its distinct words and its texts as places in this list.
-2. The dictionary maps each distinct word of all blocks to an id; a block gets the ids of its words back, so n-grams are tuples of ids.
-3. A block gives its distinct tuples with their counts; these are summed for each distinct tuple. Only then are a tuple's words looked up, joined by
-   spaces and hashed, once for each distinct tuple of the corpus.
+1. Texts are read once, in blocks of some MB. A block keeps its distinct words with their ids, 64-bit integers, its distinct n-grams as tuples of ids with
+   their counts, and its texts as places in this list of tuples.
+2. The dictionary holds each distinct word of all blocks with its id. Should two words ever have one id, which it shows, all is read again with other ids.
+3. Counts are summed for each distinct tuple. Only then are a tuple's words looked up, joined by spaces and hashed, once for each distinct tuple of the corpus.
 4. Counts by bucket give gains, gains go back to tuples, tuples to blocks, and a block adds them up for its rows.
 
 A word or tuple that every block has is one row for each block, summed before it is shuffled, and a skewed key of plain joins, which are split.
@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, Words, documents, fresh, save, slices, text_buffer, work_dir
+from .shared import LOWER, U64, Words, documents, fresh, save, slices, text_buffer, work_dir
 
 BUCKETS, LEAST_WORDS, PERCENT, SEED, SCALE = 10_000, 20, 10, 2024, 1000
 _PIECE = 1 << 22
@@ -78,9 +79,9 @@ def _grams(place: np.ndarray, size: np.ndarray, skip: np.ndarray, most: int):
     return tuples, which.ravel()[order], owner[order]
 
 
-def _blocks(most: int):
-    """Rows (target, doc_id, text) to blocks: rows, ids, words and features of each text, tuple of each feature, distinct words, distinct tuples of
-    places among these with their counts.
+def _blocks(most: int, salt: int):
+    """Rows (target, doc_id, text) to blocks: rows, ids, words and features of each text, tuple of each feature, distinct words and their ids,
+    distinct tuples of ids (columns g0, g1, ..., null beyond a tuple's end) with their counts.
     """
 
     def run(batches):
@@ -96,25 +97,29 @@ def _blocks(most: int):
                 tuples, which, owner = _grams(place.ravel(), size, skip, most)
                 wanted = target.to_numpy(zero_copy_only=False).astype(bool)[rows][owner]
                 of = [np.bincount(which[x], minlength=len(tuples)) for x in (~wanted, wanted)]
-                length = (w.end - w.start)[at]
-                ends = np.cumsum(length)
-                letters = w.data[np.repeat(w.start[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
-                words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int64)), pa.py_buffer(letters.tobytes())])
-                grams = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum((tuples >= 0).sum(1)))), pa.int32()), pa.array(tuples[tuples >= 0].astype(np.int32)))
+                raw = w.data.tobytes()
+                words = [raw[i:j] for i, j in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
+                known = np.array([xxhash.xxh64_intdigest(x, salt) for x in words], U64).view(np.int64)
+                grams = [pa.array(known[t], mask=t < 0) if len(known) else pa.array([], pa.int64()) for t in tuples.T]
                 block = base + count
                 count += 1
                 # A text's pieces share the row number of the first one.
                 row = np.array([first.setdefault(r, block << _ROW | k) for k, r in enumerate(rows.tolist())], np.int64)
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 take = pa.array(rows)
-                lists = [target.take(take), pa.array(row), ids.take(take), pa.array(size - skip), pa.array(np.bincount(owner, minlength=len(rows))), words.cast(pa.binary()).cast(pa.string()), grams, *map(pa.array, of)]
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([which.astype(np.uint16 if len(tuples) <= 1 << 16 else np.uint32).tobytes()], pa.binary()), *map(one, lists)], names=_BLOCK_NAMES)
+                lists = [target.take(take), pa.array(row), ids.take(take), pa.array(size - skip), pa.array(np.bincount(owner, minlength=len(rows))), pa.array(words, pa.binary()).cast(pa.string()), pa.array(known), *map(pa.array, of), *grams]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([which.astype(np.uint16 if len(tuples) <= 1 << 16 else np.uint32).tobytes()], pa.binary()), *map(one, lists)], names=_block_names(most))
 
     return run
 
 
-_BLOCK_DDL = "block long, which binary, target array<boolean>, row array<long>, doc_id array<long>, n_words array<long>, n_features array<long>, words array<string>, grams array<array<int>>, of_docs array<long>, of_target array<long>"
-_BLOCK_NAMES = [x.split()[0] for x in _BLOCK_DDL.split(", ")]
+def _block_ddl(most: int) -> str:
+    longs = ["of_docs", "of_target", *(f"g{k}" for k in range(most))]
+    return "block long, which binary, target array<boolean>, row array<long>, doc_id array<long>, n_words array<long>, n_features array<long>, words array<string>, ids array<long>, " + ", ".join(f"{c} array<long>" for c in longs)
+
+
+def _block_names(most: int) -> list[str]:
+    return [x.split()[0] for x in _block_ddl(most).split(", ")]
 
 
 def _sums(batches):
@@ -124,7 +129,7 @@ def _sums(batches):
             gains = b.column("gains")[i].values.to_numpy() if b.column("gains")[i].is_valid else np.zeros(0, np.int64)
             n = b.column("n_features")[i].values.to_numpy()
             which = np.frombuffer(b.column("which")[i].as_buffer(), np.uint16 if len(gains) <= 1 << 16 else np.uint32)
-            upto = np.concatenate(([0], np.cumsum(gains[which])))
+            upto = np.concatenate(([0], np.cumsum(gains[which], dtype=np.int64)))
             ends = np.cumsum(n)
             keep = pa.array(~b.column("target")[i].values.to_numpy(zero_copy_only=False).astype(bool))
             columns = [*(b.column(c)[i].values for c in ("row", "doc_id", "n_words", "n_features")), pa.array(upto[ends] - upto[ends - n])]
@@ -132,15 +137,16 @@ def _sums(batches):
 
 
 def dictionary(blocks: DataFrame, path: str) -> DataFrame:
-    """(word, id) of the distinct words of all blocks; ids are written with the words, so they stay."""
-    return save(blocks.select(F.explode("words").alias("word")).distinct().withColumn("id", F.monotonically_increasing_id()), f"{path}/dictionary")
+    """(id, word) of the distinct words of all blocks, and `words`, how many have the id."""
+    listed = blocks.select(F.explode(F.arrays_zip("ids", "words")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.words").alias("word"))
+    return save(listed.groupBy("id").agg(F.min("word").alias("word"), F.max("word").alias("last")).select("id", "word", (F.col("word") != F.col("last")).alias("shared")), path)
 
 
-def spelled(grams: DataFrame, words: DataFrame, most: int) -> Column:
-    """grams (gram, ...) with text: the tuple's words, joined by spaces."""
+def spelled(grams: DataFrame, words: DataFrame, most: int) -> DataFrame:
+    """grams (g0, g1, ...) with text: the tuple's words, joined by spaces."""
     for k in range(most):
-        own = words.select(F.col("id").alias(f"i{k}"), F.col("word").alias(f"w{k}"))
-        grams = grams.withColumn(f"g{k}", F.get("gram", F.lit(k))).join(own, F.col(f"g{k}") == F.col(f"i{k}"), "left" if k else "inner").drop(f"i{k}", f"g{k}")
+        own = words.select(F.col("id").alias(f"g{k}"), F.col("word").alias(f"w{k}"))
+        grams = grams.join(own, f"g{k}", "left" if k else "inner")
     return grams.withColumn("text", F.concat_ws(" ", *[f"w{k}" for k in range(most)])).drop(*[f"w{k}" for k in range(most)])
 
 
@@ -148,24 +154,30 @@ def weights(docs: DataFrame, target: DataFrame, most: int = 1, buckets: int = BU
     """row, doc_id, n_words, n_features, weight of each row of docs (doc_id, text) against the texts of target (text); row is a number of the row's own."""
     path = work_dir(docs.sparkSession, "resampling")
     both = docs.select(F.lit(False).alias("target"), F.col("doc_id").cast("long").alias("doc_id"), "text").unionAll(target.select(F.lit(True), F.lit(None).cast("long"), "text"))
-    blocks = save(both.mapInArrow(_blocks(most), _BLOCK_DDL), f"{path}/blocks")
-    words = dictionary(blocks, path)
-    listed = blocks.select("block", F.posexplode("words").alias("at", "word")).join(words, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("ids"))
-    coded = blocks.select("block", "grams", "of_docs", "of_target").join(listed.select("block", F.col("ids.id").alias("ids")), "block")
-    coded = coded.select("block", F.transform("grams", lambda g: F.transform(g, lambda at: F.get("ids", at))).alias("gram"), "of_docs", "of_target")
-    rows = save(coded.select("block", F.posexplode(F.arrays_zip("gram", "of_docs", "of_target")).alias("f", "x")).select("block", "f", "x.*"), f"{path}/tuples")
-    grams = rows.groupBy("gram").agg(F.sum("of_docs").alias("s"), F.sum("of_target").alias("t"))
+    for salt in range(8):
+        blocks = save(both.mapInArrow(_blocks(most, salt), _block_ddl(most)), f"{path}/blocks{salt}")
+        words = dictionary(blocks, f"{path}/dictionary{salt}")
+        if words.where("shared").isEmpty():
+            break
+    gram = [f"g{k}" for k in range(most)]
+    zipped = blocks.select(F.explode(F.arrays_zip(*gram, "of_docs", "of_target")).alias("x")).select("x.*")
+    counted = zipped.groupBy(*gram).agg(F.sum("of_docs").alias("s"), F.sum("of_target").alias("t"))
     bucket = F.crc32(F.encode("text", "utf-8")) % buckets
-    grams = save(spelled(grams, words, most).select("gram", bucket.alias("bucket"), "s", "t"), f"{path}/grams")
+    grams = save(spelled(counted, words, most).select(*gram, bucket.alias("bucket"), "s", "t"), f"{path}/grams")
     counts = grams.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))  # a row for each bucket
     totals = counts.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("S"), F.coalesce(F.sum("t"), F.lit(0)).alias("T")).first()
     of = lambda c: (F.col(c) + 1).cast("double")
     ratio = of("t") * F.lit(float(totals["S"] + buckets)) / (of("s") * F.lit(float(totals["T"] + buckets)))
-    gains = counts.select("bucket", F.floor(SCALE * F.log(ratio)).cast("long").alias("gain"))
-    found = rows.select("block", "f", "gram").join(grams.join(gains, "bucket").select("gram", "gain"), "gram")
-    found = found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("f", "gain"))).alias("gains"))
-    known = blocks.select("block", "which", "target", "row", "doc_id", "n_words", "n_features")
-    parts = known.join(found.select("block", F.col("gains.gain").alias("gains")), "block", "left").mapInArrow(_sums, "row long, doc_id long, n_words long, n_features long, gain long")
+    gains = counts.select("bucket", F.floor(SCALE * F.log(ratio)).cast("int").alias("gain"))
+    known = grams.join(gains, "bucket").select(*[F.col(g).alias(f"k{g}") for g in gram], "gain")
+    placed = blocks.select("block", F.posexplode(F.arrays_zip(*gram)).alias("f", "x")).select("block", "f", "x.*")
+    on = F.col("g0") == F.col("kg0")
+    for g in gram[1:]:
+        on = on & F.col(g).eqNullSafe(F.col(f"k{g}"))
+    found = placed.join(known, on).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("f", "gain"))).alias("gains"))
+    found = save(found.select("block", F.col("gains.gain").alias("gains")), f"{path}/gains")
+    texts = blocks.select("block", "which", "target", "row", "doc_id", "n_words", "n_features").join(found, "block", "left")
+    parts = texts.mapInArrow(_sums, "row long, doc_id long, n_words long, n_features long, gain long")
     every = parts.groupBy("row").agg(F.min("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_words", "n_features", "gain")])
     weight = F.when(F.col("n_features") > 0, F.floor(F.col("gain") / F.col("n_features"))).otherwise(0).cast("long")
     return every.select("row", "doc_id", "n_words", "n_features", weight.alias("weight"))
