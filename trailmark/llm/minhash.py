@@ -6,10 +6,12 @@ everything below is on classes.
 1. Signature: the minima of BANDS * ROWS functions (a x + b mod 2^64) >> 32 over the set, with odd a and any b.
 2. Banding: the ROWS minima of each band are a bucket. Two sets of similarity s share one of their buckets with probability 1 - (1 - s^ROWS)^BANDS; at
    0.8 that misses 5 in 10^7.
-3. Candidates of a bucket: each class with the bucket's first class under a few orders by hash, then with twice as many in every pass, in so far as their groups (what
-   is linked so far) differ. What is in one group needs no further comparison, so thousands of near copies cost a few comparisons each. When passes find
-   little, all pairs of a bucket that are still in different groups follow, so none is left out.
-4. Verification: pairs whose signatures agree in under LEAST_AGREE of the minima go (at 0.8, less than one in 10^9 does); the others are
+3. Candidates of a bucket: each class with the bucket's first class by hash, then with twice as many in every pass, in so far as their groups (what
+   is linked so far) differ. What is in one group needs no further comparison, so thousands of near copies cost a few comparisons each. When passes find little,
+   all pairs of a bucket that are still in different groups follow, so no link is left out; but many copies, each with edits of its own, make very many such
+   pairs that fall just short. Of two sets of n and m shingles that link, at least 4 (n + m) / 9 are common. So with shingles in one order, those that occur
+   in few classes first, two sets that link have their first common shingle early in both: pairs are made from these first shingles, and then have to share a bucket.
+4. Verification: pairs whose signatures agree in under LEAST_AGREE of the minima go (at 0.8, less than two in 10^7 do); the others are
    compared on their full sets.
 5. Components of the links by alternating large-star and small-star steps, each a grouped minimum and a join, until nothing changes.
 
@@ -21,16 +23,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .jaccard import verify
+from .jaccard import least_common, verify
 from .shared import U64, Words, distinct_sets, documents, mix, save, slices, text_buffer, work_dir
 
 SHINGLE, ROWS, BANDS = 2, 6, 48
-LEAST_AGREE = 0.6
+LEAST_AGREE = 0.66
 #: Passes with 1, 2, 4, ... firsts of each bucket, and the share of the classes that a pass has to link for another one of its kind.
-PASSES, WORTH = 5, 0.01
+PASSES, WORTH = 4, 0.05
 _A = mix(np.arange(BANDS * ROWS)) | U64(1)
 _B = mix(np.arange(BANDS * ROWS) + (1 << 32))
 
@@ -96,13 +98,14 @@ def _full_sets(batches):
 
 def _agreeing(batches):
     for b in batches:
-        one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, len(_A)) for c in ("sa", "sb"))
-        keep = pa.array((one == two).mean(1) >= LEAST_AGREE) if b.num_rows else pa.array([], pa.bool_())
+        one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS) for c in ("sa", "sb"))
+        same = one == two
+        keep = pa.array((same.mean((1, 2)) >= LEAST_AGREE) & same.all(2).any(1))
         yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
 
 def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of keys whose signatures agree in LEAST_AGREE of the minima at least."""
+    """Pairs (a, b) of keys whose signatures agree in LEAST_AGREE of the minima at least, and in a whole band."""
     of = lambda k, s: classes.select(F.col("key").alias(k), F.col("signature").alias(s))
     return pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long")
 
@@ -130,18 +133,50 @@ def stars(edges: DataFrame, path: str, rounds: int = 100) -> DataFrame:
     raise RuntimeError("stars: not finished")
 
 
-def _candidates(buckets: DataFrame, i: int | None) -> DataFrame:
-    """Pairs (a, b) of different groups in a bucket, and of sizes that can link: with 2^i firsts of the bucket, or all of them."""
+def _candidates(buckets: DataFrame, i: int) -> DataFrame:
+    """Pairs (a, b) of different groups in a bucket, and of sizes that can link: its classes with 2^i firsts of the bucket."""
     one = buckets.select("bucket", F.col("key").alias("a"), F.col("n").alias("na"), "grp")
-    two = buckets.select("bucket", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("other"))
-    if i is not None:
-        drawn = buckets.withColumn("draw", F.explode(F.sequence(F.lit(1 << i), F.lit((2 << i) - 1))))
-        first = drawn.groupBy("bucket", "draw").agg(F.min(F.struct(F.xxhash64("key", "draw").alias("rank"), "key", "n", "grp")).alias("x"))
-        two = first.select("bucket", F.col("x.key").alias("b"), F.col("x.n").alias("nb"), F.col("x.grp").alias("other")).distinct()
-    met = one.join(two, "bucket").where("grp <> other and na * 100 >= nb * 80 and nb * 100 >= na * 80" + (" and a < b" if i is None else ""))
+    drawn = buckets.withColumn("draw", F.explode(F.sequence(F.lit(1 << i), F.lit((2 << i) - 1))))
+    first = drawn.groupBy("bucket", "draw").agg(F.min(F.struct(F.xxhash64("key", "draw").alias("rank"), "key", "n", "grp")).alias("x"))
+    two = first.select("bucket", F.col("x.key").alias("b"), F.col("x.n").alias("nb"), F.col("x.grp").alias("other")).distinct()
+    met = one.join(two, "bucket").where(f"grp <> other and {_SIZES}")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _placed(buckets: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+    """(key, n, token, place) of classes in buckets: shingles that several groups have, with their place, rare ones first.
+
+    Shingles of one group only can't be common with another group's; they come first. Only places that the first common shingle can have are kept.
+    """
+    rows = save(sets.join(buckets.select("key", "grp").distinct(), "key").select("key", "n", "grp", F.explode("tokens").alias("token")), f"{path}/tokens")
+    met = rows.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count(F.lit(1)).alias("classes")).where("low <> high").select("token", "classes")
+    mine = Window.partitionBy("key").orderBy("classes", "token")
+    whole = mine.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = rows.join(met, "token").select("key", "n", "token", F.row_number().over(mine).alias("at"), F.count(F.lit(1)).over(whole).alias("common"))
+    told = told.where(F.col("common") >= least_common(F.col("n"))).withColumn("place", F.col("n") - F.col("common") + F.col("at"))
+    return save(told.where(F.col("place") <= F.col("n") - least_common(F.col("n")) + 1).select("key", "n", "token", "place"), f"{path}/places")
+
+
+#: What sizes, places of a common shingle, and shingles in common with other groups allow to link.
+_SIZES = "na * 100 >= nb * 80 and nb * 100 >= na * 80"
+_FITS = f"grp <> other and {_SIZES} and (na < nb or na = nb and a < b) and (1 + least(na - pa, nb - pb)) * 9 >= (na + nb) * 4"
+
+
+def _rest(places: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different groups whose first common shingle may stand where it has to stand in two sets that link. The smaller set's is among its first n / 9 + 1."""
+    now = places.join(buckets.select("key", "grp").distinct(), "key")
+    one = now.where("place * 9 <= n + 9").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), "grp")
+    two = now.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("grp").alias("other"))
+    return one.join(two, "token").where(_FITS).select("a", "b").distinct()
+
+
+def _several(buckets: DataFrame, path: str) -> DataFrame:
+    """The rows of buckets that hold several groups."""
+    buckets = save(buckets, f"{path}/all_buckets")
+    several = buckets.groupBy("bucket").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("bucket")
+    return save(buckets.join(several, "bucket", "left_semi"), f"{path}/buckets")
+
+
 def links(docs: DataFrame, classes: DataFrame, path: str) -> DataFrame:
     """Links (a, b) of classes (key, n, signature, h) that hold a spanning forest of all that share a bucket and have a similarity of 0.8 at least."""
     spark = docs.sparkSession
@@ -156,23 +191,20 @@ def links(docs: DataFrame, classes: DataFrame, path: str) -> DataFrame:
         return edges
     texts = docs.join(open_.select("h").distinct(), "h", "left_semi").select("text").mapInArrow(_full_sets, "key long, n long, tokens array<long>")
     sets = save(texts.join(open_.select("key"), "key", "left_semi").dropDuplicates(["key"]), f"{path}/sets")
-    for i in [*range(PASSES), None]:
+    for i in range(PASSES):
         at = f"{path}/pass{i}"
-        pairs = save(agreeing(_candidates(buckets, i), open_), f"{at}/pairs")
-        found = save(verify(pairs, sets), f"{at}/found")
+        found = save(verify(agreeing(_candidates(buckets, i), open_), sets), f"{at}/found")
         edges, n_found = edges.unionAll(found), found.count()
-        if i is None:
-            break
         if n_found:
-            groups = stars(edges, at)
-            moved = buckets.drop("grp").join(groups.select(F.col("id").alias("key"), F.col("root").alias("grp")), "key", "left").select("key", "n", "bucket", F.coalesce("grp", "key").alias("grp"))
-            left = moved.groupBy("bucket").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("bucket")
-            buckets = save(moved.join(left, "bucket", "left_semi"), f"{at}/buckets")
+            groups = stars(edges, at).select(F.col("id").alias("key"), F.col("root").alias("grp"))
+            moved = buckets.drop("grp").join(groups, "key", "left").select("key", "n", "bucket", F.coalesce("grp", "key").alias("grp"))
+            buckets = _several(moved, at)
+        if i == 0:
+            places = _placed(buckets, sets, at)
+            buckets = _several(buckets.join(places.select("key").distinct(), "key", "left_semi"), f"{at}/able")
         if n_found < WORTH * n_open:
-            pairs = save(agreeing(_candidates(buckets, None), open_), f"{path}/rest/pairs")
-            edges = edges.unionAll(save(verify(pairs, sets), f"{path}/rest/found"))
             break
-    return edges
+    return edges.unionAll(save(verify(agreeing(_rest(places, buckets), open_), sets), f"{path}/rest"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
