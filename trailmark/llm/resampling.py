@@ -14,7 +14,7 @@ A word or tuple that every block has is one row for each block, summed before it
 Defined cases: a null or empty text has no feature, weight 0 and a score, and can't be drawn by the query (it has under 20 words); rows that repeat a doc_id keep a
 row each, with the same noise; a null doc_id has the noise of the empty string and comes last among ties; rows that tie in score, id and text are ranked one after
 another; an empty target counts 0 everywhere; an empty table gives an empty result; other columns are ignored. Texts of over 4 MB are
-read in pieces that share `most` - 1 words. Words within a block are told apart by 64 bits of hash.
+read in pieces that share `most` - 1 words.
 """
 
 from __future__ import annotations
@@ -26,36 +26,50 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, U64, Words, documents, fresh, save, slices, text_buffer, work_dir
+from .shared import U64, documents, fresh, save, work_dir
 
 BUCKETS, LEAST_WORDS, PERCENT, SEED, SCALE = 10_000, 20, 10, 2024, 1000
 _PIECE = 1 << 22
 #: Bits of a row's place in its block, and of a block's place in its task.
 _ROW, _BLOCK = 20, 22
 
-#: 1 where a byte of a lower-cased text belongs to a word: digits, letters and all beyond ASCII.
-WORD_BYTE = np.zeros(256, bool)
-WORD_BYTE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Lower-cases A-Z and makes a space of every byte that belongs to no word: words are digits, letters and all beyond ASCII.
+_PARTED = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray, overlap: int):
-    """(bytes, offsets, row of each text, words that each text repeats from the one before) of some MB each; texts beyond are cut between words."""
-    for i, j in slices(offsets, _PIECE):
-        own = data[offsets[i] : offsets[j]]
+def _pieces(texts: list[str | None], overlap: int):
+    """(row of each text, words of each text, words that each text repeats from the one before), of some MB in all; texts beyond are cut between words."""
+    rows, lists, size = [], [], 0
+    for r, t in enumerate(texts):
+        own = (t or "").encode().translate(_PARTED)
+        if rows and size + len(own) > _PIECE:
+            yield rows, lists, [0] * len(rows)
+            rows, lists, size = [], [], 0
         if len(own) <= _PIECE:
-            yield own, offsets[i : j + 1] - offsets[i], np.arange(i, j), np.zeros(j - i, np.int64)
+            rows.append(r)
+            lists.append(own.split())
+            size += len(own)
             continue
-        gaps = np.flatnonzero(~WORD_BYTE[LOWER[own]])
-        inside = WORD_BYTE[LOWER[own]]
-        begins = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
-        at = 0
+        at, before = 0, []
         while at < len(own):
-            g = np.searchsorted(gaps, at + _PIECE)
-            end = len(own) if g == len(gaps) else int(gaps[g])
-            before = begins[max(0, np.searchsorted(begins, at) - overlap) : np.searchsorted(begins, at)]
-            start = int(before[0]) if len(before) else at
-            yield own[start:end], np.array([0, end - start]), np.array([i]), np.array([len(before)])
-            at = end
+            end = own.find(b" ", at + _PIECE)
+            end = len(own) if end < 0 else end
+            words = before + own[at:end].split()
+            yield [r], [words], [len(before)]
+            at, before = end, words[max(0, len(words) - overlap) :]
+    if rows:
+        yield rows, lists, [0] * len(rows)
+
+
+def _packed(which: np.ndarray, owner: np.ndarray, n: int) -> bytes:
+    """Tuples of texts in ascending order for each text, as compressed steps from one to the next."""
+    kind = np.uint16 if n <= 1 << 16 else np.uint32
+    return pa.Codec("zstd").compress(np.diff(which[np.lexsort((which, owner))].astype(kind), prepend=kind(0)).tobytes(), asbytes=True)
+
+
+def _unpacked(raw: bytes, count: int, n: int) -> np.ndarray:
+    kind = np.uint16 if n <= 1 << 16 else np.uint32
+    return np.cumsum(np.frombuffer(pa.Codec("zstd").decompress(raw, count * kind().itemsize, asbytes=True), kind), dtype=kind)
 
 
 def _grams(place: np.ndarray, size: np.ndarray, skip: np.ndarray, most: int):
@@ -75,46 +89,41 @@ def _grams(place: np.ndarray, size: np.ndarray, skip: np.ndarray, most: int):
         tuples, which = np.arange(place.max() + 1 if len(place) else 0)[:, None], rows[:, 0]
     else:
         tuples, which = np.unique(rows, axis=0, return_inverse=True)
-    order = np.argsort(owner, kind="stable")
-    return tuples, which.ravel()[order], owner[order]
+    return tuples, which.ravel(), owner
 
 
 def _blocks(most: int, salt: int):
     """Rows (target, doc_id, text) to blocks: rows, ids, words and features of each text, tuple of each feature, distinct words and their ids,
-    distinct tuples of ids (columns g0, g1, ..., null beyond a tuple's end) with their counts.
+    distinct tuples of ids (columns g0, g1, ..., null beyond a tuple's end; single words have their ids only) with their counts.
     """
 
     def run(batches):
         base = TaskContext.get().partitionId() << _BLOCK
         count = 0
         for b in batches:
-            data, offsets = text_buffer(b.column("text"))
             target, ids, first = b.column("target"), b.column("doc_id"), {}
-            for own, cuts, rows, skip in _pieces(data, offsets, most - 1):
-                w = Words(own, cuts, WORD_BYTE)
-                _, at, place = np.unique(w.hash, return_index=True, return_inverse=True)
-                size = np.bincount(w.doc, minlength=len(rows))
-                tuples, which, owner = _grams(place.ravel(), size, skip, most)
+            for rows, lists, skip in _pieces(b.column("text").to_pylist(), most - 1):
+                size, skip = np.array([len(x) for x in lists]), np.array(skip)
+                coded = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
+                tuples, which, owner = _grams(coded.indices.to_numpy().astype(np.int64), size, skip, most)
                 wanted = target.to_numpy(zero_copy_only=False).astype(bool)[rows][owner]
                 of = [np.bincount(which[x], minlength=len(tuples)) for x in (~wanted, wanted)]
-                raw = w.data.tobytes()
-                words = [raw[i:j] for i, j in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)]
-                known = np.array([xxhash.xxh64_intdigest(x, salt) for x in words], U64).view(np.int64)
-                grams = [pa.array(known[t], mask=t < 0) if len(known) else pa.array([], pa.int64()) for t in tuples.T]
+                known = np.array([xxhash.xxh64_intdigest(x, salt) for x in coded.dictionary.to_pylist()], U64).view(np.int64)
+                grams = [pa.array(known[t], mask=t < 0) if len(known) else pa.array([], pa.int64()) for t in tuples.T] if most > 1 else []
                 block = base + count
                 count += 1
                 # A text's pieces share the row number of the first one.
-                row = np.array([first.setdefault(r, block << _ROW | k) for k, r in enumerate(rows.tolist())], np.int64)
+                row = np.array([first.setdefault(r, block << _ROW | k) for k, r in enumerate(rows)], np.int64)
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 take = pa.array(rows)
-                lists = [target.take(take), pa.array(row), ids.take(take), pa.array(size - skip), pa.array(np.bincount(owner, minlength=len(rows))), pa.array(words, pa.binary()).cast(pa.string()), pa.array(known), *map(pa.array, of), *grams]
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([which.astype(np.uint16 if len(tuples) <= 1 << 16 else np.uint32).tobytes()], pa.binary()), *map(one, lists)], names=_block_names(most))
+                lists = [target.take(take), pa.array(row), ids.take(take), pa.array(size - skip), pa.array(np.bincount(owner, minlength=len(rows))), coded.dictionary.cast(pa.string()), pa.array(known), *map(pa.array, of), *grams]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_packed(which, owner, len(tuples))], pa.binary()), *map(one, lists)], names=_block_names(most))
 
     return run
 
 
 def _block_ddl(most: int) -> str:
-    longs = ["of_docs", "of_target", *(f"g{k}" for k in range(most))]
+    longs = ["of_docs", "of_target", *(f"g{k}" for k in range(most) if most > 1)]
     return "block long, which binary, target array<boolean>, row array<long>, doc_id array<long>, n_words array<long>, n_features array<long>, words array<string>, ids array<long>, " + ", ".join(f"{c} array<long>" for c in longs)
 
 
@@ -128,7 +137,7 @@ def _sums(batches):
         for i in range(b.num_rows):
             gains = b.column("gains")[i].values.to_numpy() if b.column("gains")[i].is_valid else np.zeros(0, np.int64)
             n = b.column("n_features")[i].values.to_numpy()
-            which = np.frombuffer(b.column("which")[i].as_buffer(), np.uint16 if len(gains) <= 1 << 16 else np.uint32)
+            which = _unpacked(b.column("which")[i].as_py(), int(n.sum()), len(gains))
             upto = np.concatenate(([0], np.cumsum(gains[which], dtype=np.int64)))
             ends = np.cumsum(n)
             keep = pa.array(~b.column("target")[i].values.to_numpy(zero_copy_only=False).astype(bool))
@@ -137,9 +146,9 @@ def _sums(batches):
 
 
 def dictionary(blocks: DataFrame, path: str) -> DataFrame:
-    """(id, word) of the distinct words of all blocks, and `words`, how many have the id."""
+    """(id, word) of the distinct words of all blocks."""
     listed = blocks.select(F.explode(F.arrays_zip("ids", "words")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.words").alias("word"))
-    return save(listed.groupBy("id").agg(F.min("word").alias("word"), F.max("word").alias("last")).select("id", "word", (F.col("word") != F.col("last")).alias("shared")), path)
+    return save(listed.distinct(), path)
 
 
 def spelled(grams: DataFrame, words: DataFrame, most: int) -> DataFrame:
@@ -157,9 +166,10 @@ def weights(docs: DataFrame, target: DataFrame, most: int = 1, buckets: int = BU
     for salt in range(8):
         blocks = save(both.mapInArrow(_blocks(most, salt), _block_ddl(most)), f"{path}/blocks{salt}")
         words = dictionary(blocks, f"{path}/dictionary{salt}")
-        if words.where("shared").isEmpty():
+        if words.select("id").distinct().count() == words.count():
             break
     gram = [f"g{k}" for k in range(most)]
+    blocks = blocks if most > 1 else blocks.withColumnRenamed("ids", "g0")
     zipped = blocks.select(F.explode(F.arrays_zip(*gram, "of_docs", "of_target")).alias("x")).select("x.*")
     counted = zipped.groupBy(*gram).agg(F.sum("of_docs").alias("s"), F.sum("of_target").alias("t"))
     bucket = F.crc32(F.encode("text", "utf-8")) % buckets
