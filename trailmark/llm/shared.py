@@ -22,6 +22,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set, and no folder of one machine would do")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="trailmark-"))
         root = sc.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -32,14 +34,18 @@ def work_dir(spark: SparkSession, name: str) -> str:
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
-def save(df: DataFrame, path: str) -> DataFrame:
+#: For rows of some hundred KB: a page and a row group are looked at after a few of them, else their buffers outgrow an executor.
+WIDE_ROWS = {"parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "4", "parquet.block.size.row.check.min": "4", "parquet.block.size.row.check.max": "16", "parquet.block.size": str(16 << 20)}
+
+
+def save(df: DataFrame, path: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df as Parquet and read it back: cuts the lineage and outlives lost executors."""
     conf = df.sparkSession.conf
     before = {k: conf.get(k) for k in _WHILE_WRITING}
     for k, v in _WHILE_WRITING.items():
         conf.set(k, v)
     try:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**(options or {})).parquet(path)
     finally:
         for k, v in before.items():
             conf.set(k, v)
