@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Words, documents, save, slices, text_buffer, work_dir
+from .shared import Words, documents, fresh, save, slices, text_buffer, work_dir
 
-LEAST, COVERAGE, MOST_SEEDS = 5, 0.5, 1_000_000
+LEAST, COVERAGE, MOST_SEEDS, MOST_BYTES = 5, 0.5, 1_000_000, 64_000_000
 
 
 def greedy_tiles(item: list[int], text: list[int], places: list[int], least: int = LEAST) -> list[tuple[int, int, int]]:
@@ -185,10 +185,10 @@ def _doc_seeds(batches):
 def _small(benchmark: DataFrame, most_seeds: int):
     """A function that gives the broadcast items, or None where there are too many."""
     words = F.size(F.split("text", r"[\x20\x09-\x0D]+"))
-    n = benchmark.agg(F.sum(F.when(F.col("text").isNotNull(), words))).first()[0] or 0
-    if n > most_seeds:
+    n, rows, size = benchmark.agg(F.sum(F.when(F.col("text").isNotNull(), words)), F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    if (n or 0) > most_seeds or rows > most_seeds or (size or 0) > MOST_BYTES:
         return None
-    rows = benchmark.collect()  # at most most_seeds words
+    rows = benchmark.collect()  # at most most_seeds rows and words, and MOST_BYTES
     sent = benchmark.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] or "" for r in rows]))
     return lambda: Items(*sent.value)
 
@@ -224,8 +224,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, most_seeds: int = MOST_SEEDS) -
     # A text decides by itself whether its row goes.
     texts = docs.select(F.xxhash64("text").alias("d"), F.lit(None).cast("long").alias("doc_id"), "text")
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    bad = _joined(texts, benchmark, once=True).select(F.col("sha").alias("_sha")).distinct()
-    return docs.join(bad, F.sha2("text", 256) == F.col("_sha"), "left_anti").select(*docs.columns)
+    (sha,) = fresh(docs, "sha")
+    bad = _joined(texts, benchmark, once=True).select(F.col("sha").alias(sha)).distinct()
+    return docs.join(bad, F.sha2(F.col("text"), 256) == F.col(sha), "left_anti").select(*docs.columns)
 
 
 def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:

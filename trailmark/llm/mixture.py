@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.rounds import joined, placed
 from .shared import documents, fresh, save, work_dir
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -136,14 +137,17 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_stage(docs: DataFrame) -> DataFrame:
     """The mixed documents themselves: each as often as the mix takes it, with the columns of docs.
 
-    Texts are shuffled once, to meet their numbers of copies. Rows that repeat a doc_id meet a list and
-    take its entries in order of size; a list is as long as that doc_id has rows.
+    Rows of one doc_id, source and size are alike to the mix, so the plan says for these how many are taken twice and once, in two numbers. Where there are
+    several such rows, their place by hash of their text decides which; places are dealt by ranges, so very many rows of one id are many tasks' work.
     """
-    one_list, id_, n, k = fresh(docs, "list", "id", "n", "k")
-    plan = mix_sources(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("size", "copies"))).alias(one_list)).where(F.exists(one_list, lambda x: x["copies"] > 0))
-    met = docs.join(plan.withColumnRenamed("doc_id", id_), F.col("doc_id").eqNullSafe(F.col(id_))).drop(id_)
-    one = met.where(F.size(one_list) == 1).withColumn(n, F.col(one_list)[0]["copies"])
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(word_count(F.col("text")), F.xxhash64("text")))
-    more = met.where(F.size(one_list) > 1).withColumn(k, place).withColumn(n, F.col(one_list)[F.col(k) - 1]["copies"]).drop(k)
-    every = one.unionByName(more).where(F.col(n) > 0)
-    return every.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
+    size, source, n, once, twice, place, h, row, least = fresh(docs, "size", "source_", "n", "once", "twice", "place", "h", "row", "least")
+    keys = ["doc_id", source, size]
+    is_ = lambda k: F.sum((F.col("copies") == k).cast("long"))
+    plan = mix_sources(docs).withColumnsRenamed({"source": source, "size": size}).groupBy(*keys).agg(F.count(F.lit(1)).alias(n), is_(1).alias(once), is_(2).alias(twice)).where(F.col(once) + F.col(twice) > 0)
+    rows = docs.withColumn(source, F.col("source").cast("string")).withColumn(size, word_count(F.col("text")))
+    met = joined(rows, plan, keys)
+    alone = met.where(F.col(n) == 1).withColumn(place, F.lit(0).cast("long"))
+    several = met.where(F.col(n) > 1).withColumn(h, F.xxhash64("text")).withColumn(row, F.monotonically_increasing_id())
+    several = placed(several, keys, [F.col(h), F.col(row)], place, work_dir(docs.sparkSession, "mixture_rows")).drop(h, row)
+    every = alone.unionByName(several).withColumn(n, F.when(F.col(place) < F.col(twice), 2).when(F.col(place) < F.col(twice) + F.col(once), 1).otherwise(0)).where(F.col(n) > 0)
+    return every.withColumn(least, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -6,11 +6,11 @@ whatever their labels. A logistic model over counted text features minimises the
     prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)])
 
 with logistic loss. The class prior is estimated as the share of positives among the labelled training rows. At most
-`MOST_ROWS` positives and `MOST_ROWS` unlabelled documents, those of least hash, are read for fitting (the documented bound on what the
+`MOST_ROWS` positives and `MOST_ROWS` unlabelled documents, those of least hash of id and text, are read for fitting (the documented bound on what the
 driver holds: two matrices of MOST_ROWS by about 40 numbers); every document is scored, in one pass without a shuffle.
 
-Defined cases: null and empty texts have features all 0 and the score these give; a document labelled twice counts
-twice; labels without a document don't matter; without any positive the score is the prior (1 where there are no labels at all); other columns are ignored.
+Defined cases: null and empty texts have features all 0 and the score these give; rows that repeat id and text, and labels that repeat, count
+once in fitting; rows of one id that differ in text each count; labels without a document don't matter; without any positive the score is the prior (1 where there are no labels at all); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WORD_BYTE, Words, documents, slices, text_buffer
+from .shared import WORD_BYTE, Words, bounded_sample, documents, slices, text_buffer
 
 MOST_ROWS = 20_000
 
@@ -122,12 +122,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> dict:
     labels = labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
     n, share = labels.agg(F.count(F.lit(1)), F.avg(F.col("quality").cast("double"))).first()
     prior = min(0.999, max(0.001, share)) if n else 1.0
-    spread = F.xxhash64("doc_id", F.lit("quality"))
-    # Both sides are at most `most` ids, hence the broadcast.
-    good = labels.where("quality = 1").orderBy(spread, "doc_id").limit(most).select("doc_id", F.lit(1).alias("kind"))
-    any_ = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit("any")), "doc_id").limit(most).select("doc_id", F.lit(0).alias("kind"))
-    picked = docs.select("doc_id", "text").join(F.broadcast(good.unionByName(any_)), "doc_id")
-    rows = picked.select("kind", "text").mapInArrow(_featurize, "kind int, x array<double>").toPandas()
+    # At most `most` ids, hence the broadcast; rows are bounded after the join, as many may share an id.
+    good = bounded_sample(labels.where("quality = 1").select("doc_id").distinct(), most, ["doc_id"])
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    positive = bounded_sample(docs.join(F.broadcast(good), "doc_id"), most, ["doc_id", "text"]).select(F.lit(1).alias("kind"), "text")
+    any_ = bounded_sample(docs, most, ["doc_id", "text"]).select(F.lit(0).alias("kind"), "text")
+    rows = positive.unionAll(any_).mapInArrow(_featurize, "kind int, x array<double>").toPandas()
     x = np.array(rows["x"].tolist()).reshape(-1, FEATURES)
     kind = rows["kind"].to_numpy()
     if not (kind == 1).any() or not (kind == 0).any():

@@ -180,6 +180,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def bounded_sample(rows: DataFrame, most: int, by: list[str]) -> DataFrame:
+    """At most `most` of rows' different values of `by`, those of least hash, one row for each, whatever rows repeat them; the same for the same rows."""
+    (h,) = fresh(rows, "h")
+    hashed = rows.withColumn(h, F.xxhash64(*by))
+    cut = hashed.select(h).distinct().orderBy(h).limit(most).agg(F.max(h)).first()[0]
+    return hashed.where(F.col(h) <= F.lit(cut)).dropDuplicates([h]).drop(h) if cut is not None else rows.limit(0)
+
+
 def components(edges: DataFrame, path: str, rounds: int = 60) -> DataFrame:
     """(id, root) for each vertex of edges (a, b) between longs: equal roots, same component.
 

@@ -282,6 +282,8 @@ def _numbered(docs: DataFrame, path: str) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("doc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("doc", "part", F.coalesce(before, F.lit(0)).alias("before"))
     tags = save(texts.join(parts, ["doc", "part"]).select("doc", "sha", (F.col("at") + F.col("before") - 1).cast("long").alias("tag")), f"{path}/tags")
+    if (tags.agg(F.max("tag")).first()[0] or 0) >> _TAG:
+        raise ValueError(f"more than {1 << _TAG} different texts share one doc_id")
     # An id without a tag doesn't repeat.
     return named.withColumn("sha", sha).join(tags, ["doc", "sha"], "left").select("doc_id", "text", "doc", F.coalesce("tag", zero).alias("tag"))
 
@@ -291,8 +293,9 @@ def covered_ranges(docs: DataFrame, path: str) -> DataFrame:
     order = lambda df: df.repartition("t").sortWithinPartitions("t", "p", "doc").mapInArrow(_resolve, _FOUND_DDL)
     found = save(order(docs.select("doc_id", "text", "tag").mapInArrow(_parse, _KNOWN_DDL)), f"{path}/phrases")
     # Places of one text in each list.
-    places = found.where("len = 0").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "strings")).alias("places"))
-    strings = docs.join(places, ["doc", "tag"]).select("doc_id", "text", "tag", "places").mapInArrow(_cut_up, _KNOWN_DDL)
+    places = found.where("len = 0").groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "strings")).alias("places"))
+    # Rows of one id and text have the same places; one of them stands for all.
+    strings = docs.join(places, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).select("doc_id", "text", "tag", "places").mapInArrow(_cut_up, _KNOWN_DDL)
     more = save(order(strings), f"{path}/strings")
     return found.where("len > 0").select("doc", "tag", "start", "len").union(more.where("len > 0").select("doc", "tag", "start", "len"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality import crc32_of_id
-from .shared import documents
+from .shared import bounded_sample, documents, save, work_dir
 
 MOST_ROWS, MOST_TERMS, LEAST_DOCS, LIFT = 20_000, 256, 4, 6.0
 
@@ -171,9 +171,10 @@ def fit(x: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.1, l2: f
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """A model from labels (doc_id, toxic), which are training rows only, and docs (doc_id, text)."""
     labels = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    some = labels.orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id", "toxic").limit(MOST_ROWS)
-    # At most MOST_ROWS ids, hence the broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    some = bounded_sample(labels.distinct(), MOST_ROWS, ["doc_id", "toxic"])
+    # At most MOST_ROWS labels, hence the broadcast; rows are bounded after the join, as many may share an id.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")
+    rows = save(bounded_sample(rows, MOST_ROWS, ["doc_id", "toxic", "text"]), work_dir(docs.sparkSession, "toxicity"))
     terms = learn_terms(rows)
     made = rows.mapInArrow(_examples(terms), "doc_id long, toxic int, at array<int>, x array<double>").toPandas().sort_values(["doc_id", "toxic"])
     n = _FIXED + len(terms)
