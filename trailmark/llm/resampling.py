@@ -3,7 +3,7 @@
 Features are runs of 1 to `most` consecutive words, counted into hashed buckets of the documents and of the target texts. A document's weight is the mean
 log ratio of its features' buckets; with Gumbel noise of its id added, the highest weights are a draw without replacement.
 
-1. Texts are read once, in blocks of 1 MB. A block keeps its distinct words with their ids, 64-bit integers, its distinct n-grams as tuples of ids with
+1. Texts are read once, in blocks of 2 MB. A block keeps its distinct words with their ids, 64-bit integers, its distinct n-grams as tuples of ids with
    their counts, and its texts as places in this list of tuples.
 2. The dictionary holds each distinct word of all blocks with its id. Should two words ever have one id, which it shows, all is read again with other ids.
 3. Counts are summed for each distinct tuple. Only then are a tuple's words looked up, joined by spaces and hashed, once for each distinct tuple of the corpus.
@@ -13,7 +13,7 @@ A word or tuple that every block has is one row for each block, summed before it
 
 Defined cases: a null or empty text has no feature, weight 0 and a score, and can't be drawn by the query (it has under 20 words); rows that repeat a doc_id keep a
 row each, with the same noise; a null doc_id has the noise of the empty string and comes last among ties; rows that tie in score, id and text are ranked one after
-another; an empty target counts 0 everywhere; an empty table gives an empty result; other columns are ignored. Texts of over 1 MB are
+another; an empty target counts 0 everywhere; an empty table gives an empty result; other columns are ignored. Texts of over 2 MB are
 read in pieces that share `most` - 1 words.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .shared import U64, WIDE_ROWS, documents, fresh, save, work_dir
 
 BUCKETS, LEAST_WORDS, PERCENT, SEED, SCALE = 10_000, 20, 10, 2024, 1000
-_PIECE = 1 << 20
+_PIECE = 1 << 21
 #: Bits of a row's place in its block, and of a block's place in its task.
 _ROW, _BLOCK = 20, 22
 
@@ -132,10 +132,10 @@ def _block_names(most: int) -> list[str]:
 
 
 def _sums(batches):
-    """Blocks with the `gains` of their tuples to (row, doc_id, n_words, n_features, gain) of their documents."""
+    """Blocks with the `gains` of their tuples, in the lower 32 bits, to (row, doc_id, n_words, n_features, gain) of their documents."""
     for b in batches:
         for i in range(b.num_rows):
-            gains = b.column("gains")[i].values.to_numpy() if b.column("gains")[i].is_valid else np.zeros(0, np.int64)
+            gains = b.column("gains")[i].values.to_numpy().astype(np.int32) if b.column("gains")[i].is_valid else np.zeros(0, np.int32)
             n = b.column("n_features")[i].values.to_numpy()
             which = _unpacked(b.column("which")[i].as_py(), int(n.sum()), len(gains))
             upto = np.concatenate(([0], np.cumsum(gains[which], dtype=np.int64)))
@@ -184,8 +184,9 @@ def weights(docs: DataFrame, target: DataFrame, most: int = 1, buckets: int = BU
     on = F.col("g0") == F.col("kg0")
     for g in gram[1:]:
         on = on & F.col(g).eqNullSafe(F.col(f"k{g}"))
-    found = placed.join(known, on).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("f", "gain"))).alias("gains"))
-    found = save(found.select("block", F.col("gains.gain").alias("gains")), f"{path}/gains", WIDE_ROWS)
+    # A tuple's place in its block and its gain are one number, above and below 32 bits.
+    packed = F.shiftleft(F.col("f").cast("long"), 32).bitwiseOR(F.col("gain").cast("long").bitwiseAND((1 << 32) - 1))
+    found = save(placed.join(known, on).select("block", packed.alias("x")).groupBy("block").agg(F.sort_array(F.collect_list("x")).alias("gains")), f"{path}/gains", WIDE_ROWS)
     texts = blocks.select("block", "which", "target", "row", "doc_id", "n_words", "n_features").join(found, "block", "left")
     parts = texts.mapInArrow(_sums, "row long, doc_id long, n_words long, n_features long, gain long")
     every = parts.groupBy("row").agg(F.min("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_words", "n_features", "gain")])
