@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmark.functions import notation, rotations
 from trailmark.functions.vectors import vector
-from trailmark.operators import catalog, estimation, graphs, matching, rasters, timeseq, trajectories
+from trailmark.operators import catalog, estimation, graphs, rasters, timeseq, trajectories
 from trailmark.sources import exchange, sensors, tables
 
 
@@ -106,26 +106,6 @@ def test_peel_is_a_fixpoint(spark):
     assert graphs.constrained(nodes.limit(0), graphs.build_edges(obs, nodes.limit(0))).count() == 0
 
 
-def test_assignment_is_least_cost(spark):
-    rng = np.random.default_rng(0)
-    c = rng.uniform(size=(6, 7))
-    df = spark.createDataFrame([(1, i, j, float(c[i, j])) for i in range(6) for j in range(7)], "g int, i int, j int, cost double")
-    from itertools import permutations
-
-    best = min(sum(c[i, p[i]] for i in range(6)) for p in permutations(range(7), 6))
-    assert abs(sum(r["cost"] for r in matching.assignment(df, ["g"], 1e6).collect()) - best) < 1e-9
-    assert matching.assignment(df, ["g"], 0.0).count() == 0
-
-
-def test_robust_marks_outliers(spark):
-    rng = np.random.default_rng(1)
-    p = rng.uniform(0, 100, size=(40, 2))
-    rows = [(1, k, x, y, x + 5.0 + (40.0 if k % 8 == 7 else 0.0), y - 2.0) for k, (x, y) in enumerate(p.tolist())]
-    df = spark.createDataFrame(rows, "pair int, match_id int, x1 double, y1 double, x2 double, y2 double")
-    got = {r["match_id"]: r["inlier"] for r in matching.robust(df, ["pair"], "perspective", 1.0).collect()}
-    assert all(got[k] == (k % 8 != 7) for k in range(40))
-
-
 def test_flat_raster_is_hit_at_its_height(spark):
     raster = spark.createDataFrame([(i, j, 0.0) for i in range(40) for j in range(40)], "i long, j long, v double")
     rays = spark.createDataFrame([(k, [20.0, 20.0, 10.0], [0.1 * k, 0.05 * k, -1.0]) for k in range(8)] + [(9, [20.0, 20.0, 10.0], [0.0, 0.0, 1.0])], "ray_id int, origin array<double>, direction array<double>")

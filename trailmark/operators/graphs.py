@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .rounds import shared_folder
+from .rounds import written as _written
+
 #: Observations on a pair of kinds, and whether they are on the one node (self) or between two. UV and UVT with XYZ count twice.
 RULES = [
     ("PRIOR", "XYZ", "self", 3),
@@ -48,27 +48,13 @@ def build_edges(observations: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(known.withColumnRenamed("id", "id1"), "id1", "left_semi").join(known.withColumnRenamed("id", "id2"), "id2", "left_semi").select("id1", "id2", "n")
 
 
-def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir isn't set, and no folder of one machine would do")
-        root = tempfile.gettempdir()
-    return f"{root.rstrip('/')}/peel-{uuid.uuid4().hex}"
-
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def constrained(nodes: DataFrame, edges: DataFrame, self_observations: DataFrame | None = None) -> DataFrame:
     """Nodes (id, dof) left after removing, again and again, those with fewer observations than degrees of freedom.
 
     Each round counts what is left and drops what falls short; the result doesn't depend on the order. Rounds are written to the shared folder,
     so plans stay short and a lost executor loses nothing.
     """
-    path = _folder(nodes.sparkSession)
+    path = shared_folder(nodes.sparkSession, "peel")
     own = self_observations.groupBy("id").agg(F.sum("n").alias("own")) if self_observations is not None else None
     left = nodes.select("id", "dof")
     left = left.join(own, "id", "left").select("id", "dof", F.coalesce("own", F.lit(0)).alias("own")) if own is not None else left.withColumn("own", F.lit(0))

@@ -1,152 +1,111 @@
-"""Feature matching: costs, best matches on both sides, assignment and robust filtering."""
+"""Feature matching between image pairs, in four stages: corners, matches, refinement, inliers.
+
+Corners are rows (id, scale, x, y, score, vec) of an image of a pair `by`: level 0 is full resolution, level n has 1 / 2^n of it, and x and y are in its pixels.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .assignment import assignment
+from .corners import top_corners
+from .nearest import least_costs, projected_cells
+from .robust import by_neighbours, robust
+from .rounds import joined, kth_least, placed, shared_folder, written
+
 
 def absolute_cost(a: Column, b: Column) -> Column:
     """Sum of absolute differences of two vectors, in doubles."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def costs(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """(by, i, j, cost) of all pairs within a group of image corners (id, vec); groups are pairs of images of at most some thousands of corners."""
-    r = right.select(*by, F.col("id").alias("j"), F.col("vec").alias("vb"))
-    return left.select(*by, F.col("id").alias("i"), F.col("vec").alias("va")).join(r, by).select(*by, "i", "j", absolute_cost(F.col("va"), F.col("vb")).alias("cost"))
+def mutual_best(least: DataFrame, by: list[str], ratio: float) -> DataFrame:
+    """(by, i, j, cost): pairs among the least costs of their row and of their column (see `least_costs`); beyond the first, only while the cost is at most ratio times the best."""
+    own = F.when(F.col("of") == 0, F.col("i")).otherwise(F.col("j"))
+    near = least.withColumn("best", F.min("cost").over(Window.partitionBy(*by, "of", own))).where((F.col("rank") == 1) | (F.col("cost") <= ratio * F.col("best")))
+    return joined(near.where("of = 0").select(*by, "i", "j", "cost"), near.where("of = 1").select(*by, "i", "j"), [*by, "i", "j"], "left_semi")
+
+
+def upper_median_of_minima(least: DataFrame, by: list[str], factor: float = 1.5) -> DataFrame:
+    """(by, threshold): factor times the upper median of the rows' least costs."""
+    minima = least.where("of = 0 and rank = 1").select(*by, "cost")
+    found = kth_least(minima, by, "cost", F.floor(F.col("n") / 2), shared_folder(least.sparkSession, "median"))
+    return found.select(*by, (F.col("cost") * factor).alias("threshold"))
+
+
+def candidate_costs(left: DataFrame, right: DataFrame, by: list[str], n: int, dim: int, width: float, tables: int = 8, projections: int = 4) -> DataFrame:
+    """`least_costs` among rows that share a cell of projected features; what it misses, `recall` tells."""
+    cells = [projected_cells(x, dim, width, tables, projections) for x in (left, right)]
+    return least_costs(*cells, by, n, cells=["cell"])
+
 
+def recall(exact: DataFrame, found: DataFrame, by: list[str]) -> float:
+    """Share of the exact best pairs of left rows that are also found."""
+    want = exact.where("of = 0 and rank = 1").select(*by, "i", "j")
+    n, hit = joined(want, found.where("of = 0 and rank = 1").select(*by, "i", "j", F.lit(1).alias("hit")), [*by, "i", "j"], "left").agg(F.count(F.lit(1)), F.count("hit")).first()
+    return hit / n if n else 1.0
 
-def mutual_best(cost: DataFrame, by: list[str], n: int, ratio: float) -> DataFrame:
-    """Pairs among the best n of their row and of their column; beyond the first, only while the cost is at most ratio times the best.
 
-    Ties are in order of the other side's id.
+def assigned(least: DataFrame, by: list[str], best: int = 3, **how) -> DataFrame:
+    """(by, i, j, cost): least-cost assignment of rows to one of their `best` least costs, where leaving a row alone costs the threshold of its group."""
+    pairs = least.where((F.col("of") == 0) & (F.col("rank") <= best)).select(*by, "i", "j", "cost")
+    return assignment(joined(pairs, upper_median_of_minima(least, by), by), by, "threshold", best, **how)
+
+
+def detected(corners: DataFrame, by: list[str], n: int, radius: float) -> DataFrame:
+    """The n strongest corners of each image and level, no two within the radius of that level's pixels, placed in full resolution."""
+    top = top_corners(corners, [*by, "scale"], n, radius)
+    size = F.pow(F.lit(2.0), F.col("scale"))
+    return top.withColumn("x", F.col("x") * size).withColumn("y", F.col("y") * size).drop("rank")
+
+
+def matched(one: DataFrame, two: DataFrame, by: list[str], scales: Iterable[tuple[int, int]], matcher: Callable[[DataFrame, list[str]], DataFrame], n: int = 3, digits: int | None = None, width: float | None = None, dim: int = 0) -> DataFrame:
+    """(by, match_id, scale1, scale2, i, j, cost, x1, y1, x2, y2): matches of each distinct pair of levels, numbered from the least cost on.
+
+    matcher takes least costs and their keys. With a width only pairs that share a cell of projected features are candidates.
     """
-    row, col = Window.partitionBy(*by, "i"), Window.partitionBy(*by, "j")
-    c = cost.withColumn("ri", F.row_number().over(row.orderBy("cost", "j"))).withColumn("bi", F.min("cost").over(row))
-    c = c.where((F.col("ri") == 1) | ((F.col("ri") <= n) & (F.col("cost") <= ratio * F.col("bi")))).select(*by, "i", "j", "cost")
-    d = cost.withColumn("rj", F.row_number().over(col.orderBy("cost", "i"))).withColumn("bj", F.min("cost").over(col))
-    d = d.where((F.col("rj") == 1) | ((F.col("rj") <= n) & (F.col("cost") <= ratio * F.col("bj")))).select(*by, "i", "j")
-    return c.join(d, [*by, "i", "j"])
-
-
-def upper_median_of_minima(cost: DataFrame, by: list[str], factor: float = 1.5) -> DataFrame:
-    """factor times the upper median of the rows' least costs."""
-    least = cost.groupBy(*by, "i").agg(F.min("cost").alias("m"))
-    sorted_ = F.array_sort(F.collect_list("m"))
-    return least.groupBy(*by).agg(sorted_.alias("ms")).select(*by, (F.col("ms")[F.floor(F.size("ms") / 2).cast("int")] * factor).alias("threshold"))
-
-
-def _hungarian(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in a least-cost assignment, rows at most as many as columns (shortest augmenting paths)."""
-    n, m = cost.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    way = np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
-        while True:
-            used[j0] = True
-            i0 = match[j0]
-            free = ~used[1:]
-            now = cost[i0 - 1] - u[i0] - v[1:]
-            better = free & (now < least[1:])
-            least[1:][better] = now[better]
-            way[1:][better] = j0
-            j1 = int(np.argmin(np.where(free, least[1:], np.inf))) + 1
-            delta = least[j1]
-            u[match[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j0 = j1
-            if match[j0] == 0:
-                break
-        while j0:
-            match[j0], j0 = match[way[j0]], way[j0]
-    out = np.full(n, -1)
-    for j in range(1, m + 1):
-        if match[j]:
-            out[match[j] - 1] = j - 1
-    return out
-
-
-def assignment(cost: DataFrame, by: list[str], skip: float) -> DataFrame:
-    """Least-cost matching in each group, where leaving a corner without a match costs `skip`."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = np.sort(pdf["i"].unique()), np.sort(pdf["j"].unique())
-        c = np.full((len(rows), len(cols) + len(rows)), float(skip))
-        c[np.searchsorted(rows, pdf["i"]), np.searchsorted(cols, pdf["j"])] = pdf["cost"]
-        got = _hungarian(c)
-        keep = got < len(cols)
-        out = pd.DataFrame({"i": rows[keep], "j": cols[got[keep]], "cost": c[np.flatnonzero(keep), got[keep]]})
-        for b in by:
-            out[b] = pdf[b].iloc[0]
-        return out[[*by, "i", "j", "cost"]]
-
-    return cost.groupBy(*by).applyInPandas(one, cost.select(*by, "i", "j", "cost").schema)
-
-
-def _homography(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-    rows = []
-    for (x, y), (u, v) in zip(a, b, strict=True):
-        rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y, -u], [0, 0, 0, x, y, 1, -v * x, -v * y, -v]]
-    h = np.linalg.svd(np.array(rows))[2][-1].reshape(3, 3)
-    return h if np.isfinite(h).all() and abs(np.linalg.det(h)) > 1e-12 else None
-
-
-def _epipolar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    m = np.stack([b[:, 0] * a[:, 0], b[:, 0] * a[:, 1], b[:, 0], b[:, 1] * a[:, 0], b[:, 1] * a[:, 1], b[:, 1], a[:, 0], a[:, 1], np.ones(len(a))], axis=1)
-    f = np.linalg.svd(m)[2][-1].reshape(3, 3)
-    u, s, vt = np.linalg.svd(f)
-    return u @ np.diag([s[0], s[1], 0]) @ vt
-
-
-def robust(matches: DataFrame, by: list[str], model: str, threshold: float, rounds: int = 200, seed: int = 0) -> DataFrame:
-    """Matches (x1, y1, x2, y2, match_id) with `inlier`, by seeded RANSAC in each pair of images.
-
-    model: perspective (4 matches, transfer error) or epipolar (8, distance to the line). With fewer matches all are kept. Earlier matches are drawn more often.
+    pairs = one.sparkSession.createDataFrame(sorted(set(scales)), "scale1 int, scale2 int")
+    keys = [*by, "scale1", "scale2"]
+    side = lambda c, k: c.withColumn(f"scale{k}", F.col("scale").cast("int")).join(F.broadcast(pairs), f"scale{k}").select(*keys, "id", "vec")
+    left, right = side(one, 1), side(two, 2)
+    least = candidate_costs(left, right, keys, n, dim, width) if width else least_costs(left, right, keys, n, digits)
+    path = shared_folder(one.sparkSession, "matched")
+    found = matcher(written(least, f"{path}/least"), keys)
+    at = lambda c, k, i: c.select(*by, F.col("scale").cast("int").alias(f"scale{k}"), F.col("id").alias(i), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    found = joined(joined(found, at(one, 1, "i"), [*by, "scale1", "i"]), at(two, 2, "j"), [*by, "scale2", "j"])
+    order = [F.col(c) for c in ("cost", "scale1", "scale2", "i", "j")]
+    return placed(found, by, order, "match_id", f"{path}/placed").select(*by, "match_id", "scale1", "scale2", "i", "j", "cost", "x1", "y1", "x2", "y2")
+
+
+def match_images(
+    one: DataFrame, two: DataFrame, by: list[str], scales: Iterable[tuple[int, int]] = ((0, 0),), n_corners: int = 1000, radius: float = 10.0, matcher: Callable[[DataFrame, list[str]], DataFrame] | None = None,
+    refine: Callable[[DataFrame], DataFrame] | None = None, model: str = "perspective", threshold: float = 10.0, rounds: int = 200, sub_threshold: float | None = 5.0, seed: int = 0, **how,
+) -> DataFrame:
+    """The four stages in a row: matches as `matched` gives them, with `inlier`.
+
+    matcher: by default pairs that are among each other's three best, within 1.1 times the best cost; refine: moves matched positions, if given.
+    The second pass, by neighbours, is for perspective models only; without a sub_threshold there is none.
     """
-    need = {"perspective": 4, "epipolar": 8}[model]
-
-    def errors(m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        ha = np.column_stack([a, np.ones(len(a))]) @ m.T
-        if model == "perspective":
-            with np.errstate(all="ignore"):
-                return np.nan_to_num(np.linalg.norm(ha[:, :2] / ha[:, 2:] - b, axis=1), nan=np.inf)
-        return np.abs((ha * np.column_stack([b, np.ones(len(b))])).sum(1)) / np.maximum(np.hypot(ha[:, 0], ha[:, 1]), 1e-12)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("match_id").reset_index(drop=True)
-        a, b = pdf[["x1", "y1"]].to_numpy(float), pdf[["x2", "y2"]].to_numpy(float)
-        best = np.ones(len(pdf), bool)
-        if len(pdf) >= need:
-            rng, best = np.random.default_rng(seed), np.zeros(len(pdf), bool)
-            p = 1 / (1.0 + np.arange(len(pdf)))
-            for _ in range(rounds):
-                s = rng.choice(len(pdf), need, replace=False, p=p / p.sum())
-                m = _homography(a[s], b[s]) if model == "perspective" else _epipolar(a[s], b[s])
-                if m is not None and (inside := errors(m, a, b) <= threshold).sum() > best.sum():
-                    best = inside
-        return pdf.assign(inlier=best)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in matches.schema)
-    return matches.groupBy(*by).applyInPandas(one, f"{schema}, inlier boolean")
+    least = lambda costs, keys: mutual_best(costs, keys, 1.1)
+    path = shared_folder(one.sparkSession, "pipeline")
+    one, two = (written(detected(c, by, n_corners, radius), f"{path}/corners{k}") for k, c in ((1, one), (2, two)))
+    found = matched(one, two, by, scales, matcher or least, **how)
+    found = written(refine(found) if refine else found, f"{path}/matches")
+    told = written(robust(found, by, model, threshold, rounds, seed, [F.col("match_id")]), f"{path}/told")
+    if model != "perspective" or sub_threshold is None:
+        return told
+    few = told.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n < 4").select(*by)
+    kept = joined(told.where("inlier"), few, by, "left_anti")
+    held = by_neighbours(kept, by, sub_threshold).select(*by, "match_id").unionAll(joined(told, few, by, "left_semi").select(*by, "match_id"))
+    return joined(told, held.withColumn("held", F.lit(True)), [*by, "match_id"], "left").withColumn("inlier", F.col("inlier") & F.coalesce("held", F.lit(False))).drop("held")
 
 
 def matched_corners(corners: DataFrame, matches: DataFrame, by: list[str], side: str) -> DataFrame:
     """The corners of one side (i or j) that matches keep."""
-    return matches.select(*by, F.col(side).alias("id")).join(corners, [*by, "id"])
-
-
-def top_corners(corners: DataFrame, by: list[str], n: int, radius: float) -> DataFrame:
-    """The n strongest corners (x, y, score) of an image that are the strongest within their square cell of the radius."""
-    cell = [F.floor(F.col(c) / radius).alias(f"_{c}") for c in "xy"]
-    best = corners.select("*", *cell).groupBy(*by, "_x", "_y").agg(F.max(F.struct("score", F.col("id"))).alias("m")).select(*by, F.col("m.id").alias("id"), F.col("m.score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= n)
+    return joined(matches.select(*by, F.col(side).alias("id")).distinct(), corners, [*by, "id"])
 
 
 def as_correspondences(matches: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from ..functions import geodesy as geo
 from ..functions import rotations as R
 from ..functions.vectors import dot, rotated_covariance, vector
 from ..operators import estimation as est
-from ..operators import matching as mt
 from ..operators import rasters as ra
 from ..operators.cameras import view_table
 from .common import Registry, rounded, sql_rounded, table
@@ -257,53 +256,6 @@ def raster_bounding_box(spark, d):
     return b.select("g", *[r(F.col(c), 2).alias(c) for c in ("min_x", "max_x", "min_z", "max_z")])
 
 
-# ---- matching ----------------------------------------------------------------------------------
-
-_COST = """l AS (SELECT label, vec_id AS i, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 2 = 0), rr AS (SELECT label, vec_id AS j, embedding::DOUBLE[] AS b FROM embeddings WHERE vec_id % 2 = 1),
-    ct AS (SELECT label, i, j, round(list_sum(list_transform(range(1, len(a) + 1), lambda k: abs(a[k] - b[k]))), 6) AS cost FROM l JOIN rr USING (label))"""
-
-
-def _cost(spark, d):
-    e = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return mt.costs(e.where("id % 2 = 0"), e.where("id % 2 = 1"), ["label"]).withColumn("cost", F.round("cost", 6))
-
-
-@_R.add(
-    "matching_mutual_best",
-    f"""WITH {_COST}, a AS (SELECT *, row_number() OVER (PARTITION BY label, i ORDER BY cost, j) AS ri, min(cost) OVER (PARTITION BY label, i) AS bi, row_number() OVER (PARTITION BY label, j ORDER BY cost, i) AS rj, min(cost) OVER (PARTITION BY label, j) AS bj FROM ct)
-    SELECT label, i, j, cost FROM a WHERE (ri = 1 OR (ri <= 3 AND cost <= 1.1 * bi)) AND (rj = 1 OR (rj <= 3 AND cost <= 1.1 * bj))""",
-)
-def matching_mutual_best(spark, d):
-    return mt.mutual_best(_cost(spark, d), ["label"], 3, 1.1)
-
-
-@_R.add("matching_threshold", f"WITH {_COST}, m AS (SELECT label, i, min(cost) AS m FROM ct GROUP BY ALL), s AS (SELECT label, list_sort(list(m)) AS ms FROM m GROUP BY 1) SELECT label, {sr('ms[len(ms) // 2 + 1] * 1.5')} AS threshold FROM s")
-def matching_threshold(spark, d):
-    return mt.upper_median_of_minima(_cost(spark, d), ["label"]).select("label", r(F.col("threshold")).alias("threshold"))
-
-
-@_R.add("matching_assignment")
-def matching_assignment(spark, d):
-    return mt.assignment(_cost(spark, d), ["label"], 1e6)
-
-
-def _pairs_of_points(spark, d):
-    x, y = (F.col("p_partkey") % 97).cast("double"), (F.col("p_partkey") * 31 % 89).cast("double")
-    p = table(spark, d, "part").select((F.col("p_partkey") % 4).alias("pair"), F.col("p_partkey").alias("match_id"), x.alias("x1"), y.alias("y1"))
-    wrong = F.when(F.col("match_id") % 10 == 3, 50.0).otherwise(0.0)
-    return p.withColumn("x2", F.col("x1") * 1.1 + 3 + wrong).withColumn("y2", F.col("y1") * 0.9 - 2 + wrong)
-
-
-@_R.add("matching_robust_perspective")
-def matching_robust_perspective(spark, d):
-    return mt.robust(_pairs_of_points(spark, d), ["pair"], "perspective", 1.0, rounds=60).select("pair", "match_id", "inlier")
-
-
-@_R.add("matching_robust_epipolar")
-def matching_robust_epipolar(spark, d):
-    return mt.robust(_pairs_of_points(spark, d), ["pair"], "epipolar", 1.0, rounds=60).select("pair", "match_id", "inlier")
-
-
 # ---- estimation --------------------------------------------------------------------------------
 
 
