@@ -109,10 +109,25 @@ def test_peel_is_a_fixpoint(spark):
 def test_flat_raster_is_hit_at_its_height(spark):
     raster = spark.createDataFrame([(i, j, 0.0) for i in range(40) for j in range(40)], "i long, j long, v double")
     rays = spark.createDataFrame([(k, [20.0, 20.0, 10.0], [0.1 * k, 0.05 * k, -1.0]) for k in range(8)] + [(9, [20.0, 20.0, 10.0], [0.0, 0.0, 1.0])], "ray_id int, origin array<double>, direction array<double>")
-    got = {r["ray_id"]: r["distance"] for r in rasters.ray_hits(raster, rays, 40.0, 8).collect()}
+    got = {r["ray_id"]: r["distance"] for r in rasters.ray_hits(raster, rays).collect()}
     assert all(abs(got[k] - 10.0) < 1e-9 for k in range(8)) and np.isnan(got[9])
 
 
+def test_rays_reach_far_and_meet_few_cells(spark, tmp_path, monkeypatch):
+    """A hit lies as far as it lies, and the cells entered grow with the hits and not with the raster."""
+    tested = []
+    entered = rasters._entered
+    monkeypatch.setattr(rasters, "_entered", lambda *a: tested.append(entered(*a)) or tested[-1])
+    for n in (32, 128):
+        raster = spark.range(n * n).select((F.col("id") % n).alias("i"), F.floor(F.col("id") / n).alias("j"), (F.col("id") * 7 % 5).cast("double").alias("v"))
+        rays = spark.createDataFrame([(1, [3.3, 3.4, 1000.0], [0.01, 0.02, -1.0]), (2, [-500.2, 10.3, 302.0], [5.1, 0.01, -3.0]), (3, [5.5, 5.5, 50.0], [0.0, 0.0, -1.0]), (4, [5.0, 5.0, 50.0], [1.0, 0.0, 0.0])], "ray_id int, origin array<double>, direction array<double>")
+        tested.clear()
+        got = {r["ray_id"]: r["distance"] for r in rasters.ray_hits(raster, rays).collect()}
+        assert 995 < got[1] < 1001 and 98 < got[2] < 101 and 45 < got[3] <= 50 and np.isnan(got[4])
+        assert sum(t.count() for t in tested) < 4 * 3 * 16 * np.log2(n)
+    assert rasters.ray_hits(raster.limit(0), rays).where("isnan(distance)").count() == 4
+
+
 def test_resection_finds_the_pose(spark):
     rng = np.random.default_rng(2)
     world = rng.uniform(-3, 3, size=(12, 3)) + [0, 0, 10]

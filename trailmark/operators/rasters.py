@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import geotransform
 from ..functions.vectors import cross, dot, subtract
+from .rounds import shared_folder, written
 
 
 def valid(v: Column) -> Column:
@@ -43,7 +44,8 @@ def pyramid(raster: DataFrame, levels: int) -> DataFrame:
 
 def slab(origin: Column, direction: Column, low: Column, high: Column) -> Column:
     """STRUCT<near, far> of a ray in a box, null where it misses; forward only."""
-    ends = [((low[k] - origin[k]) / direction[k], (high[k] - origin[k]) / direction[k]) for k in range(3)]
+    along = [F.when(direction[k] != 0, direction[k]) for k in range(3)]
+    ends = [((low[k] - origin[k]) / along[k], (high[k] - origin[k]) / along[k]) for k in range(3)]
     inf = F.lit(float("inf"))
     flat = [direction[k] == 0 for k in range(3)]
     outside = [(origin[k] < low[k]) | (origin[k] > high[k]) for k in range(3)]
@@ -57,39 +59,82 @@ def triangle_hit(origin: Column, direction: Column, a: Column, b: Column, c: Col
     e1, e2 = subtract(b, a), subtract(c, a)
     p = cross(direction, e2)
     det = dot(e1, p)
+    det = F.when(F.abs(det) > 1e-12, det)
     s = subtract(origin, a)
     q = cross(s, e1)
     u, v, t = dot(s, p) / det, dot(direction, q) / det, dot(e2, q) / det
-    return F.when((F.abs(det) > 1e-12) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0), t)
+    return F.when((u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0), t)
 
 
-def ray_hits(raster: DataFrame, rays: DataFrame, reach: float, block: int = 64) -> DataFrame:
-    """Nearest hit (ray_id, distance, i, j) of rays (ray_id, origin, direction) on the surface of a raster with unit cells.
+def levels_of(raster: DataFrame, path: str) -> list[DataFrame]:
+    """Written levels (i, j, low, high) of the pyramid, each made of the one below, up to a single cell; an empty raster has none."""
+    level = written(corner_ranges(raster), f"{path}/level0")
+    out = []
+    while True:
+        ni, nj = level.agg(F.max("i"), F.max("j")).first()
+        if ni is None:
+            return out
+        out.append(level)
+        if ni == 0 and nj == 0:
+            return out
+        half = lambda c: F.floor(F.col(c) / 2).cast("long").alias(c)
+        level = written(level.groupBy(half("i"), half("j")).agg(F.min("low").alias("low"), F.max("high").alias("high")), f"{path}/level{len(out)}")
 
-    The rays are cut by blocks of cells: a ray is dealt to the blocks its shadow crosses within `reach`, joined on equal blocks, tested against
-    the cell's range, then against its two triangles.
+
+def _entered(nodes: DataFrame, level: DataFrame, size: float) -> DataFrame:
+    """nodes (ray_id, origin, direction, i, j) of a level with `near`, where the ray comes into the box of the cell; those that it misses go."""
+    low = F.array(F.col("j") * size, F.col("i") * size, F.col("low").cast("double"))
+    high = F.array((F.col("j") + 1) * size, (F.col("i") + 1) * size, F.col("high").cast("double"))
+    met = nodes.join(level.where("low is not null"), ["i", "j"]).withColumn("near", slab(F.col("origin"), F.col("direction"), low, high)["near"])
+    return met.where("near is not null").select("ray_id", "origin", "direction", "i", "j", "near")
+
+
+def _children(nodes: DataFrame) -> DataFrame:
+    four = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
+    return nodes.withColumn("c", F.explode(four)).select("ray_id", "origin", "direction", (F.col("i") * 2 + F.col("c.a")).alias("i"), (F.col("j") * 2 + F.col("c.b")).alias("j"))
+
+
+def _struck(nodes: DataFrame, cells: DataFrame) -> DataFrame:
+    """(ray_id, distance, i, j): hits of rays on the two triangles of level 0 cells."""
+    corner = lambda di, dj: F.array((F.col("j") + dj).cast("double"), (F.col("i") + di).cast("double"), F.col(f"v{di}{dj}").cast("double"))
+    o, d = F.col("origin"), F.col("direction")
+    hit = F.least(triangle_hit(o, d, corner(0, 0), corner(0, 1), corner(1, 0)), triangle_hit(o, d, corner(1, 1), corner(1, 0), corner(0, 1)))
+    return nodes.join(cells, ["i", "j"]).withColumn("distance", hit).where("distance is not null").select("ray_id", "distance", "i", "j")
+
+
+def ray_hits(raster: DataFrame, rays: DataFrame, beam: int = 2) -> DataFrame:
+    """Nearest hit (ray_id, distance, i, j) of rays (ray_id, origin, direction) on the surface of a raster with unit cells, however far; without one, distance is NaN.
+
+    Rays go down the pyramid from its one top cell, level by level: a cell's four children are met by equal places, and only those whose box
+    of place and height range a ray comes into go on. A first descent follows each ray's `beam` nearest cells and so finds a hit of most rays that have one; the
+    second one takes all cells, but none that a ray comes into beyond that hit. So the cells tested are those along the rays near the
+    surface, up to the hit. Cells without a whole triangle of valid heights have none. ray_id tells rays apart.
     """
+    path = shared_folder(raster.sparkSession, "rays")
+    levels = levels_of(raster, path)
     z = raster.select("i", "j", valid(F.col("v")).alias("v"))
     at = lambda di, dj, name: z.select((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.col("v").alias(name))
     cells = at(0, 0, "v00").join(at(0, 1, "v01"), ["i", "j"]).join(at(1, 0, "v10"), ["i", "j"]).join(at(1, 1, "v11"), ["i", "j"])
-    cells = cells.withColumn("bi", F.floor(F.col("i") / block)).withColumn("bj", F.floor(F.col("j") / block))
-    steps = int(reach / (block / 2)) + 1
-    along = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: k * (block / 2)))
-    o, d = F.col("origin"), F.col("direction")
-    k = F.greatest(F.abs(d[0]), F.abs(d[1]), F.lit(1e-12))
-    walk = rays.withColumn("_s", along).withColumn("_x", o[0] + d[0] / k * F.col("_s")).withColumn("_y", o[1] + d[1] / k * F.col("_s"))
-    # Points half a block apart, each with the blocks around it, leave no block of the shadow out.
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    dealt = walk.withColumn("_n", F.explode(around)).select("ray_id", "origin", "direction", (F.floor(F.col("_y") / block) + F.col("_n.a")).alias("bi"), (F.floor(F.col("_x") / block) + F.col("_n.b")).alias("bj")).distinct()
-    met = dealt.join(cells, ["bi", "bj"])
-    corner = lambda di, dj: F.array((F.col("j") + dj).cast("double"), (F.col("i") + di).cast("double"), F.col(f"v{di}{dj}").cast("double"))
-    values = [F.col(f"v{a}{b}").cast("double") for a in (0, 1) for b in (0, 1)]
-    low = F.array(F.col("j").cast("double"), F.col("i").cast("double"), F.least(*values))
-    high = F.array(F.col("j") + 1.0, F.col("i") + 1.0, F.greatest(*values))
-    met = met.where(slab(o, d, low, high).isNotNull())
-    hit = F.least(triangle_hit(o, d, corner(0, 0), corner(0, 1), corner(1, 0)), triangle_hit(o, d, corner(1, 1), corner(1, 0), corner(0, 1)))
-    hits = met.withColumn("distance", hit).where("distance is not null").groupBy("ray_id").agg(F.min(F.struct("distance", "i", "j")).alias("h"))
     nan = F.lit(float("nan"))
+    if not levels:
+        return rays.select("ray_id", nan.alias("distance"), F.lit(None).cast("long").alias("i"), F.lit(None).cast("long").alias("j"))
+    cells = written(cells, f"{path}/cells")
+    top = len(levels) - 1
+    start = rays.select("ray_id", F.col("origin").cast("array<double>").alias("origin"), F.col("direction").cast("array<double>").alias("direction"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+    start = written(_entered(start, levels[top], float(2**top)), f"{path}/start")
+
+    first = start
+    for k in range(top - 1, -1, -1):
+        first = _entered(_children(first), levels[k], float(2**k))
+        first = first.withColumn("rank", F.row_number().over(Window.partitionBy("ray_id").orderBy("near", "i", "j"))).where(F.col("rank") <= beam).drop("rank")
+        first = written(first, f"{path}/first{k}")
+    bound = written(_struck(first, cells).groupBy("ray_id").agg(F.min("distance").alias("bound")), f"{path}/bound")
+    every = written(start.join(bound, "ray_id", "left"), f"{path}/bounded")
+    for k in range(top - 1, -1, -1):
+        limits = every.select("ray_id", "bound").distinct()
+        every = _entered(_children(every), levels[k], float(2**k)).join(limits, "ray_id").where("bound is null or near <= bound")
+        every = written(every, f"{path}/every{k}")
+    hits = _struck(every, cells).groupBy("ray_id").agg(F.min(F.struct("distance", "i", "j")).alias("h"))
     return rays.select("ray_id").join(hits, "ray_id", "left").select("ray_id", F.coalesce("h.distance", nan).alias("distance"), F.col("h.i").alias("i"), F.col("h.j").alias("j"))
 
 

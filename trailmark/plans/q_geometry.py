@@ -242,11 +242,35 @@ def raster_lattice(spark, d):
     return ra.lattice(_raster(spark, d), vector(*_GT)).select("i", "j", r(F.col("x")).alias("x"), r(F.col("z")).alias("z"))
 
 
-@_R.add("raster_ray_hits")
+def _hit_sql(a, b, c):
+    """Distance to the triangle of corners (i, j, height) along a ray from (ox, oy, oz) in direction (dx, dy, dz)."""
+    at = lambda p: (f"(j + {p[1]})", f"(i + {p[0]})", f"v{p[0]}{p[1]}")
+    minus = lambda p, q: [f"({x} - {y})" for x, y in zip(p, q, strict=True)]
+    cross = lambda p, q: [f"({p[1]} * {q[2]} - {p[2]} * {q[1]})", f"({p[2]} * {q[0]} - {p[0]} * {q[2]})", f"({p[0]} * {q[1]} - {p[1]} * {q[0]})"]
+    dot = lambda p, q: "(" + " + ".join(f"{x} * {y}" for x, y in zip(p, q, strict=True)) + ")"
+    d, o = ("dx", "dy", "dz"), ("ox", "oy", "oz")
+    e1, e2, s = minus(at(b), at(a)), minus(at(c), at(a)), minus(o, at(a))
+    p, q = cross(d, e2), cross(s, e1)
+    det = dot(e1, p)
+    u, v, t = f"{dot(s, p)} / {det}", f"{dot(d, q)} / {det}", f"{dot(e2, q)} / {det}"
+    return f"CASE WHEN abs({det}) > 1e-12 AND {u} >= 0 AND {v} >= 0 AND {u} + {v} <= 1 AND {t} >= 0 THEN {t} END"
+
+
+@_R.add(
+    "raster_ray_hits",
+    f"""WITH {RASTER}, z AS (SELECT i, j, CASE WHEN v >= -9000 THEN v END AS v FROM ra),
+    c AS (SELECT a.i, a.j, a.v AS v00, b.v AS v01, c.v AS v10, d.v AS v11 FROM z a JOIN z b ON b.i = a.i AND b.j = a.j + 1 JOIN z c ON c.i = a.i + 1 AND c.j = a.j JOIN z d ON d.i = a.i + 1 AND d.j = a.j + 1),
+    r AS (SELECT p_partkey AS ray_id, p_partkey % 37 - 2.7::DOUBLE AS ox, p_partkey % 31 + 0.4::DOUBLE AS oy, 20.0 + p_size * 3 AS oz, (p_partkey % 7 - 3) * 0.11::DOUBLE AS dx, (p_partkey % 5 - 2) * 0.13::DOUBLE AS dy, p_partkey % 11 * 0.1::DOUBLE - 0.95 AS dz FROM part),
+    h AS (SELECT ray_id, i, j, least({_hit_sql((0, 0), (0, 1), (1, 0))}, {_hit_sql((1, 1), (1, 0), (0, 1))}) AS t FROM r, c),
+    n AS (SELECT ray_id, min(struct_pack(t := t, i := i, j := j)) AS h FROM h WHERE t IS NOT NULL GROUP BY 1)
+    SELECT ray_id, h IS NULL AS missed, {sr('h.t')} AS distance, h.i AS i, h.j AS j FROM r LEFT JOIN n USING (ray_id)""",
+)
 def raster_ray_hits(spark, d):
-    s = table(spark, d, "supplier")
-    rays = s.select(F.col("s_suppkey").alias("ray_id"), vector(F.col("s_suppkey") % 20 + 0.3, F.col("s_suppkey") % 17 + 0.4, F.lit(200.0)).alias("origin"), vector(F.lit(0.02), F.lit(0.01), F.lit(-1.0)).alias("direction"))
-    return ra.ray_hits(_raster(spark, d), rays, 40.0, 8).select("ray_id", F.isnan("distance").alias("missed"), F.when(~F.isnan("distance"), r(F.col("distance"))).alias("distance"), "i", "j")
+    k = F.col("p_partkey")
+    origin = vector(k % 37 - 2.7, k % 31 + 0.4, 20.0 + F.col("p_size") * 3)
+    direction = vector((k % 7 - 3) * 0.11, (k % 5 - 2) * 0.13, k % 11 * 0.1 - 0.95)
+    rays = table(spark, d, "part").select(k.alias("ray_id"), origin.alias("origin"), direction.alias("direction"))
+    return ra.ray_hits(_raster(spark, d), rays).select("ray_id", F.isnan("distance").alias("missed"), F.when(~F.isnan("distance"), r(F.col("distance"))).alias("distance"), "i", "j")
 
 
 @_R.add("raster_bounding_box", f"WITH {PLACE}, {ECEF} SELECT id % 10 AS g, {sr('min(x)', 2)} AS min_x, {sr('max(x)', 2)} AS max_x, {sr('min(z)', 2)} AS min_z, {sr('max(z)', 2)} AS max_z FROM ec GROUP BY 1")
