@@ -92,9 +92,13 @@ def _grams(place: np.ndarray, size: np.ndarray, skip: np.ndarray, most: int):
     return tuples, which.ravel(), owner
 
 
-def _blocks(most: int, salt: int):
-    """Rows (target, doc_id, text) to blocks: rows, ids, words and features of each text, tuple of each feature, distinct words and their ids,
-    distinct tuples of ids (columns g0, g1, ..., null beyond a tuple's end; single words have their ids only) with their counts.
+def word_id(word: Column, salt: str) -> Column:
+    return F.xxhash64(F.concat(F.lit(salt), word))
+
+
+def _blocks(most: int, salt: str):
+    """Rows (target, doc_id, text) to blocks: rows, ids, words and features of each text, tuple of each feature, distinct words, and
+    distinct tuples of ids (columns g0, g1, ..., null beyond a tuple's end; single words stand for themselves) with their counts.
     """
 
     def run(batches):
@@ -108,7 +112,8 @@ def _blocks(most: int, salt: int):
                 tuples, which, owner = _grams(coded.indices.to_numpy().astype(np.int64), size, skip, most)
                 wanted = target.to_numpy(zero_copy_only=False).astype(bool)[rows][owner]
                 of = [np.bincount(which[x], minlength=len(tuples)) for x in (~wanted, wanted)]
-                known = np.array([xxhash.xxh64_intdigest(x, salt) for x in coded.dictionary.to_pylist()], U64).view(np.int64)
+                # Spark's hash of strings has the seed 42.
+                known = np.array([xxhash.xxh64_intdigest(salt.encode() + x, 42) for x in coded.dictionary.to_pylist()] if most > 1 else [], U64).view(np.int64)
                 grams = [pa.array(known[t], mask=t < 0) if len(known) else pa.array([], pa.int64()) for t in tuples.T] if most > 1 else []
                 block = base + count
                 count += 1
@@ -116,7 +121,7 @@ def _blocks(most: int, salt: int):
                 row = np.array([first.setdefault(r, block << _ROW | k) for k, r in enumerate(rows)], np.int64)
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 take = pa.array(rows)
-                lists = [target.take(take), pa.array(row), ids.take(take), pa.array(size - skip), pa.array(np.bincount(owner, minlength=len(rows))), coded.dictionary.cast(pa.string()), pa.array(known), *map(pa.array, of), *grams]
+                lists = [target.take(take), pa.array(row), ids.take(take), pa.array(size - skip), pa.array(np.bincount(owner, minlength=len(rows))), coded.dictionary.cast(pa.string()), *map(pa.array, of), *grams]
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_packed(which, owner, len(tuples))], pa.binary()), *map(one, lists)], names=_block_names(most))
 
     return run
@@ -124,7 +129,7 @@ def _blocks(most: int, salt: int):
 
 def _block_ddl(most: int) -> str:
     longs = ["of_docs", "of_target", *(f"g{k}" for k in range(most) if most > 1)]
-    return "block long, which binary, target array<boolean>, row array<long>, doc_id array<long>, n_words array<long>, n_features array<long>, words array<string>, ids array<long>, " + ", ".join(f"{c} array<long>" for c in longs)
+    return "block long, which binary, target array<boolean>, row array<long>, doc_id array<long>, n_words array<long>, n_features array<long>, words array<string>, " + ", ".join(f"{c} array<long>" for c in longs)
 
 
 def _block_names(most: int) -> list[str]:
@@ -132,10 +137,10 @@ def _block_names(most: int) -> list[str]:
 
 
 def _sums(batches):
-    """Blocks with the `gains` of their tuples, in the lower 32 bits, to (row, doc_id, n_words, n_features, gain) of their documents."""
+    """Blocks with the `gains` of their tuples to (row, doc_id, n_words, n_features, gain) of their documents."""
     for b in batches:
         for i in range(b.num_rows):
-            gains = b.column("gains")[i].values.to_numpy().astype(np.int32) if b.column("gains")[i].is_valid else np.zeros(0, np.int32)
+            gains = b.column("gains")[i].values.to_numpy() if b.column("gains")[i].is_valid else np.zeros(0, np.int32)
             n = b.column("n_features")[i].values.to_numpy()
             which = _unpacked(b.column("which")[i].as_py(), int(n.sum()), len(gains))
             upto = np.concatenate(([0], np.cumsum(gains[which], dtype=np.int64)))
@@ -145,10 +150,9 @@ def _sums(batches):
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["row", "doc_id", "n_words", "n_features", "gain"])
 
 
-def dictionary(blocks: DataFrame, path: str) -> DataFrame:
+def dictionary(blocks: DataFrame, salt: str, path: str) -> DataFrame:
     """(id, word) of the distinct words of all blocks."""
-    listed = blocks.select(F.explode(F.arrays_zip("ids", "words")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.words").alias("word"))
-    return save(listed.distinct(), path)
+    return save(blocks.select(F.explode("words").alias("word")).distinct().select(word_id(F.col("word"), salt).alias("id"), "word"), path)
 
 
 def spelled(grams: DataFrame, words: DataFrame, most: int) -> DataFrame:
@@ -163,14 +167,15 @@ def weights(docs: DataFrame, target: DataFrame, most: int = 1, buckets: int = BU
     """row, doc_id, n_words, n_features, weight of each row of docs (doc_id, text) against the texts of target (text); row is a number of the row's own."""
     path = work_dir(docs.sparkSession, "resampling")
     both = docs.select(F.lit(False).alias("target"), F.col("doc_id").cast("long").alias("doc_id"), "text").unionAll(target.select(F.lit(True), F.lit(None).cast("long"), "text"))
-    for salt in range(8):
+    for salt in ("", *"abcdefg"):
         blocks = save(both.mapInArrow(_blocks(most, salt), _block_ddl(most)), f"{path}/blocks{salt}", WIDE_ROWS)
-        words = dictionary(blocks, f"{path}/dictionary{salt}")
+        words = dictionary(blocks, salt, f"{path}/dictionary{salt}")
         if words.select("id").distinct().count() == words.count():
             break
     gram = [f"g{k}" for k in range(most)]
-    blocks = blocks if most > 1 else blocks.withColumnRenamed("ids", "g0")
-    zipped = blocks.select(F.explode(F.arrays_zip(*gram, "of_docs", "of_target")).alias("x")).select("x.*")
+    listed = gram if most > 1 else ["words"]
+    numbered = (lambda df: df) if most > 1 else lambda df: df.withColumn("g0", word_id(F.col("words"), salt)).drop("words")
+    zipped = numbered(blocks.select(F.explode(F.arrays_zip(*listed, "of_docs", "of_target")).alias("x")).select("x.*"))
     counted = zipped.groupBy(*gram).agg(F.sum("of_docs").alias("s"), F.sum("of_target").alias("t"))
     bucket = F.crc32(F.encode("text", "utf-8")) % buckets
     grams = save(spelled(counted, words, most).select(*gram, bucket.alias("bucket"), "s", "t"), f"{path}/grams")
@@ -180,13 +185,13 @@ def weights(docs: DataFrame, target: DataFrame, most: int = 1, buckets: int = BU
     ratio = of("t") * F.lit(float(totals["S"] + buckets)) / (of("s") * F.lit(float(totals["T"] + buckets)))
     gains = counts.select("bucket", F.floor(SCALE * F.log(ratio)).cast("int").alias("gain"))
     known = grams.join(gains, "bucket").select(*[F.col(g).alias(f"k{g}") for g in gram], "gain")
-    placed = blocks.select("block", F.posexplode(F.arrays_zip(*gram)).alias("f", "x")).select("block", "f", "x.*")
+    placed = numbered(blocks.select("block", F.posexplode(F.arrays_zip(*listed)).alias("f", "x")).select("block", "f", "x.*"))
     on = F.col("g0") == F.col("kg0")
     for g in gram[1:]:
         on = on & F.col(g).eqNullSafe(F.col(f"k{g}"))
     # A tuple's place in its block and its gain are one number, above and below 32 bits.
     packed = F.shiftleft(F.col("f").cast("long"), 32).bitwiseOR(F.col("gain").cast("long").bitwiseAND((1 << 32) - 1))
-    found = save(placed.join(known, on).select("block", packed.alias("x")).groupBy("block").agg(F.sort_array(F.collect_list("x")).alias("gains")), f"{path}/gains", WIDE_ROWS)
+    found = save(placed.join(known, on).select("block", packed.alias("x")).groupBy("block").agg(F.sort_array(F.collect_list("x")).alias("x")).select("block", F.transform("x", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")).alias("gains")), f"{path}/gains", WIDE_ROWS)
     texts = blocks.select("block", "which", "target", "row", "doc_id", "n_words", "n_features").join(found, "block", "left")
     parts = texts.mapInArrow(_sums, "row long, doc_id long, n_words long, n_features long, gain long")
     every = parts.groupBy("row").agg(F.min("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_words", "n_features", "gain")])
