@@ -201,21 +201,50 @@ def oriented(pairs: DataFrame) -> DataFrame:
     return pairs.select(*[F.when(swap, F.col(names[c])).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in pairs.columns])
 
 
-def correspondence_residuals(pairs: DataFrame) -> DataFrame:
-    """pairs with `residual`, divided by the sigmas of side a, or of b where a has none, if these are as many, and `state`: used, unsupported or unknown.
+_IMAGE, _MAP = ("UV", "UVT"), "GEOXY"
+
+
+def _spread(sigma0: Column) -> Column:
+    """What each number of `residual` is divided by, or null where it stays as it is.
+
+    Two positions: the sigmas of both sides added, or of the one that has them, whole; on a map those of a position count by the projector's share of each axis. An image
+    point with a position: its own sigmas, each by itself. Two image points: sigma0 alone. All are multiplied by sigma0.
+    """
+
+    def whole(side: str, n: int) -> Column:
+        s = F.col(f"{side}.sigmas")
+        return F.when((F.size(s) == n) & ~F.exists(s, lambda x: x.isNull()), s)
+
+    def added(one: Column, two: Column) -> Column:
+        return F.coalesce(F.zip_with(one, two, lambda x, y: x + y), one, two)
+
+    a_image, b_image = F.col("a.kind").isin(*_IMAGE), F.col("b.kind").isin(*_IMAGE)
+    on_map = F.array(*[sum((F.abs(F.col("b_projector")[3 * k + i]) * whole("a", 3)[i] for i in (1, 2)), F.abs(F.col("b_projector")[3 * k]) * whole("a", 3)[0]) for k in range(2)])
+    on_map = F.when(whole("a", 3).isNotNull(), on_map)
+    own = F.array(*[F.coalesce(F.get("a.sigmas", F.lit(k)), F.lit(None).cast("double")) for k in range(2)])
+    sigmas = F.when(a_image & b_image, F.array(F.lit(1.0))).when(a_image, own).when(F.col("b.kind") == _MAP, added(on_map, whole("b", 2))).otherwise(added(whole("a", 3), whole("b", 3)))
+    return F.transform(sigmas, lambda x: x * sigma0)
+
+
+def correspondence_residuals(pairs: DataFrame, sigma0: float | Column = 1.0) -> DataFrame:
+    """pairs with `residual`, weighed by the sides' sigmas and their set's sigma0, and `state`: used, unsupported, same (an image with itself) or unknown.
 
     Columns for each side s of a and b: s (kind, vals, sigmas, ...), s_pose, s_f and s_pp (of an image), s_world (position in the world of a
-    geographic or prior side), s_projector and s_target (of a map position); null where a side has none. Kinds may come in either order.
+    geographic or prior side), s_projector and s_target (of a map position); null where a side has none. Kinds may come in either order. With columns a_block and
+    b_block two points of one image are told apart from others. A residual without sigmas stays as it is.
     """
     p = _sides_in_world(oriented(pairs))
     is_ = lambda x, y: (F.col("a.kind") == x) & (F.col("b.kind") == y)
     cases = reduce(lambda c, f: c.when(is_(*f[0]), f[1]), list(_formulas().items())[1:], F.when(is_("PRIOR", "XYZ"), _formulas()["PRIOR", "XYZ"]))
-    p = p.withColumn("residual", cases)
-    sigmas = F.coalesce("a.sigmas", "b.sigmas")
-    weighed = F.when(sigmas.isNotNull() & (F.size(sigmas) == F.size("residual")), F.zip_with("residual", sigmas, lambda x, s: x / s)).otherwise(F.col("residual"))
+    s0 = sigma0 if isinstance(sigma0, Column) else F.lit(float(sigma0))
+    p = p.withColumn("residual", cases).withColumn("_spread", _spread(s0))
+    weighed = F.when(F.col("_spread").isNotNull() & (F.size("_spread") == F.size("residual")), F.zip_with("residual", "_spread", lambda x, s: x / F.coalesce(s, F.lit(1.0)))).otherwise(F.col("residual"))
     known = reduce(lambda c, k: c | is_(*k), list(_formulas())[1:], is_("PRIOR", "XYZ"))
     bad = reduce(lambda c, k: c | is_(*k), UNSUPPORTED[1:], is_(*UNSUPPORTED[0]))
-    return p.withColumn("residual", weighed).withColumn("state", F.when(known, "used").when(bad, "unsupported").otherwise("unknown")).drop(*_SHARED)
+    same = F.col("a.kind").isin(*_IMAGE) & F.col("b.kind").isin(*_IMAGE) & (F.col("a_block") == F.col("b_block")) if {"a_block", "b_block"} <= set(pairs.columns) else F.lit(False)
+    same = F.coalesce(same, F.lit(False))
+    state = F.when(same, "same").when(known, "used").when(bad, "unsupported").otherwise("unknown")
+    return p.withColumn("residual", F.when(~same, weighed)).withColumn("state", state).drop("_spread", *_SHARED)
 
 
 def residual_counts(residuals: DataFrame) -> DataFrame:

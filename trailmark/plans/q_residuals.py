@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.vectors import vector
@@ -13,48 +12,59 @@ _R = Registry()
 r, sr = rounded, sql_rounded
 
 
-def _side(kind: Column, vals: Column) -> Column:
-    return F.struct(kind.alias("kind"), vals.alias("vals"), F.lit(None).cast("array<double>").alias("sigmas"))
+#: What each pair of kinds compares, and the kinds, in the order that has a formula.
+PAIRS = [
+    ("prior", "PRIOR", "XYZ"), ("place_world", "PRIORID", "GEOXYZ"), ("place_map", "PRIORID", "GEOXY"), ("point_point", "XYZ", "XYZ"), ("point_world", "XYZ", "GEOXYZ"), ("point_map", "XYZ", "GEOXY"), ("point_place", "XYZ", "PRIORID"),
+    ("point_point", "XYZT", "XYZ"), ("point_point", "XYZT", "XYZT"), ("rays", "UV", "UV"), ("seen_point", "UV", "XYZ"), ("seen_world", "UV", "GEOXYZ"), ("seen_point", "UV", "XYZT"), ("rays", "UVT", "UV"), ("rays", "UVT", "UVT"),
+    ("seen_point", "UVT", "XYZ"), ("seen_world", "UVT", "GEOXYZ"), ("seen_point", "UVT", "XYZT"), ("none", "XYZ", "LINE3D"), ("none", "UV", "GEOXY"),
+]
+_K = F.col("p_partkey") % len(PAIRS)
 
 
-def _kind(*names: str) -> Column:
-    return F.array(*[F.lit(n) for n in names])[(F.col("p_partkey") % 6).cast("int")]
+def _of_pair(values, k=_K):
+    return F.array(*[F.lit(v) for v in values])[k.cast("int")]
 
 
 def _pairs(spark, d):
-    """Six pairs of kinds by key; the second is given in the order that has no formula, so it is turned round."""
-    p, k = table(spark, d, "part"), F.col("p_partkey") % 6
-    x, q = F.col("p_size").cast("double"), (F.col("p_partkey") % 7).cast("double")
-    point, body = vector(F.lit(3.0), q, F.lit(1.0)), rs.pose(vector(0, 0, 0), vector(0, 5, 0))
-    turned = rs.pose(vector(F.lit(0.0), F.lit(0.0), x * 0.01), vector(10, 0, 0))
-    camera, second = rs.pose(vector(0, 0, 0), vector(0, 0, -20)), rs.pose(vector(0, 0, 0), vector(5, 0, -20))
-    a = F.when(k == 1, point).when(k.isin(3, 5), vector(x, F.lit(3.0))).otherwise(vector(x, F.lit(1.0), F.lit(2.0)))
-    b = F.when(k == 1, vector(x, F.lit(3.0))).when(k == 3, vector(F.lit(1.0), q)).otherwise(point)
-    sides = p.select(
-        "p_partkey", _side(_kind("XYZ", "XYZ", "XYZ", "UV", "XYZ", "UV"), a).alias("a"), _side(_kind("XYZ", "UV", "GEOXYZ", "UV", "LINE3D", "GEOXY"), b).alias("b"),
-        F.when(k == 1, body).when(k.isin(3, 5), camera).otherwise(turned).alias("a_pose"), F.when(k == 1, camera).when(k == 3, second).otherwise(body).alias("b_pose"),
-        *[c.alias(f"{s}_{n}") for s in "ab" for n, c in (("f", F.lit(100.0)), ("pp", vector(0, 0)), ("world", vector(1, 2, 3)), ("projector", vector(1, 0, 0, 0, 1, 0)), ("target", vector(0, 0)))],
-    )
-    return rs.correspondence_residuals(sides)
-
-
-_SQL = f"""WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, p_size::DOUBLE AS x, (p_partkey % 7)::DOUBLE AS q FROM part),
-w AS (SELECT *, cos(x * 0.01) * x - sin(x * 0.01) + 10 AS wx, sin(x * 0.01) * x + cos(x * 0.01) AS wy FROM p)
-SELECT p_partkey, CASE WHEN k IN (1, 3, 5) THEN 'UV' ELSE 'XYZ' END AS kind_a, CASE k WHEN 0 THEN 'XYZ' WHEN 1 THEN 'XYZ' WHEN 2 THEN 'GEOXYZ' WHEN 3 THEN 'UV' WHEN 4 THEN 'LINE3D' ELSE 'GEOXY' END AS kind_b,
-    CASE k WHEN 4 THEN 'unsupported' WHEN 5 THEN 'unknown' ELSE 'used' END AS state,
-    {sr("CASE k WHEN 0 THEN wx - 3 WHEN 1 THEN 300 / 21.0::DOUBLE - x WHEN 2 THEN wx - 1 WHEN 3 THEN (0.03 - q / 100) / (sqrt(x * x / 10000 + 0.0009 + 1) * sqrt(0.0001 + q * q / 10000 + 1)) END")} AS r0,
-    {sr("CASE k WHEN 0 THEN wy - q - 5 WHEN 1 THEN 100 * (q + 5) / 21.0::DOUBLE - 3 WHEN 2 THEN wy - 2 END")} AS r1 FROM w"""
-
-
-@_R.add("residuals_by_kind", _SQL)
+    """All pairs of kinds by key, with sigmas on both sides, one or none; every other round of keys has its sides in the order that has no formula."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    what, kind_a, kind_b = (_of_pair(v) for v in zip(*PAIRS, strict=True))
+    x, q = F.col("p_size").cast("double"), (k % 7).cast("double")
+    nothing = F.lit(None).cast("array<double>")
+    image = lambda kind: kind.isin("UV", "UVT")
+    pose_a = F.when(image(kind_a), rs.pose(vector(0, 0, 0), vector(0, 0, -20))).otherwise(rs.pose(vector(F.lit(0.0), F.lit(0.0), x * 0.01), vector(10, 0, 0)))
+    pose_b = F.when(image(kind_b), rs.pose(vector(0, 0, 0), vector(5, 0, -20))).otherwise(rs.pose(vector(0, 0, 0), vector(0, 5, 0)))
+    side = lambda kind, vals, sigmas: F.struct(kind.alias("kind"), vals.alias("vals"), sigmas.alias("sigmas"))
+    a = side(kind_a, F.when(image(kind_a), vector(x, F.lit(3.0))).otherwise(vector(x, F.lit(1.0), F.lit(2.0))), F.when(k % 3 != 0, F.when(image(kind_a), F.array(F.lit(0.5), F.when(k % 2 == 0, 0.25))).otherwise(vector(2, 3, 4))).otherwise(nothing))
+    b = side(kind_b, F.when(image(kind_b), vector(F.lit(1.0), q)).otherwise(vector(F.lit(3.0), q, F.lit(1.0))), F.when(k % 4 != 0, F.when(kind_b == "GEOXY", vector(0.5, 2)).otherwise(vector(1, 1, 2))).otherwise(nothing))
+    back = F.floor(k / len(PAIRS)) % 2 == 1
+    either = lambda one, two: [F.when(back, two).otherwise(one), F.when(back, one).otherwise(two)]
+    columns = {"": (a, b), "_pose": (pose_a, pose_b), "_block": (k % 11, F.when(k % 13 == 0, k % 11).otherwise(k % 11 + 1))}
+    sides = p.select("p_partkey", *[c.alias(f"{s}{n}") for n, (one, two) in columns.items() for s, c in zip("ab", either(one, two), strict=True)], *[c.alias(f"{s}_{n}") for s in "ab" for n, c in (("f", F.lit(100.0)), ("pp", vector(0, 0)), ("world", vector(1, 2, 3)), ("projector", vector(1, 0, 0, 0, 0.5, -0.5)), ("target", vector(0, 1)))])
+    return rs.correspondence_residuals(sides, 2.0).withColumn("what", what)
+
+
+_LIST = ", ".join(f"({i}, '{w}', '{a}', '{b}')" for i, (w, a, b) in enumerate(PAIRS))
+_SQL = f"""WITH l(i, what, a, b) AS (VALUES {_LIST}),
+p AS (SELECT p_partkey, what, a, b, p_partkey // {len(PAIRS)} % 2 = 1 AS back, p_size::DOUBLE AS x, (p_partkey % 7)::DOUBLE AS q, a IN ('UV', 'UVT') AND b IN ('UV', 'UVT') AND p_partkey % 13 = 0 AS same,
+    CASE WHEN p_partkey % 3 <> 0 THEN CASE WHEN a IN ('UV', 'UVT') THEN [0.5, CASE WHEN p_partkey % 2 = 0 THEN 0.25 END]::DOUBLE[] ELSE [2.0, 3.0, 4.0]::DOUBLE[] END END AS sa, CASE WHEN p_partkey % 4 <> 0 THEN CASE WHEN b = 'GEOXY' THEN [0.5, 2.0]::DOUBLE[] ELSE [1.0, 1.0, 2.0]::DOUBLE[] END END AS sb FROM part JOIN l ON i = p_partkey % {len(PAIRS)}),
+w AS (SELECT *, cos(x * 0.01) * x - sin(x * 0.01) + 10 AS wx, sin(x * 0.01) * x + cos(x * 0.01) AS wy FROM p),
+e AS (SELECT *, CASE what WHEN 'prior' THEN [-3, 5 - q, -1] WHEN 'place_world' THEN [9, -2, -3] WHEN 'place_map' THEN [10, -1] WHEN 'point_point' THEN CASE WHEN back AND a = b THEN [3 - wx, q + 5 - wy, -1] ELSE [wx - 3, wy - q - 5, 1] END WHEN 'point_world' THEN [wx - 1, wy - 2, -1] WHEN 'point_map' THEN [wx, wy * 0.5 - 2]
+    WHEN 'point_place' THEN [wx, wy - 5, 2] WHEN 'rays' THEN [(0.03 - q / 100) / (sqrt(x * x / 10000 + 0.0009 + 1) * sqrt(0.0001 + q * q / 10000 + 1))] WHEN 'seen_point' THEN [300 / 21.0::DOUBLE - x, 100 * (q + 5) / 21.0::DOUBLE - 3] WHEN 'seen_world' THEN [100 / 23.0::DOUBLE - x, 200 / 23.0::DOUBLE - 3] END::DOUBLE[] AS e,
+    CASE WHEN what = 'rays' THEN [1.0]::DOUBLE[] WHEN what IN ('seen_point', 'seen_world') THEN [coalesce(sa[1], 0.5), coalesce(sa[2], 0.5)]::DOUBLE[] WHEN what IN ('place_map', 'point_map') THEN CASE WHEN sa IS NULL AND sb IS NULL THEN [0.5, 0.5]::DOUBLE[] ELSE [coalesce(sa[1], 0) + coalesce(sb[1], 0), coalesce(sa[2] * 0.5 + sa[3] * 0.5, 0) + coalesce(sb[2], 0)] END
+    WHEN sa IS NULL AND sb IS NULL THEN [0.5, 0.5, 0.5]::DOUBLE[] ELSE [coalesce(sa[1], 0) + coalesce(sb[1], 0), coalesce(sa[2], 0) + coalesce(sb[2], 0), coalesce(sa[3], 0) + coalesce(sb[3], 0)] END AS s FROM w),
+z AS (SELECT p_partkey, CASE WHEN back AND what = 'none' AND b = 'GEOXY' THEN b ELSE a END AS kind_a, CASE WHEN back AND what = 'none' AND b = 'GEOXY' THEN a ELSE b END AS kind_b, CASE WHEN same THEN 'same' WHEN what <> 'none' THEN 'used' WHEN b = 'LINE3D' THEN 'unsupported' ELSE 'unknown' END AS state, CASE WHEN NOT same THEN list_transform(range(1, len(e) + 1), lambda i: e[i] / (2 * s[i])) END AS e FROM e)"""
+
+
+@_R.add("residuals_by_kind", f"{_SQL} SELECT p_partkey, kind_a, kind_b, state, {sr('e[1]')} AS r0, {sr('e[2]')} AS r1, {sr('e[3]')} AS r2 FROM z")
 def residuals_by_kind(spark, d):
     e = _pairs(spark, d)
-    return e.select("p_partkey", F.col("a.kind").alias("kind_a"), F.col("b.kind").alias("kind_b"), "state", r(F.col("residual")[0]).alias("r0"), r(F.get("residual", F.lit(1))).alias("r1"))
+    return e.select("p_partkey", F.col("a.kind").alias("kind_a"), F.col("b.kind").alias("kind_b"), "state", *[r(F.get("residual", F.lit(i))).alias(f"r{i}") for i in range(3)])
 
 
-@_R.add("residual_counts", "SELECT CASE WHEN k IN (1, 3, 5) THEN 'UV' ELSE 'XYZ' END AS kind_a, CASE k WHEN 0 THEN 'XYZ' WHEN 1 THEN 'XYZ' WHEN 2 THEN 'GEOXYZ' WHEN 3 THEN 'UV' WHEN 4 THEN 'LINE3D' ELSE 'GEOXY' END AS kind_b, CASE k WHEN 4 THEN 'unsupported' WHEN 5 THEN 'unknown' ELSE 'used' END AS state, count(*) AS n FROM (SELECT p_partkey % 6 AS k FROM part) GROUP BY ALL")
+@_R.add("residual_counts", f"{_SQL} SELECT kind_a, kind_b, state, count(*) AS n, {sr('sqrt(avg(list_sum(list_transform(e, lambda v: v * v))))')} AS rms FROM z GROUP BY ALL")
 def residual_counts(spark, d):
-    return rs.residual_counts(_pairs(spark, d)).select("kind_a", "kind_b", "state", "n")
+    return rs.residual_counts(_pairs(spark, d)).select("kind_a", "kind_b", "state", "n", r(F.col("rms")).alias("rms"))
 
 
 _TURN = "t AS (SELECT p_partkey AS id, cos(p_size * 0.05::DOUBLE) AS c, sin(p_size * 0.05::DOUBLE) AS s, p_size::DOUBLE AS x FROM part)"
