@@ -266,7 +266,7 @@ def _assemble(batches):
 
 
 def _numbered(docs: DataFrame, path: str) -> DataFrame:
-    """docs (doc_id, text) with doc, what stands for the id, and tag, which differs for different texts of one id.
+    """docs (doc_id, text) with doc, what stands for the id, tag, which differs for different texts of one id, and again, whether the id repeats.
 
     Only ids that repeat are looked at; their texts are ranked by hash within parts, so an id that very many rows have is no single task's work.
     """
@@ -274,7 +274,7 @@ def _numbered(docs: DataFrame, path: str) -> DataFrame:
     often = save(named.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc"), f"{path}/repeated")
     zero = F.lit(0).cast("long")
     if often.isEmpty():
-        return named.withColumn("tag", zero)
+        return named.withColumn("tag", zero).withColumn("again", F.lit(False))
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
     texts = named.join(often, "doc", "left_semi").select("doc", sha.alias("sha")).distinct().withColumn("part", F.substring("sha", 1, 3))
     texts = save(texts.withColumn("at", F.row_number().over(Window.partitionBy("doc", "part").orderBy("sha"))), f"{path}/texts")
@@ -285,7 +285,7 @@ def _numbered(docs: DataFrame, path: str) -> DataFrame:
     if (tags.agg(F.max("tag")).first()[0] or 0) >> _TAG:
         raise ValueError(f"more than {1 << _TAG} different texts share one doc_id")
     # An id without a tag doesn't repeat.
-    return named.withColumn("sha", sha).join(tags, ["doc", "sha"], "left").select("doc_id", "text", "doc", F.coalesce("tag", zero).alias("tag"))
+    return named.withColumn("sha", sha).join(tags, ["doc", "sha"], "left").select("doc_id", "text", "doc", F.coalesce("tag", zero).alias("tag"), F.col("tag").isNotNull().alias("again"))
 
 
 def covered_ranges(docs: DataFrame, path: str) -> DataFrame:
@@ -295,7 +295,8 @@ def covered_ranges(docs: DataFrame, path: str) -> DataFrame:
     # Places of one text in each list.
     places = found.where("len = 0").groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "strings")).alias("places"))
     # Rows of one id and text have the same places; one of them stands for all.
-    strings = docs.join(places, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).select("doc_id", "text", "tag", "places").mapInArrow(_cut_up, _KNOWN_DDL)
+    met = docs.join(places, ["doc", "tag"])
+    strings = met.where(~F.col("again")).unionAll(met.where("again").dropDuplicates(["doc", "tag"])).select("doc_id", "text", "tag", "places").mapInArrow(_cut_up, _KNOWN_DDL)
     more = save(order(strings), f"{path}/strings")
     return found.where("len > 0").select("doc", "tag", "start", "len").union(more.where("len > 0").select("doc", "tag", "start", "len"))
 
