@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geodesy as geo
 from ..functions import notation as no
+from ..functions.rotations import rotation_vector
+from ..functions.vectors import times_matrix
 from ..sources import exchange as ex
 from ..sources import sensors as se
 from ..sources import tables as tb
@@ -146,6 +149,77 @@ def text_block_paths(spark, d):
     return p.withColumn("last", F.element_at(no.path_ids(F.col("path")), -1))
 
 
+@_R.add("text_position_rows", f"SELECT p_partkey::DOUBLE AS t, p_size::DOUBLE AS x, {sr('p_retailprice::DOUBLE')} AS z FROM part WHERE p_partkey % 4 > 1")
+def text_position_rows(spark, d):
+    """Positions of a log; values beyond all numbers are no positions."""
+    k = F.col("p_partkey")
+    z = F.when(k % 4 == 0, "1e999").when(k % 4 == 1, "-1e999").otherwise(s("p_retailprice"))
+    lines = table(spark, d, "part").select(F.concat_ws(";", s("p_partkey"), s("p_size"), F.lit("2"), z).alias("value"))
+    got = se.position(lines, se.Layout(separators=(";",)))
+    return got.select("t", F.col("v")[0].alias("x"), r(F.col("v")[2]).alias("z"))
+
+
+@_R.add(
+    "text_orientation_rows",
+    f"""WITH p AS (SELECT p_partkey, p_size * 0.05::DOUBLE AS h FROM part), a AS (SELECT *, atan2(sin(h), cos(h)) AS w FROM p)
+    SELECT p_partkey::DOUBLE AS t, form, {sr('w')} AS z FROM a, (SELECT unnest(['euler', 'gon', 'quaternion']) AS form)""",
+)
+def text_orientation_rows(spark, d):
+    """Headings given as quaternions of any length, as Euler angles in degrees and as rotation vectors in gon."""
+    h, k = F.col("p_size") * 0.05, s("p_partkey")
+    turn = F.atan2(F.sin(h), F.cos(h))
+    out = None
+    for form, words, layout in (
+        ("quaternion", [F.cos(h / 2) * 3, F.lit(0), F.lit(0), F.sin(h / 2) * 3], se.Layout(values=(1, 2, 3, 4), angle="quaternion")),
+        ("euler", [F.lit(0), F.lit(0), F.degrees(turn)], se.Layout(angle="zyx", units="deg")),
+        ("gon", [F.lit(0), F.lit(0), turn * (200 / 3.141592653589793)], se.Layout(units="gon")),
+    ):
+        lines = table(spark, d, "part").select(F.concat_ws(",", k, *[F.format_string("%.12f", w.cast("double")) for w in words]).alias("value"))
+        rows = se.angular(lines, layout, finite=True).select("t", F.lit(form).alias("form"), r(F.col("v")[2]).alias("z"))
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+@_R.add("text_trajectory_geographic", f"SELECT c_custkey AS id, {sr('(c_custkey * 37 % 17900) / 100.0::DOUBLE - 89')} AS lat, {sr('(c_custkey * 71 % 35900) / 100.0::DOUBLE - 179')} AS lon, {sr('c_acctbal::DOUBLE', 3)} AS height, {sr('degrees(atan2(sin(c_custkey * 0.05), cos(c_custkey * 0.05)))', 2)} AS heading FROM customer")
+def text_trajectory_geographic(spark, d):
+    """Geographic lines of poses that head so far from north, read again."""
+    k = F.col("c_custkey")
+    lat, lon, turn = k * 37 % 17900 / 100.0 - 89, k * 71 % 35900 / 100.0 - 179, k * 0.05
+    heading = F.array(F.cos(turn), -F.sin(turn), F.lit(0.0), F.sin(turn), F.cos(turn), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    c = table(spark, d, "customer").select(k.alias("id"), lat.alias("lat"), lon.alias("lon"), F.col("c_acctbal").cast("double").alias("h"), heading.alias("m"))
+    pose = F.struct(rotation_vector(times_matrix(geo.local_axes(F.col("lat"), F.col("lon")), F.col("m"))).alias("r"), geo.earth_centred(F.col("lat"), F.col("lon"), F.col("h")).alias("t"))
+    w = F.split(F.col("value"), ",")
+    lines = ex.geographic_lines(c.select("id", F.lit(1.0).alias("t"), pose.alias("pose")))
+    return lines.select("id", *[r(w[i].cast("double"), n).alias(name) for i, n, name in ((1, 6, "lat"), (2, 6, "lon"), (3, 3, "height"), (6, 2, "heading"))])
+
+
+@_R.add("text_named_pairs", "SELECT s_suppkey AS k, 'UV ' || s_suppkey || ' 1.00 2.50, XYZ ' || coalesce(n_name, (s_nationkey + 20)::VARCHAR) || ' 3 4.5 5' AS value FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey + 20")
+def text_named_pairs(spark, d):
+    """Exported pairs: blocks that have a name go by it, others by their id."""
+    line = F.concat(F.lit("uv "), s("s_suppkey"), F.lit(" 1 2.5, xyz "), (F.col("s_nationkey") + 20).cast("string"), F.lit(" 3 4.5 5"))
+    pairs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), no.parse_pair(line).alias("pair"))
+    names = table(spark, d, "nation").select((F.col("n_nationkey") + F.when(F.col("n_nationkey") < 20, 100_000_000).otherwise(0)).alias("id"), F.col("n_name").alias("name"))
+    return ex.correspondence_lines(pairs, names)
+
+
+@_R.add("text_rig_json", f"SELECT s_suppkey AS id, 100.5::DOUBLE AS f1, {sr('cos(s_nationkey * 0.1)')} AS r0, {sr('-sin(s_nationkey * 0.1)')} AS r1, s_nationkey::DOUBLE AS t0 FROM supplier")
+def text_rig_json(spark, d):
+    """Stereo rigs as JSON, read again."""
+    n, zero = F.col("s_nationkey"), F.lit(0.0)
+    rigs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(100.5).alias("f1"), F.array(zero, zero).alias("pp1"), F.lit(200.0).alias("f2"), F.array(zero, zero).alias("pp2"), F.array(zero, zero, n * 0.1).alias("r"), F.array(n.cast("double"), zero, zero).alias("t"))
+    j = F.from_json("value", "f1 double, pp1 array<double>, f2 double, pp2 array<double>, R array<double>, t array<double>")
+    return ex.rig_json(rigs).select("id", j.alias("j")).select("id", "j.f1", r(F.col("j.R")[0]).alias("r0"), r(F.col("j.R")[1]).alias("r1"), F.col("j.t")[0].alias("t0"))
+
+
+@_R.add("text_one_image", "SELECT 'Image' || o_orderkey AS \"Image\", 'Point' || l_partkey AS \"Landmark\", l_linenumber AS u, l_suppkey AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey = (SELECT min(o_orderkey) FROM orders)")
+def text_one_image(spark, d):
+    """The observation table of one image."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Image"), s("o_orderkey")).alias("name"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("Point"), s("p_partkey")).alias("name"))
+    seen = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_partkey").alias("landmark_id"), F.col("l_linenumber").alias("u"), F.col("l_suppkey").alias("v"))
+    return ex.observation_table(seen, parts, orders, orders.agg(F.min("id")).first()[0])
+
+
 @_R.add("text_project_json")
 def text_project(spark, d):
     o = table(spark, d, "nation").select(F.lit("Image").alias("class"), F.col("n_nationkey").alias("position"), F.to_json(F.struct("n_nationkey", "n_name")).alias("json"))
