@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import joined, placed, shared_folder
+
 
 def epoch_seconds(ts: Column) -> Column:
     """Seconds since 1970 of a timestamp without time zone, whatever the session's zone."""
@@ -130,6 +132,19 @@ def common_interval(series: DataFrame, by: list[str], kinds: str, low: float | N
     return both.where("t_end > t_start")
 
 
+def nonfinite_census(samples: DataFrame, by: list[str], value: str = "v", shown: int = 10) -> DataFrame:
+    """(by, n_bad, first_bad): how many values of each series are no finite numbers, nulls included, and the places of the first ones in order of time, from 0.
+
+    Places are dealt by ranges of time and only bad rows are ranked, so a series with very many of either is many tasks' work.
+    """
+    at = placed(samples.select(*by, "t", F.col(value).cast("double").alias("v")), by, [F.col("t")], "i", shared_folder(samples.sparkSession, "census"))
+    bad = at.where(F.col("v").isNull() | F.isnan("v") | (F.abs("v") == float("inf"))).select(*by, "i")
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("i"))
+    first = bad.withColumn("k", rank).where(F.col("k") <= shown).groupBy(*by).agg(F.array_sort(F.collect_list("i")).alias("first_bad"))
+    counts = joined(samples.select(*by).distinct(), bad.groupBy(*by).agg(F.count(F.lit(1)).alias("n_bad")), by, "left")
+    return joined(counts, first, by, "left").select(*by, F.coalesce("n_bad", F.lit(0)).alias("n_bad"), F.coalesce("first_bad", F.array().cast("array<long>")).alias("first_bad"))
+
+
 def first_in_interval(samples: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
     """For each pair of neighbouring nodes (t1, t2): the first sample from t1 on, if it is at t2 at the latest, with its weights w1 and w2."""
     w = Window.partitionBy(*by).orderBy("t")

@@ -90,10 +90,14 @@ def timeseq_integral_backward(spark, d):
 
 @_R.add(
     "timeseq_common_interval",
-    f"WITH {EV}, k AS (SELECT user_id, event_type, min(t) AS a, max(t) AS b FROM ev GROUP BY ALL), m AS (SELECT user_id, max(a) AS a, min(b) AS b FROM k GROUP BY 1) SELECT user_id, {sr('greatest(a, 0.0)', 3)} AS t_start, {sr('b', 3)} AS t_end FROM m WHERE b > greatest(a, 0.0)",
+    f"""WITH {EV}, c AS (SELECT min(t) + (max(t) - min(t)) * 0.02::DOUBLE AS low, min(t) + (max(t) - min(t)) * 0.9::DOUBLE AS high FROM ev), k AS (SELECT user_id, event_type, min(t) AS a, max(t) AS b FROM ev GROUP BY ALL), m AS (SELECT user_id, max(a) AS a, min(b) AS b FROM k GROUP BY 1)
+    SELECT user_id, {sr('greatest(a, low)', 3)} AS t_start, {sr('least(b, high)', 3)} AS t_end FROM m, c WHERE least(b, high) > greatest(a, low)""",
 )
 def timeseq_common_interval(spark, d):
-    c = ts.common_interval(events(spark, d), ["user_id"], "event_type", low=0.0)
+    """Clipped to the time from 2 % to 90 % of all samples."""
+    e = events(spark, d)
+    a, b = e.agg(F.min("t"), F.max("t")).first()
+    c = ts.common_interval(e, ["user_id"], "event_type", low=a + (b - a) * 0.02, high=a + (b - a) * 0.9)
     return c.select("user_id", r(F.col("t_start"), 3).alias("t_start"), r(F.col("t_end"), 3).alias("t_end"))
 
 
@@ -155,13 +159,9 @@ def timeseq_weighted_sum(spark, d):
     SELECT v.user_id, count(*) FILTER (bad) AS n_bad, coalesce((SELECT string_agg(i::VARCHAR, ',' ORDER BY i) FROM b WHERE b.user_id = v.user_id AND k <= 10), '') AS first_bad FROM v GROUP BY v.user_id""",
 )
 def series_nonfinite_census(spark, d):
-    from pyspark.sql import Window
-
-    e = events(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("t")) - 1)
-    e = e.withColumn("v", F.when(F.col("event_id") % 40 == 0, float("nan")).otherwise(F.col("value")))
-    bad = F.isnan("v") | (F.abs("v") == float("inf"))
-    first = F.slice(F.array_sort(F.collect_list(F.when(bad, F.col("i")))), 1, 10)
-    return e.groupBy("user_id").agg(F.count_if(bad).alias("n_bad"), F.array_join(F.transform(first, lambda x: x.cast("string")), ",").alias("first_bad"))
+    e = events(spark, d).select("user_id", "t", F.when(F.col("event_id") % 40 == 0, float("nan")).otherwise(F.col("value")).alias("v"))
+    c = ts.nonfinite_census(e, ["user_id"])
+    return c.select("user_id", "n_bad", F.array_join(F.transform("first_bad", lambda x: x.cast("string")), ",").alias("first_bad"))
 
 
 @_R.add(
