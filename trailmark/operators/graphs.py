@@ -51,23 +51,23 @@ def build_edges(observations: DataFrame, nodes: DataFrame) -> DataFrame:
 def constrained(nodes: DataFrame, edges: DataFrame, self_observations: DataFrame | None = None) -> DataFrame:
     """Nodes (id, dof) left after removing, again and again, those with fewer observations than degrees of freedom.
 
-    Each round counts what is left and drops what falls short; the result doesn't depend on the order. Rounds are written to the shared folder,
-    so plans stay short and a lost executor loses nothing.
+    Observations are counted once. Then each round drops the nodes that fall short and takes what they shared off their neighbours' counts; edges are written
+    once and only read after that, nodes are written each round, so plans stay short and a lost executor loses nothing. The result doesn't depend on the
+    order. Edges of unknown nodes don't count.
     """
     path = shared_folder(nodes.sparkSession, "peel")
-    own = self_observations.groupBy("id").agg(F.sum("n").alias("own")) if self_observations is not None else None
-    left = nodes.select("id", "dof")
-    left = left.join(own, "id", "left").select("id", "dof", F.coalesce("own", F.lit(0)).alias("own")) if own is not None else left.withColumn("own", F.lit(0))
-    left, links, i = _written(left, f"{path}/nodes0"), _written(edges.select("id1", "id2", "n"), f"{path}/edges0"), 0
+    known = nodes.select("id").distinct()
+    ways = edges.select("id1", "id2", "n").unionAll(edges.select("id2", "id1", "n")).toDF("id", "other", "n")
+    ways = _written(ways.join(known, "id", "left_semi").join(known.withColumnRenamed("id", "other"), "other", "left_semi").select("id", "other", "n"), f"{path}/edges")
+    seen = ways.groupBy("id").agg(F.sum("n").alias("n"))
+    seen = seen if self_observations is None else seen.unionAll(self_observations.groupBy("id").agg(F.sum("n").alias("n"))).groupBy("id").agg(F.sum("n").alias("n"))
+    left, i = _written(nodes.select("id", "dof").join(seen, "id", "left").select("id", "dof", F.coalesce("n", F.lit(0)).cast("long").alias("n_obs")), f"{path}/nodes0"), 0
     while True:
-        ends = links.select(F.explode(F.array("id1", "id2")).alias("id"), "n").groupBy("id").agg(F.sum("n").alias("seen"))
-        counted = left.join(ends, "id", "left").withColumn("n_obs", F.col("own") + F.coalesce("seen", F.lit(0)))
-        kept = _written(counted.where("n_obs >= dof").select("id", "dof", "own", "n_obs"), f"{path}/nodes{i + 1}")
-        if kept.count() == left.count():
-            return kept.select("id", "dof", "n_obs")
-        ids = kept.select("id")
-        links = _written(links.join(ids.withColumnRenamed("id", "id1"), "id1", "left_semi").join(ids.withColumnRenamed("id", "id2"), "id2", "left_semi").select("id1", "id2", "n"), f"{path}/edges{i + 1}")
-        left, i = kept.select("id", "dof", "own"), i + 1
+        gone = left.where("n_obs < dof").select(F.col("id").alias("other"))
+        if gone.isEmpty():
+            return left
+        less = ways.join(gone, "other").groupBy("id").agg(F.sum("n").alias("less"))
+        left, i = _written(left.where("n_obs >= dof").join(less, "id", "left").select("id", "dof", (F.col("n_obs") - F.coalesce("less", F.lit(0))).alias("n_obs")), f"{path}/nodes{i + 1}"), i + 1
 
 
 def bipartite(images: DataFrame, points: DataFrame, observations: DataFrame, least_image: int, least_point: int) -> DataFrame:
