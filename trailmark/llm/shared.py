@@ -34,8 +34,9 @@ def work_dir(spark: SparkSession, name: str) -> str:
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
-#: For rows of some hundred KB: a page and a row group are looked at after a few of them, else their buffers outgrow an executor.
-WIDE_ROWS = {"parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "4", "parquet.block.size.row.check.min": "4", "parquet.block.size.row.check.max": "16", "parquet.block.size": str(16 << 20)}
+#: For rows of some hundred KB: a page and a row group are looked at after a few of them, else their buffers outgrow an executor. The usual codec
+#: keeps outgrown buffers outside the heap until it is collected; this one doesn't.
+WIDE_ROWS = {"compression": "zstd", "parquet.page.size.row.check.min": "4", "parquet.page.size.row.check.max": "4", "parquet.block.size.row.check.min": "4", "parquet.block.size.row.check.max": "16", "parquet.block.size": str(16 << 20)}
 
 
 def save(df: DataFrame, path: str, options: dict[str, str] | None = None) -> DataFrame:
@@ -72,7 +73,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1_000_000):
+def slices(offsets: np.ndarray, most: int = 300_000):
     """Row ranges [i, j) of at most `most` bytes each (or one row)."""
     i, n = 0, len(offsets) - 1
     while i < n:
