@@ -3,7 +3,7 @@
 Features are runs of 1 to `most` consecutive words, counted into hashed buckets of the documents and of the target texts. A document's weight is the mean
 log ratio of its features' buckets; with Gumbel noise of its id added, the highest weights are a draw without replacement.
 
-1. Texts are read once, in blocks of 2 MB. A block keeps its distinct words with their ids, 64-bit integers, its distinct n-grams as tuples of ids with
+1. Texts are read once, in blocks of 512 KB. A block keeps its distinct words with their ids, 64-bit integers, its distinct n-grams as tuples of ids with
    their counts, and its texts as places in this list of tuples.
 2. The dictionary holds each distinct word of all blocks with its id. Should two words ever have one id, which it shows, all is read again with other ids.
 3. Counts are summed for each distinct tuple. Only then are a tuple's words looked up, joined by spaces and hashed, once for each distinct tuple of the corpus.
@@ -13,7 +13,7 @@ A word or tuple that every block has is one row for each block, summed before it
 
 Defined cases: a null or empty text has no feature, weight 0 and a score, and can't be drawn by the query (it has under 20 words); rows that repeat a doc_id keep a
 row each, with the same noise; a null doc_id has the noise of the empty string and comes last among ties; rows that tie in score, id and text are ranked one after
-another; an empty target counts 0 everywhere; an empty table gives an empty result; other columns are ignored. Texts of over 2 MB are
+another; an empty target counts 0 everywhere; an empty table gives an empty result; other columns are ignored. Texts of over 512 KB are
 read in pieces that share `most` - 1 words.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .shared import U64, WIDE_ROWS, documents, fresh, save, work_dir
 
 BUCKETS, LEAST_WORDS, PERCENT, SEED, SCALE = 10_000, 20, 10, 2024, 1000
-_PIECE = 1 << 21
+_PIECE = 1 << 19
 #: Bits of a row's place in its block, and of a block's place in its task.
 _ROW, _BLOCK = 20, 22
 
