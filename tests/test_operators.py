@@ -197,3 +197,13 @@ def test_running_integral_of_late_samples(spark, tmp_path):
     q.awaitTermination(120)
     out = [tuple(r) for r in spark.table("late").orderBy("t_last", "n").collect()]
     assert out == [(1, 2, 3.0, 6.0, 0), (1, 4, 40.0, 190.0, 0), (1, 5, 41.0, 194.0, 0), (1, 6, 43.0, 194.0, 1)]
+
+
+def test_entry_imports_without_a_session():
+    """Queries and SQL are listed before there is a session."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), sorted(set(e.oracle_sql()) - set(e.queries())))"], cwd=Path(__file__).parents[1], capture_output=True, text=True)
+    assert said.returncode == 0 and said.stdout.endswith("[]\n"), said.stderr

@@ -18,11 +18,10 @@ PAIRS = [
     ("point_point", "XYZT", "XYZ"), ("point_point", "XYZT", "XYZT"), ("rays", "UV", "UV"), ("seen_point", "UV", "XYZ"), ("seen_world", "UV", "GEOXYZ"), ("seen_point", "UV", "XYZT"), ("rays", "UVT", "UV"), ("rays", "UVT", "UVT"),
     ("seen_point", "UVT", "XYZ"), ("seen_world", "UVT", "GEOXYZ"), ("seen_point", "UVT", "XYZT"), ("none", "XYZ", "LINE3D"), ("none", "UV", "GEOXY"),
 ]
-_K = F.col("p_partkey") % len(PAIRS)
 
 
-def _of_pair(values, k=_K):
-    return F.array(*[F.lit(v) for v in values])[k.cast("int")]
+def _of_pair(values):
+    return F.array(*[F.lit(v) for v in values])[(F.col("p_partkey") % len(PAIRS)).cast("int")]
 
 
 def _pairs(spark, d):
