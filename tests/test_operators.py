@@ -207,3 +207,12 @@ def test_entry_imports_without_a_session():
 
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), sorted(set(e.oracle_sql()) - set(e.queries())))"], cwd=Path(__file__).parents[1], capture_output=True, text=True)
     assert said.returncode == 0 and said.stdout.endswith("[]\n"), said.stderr
+
+
+def test_names_are_for_their_kind_of_block_only(spark):
+    pairs = spark.createDataFrame([(1, "UV 20 1 2, XYZ 20 3 4 5"), (2, "UV 7 1 2, XYZ 8 3 4 5"), (3, None)], "k int, value string").select("k", notation.parse_pair(F.col("value")).alias("pair"))
+    names = spark.createDataFrame([(20, "a b", "XYZ"), (7, "c", "XYZ")], "id long, name string, kind string")
+    got = dict(map(tuple, exchange.correspondence_lines(pairs, names).collect()))
+    assert got == {1: "UV 20 1.00 2.00, XYZ a b 3 4 5", 2: "UV 7 1.00 2.00, XYZ 8 3 4 5", 3: None}
+    got = dict(map(tuple, exchange.correspondence_lines(pairs, names.drop("kind")).collect()))
+    assert got == {1: "UV a b 1.00 2.00, XYZ a b 3 4 5", 2: "UV c 1.00 2.00, XYZ 8 3 4 5", 3: None}

@@ -195,10 +195,10 @@ def text_trajectory_geographic(spark, d):
 
 @_R.add("text_named_pairs", "SELECT s_suppkey AS k, 'UV ' || s_suppkey || ' 1.00 2.50, XYZ ' || coalesce(n_name, (s_nationkey + 20)::VARCHAR) || ' 3 4.5 5' AS value FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey + 20")
 def text_named_pairs(spark, d):
-    """Exported pairs: blocks that have a name go by it, others by their id."""
+    """Exported pairs: points that have a name go by it, others and images by their id."""
     line = F.concat(F.lit("uv "), s("s_suppkey"), F.lit(" 1 2.5, xyz "), (F.col("s_nationkey") + 20).cast("string"), F.lit(" 3 4.5 5"))
     pairs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), no.parse_pair(line).alias("pair"))
-    names = table(spark, d, "nation").select((F.col("n_nationkey") + F.when(F.col("n_nationkey") < 20, 100_000_000).otherwise(0)).alias("id"), F.col("n_name").alias("name"))
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("XYZ").alias("kind"))
     return ex.correspondence_lines(pairs, names)
 
 

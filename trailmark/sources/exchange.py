@@ -56,12 +56,19 @@ def import_counts(lines: DataFrame, names: DataFrame, line: str = "value") -> Da
 
 
 def correspondence_lines(pairs: DataFrame, names: DataFrame) -> DataFrame:
-    """One line for each pair, ids given by name where there is one."""
+    """One line for each pair, ids given by name where there is one; null where there is no pair.
+
+    names: (id, name), and kind where ids of each kind of block count by themselves: such a name is for sides of its kind only.
+    """
     out = pairs
     for i in range(2):
-        known = names.select(F.col("id").alias(f"_id{i}"), F.col("name").alias(f"_name{i}"))
-        out = out.withColumn(f"_of{i}", id_of(F.col("pair")[i])).join(known, F.col(f"_of{i}") == F.col(f"_id{i}"), "left")
-    return out.select(*[c for c in pairs.columns if c != "pair"], F.concat_ws(", ", side_text(F.col("pair")[0], F.col("_name0")), side_text(F.col("pair")[1], F.col("_name1"))).alias("value"))
+        known = names.select(F.col("id").alias(f"_id{i}"), F.col("name").alias(f"_name{i}"), *([F.col("kind").alias(f"_kind{i}")] if "kind" in names.columns else []))
+        on = F.col(f"_of{i}") == F.col(f"_id{i}")
+        if "kind" in names.columns:
+            on = on & (F.col("pair")[i]["kind"] == F.col(f"_kind{i}"))
+        out = out.withColumn(f"_of{i}", id_of(F.col("pair")[i])).join(known, on, "left")
+    line = F.concat_ws(", ", side_text(F.col("pair")[0], F.col("_name0")), side_text(F.col("pair")[1], F.col("_name1")))
+    return out.select(*[c for c in pairs.columns if c != "pair"], F.when(F.col("pair").isNotNull(), line).alias("value"))
 
 
 def trajectory_lines(poses: DataFrame) -> DataFrame:
