@@ -9,6 +9,9 @@ from ..functions.geodesy import geotransform
 from ..functions.vectors import cross, dot, subtract
 from .rounds import shared_folder, written
 
+#: Share of the numbers in it by which a comparison may be off.
+SLACK = 1e-9
+
 
 def valid(v: Column) -> Column:
     """The height, null where it is nodata: below -9000 or not finite."""
@@ -82,9 +85,13 @@ def levels_of(raster: DataFrame, path: str) -> list[DataFrame]:
 
 
 def _entered(nodes: DataFrame, level: DataFrame, size: float) -> DataFrame:
-    """nodes (ray_id, origin, direction, i, j) of a level with `near`, where the ray comes into the box of the cell; those that it misses go."""
-    low = F.array(F.col("j") * size, F.col("i") * size, F.col("low").cast("double"))
-    high = F.array((F.col("j") + 1) * size, (F.col("i") + 1) * size, F.col("high").cast("double"))
+    """nodes (ray_id, origin, direction, i, j) of a level with `near`, where the ray comes into the box of the cell; those that it misses go.
+
+    A box is wider than its cell by `SLACK` of the numbers that it is met by, so that rounding loses no ray along a border.
+    """
+    ends = [(F.col("j") * size, (F.col("j") + 1) * size), (F.col("i") * size, (F.col("i") + 1) * size), (F.col("low").cast("double"), F.col("high").cast("double"))]
+    slack = [(F.abs(F.col("origin")[k]) + F.abs(a) + F.abs(b) + 1) * SLACK for k, (a, b) in enumerate(ends)]
+    low, high = (F.array(*[e[n] + (2 * n - 1) * s for e, s in zip(ends, slack, strict=True)]) for n in (0, 1))
     met = nodes.join(level.where("low is not null"), ["i", "j"]).withColumn("near", slab(F.col("origin"), F.col("direction"), low, high)["near"])
     return met.where("near is not null").select("ray_id", "origin", "direction", "i", "j", "near")
 
@@ -132,7 +139,7 @@ def ray_hits(raster: DataFrame, rays: DataFrame, beam: int = 2) -> DataFrame:
     every = written(start.join(bound, "ray_id", "left"), f"{path}/bounded")
     for k in range(top - 1, -1, -1):
         limits = every.select("ray_id", "bound").distinct()
-        every = _entered(_children(every), levels[k], float(2**k)).join(limits, "ray_id").where("bound is null or near <= bound")
+        every = _entered(_children(every), levels[k], float(2**k)).join(limits, "ray_id").where(F.col("bound").isNull() | (F.col("near") <= F.col("bound") * (1 + SLACK)))
         every = written(every, f"{path}/every{k}")
     hits = _struck(every, cells).groupBy("ray_id").agg(F.min(F.struct("distance", "i", "j")).alias("h"))
     return rays.select("ray_id").join(hits, "ray_id", "left").select("ray_id", F.coalesce("h.distance", nan).alias("distance"), F.col("h.i").alias("i"), F.col("h.j").alias("j"))
