@@ -110,7 +110,7 @@ def assignment(cost: DataFrame, by: list[str], skip: str | float, best: int | No
     if not large.isEmpty():
         held = held.unionAll(_in_rounds(large, by, kinds, path))
     found = held.where("bidder % 2 = 0 and place % 2 = 1").select(*by, F.floor(F.col("bidder") / 2).alias("i"), F.floor(F.col("place") / 2).alias("j"))
-    return joined(c, found, [*by, "i", "j"], "left_semi").select(*by, "i", "j", "cost")
+    return joined(c, found, [*by, "i", "j"], "left_semi", wide=True).select(*by, "i", "j", "cost")
 
 
 def _in_rounds(edges: DataFrame, by: list[str], kinds: str, path: str) -> DataFrame:

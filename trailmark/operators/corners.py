@@ -37,18 +37,18 @@ def suppressed(corners: DataFrame, by: list[str], radius: float) -> DataFrame:
     while not left.isEmpty():
         best = left.groupBy(*by, cx, cy).agg(F.max(F.struct(rank, "x", "y")).alias("best"))
         strongest = around(best).groupBy(*by, F.col(ax).alias(cx), F.col(ay).alias(cy)).agg(F.max(f"best.{rank}").alias("top"))
-        won = joined(best, strongest, [*by, cx, cy]).where(F.col(f"best.{rank}") == F.col("top")).select(*by, cx, cy, F.col(f"best.{rank}").alias("top"), F.col("best.x").alias("wx"), F.col("best.y").alias("wy"))
+        won = joined(best, strongest, [*by, cx, cy], wide=True).where(F.col(f"best.{rank}") == F.col("top")).select(*by, cx, cy, F.col(f"best.{rank}").alias("top"), F.col("best.x").alias("wx"), F.col("best.y").alias("wy"))
         won = written(won, f"{path}/won{i}")
         kept = won if kept is None else kept.unionAll(won)
         near = around(won).select(*by, F.col(ax).alias(cx), F.col(ay).alias(cy), "wx", "wy")
         apart = (F.col("x") - F.col("wx")) * (F.col("x") - F.col("wx")) + (F.col("y") - F.col("wy")) * (F.col("y") - F.col("wy"))
-        gone = joined(left, near, [*by, cx, cy]).where(apart <= radius * radius).select(*by, "id").distinct()
-        left = written(joined(left, gone, [*by, "id"], "left_anti"), f"{path}/left{i + 1}")
+        gone = joined(left, near, [*by, cx, cy], wide=True).where(apart <= radius * radius).select(*by, "id").distinct()
+        left = written(joined(left, gone, [*by, "id"], "left_anti", wide=True), f"{path}/left{i + 1}")
         i += 1
     if kept is None:
         return corners.limit(0)
     start = corners.sparkSession.read.schema(left.schema).parquet(f"{path}/left0")
-    return joined(start, kept.select(*by, cx, cy, "top"), [*by, cx, cy]).where(F.col(rank) == F.col("top")).select(*corners.columns)
+    return joined(start, kept.select(*by, cx, cy, "top"), [*by, cx, cy], wide=True).where(F.col(rank) == F.col("top")).select(*corners.columns)
 
 
 def top_corners(corners: DataFrame, by: list[str], n: int, radius: float) -> DataFrame:

@@ -26,7 +26,7 @@ def mutual_best(least: DataFrame, by: list[str], ratio: float) -> DataFrame:
     """(by, i, j, cost): pairs among the least costs of their row and of their column (see `least_costs`); beyond the first, only while the cost is at most ratio times the best."""
     own = F.when(F.col("of") == 0, F.col("i")).otherwise(F.col("j"))
     near = least.withColumn("best", F.min("cost").over(Window.partitionBy(*by, "of", own))).where((F.col("rank") == 1) | (F.col("cost") <= ratio * F.col("best")))
-    return joined(near.where("of = 0").select(*by, "i", "j", "cost"), near.where("of = 1").select(*by, "i", "j"), [*by, "i", "j"], "left_semi")
+    return joined(near.where("of = 0").select(*by, "i", "j", "cost"), near.where("of = 1").select(*by, "i", "j"), [*by, "i", "j"], "left_semi", wide=True)
 
 
 def upper_median_of_minima(least: DataFrame, by: list[str], factor: float = 1.5) -> DataFrame:
@@ -45,7 +45,7 @@ def candidate_costs(left: DataFrame, right: DataFrame, by: list[str], n: int, di
 def recall(exact: DataFrame, found: DataFrame, by: list[str]) -> float:
     """Share of the exact best pairs of left rows that are also found."""
     want = exact.where("of = 0 and rank = 1").select(*by, "i", "j")
-    n, hit = joined(want, found.where("of = 0 and rank = 1").select(*by, "i", "j", F.lit(1).alias("hit")), [*by, "i", "j"], "left").agg(F.count(F.lit(1)), F.count("hit")).first()
+    n, hit = joined(want, found.where("of = 0 and rank = 1").select(*by, "i", "j", F.lit(1).alias("hit")), [*by, "i", "j"], "left", wide=True).agg(F.count(F.lit(1)), F.count("hit")).first()
     return hit / n if n else 1.0
 
 
@@ -75,7 +75,7 @@ def matched(one: DataFrame, two: DataFrame, by: list[str], scales: Iterable[tupl
     path = shared_folder(one.sparkSession, "matched")
     found = matcher(written(least, f"{path}/least"), keys)
     at = lambda c, k, i: c.select(*by, F.col("scale").cast("int").alias(f"scale{k}"), F.col("id").alias(i), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
-    found = joined(joined(found, at(one, 1, "i"), [*by, "scale1", "i"]), at(two, 2, "j"), [*by, "scale2", "j"])
+    found = joined(joined(found, at(one, 1, "i"), [*by, "scale1", "i"], wide=True), at(two, 2, "j"), [*by, "scale2", "j"], wide=True)
     order = [F.col(c) for c in ("cost", "scale1", "scale2", "i", "j")]
     return placed(found, by, order, "match_id", f"{path}/placed").select(*by, "match_id", "scale1", "scale2", "i", "j", "cost", "x1", "y1", "x2", "y2")
 
@@ -100,12 +100,12 @@ def match_images(
     few = told.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n < 4").select(*by)
     kept = joined(told.where("inlier"), few, by, "left_anti")
     held = by_neighbours(kept, by, sub_threshold).select(*by, "match_id").unionAll(joined(told, few, by, "left_semi").select(*by, "match_id"))
-    return joined(told, held.withColumn("held", F.lit(True)), [*by, "match_id"], "left").withColumn("inlier", F.col("inlier") & F.coalesce("held", F.lit(False))).drop("held")
+    return joined(told, held.withColumn("held", F.lit(True)), [*by, "match_id"], "left", wide=True).withColumn("inlier", F.col("inlier") & F.coalesce("held", F.lit(False))).drop("held")
 
 
 def matched_corners(corners: DataFrame, matches: DataFrame, by: list[str], side: str) -> DataFrame:
     """The corners of one side (i or j) that matches keep."""
-    return joined(matches.select(*by, F.col(side).alias("id")).distinct(), corners, [*by, "id"])
+    return joined(matches.select(*by, F.col(side).alias("id")).distinct(), corners, [*by, "id"], wide=True)
 
 
 def as_correspondences(matches: DataFrame) -> DataFrame:

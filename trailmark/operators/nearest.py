@@ -16,12 +16,12 @@ BLOCK, STRIP = 1024, 32
 
 
 def _blocks(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """(keys, ids, vecs): rows (id, vec) of equal keys in blocks of about `size`, dealt by a hash of the id."""
+    """(keys, block, ids, vecs): rows (id, vec) of equal keys in blocks of about `size`, dealt by a hash of the id."""
     n, block = unused(rows.columns, "n", "block")
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
     dealt = joined(rows, counts, keys).withColumn(block, F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / size)))
     both = dealt.groupBy(*keys, block).agg(F.collect_list(F.struct("id", F.col("vec").cast("array<double>").alias("vec"))).alias("x"))
-    return both.select(*keys, F.col("x.id").alias("ids"), F.flatten("x.vec").alias("vecs"))
+    return both.select(*keys, F.col(block).alias("block"), F.col("x.id").alias("ids"), F.flatten("x.vec").alias("vecs"))
 
 
 def _least(keys: list[str], n: int, digits: int | None):
@@ -61,8 +61,13 @@ def least_costs(left: DataFrame, right: DataFrame, by: list[str], n: int, digits
     keys = [*by, *(cells or [])]
     # Nulls are a value of their own.
     kinds = {f.name: f.dataType.simpleString() for f in left.schema}
-    l, r = _blocks(left, keys, block), _blocks(right, keys, block).withColumnsRenamed({"ids": "jds", "vecs": "wecs"})
-    pairs = joined(l, r, keys).select(*by, "ids", "vecs", "jds", "wecs")
+    l, r = _blocks(left, keys, block), _blocks(right, keys, block).drop("block").withColumnsRenamed({"ids": "jds", "vecs": "wecs"})
+    # Blocks of the left are dealt to as many shares as the root of their number, each of which meets all of the right, so one group is many tasks' work.
+    share, shares = unused(keys, "share", "shares")
+    split = left.groupBy(*keys).agg(F.ceil(F.sqrt(F.ceil(F.count(F.lit(1)) / block))).cast("long").alias(shares))
+    l = joined(l, split, keys).withColumn(share, F.pmod(F.col("block").cast("long"), F.col(shares))).drop(shares, "block")
+    r = joined(r, split, keys).withColumn(share, F.explode(F.sequence(F.lit(0).cast("long"), F.col(shares) - 1))).drop(shares)
+    pairs = joined(l, r, [*keys, share], wide=True).select(*by, "ids", "vecs", "jds", "wecs")
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", of int, i long, j long, cost double"
     found = pairs.mapInArrow(_least(by, n, digits), schema)
     if cells:
@@ -106,7 +111,7 @@ def nearest_in_plane(points: DataFrame, by: list[str], k: int) -> DataFrame:
         cell = lambda c, o: F.floor((F.col(c) - F.col(o)) / side).cast("long")
         there = p.select(*by, cell("x", "ox").alias("cx"), cell("y", "oy").alias("cy"), F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"))
         here = asks.withColumn("c", F.explode(offsets)).withColumn("cx", cell("x", "ox") + F.col("c.a")).withColumn("cy", cell("y", "oy") + F.col("c.b")).drop("c")
-        met = joined(here, there, [*by, "cx", "cy"]).where("id <> other")
+        met = joined(here, there, [*by, "cx", "cy"], wide=True).where("id <> other")
         d2 = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2"))
         sure = (side * side).alias("sure")
         ranked = met.select(*by, "id", "other", d2.alias("d2"), sure).withColumn("rank", F.row_number().over(Window.partitionBy(*by, "id").orderBy("d2", "other"))).where(F.col("rank") <= k)
@@ -114,8 +119,8 @@ def nearest_in_plane(points: DataFrame, by: list[str], k: int) -> DataFrame:
         ready = ranked.groupBy(*by, "id").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("far"), F.first("sure").alias("sure")).where(F.col("n") == k).where("far < sure").select(*by, "id")
         all_seen = asks.where(side > F.col("span")).select(*by, "id")
         ready = written(ready.unionAll(all_seen).distinct(), f"{path}/ready{i}")
-        own = joined(ranked, ready, [*by, "id"], "left_semi").select(*by, "id", "other", "d2", "rank")
+        own = joined(ranked, ready, [*by, "id"], "left_semi", wide=True).select(*by, "id", "other", "d2", "rank")
         done = own if done is None else done.unionAll(own)
-        asks = written(joined(asks, ready, [*by, "id"], "left_anti"), f"{path}/asks{i}")
+        asks = written(joined(asks, ready, [*by, "id"], "left_anti", wide=True), f"{path}/asks{i}")
         i += 1
     return done if done is not None else p.select(*by, "id", F.col("id").alias("other"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank")).limit(0)

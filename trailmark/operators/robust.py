@@ -149,8 +149,8 @@ def by_neighbours(inliers: DataFrame, by: list[str], threshold: float, neighbour
     """
     near = nearest_in_plane(inliers.select(*by, F.col("match_id").alias("id"), F.col("x1").alias("x"), F.col("y1").alias("y")), by, neighbours)
     there = inliers.select(*by, F.col("match_id").alias("other"), F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]).alias("p"))
-    sets = joined(near, there, [*by, "other"]).groupBy(*by, "id").agg(F.sort_array(F.collect_list(F.struct("rank", "p"))).alias("s")).where(F.size("s") >= NEEDED["perspective"])
+    sets = joined(near, there, [*by, "other"], wide=True).groupBy(*by, "id").agg(F.sort_array(F.collect_list(F.struct("rank", "p"))).alias("s")).where(F.size("s") >= NEEDED["perspective"])
     kinds = "".join(f"`{b}` {inliers.schema[b].dataType.simpleString()}, " for b in by)
     models = sets.select(*by, F.col("id").alias("match_id"), F.col("s.p").alias("p")).mapInPandas(_fit("perspective", by), f"{kinds}match_id long, m array<double>")
     e = error("perspective", F.col("m"), *[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")])
-    return joined(inliers, models, [*by, "match_id"]).where(e <= threshold).drop("m")
+    return joined(inliers, models, [*by, "match_id"], wide=True).where(e <= threshold).drop("m")
