@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trailmark.operators import assignment as assignment_module
 from trailmark.operators import matching, nearest, robust, rounds
 from trailmark.operators.assignment import assignment
 from trailmark.operators.corners import suppressed, top_corners
@@ -159,3 +160,26 @@ def test_pipeline_stages(spark):
     assert matching.matched_corners(one, near, ["pair"], "i").count() > 100
     text = matching.as_correspondences(spark.createDataFrame([(1, 2, 3, 1.5, 2.5, 3.5, 4.5)], "match_id int, image1 int, image2 int, u1 double, v1 double, u2 double, v2 double"))
     assert text.first()["value"] == "UV 2 1.50 2.50, UV 3 3.50 4.50"
+
+
+def test_wide_joins_broadcast_nothing(spark):
+    a = spark.createDataFrame([(1, 2), (None, 3)], "k int, x int")
+    b = spark.createDataFrame([(1, 5), (None, 6)], "k int, y int")
+    got = rounds.joined(a, b, ["k"], wide=True)
+    assert sorted(map(tuple, got.select("x", "y").collect())) == [(2, 5), (3, 6)]
+    assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_beyond_4096_bidders_are_one_auction(spark, monkeypatch):
+    monkeypatch.setattr(assignment_module, "_in_rounds", None)
+    cost = spark.range(2500).select(F.lit(1).alias("g"), F.col("id").alias("i"), F.explode(F.array("id", F.col("id") + 1)).alias("j"), F.lit(1.0).alias("cost"))
+    cost = cost.withColumn("cost", F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.5))
+    found = assignment_module.assignment(cost, ["g"], 2.0)
+    n, total = found.agg(F.count("*"), F.sum("cost")).first()
+    assert (n, total) == (2500, 1250.0)
+
+
+def test_least_costs_do_not_depend_on_blocks(spark):
+    rows = lambda odd: spark.range(60).where(f"id % 2 = {odd}").select((F.col("id") % 3).alias("g"), "id", F.array(F.col("id") * 7 % 11, F.col("id") * 5 % 13).cast("array<double>").alias("vec"))
+    few, many = (sorted(map(tuple, nearest.least_costs(rows(0), rows(1), ["g"], 2, block=b).select("g", "of", "i", "j", "cost", "rank").collect())) for b in (1024, 2))
+    assert few == many and len(few) == 120

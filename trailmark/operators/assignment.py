@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .rounds import joined, shared_folder, written
 
 #: Bidders of one task, and by how much epsilon falls.
-BLOCK, FACTOR = 4096, 8
+BLOCK, FACTOR = 1 << 17, 8
 
 
 def _bids(edges: dict[int, list[tuple[int, int]]], price: dict[int, int], holder: dict[int, int], waiting: list[int], epsilon: int) -> set[int]:
@@ -105,6 +105,8 @@ def assignment(cost: DataFrame, by: list[str], skip: str | float, best: int | No
         return out[[*by, "place", "bidder"]]
 
     small = edges.where(F.col("places") <= block)
+    # Groups are small in bytes and long in time, so as many tasks as there may be take them.
+    small = small.repartition(int(cost.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by) if by else small
     held = small.groupBy(*by).applyInPandas(one, f"{kinds}, place long, bidder long")
     large = written(edges.where(F.col("places") > block).withColumn("block", F.pmod(F.xxhash64("bidder"), F.ceil(F.col("places") / block))), f"{path}/large")
     if not large.isEmpty():
