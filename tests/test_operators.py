@@ -216,3 +216,10 @@ def test_names_are_for_their_kind_of_block_only(spark):
     assert got == {1: "UV 20 1.00 2.00, XYZ a b 3 4 5", 2: "UV 7 1.00 2.00, XYZ 8 3 4 5", 3: None}
     got = dict(map(tuple, exchange.correspondence_lines(pairs, names.drop("kind")).collect()))
     assert got == {1: "UV a b 1.00 2.00, XYZ a b 3 4 5", 2: "UV c 1.00 2.00, XYZ 8 3 4 5", 3: None}
+
+
+def test_words_of_a_line_are_split_once(spark):
+    lines = spark.createDataFrame([("1,2,0,0,0",), ("2,nan,0,0,0",), ("3,1,0",), ("# 4,1,0,0,0",), (None,), ("5,0,0,0,1e999",)], "value string")
+    rows = sensors.angular(lines, sensors.Layout(values=(1, 2, 3, 4), angle="quaternion"), finite=True)
+    assert [r["t"] for r in rows.collect()] == [1.0]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rotations
 from ..functions.notation import number
+from ..functions.vectors import let
 
 ANGLES = {"rad": 1.0, "deg": 0.017453292519943295, "gon": 0.015707963267948967}  # fixed: pi/180, pi/200
 
@@ -34,14 +36,20 @@ def _words(line: Column, layout: Layout) -> Column:
     return F.filter(F.transform(F.split(line, escaped), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def _kept(rows: DataFrame, rest: list[str], value: Column, keep: Callable[[Column], Column], name: str) -> DataFrame:
+    """The columns of rest and the value, of rows that are to be kept: exploded, as a filter on a computed column would compute it anew for each use of it."""
+    some = let(value, lambda x: F.when(keep(x), F.array(x)).otherwise(F.array().cast("array<array<double>>")))
+    return rows.select(*rest, F.explode(some).alias(name))
+
+
 def numbers(lines: DataFrame, layout: Layout, line: str = "value") -> DataFrame:
     """t and the array v of a layout's values; comments, short lines and lines with a word that is no number are dropped."""
     places = (layout.time, *layout.values)
     rest = [c for c in lines.columns if c != line]
-    split = lines.where(~F.ltrim(line).startswith(layout.comment)).withColumn("_w", _words(F.col(line), layout)).where(F.size("_w") > max(places))
-    parsed = split.select(*rest, "_w", F.transform(F.array(*[F.get("_w", F.lit(p)) for p in places]), number).alias("_n"))
-    good = parsed.where(~F.exists("_n", lambda x: x.isNull()))
-    return good.select(*rest, "_w", (F.col("_n")[0] * layout.time_scale + layout.time_delta).alias("t"), F.slice("_n", 2, len(layout.values)).alias("v"))
+    read = lambda words: F.when(F.size(words) > max(places), F.transform(F.array(*[F.get(words, F.lit(p)) for p in places]), number))
+    words = let(_words(F.col(line), layout), read)
+    good = _kept(lines.where(~F.ltrim(line).startswith(layout.comment)), rest, words, lambda n: n.isNotNull() & ~F.exists(n, lambda x: x.isNull()), "_n")
+    return good.select(*rest, (F.col("_n")[0] * layout.time_scale + layout.time_delta).alias("t"), F.slice("_n", 2, len(layout.values)).alias("v"))
 
 
 def _finite(v: Column) -> Column:
@@ -49,17 +57,17 @@ def _finite(v: Column) -> Column:
 
 
 def accelerometer(lines: DataFrame, layout: Layout, line: str = "value") -> DataFrame:
-    return numbers(lines, layout, line).drop("_w")
+    return numbers(lines, layout, line)
 
 
 def position(lines: DataFrame, layout: Layout, line: str = "value") -> DataFrame:
     """As the accelerometer; rows that aren't finite are dropped."""
-    return numbers(lines, layout, line).drop("_w").where(_finite(F.col("v")))
+    return numbers(lines, layout, line).where(_finite(F.col("v")))
 
 
 def angular(lines: DataFrame, layout: Layout, line: str = "value", finite: bool = False) -> DataFrame:
     """Rotation vectors of gyro or orientation rows: units, axis signs, then the angles' representation."""
-    rows = numbers(lines, layout, line).drop("_w")
+    rows = numbers(lines, layout, line)
     k = ANGLES[layout.units]
     if layout.angle == "quaternion":
         w, x, y, z = (F.col("v")[i] for i in range(4))
@@ -67,8 +75,7 @@ def angular(lines: DataFrame, layout: Layout, line: str = "value", finite: bool
     else:
         x, y, z = (F.col("v")[i] * (k * s) for i, s in enumerate(layout.signs))
         v = F.array(x, y, z) if layout.angle == "axis" else rotations.vector_of_euler(x, y, z, layout.angle)
-    rows = rows.withColumn("v", v)
-    return rows.where(_finite(F.col("v"))) if finite else rows
+    return _kept(rows, [c for c in rows.columns if c != "v"], v, _finite, "v") if finite else rows.withColumn("v", v)
 
 
 def gps(lines: DataFrame, layout: Layout, line: str = "value") -> DataFrame:
@@ -82,7 +89,7 @@ def gps(lines: DataFrame, layout: Layout, line: str = "value") -> DataFrame:
         raise ValueError("neither position nor velocity is laid out")
     order = [p for k in sorted(have) for p in have[k]]
     whole = Layout(**{**layout.__dict__, "values": tuple(order)})
-    rows = numbers(lines, whole, line).drop("_w")
+    rows = numbers(lines, whole, line)
     at = {k: 3 * i for i, k in enumerate(sorted(have))}
     none = F.lit(None).cast("array<double>")
     take = lambda k: F.slice("v", at[k] + 1, 3) if k in at else none
