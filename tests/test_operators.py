@@ -223,3 +223,10 @@ def test_words_of_a_line_are_split_once(spark):
     rows = sensors.angular(lines, sensors.Layout(values=(1, 2, 3, 4), angle="quaternion"), finite=True)
     assert [r["t"] for r in rows.collect()] == [1.0]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_clicks_and_observations_that_pile_up_make_no_pairs(spark):
+    seen = spark.range(200_000).select(F.lit(0).alias("g"), F.col("id").alias("obs_id"), (F.col("id") % 2 * 10.0).alias("x"), F.lit(0.0).alias("y"))
+    clicks = spark.range(200_000).select(F.lit(0).alias("g"), F.col("id").alias("click_id"), (F.col("id") % 3 * 10.0 + 0.5).alias("cx"), F.lit(0.25).alias("cy"))
+    got = catalog.pick(seen, clicks, ["g"], 4.0).groupBy("obs_id", "d").agg(F.count("*").alias("n")).collect()  # 40,000 million pairs, if all met
+    assert sorted(map(tuple, got)) == [(0, 0.5, 66667), (1, 0.5, 66667)]

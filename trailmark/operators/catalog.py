@@ -102,15 +102,17 @@ def referred_counts(rows: DataFrame, owner: str, item: str, excluded: DataFrame
 def pick(observations: DataFrame, clicks: DataFrame, by: list[str], tolerance: float) -> DataFrame:
     """For each click (cx, cy): the observation nearest by the larger axis distance, under the tolerance; the earliest of equals.
 
-    Both are dealt to square cells of the tolerance's size, an observation to its cell and the eight around it, so the join is on equal cells.
+    Both are dealt to square cells of the tolerance's size, an observation to its cell and the eight around it, so the join is on equal cells. Observations
+    at one place are met as the earliest of them, clicks at one place as one, so those that pile up make no pairs.
     """
     cell = lambda c: F.floor(F.col(c) / tolerance)
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    o = observations.withColumn("_i", F.explode(F.transform(around, lambda d: cell("x") + d))).withColumn("_j", F.explode(F.transform(around, lambda d: cell("y") + d)))
-    q = clicks.withColumn("_i", cell("cx")).withColumn("_j", cell("cy"))
+    o = observations.groupBy(*by, "x", "y").agg(F.min("obs_id").alias("obs_id")).withColumn("_i", F.explode(F.transform(around, lambda d: cell("x") + d))).withColumn("_j", F.explode(F.transform(around, lambda d: cell("y") + d)))
+    q = clicks.select(*by, "cx", "cy").distinct().withColumn("_i", cell("cx")).withColumn("_j", cell("cy"))
     d = F.greatest(F.abs(F.col("x") - F.col("cx")), F.abs(F.col("y") - F.col("cy")))
     met = q.join(o, [*by, "_i", "_j"]).withColumn("d", d).where(F.col("d") < tolerance)
-    return met.groupBy(*by, "click_id").agg(F.min(F.struct("d", "obs_id")).alias("m")).select(*by, "click_id", F.col("m.obs_id").alias("obs_id"), F.col("m.d").alias("d"))
+    best = met.groupBy(*by, "cx", "cy").agg(F.min(F.struct("d", "obs_id")).alias("m"))
+    return clicks.join(best, [*by, "cx", "cy"]).groupBy(*by, "click_id").agg(F.min("m").alias("m")).select(*by, "click_id", F.col("m.obs_id").alias("obs_id"), F.col("m.d").alias("d"))
 
 
 def pair_partners(pairs: DataFrame, images: DataFrame) -> DataFrame:
