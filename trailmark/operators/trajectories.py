@@ -85,6 +85,15 @@ def _exp(r: np.ndarray) -> np.ndarray:
     return np.eye(3) + np.sin(a) / a * k + (1 - np.cos(a)) / a**2 * (k @ k)
 
 
+def _exps(r: np.ndarray) -> np.ndarray:
+    """The same of many (n, 3)."""
+    a = np.linalg.norm(r, axis=1)[:, None, None]
+    k = np.cross(np.eye(3)[None], r[:, None]).transpose(0, 2, 1) * -1.0
+    small = a < 1e-8
+    safe = np.where(small, 1.0, a)
+    return np.eye(3) + np.where(small, 1.0, np.sin(safe) / safe) * k + np.where(small, 0.0, (1 - np.cos(safe)) / safe**2) * (k @ k)
+
+
 def _log(m: np.ndarray) -> np.ndarray:
     v = np.array([m[2, 1] - m[1, 2], m[0, 2] - m[2, 0], m[1, 0] - m[0, 1]])
     s, c = np.linalg.norm(v) / 2, (np.trace(m) - 1) / 2
@@ -108,14 +117,17 @@ def accelerometer_velocity(gyro: DataFrame, acc: DataFrame, intervals: DataFrame
         ga, aa = (pdf[pdf["kind"] == x].sort_values("at") for x in "ga")
         tg, ta = np.cumsum(ga["dt"].to_numpy()), np.cumsum(aa["dt"].to_numpy())
         cuts = np.unique(np.concatenate(([0.0], tg, ta)))
+        long, mid = np.diff(cuts), (cuts[:-1] + cuts[1:]) / 2
+        met = lambda rows, until: np.array(rows["v"].tolist(), float).reshape(len(rows), 3)[np.minimum(np.searchsorted(until, mid), len(rows) - 1)]
         turn, dv = np.eye(3), np.zeros(3)
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            mid = (lo + hi) / 2
-            w = np.array(ga["v"].iloc[min(int(np.searchsorted(tg, mid)), len(ga) - 1)])
-            f = np.array(aa["v"].iloc[min(int(np.searchsorted(ta, mid)), len(aa) - 1)])
-            half = turn @ _exp(w * (hi - lo) / 2)
-            dv = dv + half @ f * (hi - lo)
-            turn = turn @ _exp(w * (hi - lo))
+        if len(mid):
+            w, pushes = met(ga, tg), met(aa, ta) * long[:, None]
+            # Turns are made of all segments at once; only their product is taken one by one.
+            whole, turns = _exps(w * long[:, None]), np.empty((len(mid) + 1, 3, 3))
+            turns[0] = turn
+            for n, m in enumerate(whole):
+                turns[n + 1] = turns[n] @ m
+            turn, dv = turns[-1], np.einsum("nij,njk,nk->i", turns[:-1], _exps(w * long[:, None] / 2), pushes, optimize=True)
         first = pdf.iloc[[0]][[*by, "k", "t0", "tf"]].copy()
         first["dv"] = [dv.tolist()]
         first["r"] = [_log(turn).tolist()]
@@ -123,7 +135,8 @@ def accelerometer_velocity(gyro: DataFrame, acc: DataFrame, intervals: DataFrame
 
     ddl = g.unionByName(a)
     schema = ", ".join(f"`{c}` {ddl.schema[c].dataType.simpleString()}" for c in (*by, "k", "t0", "tf")) + ", dv array<double>, r array<double>"
-    return ddl.groupBy(*by, "k").applyInPandas(one, schema)
+    # Pieces are small in bytes and long in time, so as many tasks as there may be take them.
+    return ddl.repartition(int(acc.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "k").groupBy(*by, "k").applyInPandas(one, schema)
 
 
 def _segment_starts(batches):
