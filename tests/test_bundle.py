@@ -1,6 +1,7 @@
 """Bundle adjustment against a dense solution with NumPy."""
 
 import numpy as np
+import pandas as pd
 
 
 from trailmark.operators import bundle
@@ -89,3 +90,39 @@ def test_empty_scene(spark):
     assert bundle.Scene(cameras.limit(0), points.limit(0), obs.limit(0)).adjust(rounds=1)[0] == 0.0
 
 
+
+
+def test_products_by_pairs_and_by_rows_agree(spark, monkeypatch):
+    n = 40
+    cams = [(i, [0.001 * (i % 3), 0.0, 0.0], [float(i), i % 4 * 0.01, 0.0], 1000.0, [0.0, 0.0], False, [float(i), 0.0, 0.0], 200.0) for i in range(n)]
+    p = np.array([(k % (n - 3) + 1.5 + k * 37 % 100 / 50, k * 53 % 100 / 40 - 1.2, 8 + k * 71 % 100 / 25) for k in range(8 * n)])
+    seen = [(k % (n - 3) + j, k) for k in range(8 * n) for j in range(4)]
+    c, k = np.array(seen).T
+    uv = bundle.linearised(np.zeros((len(c), 3)), np.stack([c, 0 * c, 0 * c], 1).astype(float), p[k], np.full(len(c), 1000.0), np.zeros((len(c), 2)), np.zeros((len(c), 2)), np.ones(len(c)))[0]
+    cameras = spark.createDataFrame(cams, "id int, r array<double>, t array<double>, f double, pp array<double>, fixed boolean, prior array<double>, weight double")
+    points = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(p)], "id int, p array<double>")
+    obs = spark.createDataFrame([(int(a), int(b), float(u), float(v), 1.0) for (a, b), (u, v) in zip(seen, uv, strict=True)], "camera int, point int, u double, v double, sigma double")
+    s = bundle.Scene(cameras, points, obs)
+    linear, _ = s._linear("test")
+    blocks, diagonal = s._system(linear, 1e-8, "test")
+    right = diagonal.selectExpr("0 as k", "camera", *[f"cast(pmod(camera * {7 + a}, 11) - 5 as double) as r{a}" for a in range(6)])
+    pairs = bundle.Reduced(linear, blocks, diagonal, f"{s.path}/pairs")
+    x = right.toDF("k", "camera", *[f"x{a}" for a in range(6)])
+    found = pairs.times(x).orderBy("camera").toPandas()
+    monkeypatch.setattr(bundle.Reduced, "FEW", 3)
+    rows = bundle.Reduced(linear, blocks, diagonal, f"{s.path}/rows")
+    assert pairs.many is None and rows.many is not None and rows.pairs.where("camera <> other").isEmpty()
+    q = [f"q{a}" for a in range(6)]
+    wanted = rows.times(x).orderBy("camera").toPandas()[q].to_numpy()
+    assert np.allclose(found[q].to_numpy(), wanted, rtol=1e-6, atol=1e-6 * np.abs(wanted).max())
+
+
+def test_solution_of_a_group():
+    rng = np.random.default_rng(2)
+    j = rng.normal(size=(40, 18))
+    a, r = j.T @ j, rng.normal(size=18)
+    blocks = a.reshape(3, 6, 3, 6).transpose(0, 2, 1, 3).reshape(9, 36)
+    d = pd.DataFrame(blocks, columns=bundle._C).assign(g=4, at=np.repeat([3, 5, 9], 3), to=np.tile([3, 5, 9], 3))
+    f = bundle._factor(d.sample(frac=1, random_state=0))["f"].iloc[0]
+    z = next(bundle._near_solutions(iter([pd.DataFrame({"k": [0], "f": [f], "cameras": [[7, 8, 11]], "r": [r.reshape(3, 6).tolist()]})])))
+    assert list(z["camera"]) == [7, 8, 11] and np.allclose(z[bundle._Z6].to_numpy().ravel(), np.linalg.solve(a, r), rtol=1e-4, atol=1e-6)
