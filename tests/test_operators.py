@@ -230,3 +230,16 @@ def test_clicks_and_observations_that_pile_up_make_no_pairs(spark):
     clicks = spark.range(200_000).select(F.lit(0).alias("g"), F.col("id").alias("click_id"), (F.col("id") % 3 * 10.0 + 0.5).alias("cx"), F.lit(0.25).alias("cy"))
     got = catalog.pick(seen, clicks, ["g"], 4.0).groupBy("obs_id", "d").agg(F.count("*").alias("n")).collect()  # 40,000 million pairs, if all met
     assert sorted(map(tuple, got)) == [(0, 0.5, 66667), (1, 0.5, 66667)]
+
+
+def test_edges_and_counts_are_dealt_by_key_before_they_are_summed(spark):
+    from trailmark.operators import catalog, graphs
+
+    obs = spark.createDataFrame([(1, 2, 1), (2, 1, 4), (1, 1, 9), (3, 2, 1), (3, 7, 1)], "id1 long, id2 long, n int")
+    edges = graphs.build_edges(obs, spark.createDataFrame([(1,), (2,), (3,)], "id long"))
+    rows = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (2, None), (None, 5)], "owner long, item long")
+    counts = catalog.referred_counts(rows, "owner", "item", spark.createDataFrame([(6,)], "item long"))
+    assert sorted(map(tuple, edges.collect())) == [(1, 2, 5), (2, 3, 1)]
+    assert {(r["owner"], r["n"]) for r in counts.collect()} == {(1, 1), (2, 0), (None, 1)}
+    for df in (edges, counts):
+        assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()

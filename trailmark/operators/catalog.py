@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rounds import dealt
+
 
 def by_name(objects: DataFrame, names: DataFrame) -> DataFrame:
     """The first object of each name (name, optional hint): classes in order of name, then order of insertion."""
@@ -96,7 +98,7 @@ def insert_observations(have: DataFrame, new: DataFrame, by: list[str]) -> DataF
 def referred_counts(rows: DataFrame, owner: str, item: str, excluded: DataFrame | None = None) -> DataFrame:
     """Distinct items of each owner, without the excluded ones."""
     kept = rows.join(excluded.select(item), item, "left_anti") if excluded is not None else rows
-    return kept.groupBy(owner).agg(F.countDistinct(item).alias("n"))
+    return dealt(kept.select(owner, item), owner, item).distinct().groupBy(owner).agg(F.count(item).alias("n"))
 
 
 def pick(observations: DataFrame, clicks: DataFrame, by: list[str], tolerance: float) -> DataFrame:

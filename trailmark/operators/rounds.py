@@ -36,6 +36,11 @@ def unused(names: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def dealt(rows: DataFrame, *by: Column | str) -> DataFrame:
+    """rows shuffled by these columns, for an aggregate by them that leaves about as many rows: else each task of a scan would first hold a table of nearly all it reads."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def placed(rows: DataFrame, by: list[str], order: list[Column], name: str, path: str) -> DataFrame:
     """rows with their place, from 0, among the rows of equal `by` in this order.
 
