@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .rounds import shared_folder
+from .rounds import dealt, shared_folder
 from .rounds import written as _written
 
 #: Observations on a pair of kinds, and whether they are on the one node (self) or between two. UV and UVT with XYZ count twice.
@@ -43,7 +43,8 @@ def weights(pairs: DataFrame, rule_table: DataFrame) -> DataFrame:
 
 def build_edges(observations: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id1, id2, n) summed over both directions; without self loops and unknown nodes."""
-    edges = observations.where("id1 <> id2").groupBy(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).agg(F.sum("n").alias("n"))
+    ways = observations.where("id1 <> id2").select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), "n")
+    edges = dealt(ways, "id1", "id2").groupBy("id1", "id2").agg(F.sum("n").alias("n"))
     known = nodes.select("id")
     return edges.join(known.withColumnRenamed("id", "id1"), "id1", "left_semi").join(known.withColumnRenamed("id", "id2"), "id2", "left_semi").select("id1", "id2", "n")
 
@@ -57,7 +58,8 @@ def constrained(nodes: DataFrame, edges: DataFrame, self_observations: DataFrame
     """
     path = shared_folder(nodes.sparkSession, "peel")
     known = nodes.select("id").distinct()
-    ways = edges.select("id1", "id2", "n").unionAll(edges.select("id2", "id1", "n")).toDF("id", "other", "n")
+    side = lambda a, b: F.struct(F.col(a).alias("id"), F.col(b).alias("other"), F.col("n").alias("n"))
+    ways = edges.select(F.explode(F.array(side("id1", "id2"), side("id2", "id1"))).alias("e")).select("e.*")
     ways = _written(ways.join(known, "id", "left_semi").join(known.withColumnRenamed("id", "other"), "other", "left_semi").select("id", "other", "n"), f"{path}/edges")
     seen = ways.groupBy("id").agg(F.sum("n").alias("n"))
     seen = seen if self_observations is None else seen.unionAll(self_observations.groupBy("id").agg(F.sum("n").alias("n"))).groupBy("id").agg(F.sum("n").alias("n"))
@@ -74,6 +76,7 @@ def bipartite(images: DataFrame, points: DataFrame, observations: DataFrame, lea
     """Images and points (kind, id) that keep enough observations of each other; enabled ones only, a prior (0, 1 or 3) adds to a point's or image's count."""
     nodes = images.where("enabled").select(F.concat(F.lit("i"), F.col("id").cast("string")).alias("id"), F.lit(least_image).alias("dof"), "prior")
     nodes = nodes.unionByName(points.where("enabled").select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), F.lit(least_point).alias("dof"), "prior"))
-    edges = observations.select(F.concat(F.lit("i"), F.col("image").cast("string")).alias("id1"), F.concat(F.lit("p"), F.col("point").cast("string")).alias("id2"), F.lit(1).alias("n")).distinct()
+    met = dealt(observations.select("image", "point"), "image", "point").distinct()
+    edges = met.select(F.concat(F.lit("i"), F.col("image").cast("string")).alias("id1"), F.concat(F.lit("p"), F.col("point").cast("string")).alias("id2"), F.lit(1).alias("n"))
     kept = constrained(nodes, build_edges(edges, nodes), nodes.select("id", F.col("prior").alias("n")))
     return kept.select(F.substring("id", 1, 1).alias("kind"), F.expr("cast(substring(id, 2) as bigint)").alias("id"))
