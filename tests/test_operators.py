@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.functions import notation, rotations
+from trailmark.functions import geodesy, notation, rotations
 from trailmark.functions.vectors import vector
 from trailmark.operators import catalog, estimation, graphs, rasters, timeseq, trajectories
 from trailmark.sources import exchange, sensors, tables
@@ -243,3 +243,13 @@ def test_edges_and_counts_are_dealt_by_key_before_they_are_summed(spark):
     assert {(r["owner"], r["n"]) for r in counts.collect()} == {(1, 1), (2, 0), (None, 1)}
     for df in (edges, counts):
         assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_vertical_is_made_once(spark):
+    places = spark.range(3).select((F.col("id") * 40.0 - 40).alias("lat"), (F.col("id") * 70.0).alias("lon"))
+    c = places.withColumn("c", geodesy.horizontal_constraint(F.col("lat"), F.col("lon"), F.lit(-100.0), F.lit(1000.0))).select("lat", "c.P", "c.d")
+    plan = c._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SIN(") + plan.count("COS(") < 100, "positions and axes are made again for each number that needs them"
+    for row in c.collect():
+        p = np.array(row["P"]).reshape(2, 3)
+        assert np.allclose(p @ p.T, np.eye(2), atol=1e-9) and abs(p[0, 2] - np.cos(np.radians(row["lat"]))) < 1e-5 and row["d"][1] == pytest.approx(0, abs=1e-6)

@@ -124,14 +124,16 @@ def horizontal_constraint(lat: Column, lon: Column, low: Column, high: Column) -
     The vertical is the line through the positions at two heights; P's two rows (6 numbers) are the unit vectors across it, north and east.
     """
 
-    def of(a: Column, b: Column) -> Column:
-        line = scale(subtract(b, a), 1 / norm(subtract(b, a)))
-        axes = local_axes(lat, lon, "NED")
+    @once
+    def of(a: Column, b: Column, axes: Column) -> Column:
         east = F.array(axes[1], axes[4], axes[7])
+        return let(subtract(b, a), lambda v: let(1 / norm(v), lambda k: let(scale(v, k), lambda line: let(east, lambda e: across(a, line, e)))))
+
+    def across(a: Column, line: Column, east: Column) -> Column:
         north = F.array(line[1] * east[2] - line[2] * east[1], line[2] * east[0] - line[0] * east[2], line[0] * east[1] - line[1] * east[0])
-        return F.struct(F.concat(north, east).alias("P"), F.array(dot(north, a), dot(east, a)).alias("d"))
+        return let(north, lambda n: F.struct(F.concat(n, east).alias("P"), F.array(dot(n, a), dot(east, a)).alias("d")))
 
-    return of(earth_centred(lat, lon, low), earth_centred(lat, lon, high))
+    return of(earth_centred(lat, lon, low), earth_centred(lat, lon, high), local_axes(lat, lon, "NED"))
 
 
 def geotransform(g: Column, i: Column, j: Column) -> Column:
