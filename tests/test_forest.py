@@ -3,8 +3,10 @@
 import numpy as np
 import pytest
 
+from trailmark.operators import forest
 from trailmark.operators.bundle import _matrices
 from trailmark.operators.forest import spanning_poses
+from trailmark.operators.rounds import written
 from trailmark.operators.trajectories import _log
 
 POSE = "struct<r: array<double>, t: array<double>>"
@@ -49,3 +51,18 @@ def test_poses_of_a_forest(spark, shape):
 def test_no_edges(spark):
     poses, picked = spanning_poses(spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([], f"a long, b long, weight double, pose {POSE}"))
     assert sorted((x["id"], x["root"], x["pose"]["t"][0]) for x in poses.collect()) == [(1, 1, 0.0), (2, 2, 0.0)] and picked.count() == 0
+
+
+def test_strongest_edges_are_picked_without_their_poses(spark, monkeypatch):
+    plans = []
+
+    def kept(df, path):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return written(df, path)
+
+    monkeypatch.setattr(forest, "written", kept)
+    pose = lambda x: ([0.0, 0.0, 0.0], [x, 0.0, 0.0])
+    edges = spark.createDataFrame([(1, 2, 1.0, pose(1.0)), (2, 1, 1.0, pose(5.0)), (2, 3, 2.0, pose(1.0)), (1, 3, 0.5, pose(9.0))], f"a long, b long, weight double, pose {POSE}")
+    poses, _ = spanning_poses(spark.createDataFrame([(1,), (2,), (3,)], "id long"), edges)
+    assert sorted((x["id"], x["root"], x["pose"]["t"][0]) for x in poses.collect()) == [(1, 1, 0.0), (2, 1, 1.0), (3, 1, 2.0)]
+    assert not any("SortAggregate" in p for p in plans), "a task sorts all edges it reads, with their poses, to find the strongest ones"

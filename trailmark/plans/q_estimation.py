@@ -27,7 +27,7 @@ def estimation_spanning_poses(spark, d):
     p = table(spark, d, "customer").select(k.alias("id"), (k % 5).alias("g"), vector(F.lit(0.0), F.lit(0.0), k * 37 % 61 * 0.1).alias("r"), vector(k * 13 % 101, k * 7 % 89, k % 17).alias("t"))
     pairs = p.select(F.col("id").alias("a"), F.explode(F.array(F.col("id") + 5, F.col("id") + 35, F.floor(F.col("id") / 15) * 5 + F.col("g")).cast("array<long>")).alias("b")).where("a <> b")
     side = lambda c: p.select(F.col("id").alias(c), F.struct("r", "t").alias(f"p{c}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("back", R.inverse(F.col("pa.r"), F.col("pa.t")))
+    met = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").withColumn("back", R.inverse(F.col("pa.r"), F.col("pa.t")))
     edges = met.select("a", "b", ((F.col("a") * 31 + F.col("b")) % 17).alias("weight"), R.compose(F.col("back.r"), F.col("back.t"), F.col("pb.r"), F.col("pb.t")).alias("pose"))
     out = spanning_poses(p.select("id"), edges)[0]
     return out.select("id", "root", *[r(F.col("pose.t")[i], 4).alias(c) for i, c in enumerate("xyz")], r(F.cos(F.col("pose.r")[2]), 4).alias("heading"))
