@@ -253,3 +253,20 @@ def test_a_vertical_is_made_once(spark):
     for row in c.collect():
         p = np.array(row["P"]).reshape(2, 3)
         assert np.allclose(p @ p.T, np.eye(2), atol=1e-9) and abs(p[0, 2] - np.cos(np.radians(row["lat"]))) < 1e-5 and row["d"][1] == pytest.approx(0, abs=1e-6)
+
+
+def test_landmark_errors_are_plain_columns(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k % 3, k, float(rng.normal()), float(rng.normal()), (rng.normal(0, 0.5, 3).tolist(), rng.normal(size=3).tolist()), [*rng.normal(size=2).tolist(), 12.0], 80.0, [1.0, 2.0]) for k in range(9)]
+    rows += [(3, 1, 0.0, 0.0, ([0.0] * 3, [0.0] * 3), [0.0, 0.0, -1.0], 80.0, [1.0, 2.0]), (4, 1, 0.0, 0.0, None, [0.0, 0.0, 1.0], 80.0, [1.0, 2.0])]
+    obs = spark.createDataFrame(rows, "landmark_id int, image_id int, u double, v double, pose struct<r:array<double>,t:array<double>>, p array<double>, f double, pp array<double>")
+    e = estimation.projection_residual(F.col("pose.r"), F.col("pose.t"), F.col("p"), F.col("f"), F.col("pp"), F.array("u", "v"))
+    sizes = {}
+    for row in obs.select("landmark_id", e.alias("e")).collect():
+        sizes.setdefault(row["landmark_id"], []).append(np.hypot(*row["e"]) if row["e"] and None not in row["e"] else None)
+    report = estimation.landmark_report(obs)
+    got = {r["landmark_id"]: r for r in report.collect()}
+    for k in range(3):
+        assert got[k]["n_images"] == 3 and got[k]["mean_error"] == pytest.approx(np.mean(sizes[k])) and got[k]["max_error"] == pytest.approx(max(sizes[k]))
+    assert np.isnan(got[3]["max_error"]) and got[4]["max_error"] is None and sizes[4] == [None]
+    assert "lambda" not in report._jdf.queryExecution().optimizedPlan().toString(), "functions over arrays are interpreted row by row"

@@ -167,7 +167,21 @@ def triangulate(rays: DataFrame, by: list[str]) -> DataFrame:
 
 
 def landmark_report(observations: DataFrame) -> DataFrame:
-    """Per landmark: images, mean and largest reprojection error and position; observations have image_id, u, v, pose, p, f, pp."""
-    e = projection_residual(F.col("pose.r"), F.col("pose.t"), F.col("p"), F.col("f"), F.col("pp"), F.array("u", "v"))
-    size = F.sqrt(F.col("e")[0] * F.col("e")[0] + F.col("e")[1] * F.col("e")[1])
-    return observations.withColumn("e", e).groupBy("landmark_id").agg(F.countDistinct("image_id").alias("n_images"), F.avg(size).alias("mean_error"), F.max(size).alias("max_error"))
+    """Per landmark: images, mean and largest reprojection error and position; observations have image_id, u, v, pose, p, f, pp.
+
+    The residual is that of projection_residual, in steps over plain columns, each of which is computed once for a row in compiled code.
+    """
+    three = lambda c, n: [c[i].cast("double").alias(f"{n}{i}") for i in range(3)]
+    o = observations.select("landmark_id", "image_id", *three(F.col("pose.r"), "r"), *three(F.col("pose.t"), "t"), *three(F.col("p"), "p"), F.col("f").alias("f"), F.col("pp")[0].alias("c0"), F.col("pp")[1].alias("c1"), "u", "v")
+    o = o.withColumn("angle", F.expr("sqrt(r0 * r0 + r1 * r1 + r2 * r2)"))
+    o = o.withColumn("half", F.expr("CASE WHEN angle < 1e-8D THEN 0.5D - angle * angle / 48 ELSE sin(angle / 2) / angle END"))
+    o = o.withColumns({"w": F.cos(F.col("angle") / 2), "x": F.expr("r0 * half"), "y": F.expr("r1 * half"), "z": F.expr("r2 * half"), "d0": F.expr("p0 - t0"), "d1": F.expr("p1 - t1"), "d2": F.expr("p2 - t2")})
+    o = o.withColumns({
+        "i0": F.expr("(1 - 2 * (y * y + z * z)) * d0 + 2 * (x * y + w * z) * d1 + 2 * (x * z - w * y) * d2"),
+        "i1": F.expr("2 * (x * y - w * z) * d0 + (1 - 2 * (x * x + z * z)) * d1 + 2 * (y * z + w * x) * d2"),
+        "i2": F.expr("2 * (x * z + w * y) * d0 + 2 * (y * z - w * x) * d1 + (1 - 2 * (x * x + y * y)) * d2"),
+    })
+    nan = "CASE WHEN i2 < 0 THEN double('NaN') ELSE"
+    o = o.withColumns({"e0": F.expr(f"{nan} f * i0 / i2 + c0 END - u"), "e1": F.expr(f"{nan} f * i1 / i2 + c1 END - v")})
+    o = o.select("landmark_id", "image_id", F.expr("sqrt(e0 * e0 + e1 * e1)").alias("size"))
+    return o.groupBy("landmark_id").agg(F.countDistinct("image_id").alias("n_images"), F.avg("size").alias("mean_error"), F.max("size").alias("max_error"))
