@@ -63,6 +63,6 @@ def test_strongest_edges_are_picked_without_their_poses(spark, monkeypatch):
     monkeypatch.setattr(forest, "written", kept)
     pose = lambda x: ([0.0, 0.0, 0.0], [x, 0.0, 0.0])
     edges = spark.createDataFrame([(1, 2, 1.0, pose(1.0)), (2, 1, 1.0, pose(5.0)), (2, 3, 2.0, pose(1.0)), (1, 3, 0.5, pose(9.0))], f"a long, b long, weight double, pose {POSE}")
-    poses, _ = spanning_poses(spark.createDataFrame([(1,), (2,), (3,)], "id long"), edges)
-    assert sorted((x["id"], x["root"], x["pose"]["t"][0]) for x in poses.collect()) == [(1, 1, 0.0), (2, 1, 1.0), (3, 1, 2.0)]
+    poses, _ = spanning_poses(spark.createDataFrame([(1,), (2,), (2,), (3,), (4,)], "id long"), edges)  # 2 twice
+    assert sorted((x["id"], x["root"], x["pose"]["t"][0]) for x in poses.collect()) == [(1, 1, 0.0), (2, 1, 1.0), (2, 1, 1.0), (3, 1, 2.0), (4, 4, 0.0)]
     assert not any("SortAggregate" in p for p in plans), "a task sorts all edges it reads, with their poses, to find the strongest ones"

@@ -62,7 +62,7 @@ def spanning_poses(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     edges is its own root.
     """
     path = shared_folder(nodes.sparkSession, "forest")
-    still = written(nodes.select("id", F.col("id").alias("root"), F.expr(_IDENTITY).alias("pose")), f"{path}/nodes0")
+    still = written(nodes.select("id").distinct().select("id", F.col("id").alias("root"), F.expr(_IDENTITY).alias("pose")), f"{path}/nodes0")
     known = edges.where("a <> b and weight is not null and not isnan(weight) and pose is not null").select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("weight").cast("double").alias("weight"), "pose")
     for k in "uv":
         known = known.join(nodes.select(F.col("id").alias(k)).hint("merge"), k, "left_semi")
@@ -99,7 +99,7 @@ def spanning_poses(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     # All poses in the least node of the tree.
     first = still.groupBy("root").agg(F.min("id").alias("id")).join(still.select("id", "pose").hint("merge"), "id")
     first = written(first.select("root", F.col("id").alias("first"), _inverse("pose").alias("back")), f"{path}/first")
-    out = still.join(first, "root")
+    out = nodes.select("id").join(still.join(first, "root").hint("merge"), "id")  # a row for each row of nodes, where these repeat an id
     out = out.select("id", F.col("first").alias("root"), F.when(F.col("id") == F.col("first"), F.expr(_IDENTITY)).otherwise(_composed("back", "pose")).alias("p"))
     r = R.vector_of_quaternion(F.array(*[F.col("p")[k] for k in "wxyz"]))
     out = written(out.select("id", "root", F.struct(r.alias("r"), F.array(*[F.col("p")[k] for k in "abc"]).alias("t")).alias("pose")), f"{path}/out")
