@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.llm import contamination, fingerprints, jaccard, ledger, mixture, paragraphs, quality, substrings, token_files, toxicity
+from trailmark.llm import contamination, fingerprints, jaccard, ledger, mixture, paragraphs, quality, shared, substrings, token_files, toxicity
 
 SF = "/root/testdata/sf0.001"
 DDL = "doc_id long, text string, source string, t string, key string, n long"
@@ -324,6 +324,34 @@ def test_jaccard_of_a_ring_of_near_copies(spark):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(d).collect()} == {i: least[x] for i, x in enumerate(root)}
 
 
+def test_jaccard_moves_what_may_link_only(spark, monkeypatch):
+    """Quarters share all they have with a longer text that is no partner, so they are compared with nothing and counted with nothing but the sample."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(n)) for i in range(30) for n in (400, 100)]
+    texts += [" ".join(f"c{j}" for j in range(99)) + end for end in (" a", " b")]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told, compared = [], []
+    tell, check = jaccard._told_apart, jaccard.verify
+    monkeypatch.setattr(jaccard, "_told_apart", lambda rows: told.append(rows.select("key").distinct().count()) or tell(rows))
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, sets: compared.append(sets.count()) or check(pairs, sets))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(d).collect()}
+    assert got == {i: 60 if i == 61 else i for i in range(62)}
+    assert told and max(told) < 16 and compared and 2 <= max(compared) < 16
+
+
+@pytest.mark.parametrize("most", [64, 256, 1 << 24])
+@pytest.mark.parametrize("n_keys", [0, 1, 300])
+def test_a_sieve_loses_no_row(spark, monkeypatch, most, n_keys):
+    monkeypatch.setattr(shared, "MOST_BITS", most)
+    rows = spark.range(-1000, 3000).select(F.col("id").alias("key"), F.lit("x").alias("word"), F.lit(None).cast("string").alias("here"))
+    keys = spark.createDataFrame([(k * 7 - 900,) for k in range(n_keys)] * 2, "key long")
+    met = shared.sieve(rows, "key", keys)
+    assert met.columns == rows.columns
+    found = [r["key"] for r in met.collect()]
+    assert len(found) == len(set(found)) and {k * 7 - 900 for k in range(n_keys)} <= set(found)
+    if most == 1 << 24:
+        assert len(found) <= n_keys + 4000 // 8
+
+
 def test_shared_counts_over_any_batches():
     import pyarrow as pa
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import U64, Words, components, distinct_sets, documents, fresh, mix, save, slices, text_buffer, work_dir
+from .shared import U64, Words, components, distinct_sets, documents, fresh, mix, save, sieve, slices, text_buffer, work_dir
 
 #: Share of all shingles, by hash, that pruning counts; over a fifth, which is what a class may have for itself.
 SAMPLED = 0.32
@@ -147,6 +147,11 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return sized.select("a", "b", "ta", "tb").mapInArrow(_linked, "a long, b long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The keys of pairs (a, b)."""
+    return pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key")))
+
+
 def links_within(sets: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Links and groups (key, grp) from buckets of ROUNDS min-hashes, the first alone and then the others.
 
@@ -166,28 +171,46 @@ def links_within(sets: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
             found = low.join(heads, "low").where("grp <> head_grp and n * 100 >= nb * 80 and nb * 100 >= n * 80").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b"))
             pairs = found if pairs is None else pairs.union(found)
         at = f"{path}/within{phase[0]}"
-        edges = edges.union(save(verify(pairs.distinct(), sets), f"{at}/links"))
+        # A few classes have a pair; only their tokens are shuffled.
+        pairs = save(pairs.distinct(), f"{at}/pairs")
+        edges = edges.union(save(verify(pairs, sieve(sets, "key", _ends(pairs))), f"{at}/links"))
         labels = components(edges, at).select(F.col("id").alias("key"), "root")
         groups = save(sets.select("key").join(labels, "key", "left").select("key", F.coalesce("root", "key").alias("grp")), f"{at}/groups")
     return edges, groups
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows (key, n, grp, token) with the least and the greatest group that has the token, and with `classes`, how many have it."""
+    token = Window.partitionBy("token")
+    return rows.select("token", "key", "n", "grp", F.min("grp").over(token).alias("low"), F.max("grp").over(token).alias("high"), F.count(F.lit(1)).over(token).alias("classes"))
+
+
 def _told_apart(rows: DataFrame) -> DataFrame:
     """Rows (key, n, grp, token) of the tokens that several groups have, with `classes`, how many have it."""
-    token = Window.partitionBy("token")
-    spread = rows.select("token", "key", "n", "grp", F.min("grp").over(token).alias("low"), F.max("grp").over(token).alias("high"), F.count(F.lit(1)).over(token).alias("classes"))
-    return spread.where("low <> high").drop("low", "high")
+    return _spread(rows).where("low <> high").drop("low", "high")
+
+
+def _maybe_open(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """groups without the classes that can't share least_common(n) tokens with other groups, as more than n - least_common(n) sampled ones are their own group's."""
+    sampled = sets.select("key", "n", F.filter("tokens", lambda t: F.shiftrightunsigned(t, 32) < int(SAMPLED * (1 << 32))).alias("tokens"))
+    rows = sampled.join(groups, "key").select("key", "n", "grp", F.explode("tokens").alias("token"))
+    own = _spread(rows).where("low = high").groupBy("key", "n").agg(F.count(F.lit(1)).alias("own"))
+    return groups.join(own.where(F.col("own") > F.col("n") - least_common(F.col("n"))), "key", "left_anti")
 
 
 def links_between(sets: DataFrame, groups: DataFrame, path: str, bound: bool = True) -> DataFrame:
     """All links between groups that the components need, by way of the token-group matrix.
 
-    A class is open if it shares least_common(n) tokens with other groups. The prefixes are made once, as any fixed order of tokens serves for
+    A class is open if it shares least_common(n) tokens with other groups. Behind the bound on group overlap, most that aren't are found by the sampled tokens, so
+    that only tokens of the others are counted; what a class shares with closed ones only is no link. The prefixes are made once, as any fixed order of tokens serves for
     all passes. First up to HEADS passes compare with few classes of each prefix token, twice as many each time, and join what links, so that few groups that share tokens are left
     when the last pass compares what is left in full, behind the bound on group overlap unless that is waived (for sets so small that comparing is as
     cheap). A pass that joins less than a share of WORTH of the open classes is the last one of its kind.
     """
     edges = sets.sparkSession.createDataFrame([], "a long, b long")
+    if bound:
+        groups = save(_maybe_open(sets, groups), f"{path}/maybe")
+        sets = sieve(sets, "key", groups.select("key"))
     told = _told_apart(sets.join(groups, "key").select("key", "n", "grp", F.explode("tokens").alias("token")))
     rows = save(_placed(told), f"{path}/open_rows")
     open_ = save(rows.select("key").distinct(), f"{path}/open")
@@ -195,7 +218,7 @@ def links_between(sets: DataFrame, groups: DataFrame, path: str, bound: bool = T
     if not n_open:
         return edges
     # Only open classes are compared from here on, so only their tokens need travel, in whichever pass.
-    sets = save(sets.select("key", "n", "tokens").join(open_, "key", "left_semi"), f"{path}/open_sets")
+    sets = save(sieve(sets.select("key", "n", "tokens"), "key", open_).join(open_, "key", "left_semi"), f"{path}/open_sets")
     groups = save(groups.join(open_, "key"), f"{path}/open_groups")
     prefix = save(rows.where(F.col("place") <= F.col("n") - least_common(F.col("n")) + 1), f"{path}/prefix")
     for i in range(HEADS):
@@ -248,6 +271,7 @@ def _in_full(prefix: DataFrame, rows: DataFrame, sets: DataFrame, path: str, bou
     pairs = save(left.join(right, "token").where(f"grp <> other and (na < nb or na = nb and a < b) and {_FITS}").select("a", "b", "other").distinct(), f"{path}/pairs")
     if pairs.isEmpty():
         return pairs.select("a", "b")
+    sets = sieve(sets, "key", _ends(pairs))
     if bound:
         # The overlap of a class with the union of a group bounds that with each member.
         candidates = pairs.select(F.col("a").alias("key"), "other").distinct()
@@ -277,7 +301,8 @@ def labelled(docs: DataFrame) -> DataFrame:
     alone = F.col("sampled") - F.coalesce("shared", F.lit(0))
     left = save(classes.join(shared, "key", "left").where(alone <= F.col("n") - least_common(F.col("n"))).select("key", "pick", alone.alias("alone")), f"{path}/left")
     # One document of each class that is left gives its set.
-    sets = docs.where("text is not null").withColumn("pick", named).join(left.select("pick").distinct(), "pick", "left_semi").select("text")
+    picks = save(left.select("pick").distinct(), f"{path}/picks")
+    sets = sieve(docs.where("text is not null").withColumn("pick", named), "pick", picks).join(picks, "pick", "left_semi").select("text")
     sets = sets.mapInArrow(_full_sets, "key long, n long, tokens array<long>, " + ", ".join(f"low{r} long" for r in range(ROUNDS)))
     sets = save(sets.dropDuplicates(["key"]).join(left.select("key", "alone"), "key"), f"{path}/sets")
 

@@ -189,6 +189,27 @@ def bounded_sample(rows: DataFrame, most: int, by: list[str]) -> DataFrame:
     return hashed.where(F.col(h) <= F.lit(cut)).dropDuplicates([h]).drop(h) if cut is not None else rows.limit(0)
 
 
+#: Bits of a sieve's table, at most; 64 of them are a row, so 262,144 rows are broadcast.
+MOST_BITS = 1 << 24
+
+
+def sieve(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows whose `column` may be among keys (one column of that name and type, with repeats or not); none that is among them is lost.
+
+    Each key sets one bit of a broadcast table, and rows whose bit isn't set are left out, so that a join with keys needn't shuffle what they carry. The
+    table is bounded: with more keys than it has bits it lets more rows pass, and the join that follows decides in any case.
+    """
+    bits = 64
+    most = min(MOST_BITS, 16 * keys.count())
+    while bits < most:
+        bits *= 2
+    word, here = fresh(rows, "word", "here")
+    slot = f"pmod(xxhash64(`{column}`), {bits}L)"
+    table = keys.groupBy(F.expr(f"shiftright({slot}, 6)").alias(word)).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} & 63 as int)))").alias(here))
+    met = rows.withColumn(word, F.expr(f"shiftright({slot}, 6)")).join(F.broadcast(table), word)
+    return met.where(F.expr(f"shiftright({here}, cast({slot} & 63 as int)) & 1 = 1")).select(*rows.columns)
+
+
 def components(edges: DataFrame, path: str, rounds: int = 60) -> DataFrame:
     """(id, root) for each vertex of edges (a, b) between longs: equal roots, same component.
 
