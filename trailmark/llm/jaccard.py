@@ -218,7 +218,7 @@ def links_between(sets: DataFrame, groups: DataFrame, path: str, bound: bool = T
     if not n_open:
         return edges
     # Only open classes are compared from here on, so only their tokens need travel, in whichever pass.
-    sets = save(sieve(sets.select("key", "n", "tokens"), "key", open_).join(open_, "key", "left_semi"), f"{path}/open_sets")
+    sets = save(sieve(sets.select("key", "n", "tokens"), "key", open_).join(open_, "key"), f"{path}/open_sets")
     groups = save(groups.join(open_, "key"), f"{path}/open_groups")
     prefix = save(rows.where(F.col("place") <= F.col("n") - least_common(F.col("n")) + 1), f"{path}/prefix")
     for i in range(HEADS):
@@ -302,7 +302,8 @@ def labelled(docs: DataFrame) -> DataFrame:
     left = save(classes.join(shared, "key", "left").where(alone <= F.col("n") - least_common(F.col("n"))).select("key", "pick", alone.alias("alone")), f"{path}/left")
     # One document of each class that is left gives its set.
     picks = save(left.select("pick").distinct(), f"{path}/picks")
-    sets = sieve(docs.where("text is not null").withColumn("pick", named), "pick", picks).join(picks, "pick", "left_semi").select("text")
+    # Inner joins with distinct keys: a semi join would be carried out below the sieve.
+    sets = sieve(docs.where("text is not null").withColumn("pick", named), "pick", picks).join(picks, "pick").select("text")
     sets = sets.mapInArrow(_full_sets, "key long, n long, tokens array<long>, " + ", ".join(f"low{r} long" for r in range(ROUNDS)))
     sets = save(sets.dropDuplicates(["key"]).join(left.select("key", "alone"), "key"), f"{path}/sets")
 

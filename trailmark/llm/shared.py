@@ -197,7 +197,8 @@ def sieve(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """Rows whose `column` may be among keys (one column of that name and type, with repeats or not); none that is among them is lost.
 
     Each key sets one bit of a broadcast table, and rows whose bit isn't set are left out, so that a join with keys needn't shuffle what they carry. The
-    table is bounded: with more keys than it has bits it lets more rows pass, and the join that follows decides in any case.
+    table is bounded: with more keys than it has bits it lets more rows pass, and the join that follows decides in any case. That join is an inner one, as Spark carries out a semi join
+    before the sieve.
     """
     bits = 64
     most = min(MOST_BITS, 16 * keys.count())
