@@ -183,3 +183,24 @@ def test_least_costs_do_not_depend_on_blocks(spark):
     rows = lambda odd: spark.range(60).where(f"id % 2 = {odd}").select((F.col("id") % 3).alias("g"), "id", F.array(F.col("id") * 7 % 11, F.col("id") * 5 % 13).cast("array<double>").alias("vec"))
     few, many = (sorted(map(tuple, nearest.least_costs(rows(0), rows(1), ["g"], 2, block=b).select("g", "of", "i", "j", "cost", "rank").collect())) for b in (1024, 2))
     assert few == many and len(few) == 120
+
+
+def test_close_costs_are_exact(spark):
+    rng = np.random.default_rng(7)
+    a = {1: rng.uniform(size=(150, 8)), None: np.round(rng.uniform(size=(60, 3)), 1), 2: np.full((20, 4), 3.0), 3: rng.normal(size=(20, 2)), 4: rng.normal(size=(20, 2)), 5: rng.normal(size=(20, 1)) + 1e9, 6: np.zeros((2, 1))}
+    b = {1: np.concatenate([a[1][:120] + rng.normal(0, 0.001, (120, 8)), rng.uniform(size=(20, 8))]), None: np.round(rng.uniform(size=(60, 3)), 1), 2: np.full((30, 4), 3.0), 3: rng.normal(size=(20, 2)), 4: rng.normal(size=(20, 2)), 5: a[5] + 1e-6, 7: np.zeros((2, 1))}
+    a[3][3], b[4][5, 1] = np.nan, np.inf
+    rows = lambda v: spark.createDataFrame([(g, i, x.tolist()) for g, v in v.items() for i, x in enumerate(v)], "g int, id long, vec array<double>")
+    every = [(r["g"], r["of"], r["i"], r["j"], str(r["cost"]), r["rank"]) for r in nearest.least_costs(rows(a), rows(b), ["g"], 3).collect()]
+    least = {(g, of, (i, j)[of]): float(c) for g, of, i, j, c, rank in every if rank == 1}
+    want = {r for r in every if r[5] == 1 or float(r[4]) <= 1.1 * least[(r[0], r[1], r[2 + r[1]])] or np.isnan(least[(r[0], r[1], r[2 + r[1]])])}
+    got = [(r["g"], r["of"], r["i"], r["j"], str(r["cost"]), r["rank"]) for r in nearest.close_costs(rows(a), rows(b), ["g"], 3, 1.1, cell=4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pipeline_does_not_compare_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(matching, "least_costs", None)
+    monkeypatch.setattr(nearest, "least_costs", None)
+    one, two = _views(spark, "/root/testdata/sf0.001")
+    found = matching.match_images(one, two, ["pair"], [(0, 0), (1, 1)], n_corners=1_000_000, radius=5.0, rounds=60)
+    assert sorted((r["i"], r["j"], r["inlier"]) for r in found.collect()) == [(k, k, k // 4 % 10 != 3) for k in range(200)]

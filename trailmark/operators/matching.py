@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .assignment import assignment
 from .corners import top_corners
-from .nearest import least_costs, projected_cells
+from .nearest import close_costs, least_costs, projected_cells
 from .robust import by_neighbours, robust
 from .rounds import joined, kth_least, placed, shared_folder, written
 
@@ -62,16 +62,20 @@ def detected(corners: DataFrame, by: list[str], n: int, radius: float) -> DataFr
     return top.withColumn("x", F.col("x") * size).withColumn("y", F.col("y") * size).drop("rank")
 
 
-def matched(one: DataFrame, two: DataFrame, by: list[str], scales: Iterable[tuple[int, int]], matcher: Callable[[DataFrame, list[str]], DataFrame], n: int = 3, digits: int | None = None, width: float | None = None, dim: int = 0) -> DataFrame:
+def matched(one: DataFrame, two: DataFrame, by: list[str], scales: Iterable[tuple[int, int]], matcher: Callable[[DataFrame, list[str]], DataFrame], n: int = 3, digits: int | None = None, width: float | None = None, dim: int = 0, ratio: float | None = None) -> DataFrame:
     """(by, match_id, scale1, scale2, i, j, cost, x1, y1, x2, y2): matches of each distinct pair of levels, numbered from the least cost on.
 
-    matcher takes least costs and their keys. With a width only pairs that share a cell of projected features are candidates.
+    matcher takes least costs and their keys. With a width only pairs that share a cell of projected features are candidates. A ratio says that the matcher
+    needs no costs over so many times a row's least one (see `close_costs`).
     """
     pairs = one.sparkSession.createDataFrame(sorted(set(scales)), "scale1 int, scale2 int")
     keys = [*by, "scale1", "scale2"]
     side = lambda c, k: c.withColumn(f"scale{k}", F.col("scale").cast("int")).join(F.broadcast(pairs), f"scale{k}").select(*keys, "id", "vec")
     left, right = side(one, 1), side(two, 2)
-    least = candidate_costs(left, right, keys, n, dim, width) if width else least_costs(left, right, keys, n, digits)
+    if width:
+        least = candidate_costs(left, right, keys, n, dim, width)
+    else:
+        least = least_costs(left, right, keys, n, digits) if ratio is None else close_costs(left, right, keys, n, ratio, digits)
     path = shared_folder(one.sparkSession, "matched")
     found = matcher(written(least, f"{path}/least"), keys)
     at = lambda c, k, i: c.select(*by, F.col("scale").cast("int").alias(f"scale{k}"), F.col("id").alias(i), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
@@ -92,7 +96,7 @@ def match_images(
     least = lambda costs, keys: mutual_best(costs, keys, 1.1)
     path = shared_folder(one.sparkSession, "pipeline")
     one, two = (written(detected(c, by, n_corners, radius), f"{path}/corners{k}") for k, c in ((1, one), (2, two)))
-    found = matched(one, two, by, scales, matcher or least, **how)
+    found = matched(one, two, by, scales, matcher or least, **({} if matcher else {"ratio": 1.1}) | how)
     found = written(refine(found) if refine else found, f"{path}/matches")
     told = written(robust(found, by, model, threshold, rounds, seed, [F.col("match_id")]), f"{path}/told")
     if model != "perspective" or sub_threshold is None:

@@ -6,26 +6,60 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .rounds import joined, shared_folder, unused, written
 
 #: Rows of a block, and rows of one side that are compared with a block at a time.
 BLOCK, STRIP = 1024, 32
+#: Signs of the sums that place a vector in a cell: all plus, or changing after so many components. Rows of one side in the fullest cell of the first round.
+SIGNS, CELL = (0, 1, 2), 64
 
 
-def _blocks(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """(keys, block, ids, vecs): rows (id, vec) of equal keys in blocks of about `size`, dealt by a hash of the id."""
-    n, block = unused(rows.columns, "n", "block")
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
-    dealt = joined(rows, counts, keys).withColumn(block, F.pmod(F.xxhash64("id"), F.ceil(F.col(n) / size)))
-    both = dealt.groupBy(*keys, block).agg(F.collect_list(F.struct("id", F.col("vec").cast("array<double>").alias("vec"))).alias("x"))
-    return both.select(*keys, F.col(block).alias("block"), F.col("x.id").alias("ids"), F.flatten("x.vec").alias("vecs"))
+def _large(rows: DataFrame, keys: list[str], size: int, n: str) -> DataFrame:
+    """(keys, n): keys of over `size` rows."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > size)
 
 
-def _least(keys: list[str], n: int, digits: int | None):
-    """Pairs of blocks to (keys, of, i, j, cost): the n least costs of each row of either side, in terms of this pair of blocks."""
+def _block_pairs(left: DataFrame, right: DataFrame, keys: list[str], size: int, path: str | None = None) -> DataFrame:
+    """(keys, ids, vecs, jds, wecs): every block of left rows (id, vec) with every block of right ones of equal keys. Rows are in blocks of about `size`, dealt by a hash of the id.
+
+    Blocks of the left are dealt to as many shares as the root of their number, each of which meets all of the right, so one key is many tasks' work.
+    With a path keys of many rows are written there, so that it is known how few they are: for keys that are nearly as many as rows.
+    """
+    n, block, share = unused([*left.columns, *right.columns], "n", "block", "share")
+    large = [_large(rows, keys, size, n) for rows in (left, right)]
+    if path:
+        large = [written(x, f"{path}/large{k}") for k, x in enumerate(large)]
+    many = F.coalesce(F.ceil(F.col(n) / size), F.lit(1)).cast("long")
+    shares = F.ceil(F.sqrt(many)).cast("long")
+    dealt = lambda rows, k: joined(rows, large[k], keys, "left").withColumn(block, F.pmod(F.xxhash64("id"), many))
+    l = dealt(left, 0).withColumn(share, F.pmod(F.col(block), shares)).drop(n)
+    r = joined(dealt(right, 1).drop(n), large[0], keys, "left").withColumn(share, F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop(n)
+
+    def blocks(rows: DataFrame, ids: str, vecs: str) -> DataFrame:
+        both = rows.groupBy(*keys, share, block).agg(F.collect_list(F.struct("id", F.col("vec").cast("array<double>").alias("vec"))).alias("x"))
+        return both.select(*keys, share, F.col("x.id").alias(ids), F.flatten("x.vec").alias(vecs))
+
+    return joined(blocks(l, "ids", "vecs"), blocks(r, "jds", "wecs"), [*keys, share], wide=True).drop(share)
+
+
+def _first(cost: np.ndarray, other: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's n least costs; of equal costs the lesser ids of the other side come first."""
+    n = min(n, cost.shape[1])
+    own, at = np.nonzero(~(cost > np.partition(cost, n - 1, axis=1)[:, n - 1 : n]))
+    order = np.lexsort((other[at], cost[own, at], own))
+    own, at = own[order], at[order]
+    kept = np.arange(len(own)) - np.searchsorted(own, own) < n
+    return own[kept], at[kept]
+
+
+def _least(keys: list[str], n: int, digits: int | None, sides: tuple[int, ...] = (0, 1), ratio: float | None = None):
+    """Pairs of blocks to (keys, of, i, j, cost): the n least costs of each row of these sides, in terms of this pair of blocks.
+
+    With a ratio only costs up to `sure` of the pair of blocks, with `ok`: whether `ratio` times as much is up to it too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -36,44 +70,104 @@ def _least(keys: list[str], n: int, digits: int | None):
                 if digits is not None:
                     cost = np.round(cost, digits)
                 found = []
-                for side, c, other in ((0, cost, j), (1, cost.T, i)):
-                    m = min(n, c.shape[1])
-                    # Of equal costs the lesser ids of the other side come first.
-                    by_id = np.argsort(other, kind="stable")
-                    best = by_id[np.argsort(c[:, by_id], axis=1, kind="stable")[:, :m]]
-                    own = np.repeat(np.arange(len(c)), m)
-                    pair = (own, best.ravel()) if side == 0 else (best.ravel(), own)
+                for side in sides:
+                    own, at = _first(cost if side == 0 else cost.T, j if side == 0 else i, n)
+                    pair = (own, at) if side == 0 else (at, own)
                     found.append((np.full(len(own), side), i[pair[0]], j[pair[1]], cost[pair]))
                 side, a, c, d = (np.concatenate(v) for v in zip(*found, strict=True))
+                if ratio is not None:
+                    sure = b.column("sure")[r].as_py()
+                    near = d <= sure
+                    side, a, c, d = side[near], a[near], c[near], d[near]
                 at = pa.array(np.full(len(a), r))
-                yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in keys), pa.array(side, pa.int32()), pa.array(a), pa.array(c), pa.array(d)], names=[*keys, "of", "i", "j", "cost"])
+                told = [pa.array(side, pa.int32()), pa.array(a), pa.array(c), pa.array(d)] + ([] if ratio is None else [pa.array(ratio * d <= sure)])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in keys), *told], names=[*keys, *"of i j cost ok".split()[: len(told)]])
 
     return run
 
 
-def least_costs(left: DataFrame, right: DataFrame, by: list[str], n: int, digits: int | None = None, block: int = BLOCK, cells: list[str] | None = None) -> DataFrame:
+def _kinds(rows: DataFrame, by: list[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", of int, i long, j long, cost double"
+
+
+def _of_row(by: list[str]) -> WindowSpec:
+    return Window.partitionBy(*by, "of", F.when(F.col("of") == 0, F.col("i")).otherwise(F.col("j")))
+
+
+def _ranked(found: DataFrame, by: list[str], n: int) -> DataFrame:
+    other = F.when(F.col("of") == 0, F.col("j")).otherwise(F.col("i"))
+    return found.withColumn("rank", F.row_number().over(_of_row(by).orderBy("cost", other))).where(F.col("rank") <= n)
+
+
+def least_costs(left: DataFrame, right: DataFrame, by: list[str], n: int, digits: int | None = None, block: int = BLOCK, cells: list[str] | None = None, sides: tuple[int, ...] = (0, 1)) -> DataFrame:
     """(by, of, i, j, cost, rank): of each row (id, vec) of left (`of` 0) and of right (1) the n of the other side with the least sum of absolute differences.
 
     Every block of one side meets every block of the other of equal `by` (and cells, if rows have such columns), and gives only its rows' n best, so a pair of images makes n
     rows for each corner and block and no row for each pair. Costs are rounded to `digits` first, if given; ties go to the other side's
-    lesser id. Vectors of a group are of one length and without nulls.
+    lesser id. Vectors of a group are of one length and without nulls. sides: whose rows are told of.
     """
-    keys = [*by, *(cells or [])]
     # Nulls are a value of their own.
-    kinds = {f.name: f.dataType.simpleString() for f in left.schema}
-    l, r = _blocks(left, keys, block), _blocks(right, keys, block).drop("block").withColumnsRenamed({"ids": "jds", "vecs": "wecs"})
-    # Blocks of the left are dealt to as many shares as the root of their number, each of which meets all of the right, so one group is many tasks' work.
-    share, shares = unused(keys, "share", "shares")
-    split = left.groupBy(*keys).agg(F.ceil(F.sqrt(F.ceil(F.count(F.lit(1)) / block))).cast("long").alias(shares))
-    l = joined(l, split, keys).withColumn(share, F.pmod(F.col("block").cast("long"), F.col(shares))).drop(shares, "block")
-    r = joined(r, split, keys).withColumn(share, F.explode(F.sequence(F.lit(0).cast("long"), F.col(shares) - 1))).drop(shares)
-    pairs = joined(l, r, [*keys, share], wide=True).select(*by, "ids", "vecs", "jds", "wecs")
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", of int, i long, j long, cost double"
-    found = pairs.mapInArrow(_least(by, n, digits), schema)
+    pairs = _block_pairs(left, right, [*by, *(cells or [])], block).select(*by, "ids", "vecs", "jds", "wecs")
+    found = pairs.mapInArrow(_least(by, n, digits, sides), _kinds(left, by))
     if cells:
         found = found.distinct()  # a pair may meet in several cells
-    rank = F.row_number().over(Window.partitionBy(*by, "of", F.when(F.col("of") == 0, F.col("i")).otherwise(F.col("j"))).orderBy("cost", F.when(F.col("of") == 0, F.col("j")).otherwise(F.col("i"))))
-    return found.withColumn("rank", rank).where(F.col("rank") <= n)
+    return _ranked(found, by, n)
+
+
+def close_costs(left: DataFrame, right: DataFrame, by: list[str], n: int, ratio: float, digits: int | None = None, cell: int = CELL, rounds: int = 2) -> DataFrame:
+    """What `least_costs` tells, but beyond each row's first only while the cost is at most ratio times the first; exact, and not all rows meet where the least costs are small.
+
+    A sum of a vector's components, each taken with a sign of its own, changes by no more than the sum of absolute differences. Three such sums place a row in a cell;
+    rows of one side also go to the other cells within reach, a quarter of a cell, so all pairs up to that cost meet, once. A row is done when ratio times its least cost is
+    within reach. The others look again with cells four times as wide, and after these rounds meet all rows. The first cells would hold `cell` rows where they are fullest, if sums were normally distributed.
+    """
+    path = shared_folder(left.sparkSession, "close")
+    sums, size, width, sure, *cs = unused([*by, "id", "vec", "ids", "vecs", "jds", "wecs", "of", "i", "j", "cost", "ok"], "sums", "size", "width", "sure", *(f"c{p}" for p in range(len(SIGNS))))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    signed = lambda every: total(F.transform("vec", lambda x, k: F.when(F.floor(k / every) % 2 == 0, x).otherwise(-x)) if every else F.col("vec"))
+
+    def side(rows: DataFrame, k: int) -> DataFrame:
+        rows = rows.select(*by, "id", F.col("vec").cast("array<double>").alias("vec"))
+        return written(rows.select("*", F.array(*[signed(every) for every in SIGNS]).alias(sums), total(F.transform("vec", F.abs)).alias(size)), f"{path}/side{k}")
+
+    left, right = side(left, 0), side(right, 1)
+    both = left.select(*by, sums, size, F.lit(0).alias(width)).unionAll(right.select(*by, sums, size, F.lit(1).alias(width)))
+    spread = F.sqrt(sum(F.var_pop(F.col(sums)[p]) for p in range(len(SIGNS))) / len(SIGNS)) * (2 * np.pi) ** 0.5
+    cube = F.pow(cell / F.greatest(F.sum(width), F.lit(1)), F.lit(1 / len(SIGNS)))
+    # What rounding may add to sums and costs is taken off.
+    slack = F.max(size) * 1e-12 + (10.0**-digits if digits is not None else 0.0)
+    groups = written(both.groupBy(*by).agg((spread * cube).alias(width), slack.alias(size)).where((F.col(width) > 0) & (F.col(width) < float("inf"))), f"{path}/groups")
+    done, asks = None, {0: left, 1: right}
+    for k in range(rounds):
+        wide = F.col(width) * float(4**k)
+
+        def placed(rows: DataFrame, reach: float) -> DataFrame:
+            rows = joined(rows, groups.select(*by, width), by)
+            for p, c in enumerate(cs):
+                at = lambda d: F.floor(F.col(sums)[p] / wide + d)
+                rows = rows.withColumn(c, F.explode(F.sequence(at(-reach), at(reach))) if reach else at(0))
+            return rows.select(*by, *cs, "id", "vec")
+
+        # The first round tells both sides' rows what they meet; later ones ask for the rows of one side.
+        parts = [((0, 1), left, right)] if k == 0 else [((0,), asks[0], right), ((1,), left, asks[1])]
+        reached = groups.select(*by, (wide * 0.999 / 4 - F.col(size)).alias("sure"))
+        for sides, l, r in parts:
+            name = f"{path}/round{k}{sides[0]}"
+            pairs = _block_pairs(placed(l, 0 if sides == (1,) else 0.25), placed(r, 0.25 if sides == (1,) else 0), [*by, *cs], BLOCK, name)
+            found = joined(pairs, reached, by).select(*by, "ids", "vecs", "jds", "wecs", "sure").mapInArrow(_least(by, n, digits, sides, ratio), f"{_kinds(left, by)}, ok boolean")
+            found = written(_ranked(found, by, n).withColumn("ok", F.max("ok").over(_of_row(by))).where("ok").drop("ok"), f"{name}/found")
+            done = found if done is None else done.unionAll(found)
+            for s in sides:
+                own = found.where((F.col("of") == s) & (F.col("rank") == 1)).select(*by, F.col("ij"[s]).alias("id"))
+                asks[s] = written(joined(asks[s], own, [*by, "id"], "left_anti", wide=True), f"{path}/asks{k}{s}")
+        if all(x.isEmpty() for x in asks.values()):
+            break
+    for s, l, r in ((0, asks[0], right), (1, left, asks[1])):
+        if not asks[s].isEmpty():
+            done = done.unionAll(least_costs(l.select(*by, "id", "vec"), r.select(*by, "id", "vec"), by, n, digits, sides=(s,)))
+    best = F.min("cost").over(_of_row(by))
+    return done.withColumn("best", best).where((F.col("rank") == 1) | (F.col("cost") <= ratio * F.col("best"))).drop("best")
 
 
 def projected_cells(rows: DataFrame, dim: int, width: float, tables: int = 8, projections: int = 4, seed: int = 0) -> DataFrame:

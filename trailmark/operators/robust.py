@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,39 +23,63 @@ CHUNK = 1024
 
 def perspective(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
     """The 3x3 transform that takes points a to b, least squares over normalised points; None where points are too alike to tell."""
-    ta, tb = _normaliser(a), _normaliser(b)
-    if ta is None or tb is None:
-        return None
-    (x, y), (u, v) = _moved(ta, a).T, _moved(tb, b).T
+    m, told = perspectives(a[None], b[None])
+    return m[0] if told[0] else None
+
+
+def perspectives(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of many sets of equally many points (k, n, 2): transforms (k, 3, 3), and which of them can be told."""
+    (na, ca, sa), (nb, cb, sb) = _normalised(a), _normalised(b)
+    x, y, u, v = na[..., 0], na[..., 1], nb[..., 0], nb[..., 1]
     o, l = np.zeros_like(x), np.ones_like(x)
-    rows = np.concatenate([np.stack([x, y, l, o, o, o, -u * x, -u * y, -u], 1), np.stack([o, o, o, x, y, l, -v * x, -v * y, -v], 1)])
-    m = np.linalg.inv(tb) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ ta
-    return m if np.isfinite(m).all() and abs(np.linalg.det(m / np.linalg.norm(m))) > 1e-12 else None
+    rows = np.concatenate([np.stack([x, y, l, o, o, o, -u * x, -u * y, -u], 2), np.stack([o, o, o, x, y, l, -v * x, -v * y, -v], 2)], 1)
+    m = _back(cb, sb) @ np.linalg.svd(rows, full_matrices=rows.shape[1] < 9)[2][:, -1].reshape(-1, 3, 3) @ _there(ca, sa)
+    with np.errstate(all="ignore"):
+        det = np.abs(np.linalg.det(m / np.sqrt((m * m).sum((1, 2), keepdims=True))))
+    return m, (sa > 0) & (sb > 0) & np.isfinite(m).all((1, 2)) & (det > 1e-12)
 
 
 def epipolar(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
     """The 3x3 matrix of rank two with b^T m a = 0, least squares over normalised points."""
-    ta, tb = _normaliser(a), _normaliser(b)
-    if ta is None or tb is None:
-        return None
-    (x, y), (u, v) = _moved(ta, a).T, _moved(tb, b).T
-    u_, s, vt = np.linalg.svd(np.linalg.svd(np.stack([u * x, u * y, u, v * x, v * y, v, x, y, np.ones_like(x)], 1))[2][-1].reshape(3, 3))
-    m = tb.T @ (u_ @ np.diag([s[0], s[1], 0]) @ vt) @ ta
-    return m if np.isfinite(m).all() else None
+    m, told = epipolars(a[None], b[None])
+    return m[0] if told[0] else None
+
+
+def epipolars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of many sets of equally many points."""
+    (na, ca, sa), (nb, cb, sb) = _normalised(a), _normalised(b)
+    x, y, u, v = na[..., 0], na[..., 1], nb[..., 0], nb[..., 1]
+    rows = np.stack([u * x, u * y, u, v * x, v * y, v, x, y, np.ones_like(x)], 2)
+    u_, s, vt = np.linalg.svd(np.linalg.svd(rows, full_matrices=rows.shape[1] < 9)[2][:, -1].reshape(-1, 3, 3))
+    s[:, 2] = 0
+    m = _there(cb, sb).transpose(0, 2, 1) @ (u_ * s[:, None] @ vt) @ _there(ca, sa)
+    return m, (sa > 0) & (sb > 0) & np.isfinite(m).all((1, 2))
 
 
-def _normaliser(p: np.ndarray) -> np.ndarray | None:
-    centre = p.mean(0)
-    size = np.sqrt(((p - centre) ** 2).sum(1).mean())
-    if not np.isfinite(size) or size < 1e-12:
-        return None
-    s = np.sqrt(2) / size
-    return np.array([[s, 0, -s * centre[0]], [0, s, -s * centre[1]], [0, 0, 1]])
+def _normalised(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sets of points (k, n, 2) around 0 and of one size, their centres, and by what they were multiplied: 0, with points all 0, where they are too alike or not finite."""
+    centre = p.mean(1)
+    with np.errstate(all="ignore"):
+        size = np.sqrt(((p - centre[:, None]) ** 2).sum(2).mean(1))
+        s = np.where(np.isfinite(size) & (size >= 1e-12), np.sqrt(2) / size, 0.0)
+    good = s[:, None] > 0
+    return np.where(good[..., None], (p - centre[:, None]) * s[:, None, None], 0.0), np.where(good, centre, 0.0), s
+
+
+def _there(centre: np.ndarray, s: np.ndarray) -> np.ndarray:
+    t = np.zeros((len(s), 3, 3))
+    t[:, 0, 0], t[:, 1, 1], t[:, 2, 2] = s, s, 1
+    t[:, :2, 2] = -s[:, None] * centre
+    return t
 
 
-def _moved(m: np.ndarray, p: np.ndarray) -> np.ndarray:
-    q = np.column_stack([p, np.ones(len(p))]) @ m.T
-    return q[:, :2] / q[:, 2:]
+def _back(centre: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """The inverse of `_there`."""
+    t = np.zeros((len(s), 3, 3))
+    t[:, 0, 0] = t[:, 1, 1] = 1 / np.where(s > 0, s, 1)
+    t[:, 2, 2] = 1
+    t[:, :2, 2] = centre
+    return t
 
 
 def error(model: str, m: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -80,14 +103,24 @@ def _errors(model: str, m: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(e), e, np.inf)
 
 
-def _fit(model: str, by: list[str]):
-    solve = {"perspective": perspective, "epipolar": epipolar}[model]
+def _fit(model: str, kept: list[str]):
+    solve = {"perspective": perspectives, "epipolar": epipolars}[model]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            p = [np.array(x.tolist(), float) for x in f["p"]]
-            f["m"] = [None if m is None else m.ravel().tolist() for m in (solve(x[:, :2], x[:, 2:]) for x in p)]
-            yield f[f["m"].notna()][[*by, *(c for c in f.columns if c not in (*by, "p"))]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = b.column("p")  # lists of points (x1, y1, x2, y2)
+            sizes = np.diff(p.offsets.to_numpy())
+            x = p.flatten().flatten().to_numpy().reshape(-1, 4)
+            starts = np.cumsum(sizes) - sizes
+            models, told = np.zeros((len(sizes), 9)), np.zeros(len(sizes), bool)
+            for n in np.unique(sizes):
+                own = np.nonzero(sizes == n)[0]
+                sets = x[starts[own, None] + np.arange(n)]
+                m, told[own] = solve(sets[..., :2], sets[..., 2:])
+                models[own] = m.reshape(-1, 9)
+            at, models = np.nonzero(told)[0], models[told]
+            m = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * 9), pa.array(models.ravel()))
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(at)) for k in kept), m], names=[*kept, "m"])
 
     return run
 
@@ -130,7 +163,7 @@ def robust(matches: DataFrame, by: list[str], model: str, threshold: float, roun
     drawn = samples(sizes.where(F.col("n") >= need), by, need, rounds, seed).select(*by, "round", F.explode("places").alias("place"))
     sets = joined(drawn, at.select(*by, "place", "p"), [*by, "place"]).groupBy(*by, "round").agg(F.sort_array(F.collect_list(F.struct("place", "p"))).alias("s")).select(*by, "round", F.col("s.p").alias("p"))
     kinds = "".join(f"`{b}` {at.schema[b].dataType.simpleString()}, " for b in by)
-    models = written(sets.mapInPandas(_fit(model, by), f"{kinds}round int, m array<double>"), f"{path}/models")
+    models = written(sets.mapInArrow(_fit(model, [*by, "round"]), f"{kinds}round int, m array<double>"), f"{path}/models")
     every = models.groupBy(*by).agg(F.collect_list(F.struct("round", "m")).alias("models"))  # `rounds` of a group
     chunks = at.groupBy(*by, F.floor(F.col("place") / CHUNK).alias("chunk")).agg(F.collect_list("p").alias("p"))
     counts = joined(chunks, every, by).select(*by, "p", "models").mapInArrow(_counted(model, by, threshold), f"{kinds}round int, n long")
@@ -151,6 +184,6 @@ def by_neighbours(inliers: DataFrame, by: list[str], threshold: float, neighbour
     there = inliers.select(*by, F.col("match_id").alias("other"), F.array(*[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")]).alias("p"))
     sets = joined(near, there, [*by, "other"], wide=True).groupBy(*by, "id").agg(F.sort_array(F.collect_list(F.struct("rank", "p"))).alias("s")).where(F.size("s") >= NEEDED["perspective"])
     kinds = "".join(f"`{b}` {inliers.schema[b].dataType.simpleString()}, " for b in by)
-    models = sets.select(*by, F.col("id").alias("match_id"), F.col("s.p").alias("p")).mapInPandas(_fit("perspective", by), f"{kinds}match_id long, m array<double>")
+    models = sets.select(*by, F.col("id").alias("match_id"), F.col("s.p").alias("p")).mapInArrow(_fit("perspective", [*by, "match_id"]), f"{kinds}match_id {inliers.schema['match_id'].dataType.simpleString()}, m array<double>")
     e = error("perspective", F.col("m"), *[F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")])
     return joined(inliers, models, [*by, "match_id"], wide=True).where(e <= threshold).drop("m")

@@ -55,14 +55,15 @@ def placed(rows: DataFrame, by: list[str], order: list[Column], name: str, path:
     return joined(dealt, starts, [*by, part]).withColumn(name, F.col(before) + F.col(at) - 1).drop(part, at, before)
 
 
-def joined(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner", wide: bool = False) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner", wide: bool = False, where: Column | None = None) -> DataFrame:
     """An equi-join in which nulls of `by` are equal; columns of `by` come from the left.
 
     wide: there are about as many keys as rows, so that the right side is shuffled by them and never sent whole through the driver, however small its files look.
+    where: what rows of equal keys must fulfil to match, in columns of either side that no other has.
     """
     other = unused([*left.columns, *right.columns], *[f"{b}_r" for b in by])
     right = right.select(*[F.col(b).alias(o) for b, o in zip(by, other, strict=True)], *[c for c in right.columns if c not in by])
-    on = F.lit(True)
+    on = F.lit(True) if where is None else where
     for b, o in zip(by, other, strict=True):
         on = on & left[b].eqNullSafe(right[o])
     return left.join(right.hint("merge") if wide else right, on, how).drop(*other)
