@@ -452,3 +452,14 @@ def test_pipeline(spark):
     assert clean.columns == docs.columns and clean.count() < docs.count()
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.select("doc_id", "copy").distinct().count() == out.count()
+
+
+def test_last_pass_looks_up_candidates_only(spark, tmp_path):
+    tokens = {1: [*range(1, 11)], 2: [*range(1, 10), 11], 3: [*range(20, 30)]} | {k: [*range(100 * k, 100 * k + 10)] for k in range(10, 60)}
+    sets = spark.createDataFrame([(k, 10, t) for k, t in tokens.items()], "key long, n long, tokens array<long>")
+    rows = spark.createDataFrame([(x, k, 10, p + 1) for k, t in tokens.items() for p, x in enumerate(t)], "token long, key long, n long, place long")
+    groups = spark.createDataFrame([(k, 2 if k == 3 else k) for k in tokens], "key long, grp long")
+    prefix = rows.where("place <= 3").join(groups, "key")
+    found = jaccard._in_full(prefix, rows, groups, sets, str(tmp_path), True).collect()
+    assert {(r["a"], r["b"]) for r in found} == {(1, 2)}
+    assert {(r["key"], r["other"]) for r in spark.read.parquet(f"{tmp_path}/members").collect()} == {(2, 2), (3, 2)}
