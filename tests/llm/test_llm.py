@@ -460,6 +460,6 @@ def test_last_pass_looks_up_candidates_only(spark, tmp_path):
     rows = spark.createDataFrame([(x, k, 10, p + 1) for k, t in tokens.items() for p, x in enumerate(t)], "token long, key long, n long, place long")
     groups = spark.createDataFrame([(k, 2 if k == 3 else k) for k in tokens], "key long, grp long")
     prefix = rows.where("place <= 3").join(groups, "key")
-    found = jaccard._in_full(prefix, rows, groups, sets, str(tmp_path), True).collect()
+    found = jaccard._in_full(prefix, groups, sets, str(tmp_path), True).collect()
     assert {(r["a"], r["b"]) for r in found} == {(1, 2)}
     assert {(r["key"], r["other"]) for r in spark.read.parquet(f"{tmp_path}/members").collect()} == {(2, 2), (3, 2)}

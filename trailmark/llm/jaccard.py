@@ -236,7 +236,7 @@ def links_between(sets: DataFrame, groups: DataFrame, path: str, bound: bool = T
             prefix = save(now.where("low <> high").drop("low", "high"), f"{at}/prefix")
         if n_found < WORTH * n_open:
             break
-    return edges.union(_in_full(prefix, rows.drop("grp"), groups, sets, path, bound))
+    return edges.union(_in_full(prefix, groups, sets, path, bound))
 
 
 HEADS, WORTH = 5, 0.01
@@ -265,23 +265,23 @@ def _with_heads(prefix: DataFrame, sets: DataFrame, i: int) -> DataFrame:
     return verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
 
 
-def _in_full(prefix: DataFrame, rows: DataFrame, groups: DataFrame, sets: DataFrame, path: str, bound: bool) -> DataFrame:
+def _in_full(prefix: DataFrame, groups: DataFrame, sets: DataFrame, path: str, bound: bool) -> DataFrame:
     left = prefix.where("place * 9 <= n + 9").select("token", F.col("key").alias("a"), F.col("n").alias("na"), "grp", F.col("place").alias("pa"))
     right = prefix.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("other"), F.col("place").alias("pb"))
     pairs = save(left.join(right, "token").where(f"grp <> other and (na < nb or na = nb and a < b) and {_FITS}").select("a", "b", "other").distinct(), f"{path}/pairs")
     if pairs.isEmpty():
         return pairs.select("a", "b")
-    sets = sieve(sets, "key", _ends(pairs))
     if bound:
-        # The overlap of a class with the union of a group bounds that with each member.
+        # The overlap of a class with the union of a group bounds that with each member. Only classes with a candidate and members of candidates, which are few by
+        # now, are looked up, by class; tokens of one group only are among theirs, but none of these is common to two groups.
         candidates = save(pairs.select(F.col("a").alias("key"), "other").distinct(), f"{path}/candidates")
-        # Only classes with a candidate and members of candidates need be looked up, which are few by now, not all open ones.
         members = save(groups.withColumnRenamed("grp", "other").join(candidates.select("other").distinct(), "other"), f"{path}/members")
-        matrix = sieve(rows.select("key", "token"), "key", members.select("key")).join(members, "key").select("token", "other").distinct()
-        mine = sieve(rows.select("key", "n", "token"), "key", candidates.select("key"))
-        overlap = candidates.join(mine, "key").join(matrix, ["token", "other"]).groupBy("key", "n", "other").agg(F.count(F.lit(1)).alias("common"))
+        matrix = sieve(sets, "key", members.select("key")).join(members, "key").select("other", F.explode("tokens").alias("token")).distinct()
+        mine = sieve(sets, "key", candidates.select("key")).join(candidates, "key").select("key", "n", "other", F.explode("tokens").alias("token"))
+        overlap = mine.join(matrix, ["token", "other"]).groupBy("key", "n", "other").agg(F.count(F.lit(1)).alias("common"))
         opened = overlap.where(F.col("common") >= least_common(F.col("n"))).select(F.col("key").alias("a"), "other")
         pairs = save(pairs.join(opened, ["a", "other"]), f"{path}/opened")
+    sets = sieve(sets, "key", _ends(pairs))
     # One comparison of each class with each group first; what these join needs no further one.
     first = save(verify(pairs.groupBy("a", "other").agg(F.min("b").alias("b")).select("a", "b"), sets), f"{path}/first")
     merged = components(first, f"{path}/merge")
